@@ -34,6 +34,9 @@ def ship_package(spark: SparkSession) -> None:
     Functions that run in Python workers are pickled by reference, so the workers must be able to import their module
     on hosts where the repository isn't installed.
     """
+    # batches of Arrow are bounded in rows, since a text may be long; a value that the user set stays
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
