@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +24,7 @@ from kinograph.session import ship_package
 # The pattern that cuts text into pieces before the merges of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker remembers; two generations of so many.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -196,12 +195,11 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str
     ship_package(df.sparkSession)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def ids_of(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        for batch in texts:
-            rows = [c.encode(t) if t else b"" for t in batch.to_pylist()]
-            off = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        rows = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
+        off = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
     return df.withColumn(out, ids_of(F.col(text)))
 
@@ -218,12 +216,10 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: st
     ship_package(df.sparkSession)
 
     @F.arrow_udf(T.StringType())
-    def texts_of(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        c = codec(path)
-        for batch in lists:
-            values, off = flat_lists(batch)
-            texts = c.decode(values, off)
-            yield pa.array([t if ok else None for t, ok in zip(texts, batch.is_valid().to_pylist())], pa.string())
+    def texts_of(lists: pa.Array) -> pa.Array:
+        values, off = flat_lists(lists)
+        texts = codec(path).decode(values, off)
+        return pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())], pa.string())
 
     return df.withColumn(out, texts_of(F.col(ids)))
 
