@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from kinograph.llm.bpe import op8_bpe
+from kinograph.llm.langid import op10_langid
+from kinograph.llm.quality import op7_quality
 
-QUERIES = {"op8_bpe": op8_bpe}
+QUERIES = {"op7_quality": op7_quality, "op8_bpe": op8_bpe, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
