@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -195,11 +196,13 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str
     ship_package(df.sparkSession)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids_of(texts: pa.Array) -> pa.Array:
+    def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # of iterator kind, so that Spark doesn't fuse it into each function of its ids, to be run once for each
         c = codec(path)
-        rows = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
-        off = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        for texts in batches:
+            rows = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
+            off = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
     return df.withColumn(out, ids_of(F.col(text)))
 
