@@ -5,7 +5,8 @@ from __future__ import annotations
 from kinograph.llm.bpe import op8_bpe
 from kinograph.llm.langid import op10_langid
 from kinograph.llm.jaccard import op1_jaccard
+from kinograph.llm.lm import op9_lm
 from kinograph.llm.quality import op7_quality
 
-QUERIES = {"op1_jaccard": op1_jaccard, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op10_langid": op10_langid}
+QUERIES = {"op1_jaccard": op1_jaccard, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_lm": op9_lm, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
