@@ -7,7 +7,9 @@ from kinograph.llm.langid import op10_langid
 from kinograph.llm.jaccard import op1_jaccard
 from kinograph.llm.lm import op9_lm
 from kinograph.llm.quality import op7_quality
+from kinograph.llm.shards import op5_shards
 from kinograph.llm.simhash import op3_simhash
+from kinograph.llm.warc import op6_warc
 
-QUERIES = {"op1_jaccard": op1_jaccard, "op3_simhash": op3_simhash, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_lm": op9_lm, "op10_langid": op10_langid}
+QUERIES = {"op1_jaccard": op1_jaccard, "op3_simhash": op3_simhash, "op5_shards": op5_shards, "op6_warc": op6_warc, "op7_quality": op7_quality, "op8_bpe": op8_bpe, "op9_lm": op9_lm, "op10_langid": op10_langid}
 ORACLES: dict[str, str] = {}
