@@ -6,9 +6,10 @@
    share no key are never compared.
 3. Every document is compared with the smallest document of each of its keys, and verified links contract documents into
    groups of similar ones.
-4. The token-group matrix holds each group's token union. A document of another group is first bounded by the tokens
-   that occur outside its own group at all, then by its overlap with each single group that shares a key with it; only groups that reach
-   the threshold are opened, and their members that share a key with the document are compared one by one.
+4. The token-group matrix holds each group's token union. A document of another group is first bounded by its own tokens,
+   those that no other group has, together with the fewest own tokens in the group that shares a key with it; then by its
+   overlap with that group's union. Only groups that can reach the threshold are opened, and their members that share a key
+   with the document are compared one by one.
 
 No link between different texts is lost: a pair is left out only where a bound shows that it can't be linked, or where
 both documents are in one group already.
@@ -30,6 +31,8 @@ from kinograph.session import ship_package
 
 #: Size classes grow by this ratio; a pair's sizes are in one class or in neighbouring ones.
 RATIO = 1.3
+#: Bits of the filter by which tasks pass over documents that share no key.
+FILTER_BITS = 1 << 24
 
 
 def size_classes(num: int, den: int, largest: int) -> np.ndarray:
@@ -109,14 +112,35 @@ def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
-def token_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes as bytes."""
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits, whatever the input: the bits of the hashes of all ids are set, and few others."""
+    place = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
+    bits = place.groupBy(F.shiftright("p", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 as int)))").alias("b")).toArrow()
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[bits["w"].to_numpy()] = bits["b"].to_numpy().astype(np.uint32)
+    return out
+
+
+def token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """doc_id and its sorted distinct shingle hashes as bytes, of the documents in ids.
+
+    The bitmap keeps most other documents' texts out of the shuffle; the semi-join is what decides.
+    """
+    spark = docs.sparkSession
+    bitmap = spark.sparkContext.broadcast(id_filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, values, off in _sets(batches, width):
+        def wanted():
+            for b in batches:
+                place = b.column("p").to_numpy()
+                mask = (bitmap.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1
+                yield b.filter(pa.array(mask.astype(bool)))
+
+        for ids, values, off in _sets(wanted(), width):
             yield pa.RecordBatch.from_arrays([ids, binary_array(values, off)], ["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
+    return rows.mapInArrow(run, "doc_id long, tokens binary").join(ids, "doc_id", "left_semi")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -182,7 +206,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     gathered = reps.withColumn("hub", hub).withColumn("last", F.max("doc_id").over(by_key)).where("last > hub.doc_id")
     gathered = tables.keep(gathered.select("key", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")))
     nodes = gathered.select("doc_id").distinct()
-    sets = tables.keep(token_sets(docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi"), width))
+    sets = tables.keep(token_sets(docs, nodes, width))
 
     # 3. stars around each key's smallest document
     fits = _sizes_fit(F.col("n"), F.col("hub_n"), num, den)
@@ -190,26 +214,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     links = tables.keep(verify(stars, sets, num, den))
     groups = connected_components(links, tables)
 
-    # 4. keys that still gather several groups, without the pairs with their hubs
-    grouped = gathered.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    grouped = grouped.select("key", "doc_id", "n", "hub", F.coalesce("component", "doc_id").alias("g"))
+    # 4. keys that still gather several groups when their hub, which has met all the others, is left out
+    grouped = gathered.where(F.col("doc_id") != F.col("hub")).join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    grouped = grouped.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
     several = grouped.withColumn("lo", F.min("g").over(by_key)).withColumn("hi", F.max("g").over(by_key)).where("lo < hi")
-    rest = tables.keep(several.where("doc_id <> hub").select("key", "doc_id", "n", "g"))
-    needed = F.ceil(F.col("n") * num / den)
+    rest = tables.keep(several.select("key", "doc_id", "n", "g"))
     rest_docs = rest.select("doc_id", "n", "g").distinct()
-    tokens = exploded_tokens(sets.join(rest_docs, "doc_id", "left_semi"))
-    owned = tables.keep(tokens.join(rest_docs, "doc_id"))
+    owned = tables.keep(exploded_tokens(sets.join(rest_docs.select("doc_id"), "doc_id", "left_semi")).join(rest_docs, "doc_id"))
     matrix = owned.groupBy("token").agg(F.min("g").alias("g_min"), F.max("g").alias("g_max")).where("g_min < g_max")
-    elsewhere = owned.join(matrix.select("token"), "token", "left_semi").groupBy("doc_id", "n", "g").agg(F.count("*").alias("c"))
-    open_docs = tables.keep(elsewhere.where(F.col("c") >= needed).select("doc_id", "n", "g"))
-    left = tables.keep(rest.join(open_docs.select("doc_id"), "doc_id", "left_semi"))
-    queries = left.alias("x").join(left.select("key", F.col("g").alias("h")).distinct(), "key").where("h < g").select("doc_id", "n", "g", "h").distinct()
-    union = owned.join(open_docs.select("doc_id"), "doc_id", "left_semi").select(F.col("g").alias("h"), "token").distinct()
+    elsewhere = owned.join(matrix.select("token"), "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("c"))
+    # own: tokens that no other group has; two linked sets differ by the own tokens of both at least
+    most = lambda n: n * (den - num)
+    bounded = rest.join(elsewhere, "doc_id").withColumn("own", F.col("n") - F.col("c")).drop("c").where(F.col("own") * num <= most(F.col("n")))
+    left = tables.keep(bounded)
+    by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.min("own").alias("least_own"))
+    may_reach = (F.col("h") < F.col("g")) & ((F.col("own") + F.col("least_own")) * num <= most(F.col("n")))
+    queries = tables.keep(left.join(by_group, "key").where(may_reach).select("doc_id", "n", "h").distinct())
     asked = owned.select("doc_id", "token").join(queries, "doc_id")
-    overlap = asked.join(union, ["h", "token"]).groupBy("doc_id", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") >= needed)
+    union = owned.select(F.col("g").alias("h"), "token").join(queries.select("h").distinct(), "h", "left_semi").distinct()
+    overlap = asked.join(union, ["h", "token"]).groupBy("doc_id", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") >= F.ceil(F.col("n") * num / den))
     opened = left.join(overlap.select("doc_id", "h"), "doc_id")
-    others = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("g").alias("h"))
-    pairs = opened.join(others, ["key", "h"]).where(_sizes_fit(F.col("n"), F.col("other_n"), num, den))
+    others = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("own").alias("other_own"), F.col("g").alias("h"))
+    reach = (F.col("own") + F.col("other_own")) * num <= most(F.least("n", "other_n"))
+    pairs = opened.join(others, ["key", "h"]).where(reach & _sizes_fit(F.col("n"), F.col("other_n"), num, den))
     pairs = pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     more = tables.keep(verify(pairs, sets, num, den))
 
