@@ -115,10 +115,10 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sizes = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
     order = next_descending(sizes.select("doc_id").distinct())
-    wanted = sizes.join(order, "doc_id").select("doc_id", "next_id", F.floor(F.col("n_chars") / 3).cast("int").alias("cut")).distinct()
-    # only the replacing part of the next text travels to its document
-    heads = docs.select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text")).join(wanted, "next_id")
-    heads = heads.select("doc_id", "next_id", "cut", F.substring("next_text", F.lit(1), F.col("cut")).alias("head"))
+    wanted = sizes.join(order, "doc_id").select(F.col("doc_id").alias("target"), "next_id", F.floor(F.col("n_chars") / 3).cast("int").alias("cut")).distinct()
+    # texts are dealt by doc_id once, for both joins; only the replacing part of the next text travels to its document
+    heads = docs.join(wanted, F.col("doc_id") == F.col("next_id"))
+    heads = heads.select(F.col("target").alias("doc_id"), "next_id", "cut", F.substring("text", F.lit(1), F.col("cut")).alias("head"))
     both = docs.join(heads, "doc_id").where(F.floor(F.char_length("text") / 3) == F.col("cut"))
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.col("cut")), F.col("head"))
