@@ -72,9 +72,9 @@ def balanced_shards(docs: DataFrame, group: str, shards: int = SHARDS, rounds: i
     lone = rows.where(F.col(group).isNull()).withColumn("at", F.col("home")).withColumn("single", F.lit(1))
     kept_columns = [*docs.columns, "at", "single"]
     placed = placed.select(*kept_columns).union(lone.select(*kept_columns))
-    part = F.col("single") * parts + F.pmod(F.xxhash64(F.coalesce(F.col(group), F.col("doc_id"))), F.lit(parts)).cast("int")
-    # a hot group's rows share this part; its own shards share the work
-    placed = tables.keep(running_total(placed.withColumn("_p", part), ["at"], "_p", [group, "doc_id"], F.lit(1), "rank").drop("_p", "single"))
+    # unlinked rows come last, so that they are the ones beyond a quota; parts are even whatever the groups' sizes
+    part = F.col("single") * parts + F.pmod(F.shiftright(F.xxhash64("doc_id", F.lit(1)), 20), F.lit(parts)).cast("int")
+    placed = tables.keep(running_total(placed.withColumn("_p", part), ["at"], "_p", ["doc_id", group], F.lit(1), "rank").drop("_p", "single"))
 
     load = {r["at"]: r["c"] for r in placed.groupBy("at").agg(F.count("*").alias("c")).collect()}
     quota = [least + (s < extra) for s in range(shards)]
