@@ -6,10 +6,10 @@
    share no key are never compared.
 3. Every document is compared with the smallest document of each of its keys, and verified links contract documents into
    groups of similar ones.
-4. The token-group matrix holds each group's token union. A document of another group is first bounded by its own tokens,
-   those that no other group has, together with the fewest own tokens in the group that shares a key with it; then by its
-   overlap with that group's union. Only groups that can reach the threshold are opened, and their members that share a key
-   with the document are compared one by one.
+4. The token-group matrix holds each group's token union. A document of another group is first bounded by its tokens that
+   any other group has at all, together with those of the group that shares a key with it; then by its overlap with that
+   group's union. Only groups that can reach the threshold are opened, and their members that share a key with the document
+   are compared one by one.
 
 No link between different texts is lost: a pair is left out only where a bound shows that it can't be linked, or where
 both documents are in one group already.
@@ -223,20 +223,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     owned = tables.keep(exploded_tokens(sets.join(rest_docs.select("doc_id"), "doc_id", "left_semi")).join(rest_docs, "doc_id"))
     matrix = owned.groupBy("token").agg(F.min("g").alias("g_min"), F.max("g").alias("g_max")).where("g_min < g_max")
     elsewhere = owned.join(matrix.select("token"), "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("c"))
-    # own: tokens that no other group has; two linked sets differ by the own tokens of both at least
-    most = lambda n: n * (den - num)
-    bounded = rest.join(elsewhere, "doc_id").withColumn("own", F.col("n") - F.col("c")).drop("c").where(F.col("own") * num <= most(F.col("n")))
+    # shared: tokens that some other group has; an intersection is no larger than this of either set
+    enough = lambda common, x, y: common * (num + den) >= (x + y) * num
+    bounded = rest.join(elsewhere.withColumnRenamed("c", "shared"), "doc_id").where(F.col("shared") * den >= F.col("n") * num)
     left = tables.keep(bounded)
-    by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.min("own").alias("least_own"))
-    may_reach = (F.col("h") < F.col("g")) & ((F.col("own") + F.col("least_own")) * num <= most(F.col("n")))
+    by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.max("shared").alias("most_shared"), F.min("n").alias("least_n"))
+    may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
     queries = tables.keep(left.join(by_group, "key").where(may_reach).select("doc_id", "n", "h").distinct())
-    asked = owned.select("doc_id", "token").join(queries, "doc_id")
-    union = owned.select(F.col("g").alias("h"), "token").join(queries.select("h").distinct(), "h", "left_semi").distinct()
-    overlap = asked.join(union, ["h", "token"]).groupBy("doc_id", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") >= F.ceil(F.col("n") * num / den))
-    opened = left.join(overlap.select("doc_id", "h"), "doc_id")
-    others = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("own").alias("other_own"), F.col("g").alias("h"))
-    reach = (F.col("own") + F.col("other_own")) * num <= most(F.least("n", "other_n"))
-    pairs = opened.join(others, ["key", "h"]).where(reach & _sizes_fit(F.col("n"), F.col("other_n"), num, den))
+    open_tokens = owned.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    asked = open_tokens.select("doc_id", "token").join(queries, "doc_id")
+    union = open_tokens.select(F.col("g").alias("h"), "token").distinct()
+    overlap = asked.join(union, ["h", "token"]).groupBy("doc_id", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
+    opened = left.join(overlap.select("doc_id", "h", "c"), "doc_id")
+    others = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"))
+    pairs = opened.join(others, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
     pairs = pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     more = tables.keep(verify(pairs, sets, num, den))
 
