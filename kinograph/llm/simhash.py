@@ -85,7 +85,7 @@ def next_descending(ids: DataFrame, shifts: tuple[int, ...] = (12, 30, 46)) -> D
     No task sorts all ids: the next one is looked up among the ids that share all but the lowest 12 bits, and for the
     last of such a run in the next run that isn't empty, which is found in the same way among the runs.
     """
-    ends = ids.agg(F.max("doc_id").alias("largest"))
+    largest = ids.agg(F.max("doc_id")).first()[0]
     level = ids.select(F.col("doc_id").alias("k"), F.col("doc_id").alias("top"))
     found = []
     for shift in (*shifts, 63):
@@ -101,7 +101,7 @@ def next_descending(ids: DataFrame, shifts: tuple[int, ...] = (12, 30, 46)) -> D
             continue
         step = with_next.join(upper.withColumnRenamed("next_top", "beyond"), "b", "left")
         upper = step.select(F.col("k").alias("b"), F.coalesce("next_top", "beyond").alias("next_top"))
-    return upper.crossJoin(F.broadcast(ends)).select(F.col("b").alias("doc_id"), F.coalesce("next_top", "largest").alias("next_id"))
+    return upper.select(F.col("b").alias("doc_id"), F.coalesce("next_top", F.lit(largest).cast("long")).alias("next_id"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
@@ -119,7 +119,9 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     # texts are dealt by doc_id once, for both joins; only the replacing part of the next text travels to its document
     heads = docs.join(wanted, F.col("doc_id") == F.col("next_id"))
     heads = heads.select(F.col("target").alias("doc_id"), "next_id", "cut", F.substring("text", F.lit(1), F.col("cut")).alias("head"))
-    both = docs.join(heads, "doc_id").where(F.floor(F.char_length("text") / 3) == F.col("cut"))
+    both = docs.join(heads, "doc_id")
+    # of a repeated doc_id's texts each has its own cut; not written as an equality, which would deal the texts anew
+    both = both.where(F.abs(F.floor(F.char_length("text") / 3) - F.col("cut")) < 1)
     n = F.char_length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.col("cut")), F.col("head"))
     both = both.select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
