@@ -1,6 +1,644 @@
-"""The registered queries, by name, with the SQL that gives the same rows."""
+"""The registered queries, by name, with the SQL that gives the same rows.
+
+A query is given once: its columns with their kinds (l long, d double of six places, s string, b boolean), a function of
+(spark, sf_dir), and DuckDB SQL over the same tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinograph import fixtures as X
+from kinograph.functions import boxes as B
+from kinograph.functions import spans as S
+from kinograph.functions import text as T
+from kinograph.operators import detections as D
+from kinograph.operators import matching as M
+from kinograph.operators import proposal as P
+from kinograph.operators import series as O
+from kinograph.plans import audit as A
+from kinograph.plans import evaluation as E
+from kinograph.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+_SPARK = {"l": "bigint", "d": "double", "s": "string", "b": "boolean"}
+_DUCK = {"l": "BIGINT", "d": "DOUBLE", "s": "VARCHAR", "b": "BOOLEAN"}
+
+
+def query(columns: str, views: str, sql: str):
+    kinds = dict(c.split(":") for c in columns.split())
+
+    def put(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.select(*[(F.round(F.col(c).cast("double"), 6) if k == "d" else F.col(c).cast(_SPARK[k])).alias(c) for c, k in kinds.items()])
+
+        QUERIES[f.__name__] = run
+        outer = ", ".join((f"round({c}::DOUBLE, 6)" if k == "d" else f"{c}::{_DUCK[k]}") + f" AS {c}" for c, k in kinds.items())
+        body = f"q AS ({sql}) SELECT {outer} FROM q"
+        ORACLES[f.__name__] = ("WITH " + ",\n".join([X.SQL[n] for n in views.split()] + [body])) if views else "WITH " + body
+        return run
+
+    return put
+
+
+# --- series ---
+
+
+def _near(spark, d):
+    return O.contact_spans(X.sig(spark, d), ["pair_id"], "d_norm", 0.10, 0.25)
+
+
+SPANS = X.spans_sql("sp", "0.10", "0.25")
+X.SQL["sp"] = SPANS
+
+
+@query("pair_id:l sid:l frame_start:l frame_end:l min_d:d", "sig sp", "SELECT * FROM sp")
+def contact_spans(spark, d):
+    return _near(spark, d)
+
+
+X.SQL["sp_gap"] = X.spans_sql("sp_gap", "0.15", "0.30", "gapped")
+
+
+@query("pair_id:l sid:l frame_start:l frame_end:l min_d:d", "sig gapped sp_gap", "SELECT * FROM sp_gap")
+def contact_spans_with_gaps(spark, d):
+    return O.contact_spans(X.gapped(spark, d), ["pair_id"], "d_norm", 0.15, 0.30)
+
+
+@query("pair_id:l frame:l d_norm:d", "sig gapped", "SELECT pair_id, frame, avg(d_norm) OVER (PARTITION BY pair_id ORDER BY frame ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS d_norm FROM gapped")
+def smoothed_series(spark, d):
+    seen = X.gapped(spark, d).where("d_norm is not null").select("pair_id", "frame", "d_norm")
+    last = X.sig(spark, d).groupBy("pair_id").agg(F.max("frame").alias("last"))
+    dense = O.dense_axis(seen.join(last, "pair_id"), ["pair_id"], F.col("last"))
+    return O.smooth(dense, ["pair_id"], "d_norm", 1)
+
+
+@query(
+    "clip_id:l cls:l frame:l speed:d", "det clips",
+    """SELECT clip_id, cls, frame, CASE WHEN px1 IS NULL THEN NULL WHEN (h0 + h1) / 2 <= 0 THEN 'inf'::DOUBLE
+         ELSE sqrt(((x1 + x2 - px1 - px2) / 2) ** 2 + ((y1 + y2 - py1 - py2) / 2) ** 2) / ((h0 + h1) / 2) / ((frame - pf) / fps) END AS speed
+       FROM (SELECT d.*, fps, greatest(0, y2 - y1) AS h1, lag(frame) OVER w AS pf, lag(x1) OVER w AS px1, lag(x2) OVER w AS px2, lag(y1) OVER w AS py1, lag(y2) OVER w AS py2,
+               lag(greatest(0, y2 - y1)) OVER w AS h0 FROM det d JOIN clips USING (clip_id) WHERE frame % 3 <> 1 WINDOW w AS (PARTITION BY clip_id, cls ORDER BY frame))""",
+)
+def speed_prev_visible(spark, d):
+    seen = X.det(spark, d).where("frame % 3 <> 1")
+    prev = O.previous_visible(seen, ["clip_id", "cls"], ["frame", "x1", "y1", "x2", "y2"]).join(X.clips(spark, d), "clip_id")
+    return prev.withColumn("speed", B.speed(B.box("prev_"), B.box(), (F.col("frame") - F.col("prev_frame")) / F.col("fps")))
+
+
+@query(
+    "cust:l island:l frame_start:l frame_end:l n:l", "",
+    """SELECT cust, island, min(s) AS frame_start, max(e) AS frame_end, count(*) AS n FROM (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 2 THEN 1 ELSE 0 END) OVER (PARTITION BY cust ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island
+       FROM (SELECT *, max(e) OVER (PARTITION BY cust ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+       FROM (SELECT o_custkey AS cust, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) + o_orderkey % 90 AS e FROM orders))) GROUP BY cust, island""",
+)
+def merged_islands(spark, d):
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01"))
+    spans = table(spark, d, "orders").select(F.col("o_custkey").alias("cust"), day.alias("frame_start"), (day + F.col("o_orderkey") % 90).alias("frame_end"))
+    return O.merge_islands(spans, ["cust"], 1)
+
+
+@query(
+    "pair_id:l sid:l frame:l", "sig sp",
+    """SELECT DISTINCT pair_id, sid, CASE WHEN frame_end - frame_start + 1 <= 5 THEN frame_start + k ELSE round_even(frame_start + k * (frame_end - frame_start) / 4.0::DOUBLE, 0) END AS frame
+       FROM sp, range(0, 5) r(k) WHERE frame_end - frame_start + 1 > 5 OR k <= frame_end - frame_start""",
+)
+def sampled_frames(spark, d):
+    return _near(spark, d).select("pair_id", "sid", F.explode(S.sample(F.col("frame_start"), F.col("frame_end"), 5)).alias("frame"))
+
+
+@query(
+    "pair_id:l frame:l", "sig sp",
+    """SELECT DISTINCT s.pair_id, f.frame FROM (SELECT *, greatest(0, frame_start - 3) AS lo, least(n - 1, frame_end + 3) AS hi FROM sp JOIN (SELECT pair_id, max(frame) + 1 AS n FROM sig GROUP BY 1) USING (pair_id)) s
+       JOIN sig f ON f.pair_id = s.pair_id AND f.frame BETWEEN lo AND hi""",
+)
+def near_frames(spark, d):
+    n = X.sig(spark, d).groupBy("pair_id").agg((F.max("frame") + 1).alias("n"))
+    return O.near_frames(_near(spark, d).join(n, "pair_id"), ["pair_id"], 3, F.col("n"))
+
+
+@query(
+    "pair_id:l missing:l", "sig gapped",
+    """SELECT pair_id, count(*) AS missing FROM gapped WHERE d_norm IS NULL GROUP BY pair_id""",
+)
+def frame_gap_check(spark, d):
+    seen = X.gapped(spark, d).where("d_norm is not null").select("pair_id", "frame")
+    return X.sig(spark, d).select("pair_id", "frame").join(seen, ["pair_id", "frame"], "left_anti").groupBy("pair_id").agg(F.count("*").alias("missing"))
+
+
+# --- boxes ---
+
+X.SQL["pairs"] = """pairs AS (SELECT p.clip_id, p.frame, p.det_id AS p_id, v.det_id AS v_id, p.x1 AS ax1, p.y1 AS ay1, p.x2 AS ax2, p.y2 AS ay2, v.x1 AS bx1, v.y1 AS by1, v.x2 AS bx2, v.y2 AS by2
+  FROM det p JOIN det v ON p.clip_id = v.clip_id AND p.frame = v.frame WHERE p.cls = 1 AND v.cls = 2)"""
+_INTER = "greatest(0, least(ax2, bx2) - greatest(ax1, bx1)) * greatest(0, least(ay2, by2) - greatest(ay1, by1))"
+_AREA = "greatest(0, ax2 - ax1) * greatest(0, ay2 - ay1)", "greatest(0, bx2 - bx1) * greatest(0, by2 - by1)"
+
+
+def _pairs(spark, d):
+    det = X.det(spark, d)
+    side = lambda cls, p: det.where(F.col("cls") == cls).select("clip_id", "frame", F.col("det_id").alias(f"{p}id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
+    return D.pairs(side(1, "p_"), side(2, "v_"))
+
+
+@query("clip_id:l frame:l p_id:l v_id:l d_norm:d", "det pairs", "SELECT clip_id, frame, p_id, v_id, sqrt(greatest(bx1 - ax2, ax1 - bx2, 0) ** 2 + greatest(by1 - ay2, ay1 - by2, 0) ** 2) / sqrt((bx2 - bx1) ** 2 + (by2 - by1) ** 2) AS d_norm FROM pairs")
+def pair_distance(spark, d):
+    return _pairs(spark, d).withColumn("d_norm", B.d_norm(B.box("p_"), B.box("v_")))
+
+
+@query("clip_id:l frame:l p_id:l v_id:l iou:d ios:d", "det pairs", f"SELECT clip_id, frame, p_id, v_id, ({_INTER}) / ({_AREA[0]} + {_AREA[1]} - {_INTER}) AS iou, ({_INTER}) / least({_AREA[0]}, {_AREA[1]}) AS ios FROM pairs")
+def pair_iou_ios(spark, d):
+    return _pairs(spark, d).withColumns({"iou": B.iou(B.box("p_"), B.box("v_")), "ios": B.ios(B.box("p_"), B.box("v_"))})
+
+
+@query(
+    "clip_id:l x1:d y1:d x2:d y2:d", "det clips",
+    """SELECT clip_id, greatest(0, a - (c - a) * 0.25) AS x1, greatest(0, b - (e - b) * 0.25) AS y1, least(width, c + (c - a) * 0.25) AS x2, least(height, e + (e - b) * 0.25) AS y2
+       FROM (SELECT clip_id, min(x1) AS a, min(y1) AS b, max(x2) AS c, max(y2) AS e FROM det WHERE cls <= 2 GROUP BY 1) JOIN clips USING (clip_id)""",
+)
+def union_and_crop(spark, d):
+    whole = X.det(spark, d).where("cls <= 2").groupBy("clip_id").agg(*[f(c).alias(c) for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))])
+    crop = B.dilate(B.box(), 0.25, (F.col("width"), F.col("height")))
+    return whole.join(X.clips(spark, d), "clip_id").select("clip_id", *[v.alias(n) for v, n in zip(crop, ("x1", "y1", "x2", "y2"))])
+
+
+@query("clip_id:l cls:l frame:l x1:l y1:l x2:l y2:l", "det", "SELECT clip_id, cls, frame, round_even(x1 / 4, 0) AS x1, round_even(y1 / 4, 0) AS y1, round_even(x2 / 4, 0) AS x2, round_even(y2 / 4, 0) AS y2 FROM det")
+def quantized_boxes(spark, d):
+    q = B.quantize(B.Box(*(v / 4 for v in B.box())))
+    return X.det(spark, d).select("clip_id", "cls", "frame", *[v.alias(n) for v, n in zip(q, ("x1", "y1", "x2", "y2"))])
+
+
+@query("clip_id:l cls:l frame:l edge:b", "det clips", "SELECT clip_id, cls, frame, x1 <= e OR y1 <= e OR x2 >= width - e OR y2 >= height - e AS edge FROM (SELECT d.*, width, height, least(width, height) * 0.02::DOUBLE AS e FROM det d JOIN clips USING (clip_id))")
+def edge_flags(spark, d):
+    return X.det(spark, d).join(X.clips(spark, d), "clip_id").withColumn("edge", B.at_edge(B.box(), F.col("width"), F.col("height")))
+
+
+X.SQL["hom"] = """hom AS (SELECT vec_id, [1 + 0.1 * embedding[1]::DOUBLE, 0.1 * embedding[2]::DOUBLE, 10 * embedding[3]::DOUBLE, 0.1 * embedding[4]::DOUBLE, 1 + 0.1 * embedding[5]::DOUBLE, 10 * embedding[6]::DOUBLE, 0, 0, 1]::DOUBLE[] AS h FROM embeddings)"""
+
+
+@query(
+    "vec_id:l ok:b reason:s identity:b", "hom",
+    """SELECT vec_id, reason = 'ok' AS ok, reason, abs(h[1] - 1) <= 0.01 AND abs(h[2]) <= 0.01 AND abs(h[3]) <= 0.01 AND abs(h[4]) <= 0.01 AND abs(h[5] - 1) <= 0.01 AND abs(h[6]) <= 0.01 AS identity FROM (
+       SELECT *, CASE WHEN h[1] * h[5] - h[2] * h[4] <= 0 THEN 'mirrored' WHEN sqrt(h[1] * h[5] - h[2] * h[4]) < 1 / 1.01::DOUBLE OR sqrt(h[1] * h[5] - h[2] * h[4]) > 1.01 THEN 'scale' ELSE 'ok' END AS reason FROM hom)""",
+)
+def homography_gate(spark, d):
+    h = [F.get("h", F.lit(k)) for k in range(9)]
+    ok, reason = B.plausible(h, 1.01)
+    return X.homographies(spark, d).select("vec_id", ok.alias("ok"), reason.alias("reason"), B.is_identity(h, 0.01).alias("identity"))
+
+
+_CORNERS = [("0", "0"), ("100", "0"), ("100", "50"), ("0", "50")]
+_XS = ", ".join(f"(h[1] * {x} + h[2] * {y} + h[3])" for x, y in _CORNERS)
+_YS = ", ".join(f"(h[4] * {x} + h[5] * {y} + h[6])" for x, y in _CORNERS)
+
+
+@query("vec_id:l x1:d y1:d x2:d y2:d", "hom", f"SELECT vec_id, least({_XS}) AS x1, least({_YS}) AS y1, greatest({_XS}) AS x2, greatest({_YS}) AS y2 FROM hom")
+def warp_boxes(spark, d):
+    out = B.warp(B.Box(F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(50.0)), [F.get("h", F.lit(k)) for k in range(9)])
+    return X.homographies(spark, d).select("vec_id", *[v.alias(n) for v, n in zip(out, ("x1", "y1", "x2", "y2"))])
+
+
+@query(
+    "clip_id:l static:b", "clips hom",
+    """SELECT clip_id, coalesce(shift / width < 0.004, true) AS static FROM clips LEFT JOIN (SELECT vec_id % 40 + 1 AS clip_id, median(sqrt(h[3] ** 2 + h[6] ** 2)) AS shift FROM hom GROUP BY 1) USING (clip_id)""",
+)
+def camera_static(spark, d):
+    h = X.homographies(spark, d).select((F.col("vec_id") % 40 + 1).alias("clip_id"), F.get("h", F.lit(2)).alias("h02"), F.get("h", F.lit(5)).alias("h12"), F.lit(True).alias("ok"))
+    return D.static_cameras(h, X.clips(spark, d))
+
+
+# --- detections ---
+
+
+@query("clip_id:l cls:l x1:d y1:d x2:d y2:d conf:d", "det", "SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY clip_id, cls ORDER BY conf DESC, x1, y1, x2, y2) <= 5")
+def topk_per_class(spark, d):
+    return D.top_k(X.det(spark, d), ["clip_id", "cls"], 5)
+
+
+def _overlap(a, b):
+    inter = f"greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
+    area = lambda o: f"({o}.x2 - {o}.x1) * ({o}.y2 - {o}.y1)"
+    return f"({inter}) / ({area(a)} + {area(b)} - {inter}) >= 0.2 OR ({inter}) / least({area(a)}, {area(b)}) >= 0.4"
+
+
+@query(
+    "clip_id:l cls:l x1:d y1:d x2:d y2:d conf:d", "det",
+    f"""SELECT clip_id, cls, k.x1, k.y1, k.x2, k.y2, k.conf FROM (SELECT clip_id, cls, unnest(list_reduce(list_transform(l, lambda c: [c]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda o: {_overlap('o', 'c[1]')})) > 0 THEN acc ELSE list_append(acc, c[1]) END)) AS k
+        FROM (SELECT clip_id, cls, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}} ORDER BY conf DESC, (x2 - x1) * (y2 - y1) DESC, x1, y1, x2, y2) AS l
+              FROM (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY clip_id, cls ORDER BY conf DESC, x1, y1, x2, y2) <= 20) GROUP BY 1, 2))""",
+)
+def nms_survivors(spark, d):
+    return D.suppress(X.det(spark, d), ["clip_id", "cls"], 0.2, 0.4, per_key=20)
+
+
+@query(
+    "clip_id:l x0:l y0:l x1:l y1:l", "clips",
+    """SELECT clip_id, x0, y0, least(x0 + 704, width) AS x1, least(y0 + 704, height) AS y1 FROM (SELECT *, unnest(CASE WHEN width <= 704 THEN [0] ELSE list_distinct(list_append(range(0, width - 704 + 1, 528), width - 704)) END) AS x0
+       FROM (SELECT *, unnest(CASE WHEN height <= 704 THEN [0] ELSE list_distinct(list_append(range(0, height - 704 + 1, 528), height - 704)) END) AS y0 FROM clips))""",
+)
+def tile_grid(spark, d):
+    return D.tiles(X.clips(spark, d), 704, 0.25)
+
+
+@query(
+    "user_id:l cls:s n:l", "",
+    "SELECT user_id, event_type AS cls, n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1",
+)
+def track_majority_class(spark, d):
+    return D.majority_class(table(spark, d, "events").withColumnRenamed("event_type", "cls"), ["user_id"], "event_id")
+
+
+@query(
+    "clip_id:l cls:l birth:l death:l observed:l span:l gap_frames:l motion:d static:b", "det",
+    """SELECT *, motion < 0.05 AS static FROM (SELECT clip_id, cls, min(frame) AS birth, max(frame) AS death, count(*) AS observed, max(frame) - min(frame) + 1 AS span, max(frame) - min(frame) + 1 - count(*) AS gap_frames,
+       CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(stddev_pop((x1 + x2) / 2) ** 2 + stddev_pop((y1 + y2) / 2) ** 2) / avg(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) END AS motion FROM det WHERE frame % 3 <> 1 GROUP BY 1, 2)""",
+)
+def track_inventory(spark, d):
+    return D.track_inventory(X.det(spark, d).where("frame % 3 <> 1"), ["clip_id", "cls"])
+
+
+@query(
+    "clip_id:l frame:l cue:d", "det",
+    """SELECT v.clip_id, v.frame, coalesce(max(CASE WHEN greatest(0, least(v.x2, o.x2) - greatest(v.x1, o.x1)) * greatest(0, least(v.y2, o.y2) - greatest(v.y1, o.y1)) / ((o.x2 - o.x1) * (o.y2 - o.y1)) >= 0.2 THEN o.conf END), 0) AS cue
+       FROM det v LEFT JOIN det o ON v.clip_id = o.clip_id AND v.frame = o.frame AND o.cls > 2 WHERE v.cls = 2 GROUP BY 1, 2""",
+)
+def door_cue(spark, d):
+    det = X.det(spark, d)
+    doors = det.where("cls > 2").select("clip_id", "frame", *[F.col(c).alias(f"door_{c}") for c in ("x1", "y1", "x2", "y2", "conf")])
+    return D.door_cue(det.where("cls = 2").withColumnRenamed("cls", "track_id"), doors, 0.2)
+
+
+@query("cls:l model_id:l", "", "SELECT cls, min(id) AS model_id FROM (SELECT unnest([{'c': 0, 'n': 'person'}, {'c': 1, 'n': 'bicycle'}, {'c': 2, 'n': 'car'}, {'c': 3, 'n': 'motorbike'}, {'c': 5, 'n': 'bus'}, {'c': 7, 'n': 'truck'}]) AS k), (SELECT n_nationkey AS id, (['Person ', 'aeroplane', 'motorbike', 'CAR', 'lorry', 'bus', 'bike'])[(n_nationkey % 7 + 1)::INT] AS name FROM nation) m, LATERAL (SELECT CASE WHEN trim(lower(name)) = 'lorry' THEN 7 WHEN trim(lower(name)) = 'bike' THEN 1 WHEN trim(lower(name)) = k.n THEN k.c END AS cls) WHERE cls = k.c GROUP BY cls")
+def class_map(spark, d):
+    names = F.array(*[F.lit(x) for x in ("Person ", "aeroplane", "motorbike", "CAR", "lorry", "bus", "bike")])
+    labels = table(spark, d, "nation").select(F.col("n_nationkey").alias("model_id"), F.element_at(names, (F.col("n_nationkey") % 7 + 1).cast("int")).alias("name"))
+    return D.class_map(labels, spark)
+
+
+# --- proposal and judging ---
+
+X.SQL["fired"] = """fired AS (SELECT s.*, fps, n_frames, birth, death, door, greatest(1, round_even(0.35 * fps, 0)) AS tol,
+    list_filter([CASE WHEN (frame_end - frame_start + 1) / fps >= 0.5 THEN 'R1_dwell' END, CASE WHEN abs(death - frame_end) <= greatest(1, round_even(0.35 * fps, 0)) THEN 'R2_death_near' END,
+      CASE WHEN abs(birth - frame_start) <= greatest(1, round_even(0.35 * fps, 0)) THEN 'R3_birth_near' END, CASE WHEN door >= 0.3 THEN 'R4_door_change' END], lambda r: r IS NOT NULL) AS rules
+  FROM sp s JOIN (SELECT pair_id, min(frame) AS birth, max(frame) AS death FROM sig GROUP BY 1) USING (pair_id) JOIN clips c ON c.clip_id = s.pair_id % 100 + 1
+  LEFT JOIN (SELECT p.pair_id, p.sid, max(CASE WHEN event_type = 'purchase' THEN (event_id % 100) / 100 END) AS door FROM sp p JOIN sig g ON g.pair_id = p.pair_id AND g.frame BETWEEN p.frame_start AND p.frame_end GROUP BY 1, 2) d ON d.pair_id = s.pair_id AND d.sid = s.sid)"""
+_TOL = "greatest(1, round_even(0.35 * fps, 0))"
+X.SQL["cands"] = f"""cands AS (SELECT pair_id AS clip_id, sid, frame_start, frame_end, list_sort(rules) AS rules, round_even(min_d, 4) AS min_d_norm, round_even((frame_end - frame_start + 1) / fps, 3) AS dwell_s,
+    birth <= {_TOL} AS birth_at_clip_start, death >= n_frames - 1 - {_TOL} AS death_at_clip_end FROM fired WHERE len(rules) > 0)"""
+_RULE = "CASE WHEN list_contains(rules, 'R2_death_near') THEN 'R2_death_near' WHEN list_contains(rules, 'R3_birth_near') THEN 'R3_birth_near' WHEN list_contains(rules, 'R4_door_change') THEN 'R4_door_change' ELSE 'R1_dwell' END"
+
+
+def _fired(spark, d):
+    sig, near = X.sig(spark, d), _near(spark, d)
+    life = sig.groupBy("pair_id").agg(F.min("frame").alias("birth"), F.max("frame").alias("death"))
+    inside = near.select("pair_id", "sid", "frame_start", "frame_end").join(sig, "pair_id").where("frame between frame_start and frame_end")
+    door = inside.groupBy("pair_id", "sid").agg(F.max(F.when(F.col("event_type") == "purchase", (F.col("event_id") % 100) / 100)).alias("max_door"))
+    met = near.join(life, "pair_id").join(door, ["pair_id", "sid"], "left")
+    met = met.withColumn("clip", F.col("pair_id") % 100 + 1).join(X.clips(spark, d).select(F.col("clip_id").alias("clip"), "fps", "n_frames"), "clip")
+    return P.fired(met)
+
+
+@query("pair_id:l frame_start:l frame_end:l rules:s min_d_norm:d dwell_s:d birth_at_clip_start:b death_at_clip_end:b", "sig sp clips fired cands", "SELECT * REPLACE (list_aggregate(rules, 'string_agg', ',') AS rules), clip_id AS pair_id FROM cands")
+def proposed_candidates(spark, d):
+    return P.candidates(_fired(spark, d), ["pair_id"]).withColumn("rules", F.array_join("rules", ","))
+
+
+@query(
+    "pair_id:l frame_start:l rule:s type:s confidence:d", "sig sp clips fired cands",
+    f"""SELECT clip_id AS pair_id, frame_start, rule, CASE rule WHEN 'R1_dwell' THEN 'attend_vehicle' WHEN 'R2_death_near' THEN 'enter_vehicle' WHEN 'R3_birth_near' THEN 'exit_vehicle' ELSE 'open_close_door' END AS type, 0.5 AS confidence
+        FROM (SELECT *, {_RULE} AS rule FROM cands)""",
+)
+def primary_rule_type(spark, d):
+    return P.geometric_judge(P.candidates(_fired(spark, d), ["pair_id"]))
+
+
+@query("clip_id:l frame_start:l interaction_id:s event_group_id:s", "sig sp clips fired cands", "SELECT clip_id, frame_start, i AS interaction_id, i AS event_group_id FROM (SELECT *, printf('%d__i%03d', clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_start, frame_end)) AS i FROM cands)")
+def interaction_ids(spark, d):
+    return P.numbered(P.geometric_judge(P.candidates(_fired(spark, d), ["pair_id"])).withColumnRenamed("pair_id", "clip_id"), ["frame_start", "frame_end"])
+
+
+@query(
+    "pair_id:l frame_start:l evidence:s", "sig sp clips fired cands",
+    """SELECT clip_id AS pair_id, frame_start, coalesce(list_aggregate(list_transform(list_filter([CASE WHEN list_contains(rules, 'R3_birth_near') THEN CASE WHEN frame_start % 2 = 0 THEN 'first seen at the edge of the picture' ELSE 'first seen at the vehicle in open view' END END,
+       CASE WHEN list_contains(rules, 'R2_death_near') THEN CASE WHEN frame_end % 2 = 0 THEN 'last seen at the edge of the picture' ELSE 'last seen at the vehicle in open view' END END, CASE WHEN list_contains(rules, 'R4_door_change') THEN 'a door was seen open' END,
+       CASE WHEN birth_at_clip_start THEN 'the clip begins here' END], lambda x: x IS NOT NULL), lambda x: '- ' || x), 'string_agg', chr(10)), '') AS evidence FROM cands""",
+)
+def tracking_evidence(spark, d):
+    c = P.candidates(_fired(spark, d), ["pair_id"])
+    return c.withColumn("evidence", P.evidence_text(F.col("rules"), F.col("frame_start") % 2 == 0, F.col("frame_end") % 2 == 0, F.col("birth_at_clip_start")))
+
+
+# --- evaluation ---
+
+X.SQL["cand3"] = "cand3 AS (SELECT * FROM cand WHERE tiou >= 0.3)"
+X.SQL["matches"] = X.greedy_sql("matches", "cand3", "clip_id")
+X.SQL["typed"] = "typed AS (SELECT m.clip_id, p.type AS p_type, g.type AS g_type, p.frame_start - g.frame_start AS s, p.frame_end - g.frame_end AS e FROM matches m JOIN pred p ON p.clip_id = m.clip_id AND p.pred_id = m.pred_id JOIN gt g ON g.clip_id = m.clip_id AND g.gt_id = m.gt_id WHERE NOT negative)"
+_MATCHED = "sig pred gt cand cand3 matches"
+
+
+def _matches(spark, d):
+    return M.match_events(X.pred(spark, d), X.gt(spark, d), ["clip_id"])
+
+
+@query("clip_id:l pred_id:l gt_id:l tiou:d agree:b", "sig pred gt cand", "SELECT * FROM cand")
+def tiou_pairs(spark, d):
+    return M.overlap_pairs(X.pred(spark, d), X.gt(spark, d), ["clip_id"])
+
+
+@query("agree:b n:l", "sig pred gt cand", "SELECT agree, count(*) AS n FROM cand GROUP BY 1")
+def anchor_agreement(spark, d):
+    return M.overlap_pairs(X.pred(spark, d), X.gt(spark, d), ["clip_id"]).groupBy("agree").agg(F.count("*").alias("n"))
+
+
+@query("clip_id:l pred_id:l gt_id:l tiou:d negative:b agree:b", _MATCHED, "SELECT * FROM matches")
+def greedy_matches(spark, d):
+    return _matches(spark, d)
+
+
+X.SQL["cand_same"] = "cand_same AS (SELECT * FROM cand WHERE tiou >= 0.3 AND (negative OR p_type = g_type))"
+X.SQL["matches_same"] = X.greedy_sql("matches_same", "cand_same", "clip_id")
+
+
+@query("clip_id:l pred_id:l gt_id:l tiou:d negative:b", "sig pred gt cand cand_same matches_same", "SELECT * FROM matches_same")
+def greedy_matches_same_type(spark, d):
+    return M.match_events(X.pred(spark, d), X.gt(spark, d), ["clip_id"], same_type=True)
+
+
+@query("clip_id:l pred_id:l", _MATCHED, "SELECT clip_id, pred_id FROM pred ANTI JOIN matches USING (clip_id, pred_id)")
+def unmatched_pred(spark, d):
+    return M.unmatched(X.pred(spark, d), _matches(spark, d), ["clip_id"], "pred_id")
+
+
+@query("clip_id:l gt_id:l", _MATCHED, "SELECT clip_id, gt_id FROM gt ANTI JOIN matches USING (clip_id, gt_id) WHERE type <> 'pass_by'")
+def unmatched_gt(spark, d):
+    return M.unmatched(X.gt(spark, d).where("type <> 'pass_by'"), _matches(spark, d), ["clip_id"], "gt_id")
+
+
+def _prf(tp="tp", fp="fp", fn="fn"):
+    return f"round_even(coalesce({tp} / nullif({tp} + {fp}, 0)::DOUBLE, 0), 4) AS precision, round_even(coalesce({tp} / nullif({tp} + {fn}, 0)::DOUBLE, 0), 4) AS recall, round_even(coalesce(2 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0)::DOUBLE, 0), 4) AS f1"
+
+
+@query(
+    "tp:l fp:l fn:l precision:d recall:d f1:d", _MATCHED,
+    f"SELECT *, {_prf()} FROM (SELECT tp, n_pred - tp AS fp, n_pos - tp AS fn FROM (SELECT (SELECT count(*) FROM matches WHERE NOT negative) AS tp, (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM gt WHERE type <> 'pass_by') AS n_pos))",
+)
+def detection_prf(spark, d):
+    return E.with_prf(E.totals(E.detection_counts(X.pred(spark, d), X.gt(spark, d), _matches(spark, d), ["clip_id"]), []))
+
+
+X.SQL["cand_v"] = "cand_v AS (SELECT * FROM cand, (SELECT unnest([0.3, 0.5])::DOUBLE AS least_tiou), (SELECT unnest([false, true]) AS confident) WHERE tiou >= least_tiou AND (NOT confident OR NOT ambiguous))"
+X.SQL["matches_v"] = X.greedy_sql("matches_v", "cand_v", "clip_id, least_tiou, confident")
+
+
+@query(
+    "least_tiou:d confident:b tp:l fp:l fn:l precision:d recall:d f1:d", "sig pred gt cand cand_v matches_v",
+    f"""SELECT *, {_prf()} FROM (SELECT least_tiou, confident, tp, (SELECT count(*) FROM pred) - tp AS fp, (SELECT count(*) FROM gt WHERE type <> 'pass_by' AND (NOT confident OR NOT ambiguous)) - tp AS fn
+        FROM (SELECT least_tiou, confident, count(*) FILTER (WHERE NOT negative) AS tp FROM matches_v GROUP BY 1, 2))""",
+)
+def prf_by_variant(spark, d):
+    return E.variants(X.pred(spark, d), X.gt(spark, d))
+
+
+@query("n_negatives:l n_hit:l rate:d", _MATCHED, "SELECT n_negatives, n_hit, round_even(n_hit / n_negatives::DOUBLE, 4) AS rate FROM (SELECT (SELECT count(*) FROM gt WHERE type = 'pass_by') AS n_negatives, (SELECT count(*) FROM matches WHERE negative) AS n_hit)")
+def pass_by_report(spark, d):
+    return E.pass_by_report(X.gt(spark, d), _matches(spark, d))
+
+
+def _typed(spark, d):
+    return E.matched_types(X.pred(spark, d), X.gt(spark, d), _matches(spark, d))
+
+
+_TYPES = "(SELECT unnest(" + str(T.TYPES) + ") AS {})"
+
+
+@query("g_type:s p_type:s n:l", _MATCHED + " typed", f"SELECT a.g_type, b.p_type, count(t.clip_id) AS n FROM {_TYPES.format('g_type')} a CROSS JOIN {_TYPES.format('p_type')} b LEFT JOIN typed t ON t.g_type = a.g_type AND t.p_type = b.p_type GROUP BY 1, 2")
+def type_confusion(spark, d):
+    return E.type_confusion(_typed(spark, d))
+
+
+@query(
+    "type:s tp:l fp:l fn:l precision:d recall:d f1:d", _MATCHED + " typed",
+    f"SELECT *, {_prf()} FROM (SELECT type, tp, n_pred - tp AS fp, n_gt - tp AS fn FROM (SELECT type, (SELECT count(*) FROM typed t WHERE t.p_type = t.g_type AND t.p_type = k.type) AS tp, (SELECT count(*) FROM pred p WHERE p.type = k.type) AS n_pred, (SELECT count(*) FROM gt g WHERE g.type = k.type) AS n_gt FROM {_TYPES.format('type')} k))",
+)
+def per_type_prf(spark, d):
+    return E.per_type(X.pred(spark, d), X.gt(spark, d), _typed(spark, d))
+
+
+@query("n:l abs_start:d abs_end:d signed_start:d signed_end:d", _MATCHED + " typed", "SELECT count(*) AS n, median(abs(s)) AS abs_start, median(abs(e)) AS abs_end, median(s) AS signed_start, median(e) AS signed_end FROM typed")
+def localization_error(spark, d):
+    return E.localization(_typed(spark, d))
+
+
+X.SQL["grid"] = "grid AS (SELECT row_number() OVER (ORDER BY det_conf, tau_near, tau_far) - 1 AS pos, * FROM (SELECT unnest([0.35, 0.5, 0.65])::DOUBLE AS det_conf), (SELECT unnest([0.06, 0.1, 0.15, 0.22])::DOUBLE AS tau_near), (SELECT unnest([0.18, 0.25, 0.32, 0.45])::DOUBLE AS tau_far) WHERE tau_far > tau_near)"
+
+
+@query("pos:l det_conf:d tau_near:d tau_far:d", "grid", "SELECT * FROM grid")
+def grid_settings(spark, d):
+    return E.settings_grid(spark)
+
+
+X.SQL["loco"] = (
+    "grid15 AS (SELECT pos, tau_near, tau_far FROM grid WHERE det_conf = 0.35), sig_s AS (SELECT s.*, pos, tau_near, tau_far FROM sig s, grid15),"
+    + X.spans_sql("sps", "tau_near", "tau_far", "sig_s", "pos, pair_id")
+    + f""", pred_s AS (SELECT pos, pair_id AS clip_id, sid AS pred_id, frame_start, frame_end, ((7 * pair_id + 13 * sid) % 80) / 100 AS px1, ((7 * pair_id + 13 * sid) % 80) / 100 + 0.1::DOUBLE AS px2 FROM sps),
+    cand_s AS ({X.SQL['cand'].split('AS (', 1)[1].rsplit(')', 1)[0].replace('FROM pred p', 'FROM pred_s p').replace('SELECT p.clip_id,', 'SELECT p.pos, p.clip_id,').replace('p.type AS p_type,', '')}),
+    cand_s3 AS (SELECT * FROM cand_s WHERE tiou >= 0.3)"""
+    + ", " + X.greedy_sql("matches_s", "cand_s3", "pos, clip_id")
+    + """, counts AS (SELECT c.pos, c.clip_id, coalesce(m.tp, 0) AS tp, coalesce(p.n, 0) - coalesce(m.tp, 0) AS fp, coalesce(g.n, 0) - coalesce(m.tp, 0) AS fn
+      FROM (SELECT pos, clip_id FROM grid15, (SELECT DISTINCT pair_id AS clip_id FROM sig)) c LEFT JOIN (SELECT pos, clip_id, count(*) AS n FROM pred_s GROUP BY 1, 2) p USING (pos, clip_id)
+      LEFT JOIN (SELECT clip_id, count(*) FILTER (WHERE type <> 'pass_by') AS n FROM gt GROUP BY 1) g USING (clip_id) LEFT JOIN (SELECT pos, clip_id, count(*) FILTER (WHERE NOT negative) AS tp FROM matches_s GROUP BY 1, 2) m USING (pos, clip_id)),
+    folds AS (SELECT clip_id AS fold, pos, tp, fp, fn, fit_f1 FROM (SELECT *, coalesce(2.0::DOUBLE * otp / nullif(2.0::DOUBLE * otp + ofp + ofn, 0), 0) AS fit_f1 FROM (SELECT *, sum(tp) OVER w - tp AS otp, sum(fp) OVER w - fp AS ofp, sum(fn) OVER w - fn AS ofn FROM counts WINDOW w AS (PARTITION BY pos)))
+      QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY fit_f1 DESC, pos) = 1)"""
+)
+
+
+def _loco_counts(spark, d):
+    grid = E.settings_grid(spark).where("det_conf = 0.35")
+    sig = X.sig(spark, d)
+    both = sig.join(F.broadcast(grid))
+    preds = X.pred_of(O.contact_spans(both, ["pos", "pair_id"], "d_norm", F.col("tau_near"), F.col("tau_far")))
+    gts = X.gt(spark, d).join(F.broadcast(grid.select("pos")))
+    clips = sig.select(F.col("pair_id").alias("clip_id")).distinct().join(F.broadcast(grid.select("pos")))
+    matches = M.match_events(preds, gts, ["pos", "clip_id"])
+    counts = E.detection_counts(preds, gts, matches, ["pos", "clip_id"])
+    return clips.join(counts, ["pos", "clip_id"], "left").fillna(0, ["tp", "fp", "fn"])
+
+
+_LOCO = "sig gt grid loco"
+
+
+@query("fold:l pos:l tp:l fp:l fn:l fit_f1:d", _LOCO, "SELECT * FROM folds")
+def loco_selection(spark, d):
+    return E.leave_one_out(_loco_counts(spark, d))
+
+
+@query(
+    "held_tp:l held_fp:l held_fn:l held_f1:d all_pos:l all_tp:l all_fp:l all_fn:l all_f1:d gap:d", _LOCO,
+    """SELECT h.*, a.*, round_even(all_f1 - held_f1, 4) AS gap FROM (SELECT tp AS held_tp, fp AS held_fp, fn AS held_fn, round_even(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 0), 4) AS held_f1 FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM folds)) h,
+       (SELECT pos AS all_pos, tp AS all_tp, fp AS all_fp, fn AS all_fn, round_even(k, 4) AS all_f1 FROM (SELECT pos, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, coalesce(2.0::DOUBLE * sum(tp) / nullif(2.0::DOUBLE * sum(tp) + sum(fp) + sum(fn), 0), 0) AS k FROM counts GROUP BY 1) ORDER BY k DESC, pos LIMIT 1) a""",
+)
+def loco_summary(spark, d):
+    return E.loco_summary(_loco_counts(spark, d))
+
+
+@query(
+    "knob:s n_values:l modal:d n_modal:l", _LOCO,
+    """SELECT knob, count(*) AS n_values, arg_max(value, n * 1000000 - f) AS modal, max(n) AS n_modal FROM (SELECT knob, value, count(*) AS n, min(fold) AS f FROM (SELECT fold, 'tau_near' AS knob, tau_near AS value FROM folds JOIN grid USING (pos) UNION ALL SELECT fold, 'tau_far', tau_far FROM folds JOIN grid USING (pos)) GROUP BY 1, 2) GROUP BY 1""",
+)
+def fold_agreement(spark, d):
+    return E.fold_agreement(E.leave_one_out(_loco_counts(spark, d)), E.settings_grid(spark), ["tau_near", "tau_far"])
+
+
+# --- text and JSON ---
+
+X.SQL["descs"] = f"""descs AS (SELECT k, CASE WHEN k % 6 = 2 THEN 'young boy' ELSE concat_ws(', ', {X._pick(["adult man", "adult woman", "young boy", "girl", "adult male", "baby"], "k % 6")},
+    {X._pick(["dark", "white", "gray", "blue and white", "red"], "k % 5")} || ' ' || {X._pick(["shirt", "jacket", "clothes", "hoodie"], "k % 4")}, {X._pick(["light", "black", "navy"], "k % 3")} || ' ' || {X._pick(["pants", "jeans", "skirt"], "k // 3 % 3")},
+    CASE WHEN k % 7 < 3 THEN 'black bag' END) END AS person_desc,
+    {X._pick(["white", "silver", "dark blue", "red and black"], "k % 4")} || CASE WHEN k % 7 = 0 THEN ' ' ELSE ',' END || {X._pick(["sedan", "hatchback", "minivan", "SUV", "cart"], "k % 5")} || ', ' || {X._pick(["parked", "driving", "stopped", "starting to drive", "moving", "turning"], "k % 6")} AS vehicle_desc
+  FROM (SELECT c_custkey AS k FROM customer))"""
+
+
+def _colour_set(text: str) -> str:
+    return f"nullif(list_sort(list_distinct(list_filter(regexp_extract_all(lower({text}), '[a-z]+'), lambda w: list_contains({T.COLOURS}, w)))), [])"
+
+
+def _any(words: str, names: list[str]) -> str:
+    return f"list_has_any({words}, {names})"
+
+
+X.SQL["person"] = f"""person0 AS (SELECT *, list_filter(list_transform(string_split(person_desc, ','), lambda t: lower(trim(t))), lambda t: t <> '') AS parts FROM descs),
+  person1 AS (SELECT *, regexp_split_to_array(coalesce(parts[1], ''), '\\s+') AS who, regexp_split_to_array(coalesce(parts[2], ''), '\\s+') AS w1, regexp_split_to_array(coalesce(parts[3], ''), '\\s+') AS w2, {_colour_set("parts[2]")} AS c1, {_colour_set("parts[3]")} AS c2 FROM person0),
+  person2 AS (SELECT *, CASE WHEN {_any("w1", ["clothes", "clothing"])} THEN 'both' WHEN {_any("w1", T.UPPER)} THEN 'upper' WHEN {_any("w1", T.LOWER)} THEN 'lower' END AS k1 FROM person1),
+  person3 AS (SELECT *, CASE WHEN k1 IS NULL OR k1 = 'both' THEN NULL WHEN {_any("w2", ["clothes", "clothing"])} THEN 'both' WHEN {_any("w2", T.UPPER)} AND NOT (k1 = 'upper' AND c1 IS NOT NULL) THEN 'upper' WHEN {_any("w2", T.LOWER)} AND NOT (k1 = 'lower' AND c1 IS NOT NULL) THEN 'lower' END AS k2 FROM person2),
+  person AS (SELECT k, CASE WHEN {_any("who", ["man", "male", "boy"])} THEN 'male' WHEN {_any("who", ["woman", "female", "girl"])} THEN 'female' END AS sex, CASE WHEN {_any("who", ["adult"])} THEN 'adult' WHEN {_any("who", ["young", "child", "boy", "girl", "baby"])} THEN 'child' END AS age,
+    CASE WHEN k2 IN ('both', 'upper') THEN c2 WHEN k1 IN ('both', 'upper') THEN c1 END AS upper, CASE WHEN k2 IN ('both', 'lower') THEN c2 WHEN k1 IN ('both', 'lower') THEN c1 END AS lower,
+    CASE WHEN k1 IS NOT NULL THEN len(parts) - 1 > CASE WHEN k1 = 'both' OR k2 IS NULL OR k2 = 'both' THEN 1 ELSE 2 END END AS carrying FROM person3)"""
+X.SQL["vehicle"] = f"""vehicle AS (SELECT k, {_colour_set("vehicle_desc")} AS color, map({list(T.BODIES)}, {list(T.BODIES.values())})[list_filter(regexp_extract_all(lower(vehicle_desc), '[a-z]+'), lambda w: list_contains({list(T.BODIES)}, w))[1]] AS body_type,
+    CASE {" ".join(f"WHEN contains(lower(vehicle_desc), '{p}') THEN '{s}'" for p, s in T.STATES)} END AS state FROM descs)"""
+
+
+@query("k:l sex:s age:s upper:s lower:s carrying:b", "descs person", "SELECT * REPLACE (list_aggregate(upper, 'string_agg', '|') AS upper, list_aggregate(lower, 'string_agg', '|') AS lower) FROM person")
+def gt_person_slots(spark, d):
+    s = X.descs(spark, d).withColumn("s", T.person_slots(F.col("person_desc")))
+    return s.select("k", "s.sex", "s.age", F.array_join("s.upper_color", "|").alias("upper"), F.array_join("s.lower_color", "|").alias("lower"), "s.carrying")
+
+
+@query("k:l color:s body_type:s state:s", "descs vehicle", "SELECT * REPLACE (list_aggregate(color, 'string_agg', '|') AS color) FROM vehicle")
+def gt_vehicle_slots(spark, d):
+    s = X.descs(spark, d).withColumn("s", T.vehicle_slots(F.col("vehicle_desc")))
+    return s.select("k", F.array_join("s.color", "|").alias("color"), "s.body_type", "s.state")
+
+
+_COLS = ["dark", "white", "grey", "blue", "red", "unknown", "silver"]
+X.SQL["attrs"] = f"""attrs AS (SELECT k, {X._pick(["male", "female", "unknown"], "k % 3")} AS sex, {X._pick(["adult", "child"], "k % 2")} AS age, {X._pick(_COLS, "k % 7")} AS upper_color, {X._pick(["shirt", "unknown"], "k % 2")} AS upper_garment, {X._pick(_COLS, "k // 2 % 7")} AS lower_color,
+   {X._pick(["pants", "unknown", "skirt"], "k % 3")} AS lower_garment, {X._pick(["yes", "no", "unknown"], "k // 4 % 3")} AS carrying, {X._pick(_COLS, "k // 3 % 7")} AS color, {X._pick(["sedan", "van", "suv", "unknown", "hatchback"], "k // 2 % 5")} AS body_type, {X._pick(["parked", "moving", "stopped", "unknown"], "k % 4")} AS state FROM (SELECT c_custkey AS k FROM customer))"""
+
+
+def _exact(truth: str, predicted: str) -> str:
+    return f"CASE WHEN {truth} IS NULL THEN NULL WHEN {predicted} = 'unknown' THEN 'abstain' WHEN {truth} = {predicted} THEN 'correct' ELSE 'wrong' END"
+
+
+def _hue_sql(truth: str, p: str) -> str:
+    hues = f"list_transform(list_filter({truth}, lambda c: c NOT IN ('dark', 'light')), lambda c: CASE WHEN c IN ('silver', 'gray') THEN 'grey' ELSE c END)"
+    return f"CASE WHEN {truth} IS NULL OR len({hues}) = 0 THEN NULL WHEN {p} IN ('unknown', 'dark', 'light') THEN 'abstain' WHEN list_contains({hues}, CASE WHEN {p} IN ('silver', 'gray') THEN 'grey' ELSE {p} END) THEN 'correct' ELSE 'wrong' END"
+
+
+def _light_sql(truth: str, p: str) -> str:
+    dark, light = T.DARK + T.EITHER, T.LIGHT + T.EITHER
+    return f"CASE WHEN {truth} IS NULL THEN NULL WHEN {p} = 'unknown' THEN 'abstain' WHEN (list_contains({dark}, {p}) AND list_has_any({truth}, {dark})) OR (list_contains({light}, {p}) AND list_has_any({truth}, {light})) THEN 'correct' ELSE 'wrong' END"
+
+
+_SLOT_SQL = {
+    "person.sex": _exact("p.sex", "a.sex"), "person.age": _exact("p.age", "a.age"),
+    "person.upper_color.hue": _hue_sql("p.upper", "a.upper_color"), "person.upper_color.lightness": _light_sql("p.upper", "a.upper_color"),
+    "person.lower_color.hue": _hue_sql("p.lower", "a.lower_color"), "person.lower_color.lightness": _light_sql("p.lower", "a.lower_color"),
+    "person.carrying": "CASE WHEN p.carrying IS NULL THEN NULL WHEN a.carrying = 'unknown' THEN 'abstain' WHEN (a.carrying = 'yes') = p.carrying THEN 'correct' ELSE 'wrong' END",
+    "vehicle.color.hue": _hue_sql("v.color", "a.color"), "vehicle.color.lightness": _light_sql("v.color", "a.color"), "vehicle.body_type": _exact("v.body_type", "a.body_type"),
+    "vehicle.state": _exact("v.state", "CASE WHEN a.state IN ('parked', 'stopped') THEN 'static' ELSE a.state END"),
+}
+X.SQL["scores"] = "scores AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT k, '{s}' AS slot, {e} AS outcome FROM person p JOIN vehicle v USING (k) JOIN attrs a USING (k)" for s, e in _SLOT_SQL.items()) + ") WHERE outcome IS NOT NULL)"
+
+
+def _scores(spark, d):
+    both = X.descs(spark, d).join(X.attrs(spark, d), "k")
+    both = both.withColumns({"gp": T.person_slots(F.col("person_desc")), "gv": T.vehicle_slots(F.col("vehicle_desc"))})
+    return both.select("k", F.explode(T.score_slots(F.col("gp"), F.col("gv"), F.col("pa"), F.col("va"))).alias("slot", "outcome"))
+
+
+@query("k:l slot:s outcome:s", "descs person vehicle attrs scores", "SELECT * FROM scores")
+def slot_scores(spark, d):
+    return _scores(spark, d)
+
+
+@query(
+    "side:s slot:s correct:l wrong:l abstain:l accuracy:d coverage:d", "descs person vehicle attrs scores",
+    """SELECT *, round_even(correct / nullif(correct + wrong, 0)::DOUBLE, 4) AS accuracy, round_even((correct + wrong) / nullif(correct + wrong + abstain, 0)::DOUBLE, 4) AS coverage FROM (SELECT split_part(slot, '.', 1) AS side, slot, count(*) FILTER (WHERE outcome = 'correct') AS correct, count(*) FILTER (WHERE outcome = 'wrong') AS wrong,
+       count(*) FILTER (WHERE outcome = 'abstain') AS abstain FROM scores GROUP BY GROUPING SETS ((1, 2), (1)))""",
+)
+def slot_rollup(spark, d):
+    return E.slot_rollup(_scores(spark, d))
+
+
+@query(
+    "k:l person:s vehicle:s", "attrs",
+    """SELECT k, concat_ws(', ', concat_ws(' ', age, nullif(sex, 'unknown')), nullif(concat_ws(' ', nullif(upper_color, 'unknown'), nullif(upper_garment, 'unknown')), ''), nullif(concat_ws(' ', nullif(lower_color, 'unknown'), nullif(lower_garment, 'unknown')), ''), CASE WHEN carrying = 'yes' THEN 'carrying an object' END) AS person,
+       coalesce(nullif(concat_ws(', ', nullif(color, 'unknown'), nullif(body_type, 'unknown'), nullif(state, 'unknown')), ''), 'vehicle') AS vehicle FROM attrs""",
+)
+def rendered_descriptions(spark, d):
+    return X.attrs(spark, d).select("k", T.render_person(F.col("pa")).alias("person"), T.render_vehicle(F.col("va")).alias("vehicle"))
+
+
+X.SQL["resp"] = f"""resp0 AS (SELECT event_id, '{{"type": "' || {X._pick([*T.TYPES, T.NEGATIVE, "dance"], "CASE WHEN event_id % 6 = 3 THEN 6 ELSE event_id % 6 END")} || '", "confidence": ' || CASE WHEN event_id % 6 = 4 THEN (event_id % 100)::VARCHAR || '.5' ELSE '0.' || lpad((event_id % 100)::VARCHAR, 2, '0') END || ', "note": "n' || (event_id % 10)::VARCHAR || '"}}' AS body FROM events),
+  resp AS (SELECT event_id, sha256(concat_ws('|', 'req', event_id::VARCHAR)) AS key, CASE event_id % 6 WHEN 0 THEN '```json' || chr(10) || body || chr(10) || '```' WHEN 1 THEN 'I think: ' || body || ' as asked.' WHEN 2 THEN 'no idea' ELSE body END AS raw FROM resp0),
+  parsed AS (SELECT *, json_extract_string(j, '$.type') AS t, greatest(0, least(1, coalesce(try_cast(json_extract_string(j, '$.confidence') AS DOUBLE), 0))) AS c, json_extract_string(j, '$.note') AS note FROM (SELECT *, nullif(regexp_extract(raw, '(?s)\\{{.*\\}}'), '') AS j FROM resp)),
+  verdicts AS (SELECT event_id, key, CASE WHEN t IN {tuple([*T.TYPES, T.NEGATIVE])} THEN t END AS type, CASE WHEN t IN {tuple([*T.TYPES, T.NEGATIVE])} THEN c END AS confidence, CASE WHEN t IN {tuple([*T.TYPES, T.NEGATIVE])} THEN note END AS note FROM parsed)"""
+
+
+@query("event_id:l type:s confidence:d note:s", "resp", "SELECT * FROM verdicts")
+def parsed_responses(spark, d):
+    return X.responses(spark, d).withColumn("v", T.parse_verdict(F.col("raw"))).select("event_id", "v.type", "v.confidence", "v.note")
+
+
+@query("event_id:l hit:b accepted:b", "resp", "SELECT r.event_id, v.key IS NOT NULL AS hit, v.type <> 'pass_by' AND v.confidence >= 0.5 AS accepted FROM resp r LEFT JOIN (SELECT * FROM verdicts WHERE event_id % 3 <> 0) v USING (key)")
+def cache_hits(spark, d):
+    r = X.responses(spark, d)
+    return P.judged_from_cache(r.select("event_id", "key"), r.where("event_id % 3 <> 0").select("key", "raw"))
+
+
+@query("accepted:b type:s n:l", "resp", "SELECT type <> 'pass_by' AND confidence >= 0.5 AS accepted, type, count(*) AS n FROM verdicts GROUP BY 1, 2")
+def accepted_rejected(spark, d):
+    r = X.responses(spark, d)
+    j = P.judged_from_cache(r.select("event_id", "key"), r.select("key", "raw"))
+    return j.groupBy("accepted", F.col("verdict.type").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("r_name:s prompt:s", "", "SELECT r_name, string_agg(lower(trim(n_name)) || '.', ' ' ORDER BY n_name) AS prompt FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+def prompt_phrases(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("names")).select("r_name", T.prompt(F.transform("names", lambda x: F.concat(F.lit(" "), x, F.lit("..")))).alias("prompt"))
+
+
+@query(
+    "severity:s rule:s key:s", "sig gt clips",
+    """SELECT * FROM (WITH g AS (SELECT clip_id, CASE WHEN gt_id = 7 THEN 6 ELSE gt_id END AS gt_id, frame_start, CASE WHEN gt_id % 50 = 3 THEN frame_start - 1 ELSE frame_end END AS frame_end, CASE WHEN gt_id % 3 = 0 THEN 'man, dark shirt, bag' ELSE 'man' END AS d FROM gt),
+       k AS (SELECT g.*, fps, n_frames, g.clip_id::VARCHAR || '/' || gt_id::VARCHAR AS key FROM g LEFT JOIN clips USING (clip_id)),
+       r AS (SELECT *, max(frame_end) OVER (PARTITION BY clip_id, d ORDER BY frame_start, frame_end, gt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, clip_id::VARCHAR || '/' || gt_id::VARCHAR AS key FROM g)
+       SELECT 'error' AS severity, 'duplicate_id' AS rule, key FROM r GROUP BY key HAVING count(*) > 1 UNION ALL SELECT 'error', 'unknown_clip', key FROM k WHERE fps IS NULL UNION ALL SELECT 'error', 'span_order', key FROM k WHERE frame_end < frame_start
+       UNION ALL SELECT 'error', 'span_range', key FROM k WHERE frame_start < 0 OR frame_end >= n_frames UNION ALL SELECT 'warning', 'short', key FROM k WHERE (frame_end - frame_start + 1) / fps < 0.5 UNION ALL SELECT 'warning', 'few_parts', key FROM k WHERE len(string_split(d, ',')) < 3
+       UNION ALL SELECT 'warning', 'overlap', key FROM r WHERE frame_start <= reach UNION ALL SELECT 'info', 'abuts', key FROM r WHERE frame_start = reach + 1 UNION ALL SELECT 'info', 'no_labels', clip_id::VARCHAR FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM g))""",
+)
+def audit_findings(spark, d):
+    i = F.col("gt_id")
+    g = X.gt(spark, d).withColumns({"desc": F.when(i % 3 == 0, "man, dark shirt, bag").otherwise("man"), "frame_end": F.when(i % 50 == 3, F.col("frame_start") - 1).otherwise(F.col("frame_end"))})
+    return A.findings(g.withColumn("gt_id", F.when(i == 7, 6).otherwise(i)), X.clips(spark, d))
+
+
+@query("clip_id:l frame_start:l interaction_id:s", "sig sp clips fired cands", "SELECT clip_id, frame_start, printf('%d__i%03d', clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_start, frame_end)) AS interaction_id FROM cands")
+def pooled_interactions(spark, d):
+    c = P.numbered(P.geometric_judge(P.candidates(_fired(spark, d), ["pair_id"])).withColumnRenamed("pair_id", "clip_id"), ["frame_start", "frame_end"])
+    c = c.withColumn("config_hash", F.lit("a"))
+    return A.pooled(c, c.select("clip_id").distinct())
