@@ -30,15 +30,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     _scratch(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = quality.train(docs, labels)
-    return quality.score(docs, machine, out="_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
+    name = langid.fresh(docs, "quality_score")
+    return quality.score(docs, machine, out=name).where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a score of LEAST_LANGUAGE or more."""
     _scratch(spark)
     model = langid.train(docs.select("text", "lang"))
-    named = langid.identify(docs.withColumn("_lang", F.col("lang")), model)
-    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    name = langid.fresh(docs, "prediction")
+    named = docs.withColumn(name, langid.predictor(spark, model)(F.col("text")))
+    return named.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

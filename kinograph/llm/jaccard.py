@@ -33,6 +33,8 @@ from kinograph.session import ship_package
 RATIO = 1.3
 #: Bits of the filter by which tasks pass over documents that share no key.
 FILTER_BITS = 1 << 24
+#: Groups of so many members are compared without bounding them first.
+FEW = 8
 
 
 def size_classes(num: int, den: int, largest: int) -> np.ndarray:
@@ -124,10 +126,13 @@ def id_filter(ids: DataFrame) -> np.ndarray:
 def token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """doc_id and its sorted distinct shingle hashes as bytes, of the documents in ids.
 
-    The bitmap keeps most other documents' texts out of the shuffle; the semi-join is what decides.
+    The bitmap keeps most other documents' texts out; where it is too full for that, a semi-join keeps out the rest. Sets
+    that nobody asks for do no harm.
     """
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(id_filter(ids))
+    bits = id_filter(ids)
+    bitmap = spark.sparkContext.broadcast(bits)
+    full = np.bitwise_count(bits).sum() > FILTER_BITS // 20
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def wanted():
@@ -140,7 +145,8 @@ def token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, binary_array(values, off)], ["doc_id", "tokens"])
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
-    return rows.mapInArrow(run, "doc_id long, tokens binary").join(ids, "doc_id", "left_semi")
+    found = rows.mapInArrow(run, "doc_id long, tokens binary")
+    return found.join(ids, "doc_id", "left_semi") if full else found
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,9 +163,10 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    # the same columns on both sides, so that one exchange of the sets serves both joins
+    both = pairs.select("a", "b").join(sets.alias("x"), F.col("a") == F.col("x.doc_id")).select("a", "b", F.col("x.tokens").alias("ta"))
+    both = both.join(sets.alias("y"), F.col("b") == F.col("y.doc_id")).select("a", "b", "ta", F.col("y.tokens").alias("tb"))
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
@@ -229,16 +236,23 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     left = tables.keep(bounded)
     by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.max("shared").alias("most_shared"), F.min("n").alias("least_n"))
     may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
-    queries = tables.keep(left.join(by_group, "key").where(may_reach).select("doc_id", "n", "h").distinct())
+    queries = left.join(by_group, "key").where(may_reach).select("doc_id", "n", "h").distinct()
+    sizes = left.select("g", "doc_id").distinct().groupBy(F.col("g").alias("h")).agg(F.count("*").alias("members"))
+    queries = tables.keep(queries.join(sizes, "h"))
+    # a group of few members is opened straight away: its sets are no more work than its union
+    bound, straight = queries.where(F.col("members") > FEW), queries.where(F.col("members") <= FEW)
     open_tokens = owned.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    asked = open_tokens.select("doc_id", "token").join(queries, "doc_id")
+    asked = open_tokens.select("doc_id", "token").join(bound, "doc_id")
     union = open_tokens.select(F.col("g").alias("h"), "token").distinct()
     overlap = asked.join(union, ["h", "token"]).groupBy("doc_id", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
-    opened = left.join(overlap.select("doc_id", "h", "c"), "doc_id")
+    opened = overlap.select("doc_id", "h", "c").union(straight.select("doc_id", "h", F.col("n").alias("c")))
+    opened = left.join(tables.keep(opened), "doc_id")
     others = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"))
     pairs = opened.join(others, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
     pairs = pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    more = tables.keep(verify(pairs, sets, num, den))
+    pairs = tables.keep(pairs)
+    asked_for = tables.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    more = tables.keep(verify(pairs, sets.join(asked_for, "doc_id", "left_semi"), num, den))
 
     final = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tables)
     named = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")

@@ -220,10 +220,9 @@ def train(docs: DataFrame, words: int = WORDS) -> Languages:
     return Languages(names, keys[order], dense(len(keys), 0, rank, tables_of[0][1], tables_of[0][2]), grams, known)
 
 
-def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame:
-    """Adds lang_pred (a learned language; `und` where the text is null or has no letter, or nothing was learned) and
-    score (0 to 1: the likelihood's share among the languages; 0 for `und`). Replaces columns of those names."""
-    spark = docs.sparkSession
+def predictor(spark, model: Languages):
+    """A function of a text column that gives struct<lang_pred, score>: a learned language, or `und` with score 0 where the
+    text is null or has no letter or nothing was learned; the score is the likelihood's share among the languages."""
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded: WORDS and LONGEST x PLACES rows
 
@@ -232,7 +231,21 @@ def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame
         names, scores = shared.value.predict(texts)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.withColumn("_p", predicted(F.col(text))).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    return predicted
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def identify(docs: DataFrame, model: Languages, text: str = "text") -> DataFrame:
+    """Adds lang_pred and score, as predictor() gives them; replaces columns of those names."""
+    name = fresh(docs, "prediction")
+    out = docs.withColumn(name, predictor(docs.sparkSession, model)(F.col(text)))
+    return out.withColumns({"lang_pred": F.col(f"{name}.lang_pred"), "score": F.col(f"{name}.score")}).drop(name)
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
