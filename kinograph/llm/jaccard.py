@@ -1,9 +1,9 @@
 """Near duplicates by the Jaccard similarity of word-shingle sets: an exact join over groups and their token unions.
 
 1. Documents with equal sets collapse into one class; only its smallest document goes on.
-2. Each class's shingles are dealt by hash into m segments, with m greater than the most shingles in which a similar
-   set can differ; similar sets agree in one segment at least. A key (size class, segment, contents) gathers the documents that may be linked, and documents that
-   share no key are never compared.
+2. Each class's shingles are dealt by hash into segments, more than the shingles in which a similar set can differ, so that
+   similar sets agree in one segment at least. A key (size class, segment, contents) gathers the documents that may be
+   linked; documents that share no key are never compared, nor those of which too many tokens are in no other set.
 3. Every document is compared with the smallest document of each of its keys, and verified links contract documents into
    groups of similar ones.
 4. The token-group matrix holds each group's token union. A document of another group is first bounded by its tokens that
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinograph.llm.common import Tables, binary_array, chunks, list_array, mix, rows_of, shingle_sets, signed, word_hashes
+from kinograph.llm.common import Tables, binary_array, chunks, mix, rows_of, shingle_sets, signed, word_hashes
 from kinograph.llm.components import connected_components
 from kinograph.session import ship_package
 
@@ -33,6 +33,8 @@ from kinograph.session import ship_package
 RATIO = 1.3
 #: Bits of the filter by which tasks pass over documents that share no key.
 FILTER_BITS = 1 << 24
+#: One token in so many is looked at to pass over documents whose other tokens nobody shares.
+PART = 3
 #: Groups of so many members are compared without bounding them first.
 FEW = 8
 
@@ -45,12 +47,27 @@ def size_classes(num: int, den: int, largest: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
+def segment_numbers(bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each size class the number of segments, and how many of them a set may leave empty without keys for those.
+
+    Linked sets differ in at most (den - num) / num of the smaller one's size, so many segments and one more would do if
+    none were empty; the others make up for the segments that are empty by chance.
+    """
+    differ = (bounds[1:] - 1) * (den - num) // num
+    least = differ + 1.0
+    empty = least * np.exp(-bounds[:-1] / least)
+    spare = np.ceil(1.5 * empty + 2 * np.sqrt(empty)).astype(np.int64) + 1
+    return differ + 1 + spare, spare
+
+
 def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each set (values, beginning at off): all segments under its own size class and, where a similar smaller
-    set may be of the class below, under that class. Returns keys and where each row's begin."""
+    """Keys of each set (values, beginning at off): all segments that aren't empty under its own size class and, where a
+    similar smaller set may be of the class below, under that class; a set with more empty segments than are made up for
+    has keys for the empty ones too. Returns keys and where each row's begin."""
     n = np.diff(off)
     bounds = size_classes(num, den, int(n.max(initial=1)) + 1)
     own = np.searchsorted(bounds, n, "right") - 1
+    numbers, spares = segment_numbers(bounds, num, den)
     lowest = np.searchsorted(bounds, np.maximum(-(-n * num // den), 1), "right") - 1
     keys, rows = [], []
     values = mix(values, 3)
@@ -59,8 +76,7 @@ def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tup
         if not len(which):
             continue
         level = own[which] - down
-        # the sets differ in at most (den - num) / num of the smaller one's size
-        m = (bounds[level + 1] - 1) * (den - num) // num + 1
+        m = numbers[level]
         base = np.concatenate([[0], np.cumsum(m)])
         sizes = n[which]
         inner = np.repeat(np.arange(len(which)), sizes)
@@ -76,8 +92,12 @@ def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tup
             owner = np.repeat(np.arange(len(which)), m)
             number = np.arange(base[-1]) - base[owner]
             tag = mix(number.astype(np.uint64) * np.uint64(1 << 20) + level[owner].astype(np.uint64), 11)
-            keys.append(mix(contents ^ tag, 13))
-        rows.append(which[owner])
+        filled = np.zeros(base[-1], bool)
+        filled[segment] = True
+        empty = m - np.add.reduceat(filled.astype(np.int64), base[:-1])
+        wanted = filled | (empty > spares[level])[owner]
+        keys.append(mix(contents ^ tag, 13)[wanted])
+        rows.append(which[owner][wanted])
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
     k, r = np.concatenate(keys), np.concatenate(rows)
@@ -93,25 +113,48 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
             yield ids[i:j], *shingle_sets(hashes, words, width)
 
 
-def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (set size), s1, s2 (a 128-bit hash of the set), keys."""
+def _signature(values: np.ndarray, off: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each set; 0 sums for empty ones."""
+    total = np.zeros(len(off) - 1, np.uint64)
+    filled = np.flatnonzero(np.diff(off))
+    if len(filled):
+        with np.errstate(over="ignore"):
+            total[filled] = np.add.reduceat(mix(values, seed), off[filled])
+    return mix(total, seed)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n (set size), s1, s2 (a 128-bit hash of the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, values, off in _sets(batches, width):
-            row = rows_of(off)
-            sums = []
-            for seed in (21, 22):
-                total = np.zeros(len(off) - 1, np.uint64)
-                filled = np.flatnonzero(np.diff(off))
-                if len(filled):
-                    with np.errstate(over="ignore"):
-                        total[filled] = np.add.reduceat(mix(values, seed), off[filled])
-                sums.append(signed(mix(total, seed)))
+            sums = [signed(_signature(values, off, seed)) for seed in (21, 22)]
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off)), *sums], ["doc_id", "n", "s1", "s2"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+
+
+def key_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(key, s1): the keys of all sets that aren't empty; a task gives those of equal sets once, so that a key has no more
+    rows from copies than there are tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for _, values, off in _sets(batches, width):
             keys, at = segment_keys(values, off, num, den)
-            del row
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off)), *sums, list_array(keys.view(np.int64), at, pa.int64())], ["doc_id", "n", "s1", "s2", "keys"])
+            s1 = _signature(values, off, 21)
+            fresh = np.zeros(len(s1), bool)
+            for k, (x, n) in enumerate(zip(s1.tolist(), np.diff(off).tolist())):
+                if n and x not in seen:
+                    seen.add(x)
+                    fresh[k] = True
+            row = rows_of(at)
+            keep = fresh[row]
+            keys, row = keys[keep], row[keep]
+            for i in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([signed(keys[i : i + (1 << 16)]), signed(s1[row[i : i + (1 << 16)]])], ["key", "s1"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, keys array<long>")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "key long, s1 long")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -173,13 +216,14 @@ def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
     return F.least(x, y) * den >= F.greatest(x, y) * num
 
 
-def exploded_tokens(sets: DataFrame) -> DataFrame:
-    """doc_id, token: a row for each token of each set."""
+def exploded_tokens(sets: DataFrame, one_in: int = 1) -> DataFrame:
+    """doc_id, token: a row for each token of each set; with one_in, of the tokens whose hash it divides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc, tokens in zip(b.column(0).to_pylist(), b.column(1)):
                 values = np.frombuffer(tokens.as_buffer(), np.int64)
+                values = values[values % one_in == 0] if one_in > 1 else values
                 for at in range(0, len(values), 1 << 16):
                     part = values[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(part)], ["doc_id", "token"])
@@ -200,20 +244,30 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     ship_package(spark)
     tables = tables or Tables(spark)
-    signed_docs = tables.keep(signatures(docs, width, num, den))
+    signed_docs = tables.keep(signatures(docs, width))
     same = ["n", "s1", "s2"]
     classes = tables.keep(signed_docs.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")))
     members = signed_docs.select("doc_id", *same)
 
-    # 2. keys that gather several classes
-    reps = signed_docs.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
-    reps = reps.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
+    # 2. keys that gather several classes, whose smallest documents stand for them from here on
     by_key = Window.partitionBy("key")
+    shared = key_rows(docs, width, num, den).withColumn("lo", F.min("s1").over(by_key)).withColumn("hi", F.max("s1").over(by_key))
+    shared = tables.keep(shared.where("lo < hi").select("key", "s1"))
+    named = shared.distinct().join(classes.select("s1", F.col("rep").alias("doc_id"), F.col("n").cast("int").alias("n")), "s1")
+    gathered = tables.keep(named.select("key", "doc_id", "n"))
+    nodes = tables.keep(gathered.select("doc_id", "n").distinct())
+    sets = tables.keep(token_sets(docs, nodes.select("doc_id"), width))
+    # a linked set shares all but (den - num) / den of its tokens; a part of the tokens shows that most others don't
+    some = exploded_tokens(sets, PART).join(nodes, "doc_id")
+    lone = some.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi"), F.first("n").alias("n")).where("doc_id = hi")
+    unlike = lone.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") * den > F.col("n") * (den - num))
+    unlike = tables.keep(unlike.select("doc_id"))
+    gathered = gathered.join(unlike, "doc_id", "left_anti")
     hub = F.min(F.struct("doc_id", "n")).over(by_key)
-    gathered = reps.withColumn("hub", hub).withColumn("last", F.max("doc_id").over(by_key)).where("last > hub.doc_id")
+    gathered = gathered.withColumn("hub", hub).withColumn("last", F.max("doc_id").over(by_key)).where("last > hub.doc_id")
     gathered = tables.keep(gathered.select("key", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    nodes = gathered.select("doc_id").distinct()
-    sets = tables.keep(token_sets(docs, nodes, width))
+    nodes = tables.keep(gathered.select("doc_id").distinct())
+    sets = tables.keep(sets.join(nodes, "doc_id", "left_semi"))
 
     # 3. stars around each key's smallest document
     fits = _sizes_fit(F.col("n"), F.col("hub_n"), num, den)
