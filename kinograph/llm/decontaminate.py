@@ -20,12 +20,12 @@ from kinograph.llm.common import Tables, chunks, list_array, mix, signed, word_h
 from kinograph.session import ship_package
 
 # The masks, 1 where the token counts; between them any two substitutions in a window leave one untouched
-MASKS = ["111111110000", "000011111111", "111100001111", "110011001111", "101101101101", "111100110011"]
+MASKS = ["111111000000", "111000111000", "111000000111", "000111111000", "000111000111", "000000111111"]
 SPAN = 12
 #: Tokens of the compared window, and the share of them that has to agree.
 WINDOW, SHARE = 16, 0.75
-#: Bits of the filter of test hashes: 2 MiB, whatever the benchmark.
-FILTER_BITS = 1 << 24
+#: Bits of the filter of test hashes: 8 MiB, whatever the benchmark.
+FILTER_BITS = 1 << 26
 
 
 def spaced_hashes(hashes: np.ndarray, mask: str, number: int) -> np.ndarray:

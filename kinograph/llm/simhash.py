@@ -88,8 +88,8 @@ def next_descending(ids: DataFrame, shifts: tuple[int, ...] = (12, 30, 46)) -> D
     largest = ids.agg(F.max("doc_id")).first()[0]
     level = ids.select(F.col("doc_id").alias("k"), F.col("doc_id").alias("top"))
     found = []
-    for shift in (*shifts, 63):
-        bucket = F.shiftright("k", shift if not found else shift - found[-1][1])
+    for shift in (*shifts, None):
+        bucket = F.lit(0).cast("long") if shift is None else F.shiftright("k", shift if not found else shift - found[-1][1])
         inside = Window.partitionBy("b").orderBy(F.desc("k"))
         with_next = level.withColumn("b", bucket).withColumn("next_top", F.lead("top").over(inside))
         found.append((with_next, shift))
