@@ -290,8 +290,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     left = tables.keep(bounded)
     by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.max("shared").alias("most_shared"), F.min("n").alias("least_n"))
     may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
-    queries = left.join(by_group, "key").where(may_reach).select("doc_id", "n", "h").distinct()
-    sizes = left.select("g", "doc_id").distinct().groupBy(F.col("g").alias("h")).agg(F.count("*").alias("members"))
+    queries = left.join(by_group, "key").where(may_reach).select("doc_id", "n", "shared", "h").distinct()
+    others = left.select(F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h")).distinct()
+    sizes = others.groupBy("h").agg(F.count("*").alias("members"))
     queries = tables.keep(queries.join(sizes, "h"))
     # a group of few members is opened straight away: its sets are no more work than its union
     bound, straight = queries.where(F.col("members") > FEW), queries.where(F.col("members") <= FEW)
@@ -299,11 +300,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     asked = open_tokens.select("doc_id", "token").join(bound, "doc_id")
     union = open_tokens.select(F.col("g").alias("h"), "token").distinct()
     overlap = asked.join(union, ["h", "token"]).groupBy("doc_id", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
-    opened = overlap.select("doc_id", "h", "c").union(straight.select("doc_id", "h", F.col("n").alias("c")))
-    opened = left.join(tables.keep(opened), "doc_id")
-    others = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"))
-    pairs = opened.join(others, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
-    pairs = pairs.select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    opened = left.join(tables.keep(overlap.select("doc_id", "h", "c")), "doc_id")
+    keyed = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"))
+    large = opened.join(keyed, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
+    small = straight.join(others, "h").where(enough(F.least("shared", "other_shared"), F.col("n"), F.col("other_n")))
+    pairs = large.select("doc_id", "other").union(small.select("doc_id", "other")).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
     pairs = tables.keep(pairs)
     asked_for = tables.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     more = tables.keep(verify(pairs, sets.join(asked_for, "doc_id", "left_semi"), num, den))
