@@ -25,7 +25,7 @@ from kinograph.session import ship_package
 # The pattern that cuts text into pieces before the merges of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker remembers; two generations of so many.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -35,33 +35,55 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class Codec:
-    """Encoder and decoder of one vocabulary file (path)."""
+def token_table(path: str) -> tuple[dict, list[bytes], dict[str, int]]:
+    """A vocabulary file's model, the bytes of each id, and its special tokens."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    symbols = byte_symbols()
+    vocab: dict[str, int] = spec["model"]["vocab"]
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+    table = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+    for text, i in vocab.items():
+        table[i] = bytes(symbols[c] for c in text)
+    for text, i in special.items():
+        table[i] = text.encode()
+    return spec["model"], table, special
 
-    def __init__(self, path: str):
-        import ahocorasick
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        symbols = byte_symbols()
-        as_bytes = lambda s: bytes(symbols[c] for c in s)
-        vocab: dict[str, int] = spec["model"]["vocab"]
-        self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        table = [b""] * size
-        for text, i in vocab.items():
-            table[i] = as_bytes(text)
-        for text, i in self.special.items():
-            table[i] = text.encode()
+class Decoder:
+    """The bytes of all tokens one after another, and the offset of each."""
+
+    def __init__(self, path: str):
+        table = token_table(path)[1]
         self.offsets = np.cumsum([0, *map(len, table)])
         self.data = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
+        """Texts of rows of ids that begin at off; bytes that aren't UTF-8 become U+FFFD."""
+        starts, sizes = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        source = np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
+        data = self.data[source].tobytes()
+        cuts = np.concatenate([[0], ends])[off]
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+
+class Encoder:
+    """The encoder of one vocabulary file (path)."""
+
+    def __init__(self, path: str):
+        import ahocorasick
+
+        model, table, self.special = token_table(path)
+        vocab: dict[str, int] = model["vocab"]
         ordinary = {table[i]: i for i in vocab.values()}
         self.bytes_ids = {b: i for b, i in ordinary.items()}
         # merges in order of rank: which pair makes which token, and at which rank
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
+        for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             pair, whole = (vocab[left], vocab[right]), vocab[left + right]
             self.merged.setdefault(pair, rank)
@@ -82,7 +104,7 @@ class Codec:
         self.length = {i: len(b) for b, i in ordinary.items()}
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.compatible = lru_cache(1 << 17)(self._compatible)
+        self.compatible = lru_cache(1 << 16)(self._compatible)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -164,20 +186,15 @@ class Codec:
                 out.append(ids)
         return b"".join(out)
 
-    def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
-        """Texts of rows of ids that begin at off; bytes that aren't UTF-8 become U+FFFD."""
-        starts, sizes = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
-        data = self.data[source].tobytes()
-        cuts = np.concatenate([[0], ends])[off]
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @lru_cache(2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def default_vocabulary() -> str:
@@ -198,7 +215,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # of iterator kind, so that Spark doesn't fuse it into each function of its ids, to be run once for each
-        c = codec(path)
+        c = encoder(path)
         for texts in batches:
             rows = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
             off = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
@@ -221,7 +238,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: st
     @F.arrow_udf(T.StringType())
     def texts_of(lists: pa.Array) -> pa.Array:
         values, off = flat_lists(lists)
-        texts = codec(path).decode(values, off)
+        texts = decoder(path).decode(values, off)
         return pa.array([t if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist())], pa.string())
 
     return df.withColumn(out, texts_of(F.col(ids)))

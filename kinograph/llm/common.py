@@ -12,7 +12,7 @@ from kinograph.session import shared_dir
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are hashed in pieces of about this many bytes, so that a worker holds a bounded number of temporary arrays.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
