@@ -21,6 +21,7 @@ from kinograph.operators import proposal as P
 from kinograph.operators import series as O
 from kinograph.plans import audit as A
 from kinograph.plans import evaluation as E
+from kinograph.plans import reports as R
 from kinograph.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -642,3 +643,77 @@ def pooled_interactions(spark, d):
     c = P.numbered(P.geometric_judge(P.candidates(_fired(spark, d), ["pair_id"])).withColumnRenamed("pair_id", "clip_id"), ["frame_start", "frame_end"])
     c = c.withColumn("config_hash", F.lit("a"))
     return A.pooled(c, c.select("clip_id").distinct())
+
+
+# --- reports ---
+
+
+@query("clip_id:l tile:b asked:b", "clips", "SELECT clip_id, width >= 1920 AS tile, coalesce(CASE WHEN clip_id % 3 = 0 THEN clip_id % 2 = 0 END, width >= 1920) AS asked FROM clips")
+def tiling_choice(spark, d):
+    k = F.col("clip_id")
+    return X.clips(spark, d).select("clip_id", R.should_tile(F.col("width")).alias("tile"), R.should_tile(F.col("width"), F.when(k % 3 == 0, k % 2 == 0)).alias("asked"))
+
+
+X.SQL["tspans"] = "tspans AS (SELECT clip_id, n AS frame_start, n + 4 AS frame_end FROM (SELECT clip_id, unnest([0, 7, 20, 100000]) AS n FROM clips))"
+
+
+def _tspans(spark, d):
+    return X.clips(spark, d).select("clip_id", F.explode(F.array(*[F.lit(n) for n in (0, 7, 20, 100000)])).alias("frame_start")).select("clip_id", F.lit(1).alias("track_id"), "frame_start", (F.col("frame_start") + 4).alias("frame_end"))
+
+
+@query(
+    "clip_id:l frame_start:l x1:d y1:d x2:d y2:d", "det clips tspans",
+    """SELECT s.clip_id, frame_start, round_even(min(x1) / any_value(width), 5) AS x1, round_even(min(y1) / any_value(height), 5) AS y1, round_even(max(x2) / any_value(width), 5) AS x2, round_even(max(y2) / any_value(height), 5) AS y2
+       FROM tspans s JOIN clips USING (clip_id) LEFT JOIN det t ON t.clip_id = s.clip_id AND t.cls = 1 AND t.frame BETWEEN frame_start AND frame_end GROUP BY 1, 2""",
+)
+def span_boxes(spark, d):
+    obs = X.det(spark, d).where("cls = 1").withColumnRenamed("cls", "track_id")
+    return R.span_boxes(_tspans(spark, d), obs, X.clips(spark, d))
+
+
+@query(
+    "clip_id:l frame_start:l frames:s boxes:s", "det clips tspans",
+    """SELECT clip_id, frame_start, string_agg(f::BIGINT::VARCHAR, ',' ORDER BY f) AS frames, string_agg(coalesce(b, '-'), ' ' ORDER BY f) AS boxes FROM (SELECT q.*, round_even(x1, 0)::BIGINT::VARCHAR || ':' || round_even(y2, 0)::BIGINT::VARCHAR AS b FROM (SELECT DISTINCT clip_id, frame_start, CASE WHEN hi - lo + 1 <= 5 THEN lo + k ELSE round_even(lo + k * (hi - lo) / 4.0::DOUBLE, 0) END AS f
+       FROM (SELECT clip_id, frame_start, greatest(0, frame_start - round_even(fps, 0)) AS lo, least(n_frames - 1, frame_end + round_even(fps, 0)) AS hi FROM tspans JOIN clips USING (clip_id)), range(0, 5) r(k) WHERE hi >= lo AND (hi - lo + 1 > 5 OR k <= hi - lo)) q
+       LEFT JOIN det t ON t.clip_id = q.clip_id AND t.frame = q.f AND t.cls = 1) GROUP BY 1, 2""",
+)
+def request_bundles(spark, d):
+    obs = X.det(spark, d).where("cls = 1").withColumnRenamed("cls", "track_id")
+    b = R.bundles(_tspans(spark, d), obs, X.clips(spark, d), 1.0, 5)
+    text = F.transform(F.transform("boxes", lambda x: F.when(x.isNotNull(), F.concat_ws(":", x[0].cast("string"), x[3].cast("string")))), lambda s: F.coalesce(s, F.lit("-")))
+    return b.withColumns({"frames": F.array_join("frames", ","), "boxes": F.array_join(text, " ")})
+
+
+@query(
+    "judge:s clip:s tp:l fp:l fn:l precision:d recall:d f1:d", "sig pred gt cand cand_v matches_v",
+    f"""SELECT judge, clip, tp, fp, fn, {_prf()} FROM (SELECT judge, coalesce(clip_id::VARCHAR, 'POOLED') AS clip, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (
+        SELECT CASE WHEN least_tiou = 0.3 THEN 'loose' ELSE 'strict' END AS judge, k.clip_id, coalesce(m.tp, 0) AS tp, coalesce(p.n, 0) - coalesce(m.tp, 0) AS fp, coalesce(g.n, 0) - coalesce(m.tp, 0) AS fn
+        FROM (SELECT clip_id, least_tiou FROM (SELECT clip_id FROM pred UNION SELECT clip_id FROM gt), (SELECT unnest([0.3, 0.5])::DOUBLE AS least_tiou)) k
+        LEFT JOIN (SELECT clip_id, count(*) AS n FROM pred GROUP BY 1) p USING (clip_id) LEFT JOIN (SELECT clip_id, count(*) FILTER (WHERE type <> 'pass_by') AS n FROM gt GROUP BY 1) g USING (clip_id)
+        LEFT JOIN (SELECT clip_id, least_tiou, count(*) FILTER (WHERE NOT negative) AS tp FROM matches_v WHERE NOT confident GROUP BY 1, 2) m USING (clip_id, least_tiou)) GROUP BY GROUPING SETS ((judge, clip_id), (judge)))""",
+)
+def judge_comparison(spark, d):
+    p, g = X.pred(spark, d), X.gt(spark, d)
+    parts = [E.detection_counts(p, g, M.match_events(p, g, ["clip_id"], t), ["clip_id"]).withColumn("judge", F.lit(name)) for name, t in (("loose", 0.3), ("strict", 0.5))]
+    return R.comparison(parts[0].unionByName(parts[1]))
+
+
+@query("clip_id:l persons:l others:l max_conf:d median_height:d classes:s", "det", "SELECT clip_id, count(*) FILTER (WHERE cls - 1 = 0) AS persons, count(*) FILTER (WHERE cls - 1 <> 0) AS others, max(conf) AS max_conf, median(y2 - y1) AS median_height, string_agg(DISTINCT (cls - 1)::VARCHAR, ',' ORDER BY (cls - 1)::VARCHAR) AS classes FROM det GROUP BY 1")
+def frame_summary(spark, d):
+    return R.frame_summary(X.det(spark, d).withColumn("cls", F.col("cls") - 1), ["clip_id"])
+
+
+@query("other_actor:l no_slots:l scored:l", _MATCHED, "SELECT count(*) FILTER (WHERE NOT agree) AS other_actor, count(*) FILTER (WHERE agree AND pred_id % 3 = 0) AS no_slots, count(*) FILTER (WHERE agree AND pred_id % 3 <> 0) AS scored FROM matches WHERE NOT negative")
+def description_report(spark, d):
+    return R.description_report(_matches(spark, d).where("not negative").withColumn("has_slots", F.col("pred_id") % 3 != 0))
+
+
+@query(
+    "k:l person:s vehicle:s", "descs attrs",
+    """SELECT k, CASE WHEN k % 2 = 0 THEN person_desc ELSE concat_ws(', ', concat_ws(' ', age, nullif(sex, 'unknown')), nullif(concat_ws(' ', nullif(upper_color, 'unknown'), nullif(upper_garment, 'unknown')), ''), nullif(concat_ws(' ', nullif(lower_color, 'unknown'), nullif(lower_garment, 'unknown')), ''), CASE WHEN carrying = 'yes' THEN 'carrying an object' END) END AS person,
+       CASE WHEN k % 2 = 0 THEN vehicle_desc ELSE coalesce(nullif(concat_ws(', ', nullif(color, 'unknown'), nullif(body_type, 'unknown'), nullif(state, 'unknown')), ''), 'vehicle') END AS vehicle FROM descs JOIN attrs USING (k)""",
+)
+def attached_descriptions(spark, d):
+    both = X.descs(spark, d).join(X.attrs(spark, d), "k")
+    both = both.withColumn("slots", F.when(F.col("k") % 2 == 1, F.struct(F.col("pa").alias("person"), F.col("va").alias("vehicle"))))
+    return R.attached(both).select("k", F.col("person_desc").alias("person"), F.col("vehicle_desc").alias("vehicle"))
