@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinograph.llm.common import Tables, chunks, combine, mix, rows_of, signed, word_hashes
+from kinograph.llm.common import Tables, chunks, combine, mix, most_frequent, rows_of, signed, word_hashes
 from kinograph.llm.quality import held_out
 from kinograph.session import ship_package
 
@@ -178,7 +178,7 @@ def count(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, words: int = WORDS) -> Languages:
     """The model of these texts' languages; rows without a text or lang are left out.
 
-    The driver gets a row for each of the `words` most frequent words and for each hashed n-gram, whatever the input.
+    The driver gets a row for each of the most frequent words, `words` at most, and for each hashed n-gram, whatever the input.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
@@ -189,7 +189,7 @@ def train(docs: DataFrame, words: int = WORDS) -> Languages:
     names = sorted({lang for n, lang in sums if n == 0})
     number = {lang: k for k, lang in enumerate(names)}
     columns = ["key", F.col("by.lang").alias("lang"), F.col("by.c").alias("c")]
-    top = by_key.where("n = 0").orderBy(F.desc("total"), "key").limit(words).select(*columns).toArrow()
+    top = most_frequent(by_key.where("n = 0"), "total", words).select(*columns).toArrow()
     tables_of = [(top["key"].to_numpy(), top["lang"].to_pylist(), top["c"].to_pylist())]
     for n in range(1, LONGEST + 1):
         got = by_key.where(F.col("n") == n).select(*columns).toArrow()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import _LOWER, _SPACE, Tables, chunks, list_array, mix, rows_of, signed, word_hashes
+from kinograph.llm.common import _LOWER, _SPACE, Tables, chunks, list_array, mix, most_frequent, rows_of, signed, word_hashes
 from kinograph.llm.quality import held_out
 from kinograph.session import ship_package
 
@@ -99,7 +99,7 @@ class Frequent:
 
 
 def frequent_words(counts: DataFrame, most: int, classes: int) -> Frequent:
-    top = counts.orderBy(F.desc("c"), "key").limit(most).toArrow().sort_by([("c", "descending"), ("key", "ascending")])
+    top = most_frequent(counts, "c", most).toArrow().sort_by([("c", "descending"), ("key", "ascending")])
     keys, c = top["key"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.int64)
     rank = np.arange(len(keys))
     cls = np.where(rank < classes - ENDINGS - 1, rank + ENDINGS + 1, 0)

@@ -121,8 +121,10 @@ def records(data: bytes) -> Iterator[dict]:
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from the beginnings of SAMPLE_PAGES pages, those with the smallest hashes of page_id; it changes the
     archives' size alone. Empty where the sample is too small."""
-    some = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
-    samples = [r[0].encode() for r in some.select(F.substring("html", 1, SAMPLE_BYTES)).collect()]
+    # numbers first, so that no partition sends the texts of a sample of its own
+    chosen = pages.where("html is not null").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES)
+    some = pages.where("html is not null").join(F.broadcast(chosen.distinct()), "page_id", "left_semi")
+    samples = [r[0].encode() for r in some.select(F.substring("html", 1, SAMPLE_BYTES)).limit(SAMPLE_PAGES).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
