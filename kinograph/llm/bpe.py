@@ -220,6 +220,10 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str
             rows = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
             off = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        # idle workers stay for later stages; they don't keep a task's pieces
+        c.young, c.old = {}, {}
+        c.compatible.cache_clear()
+        pa.default_memory_pool().release_unused()
 
     return df.withColumn(out, ids_of(F.col(text)))
 

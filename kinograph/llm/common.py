@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -149,6 +151,12 @@ class Tables:
         df.write.parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def tidy(self) -> None:
+        """Asks the driver's JVM to collect garbage after a large step: Spark deletes a plan's shuffle files only then, and
+        those of steps whose results are stored would add up."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
 

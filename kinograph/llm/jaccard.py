@@ -253,6 +253,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     by_key = Window.partitionBy("key")
     shared = key_rows(docs, width, num, den).withColumn("lo", F.min("s1").over(by_key)).withColumn("hi", F.max("s1").over(by_key))
     shared = tables.keep(shared.where("lo < hi").select("key", "s1"))
+    tables.tidy()
     named = shared.distinct().join(classes.select("s1", F.col("rep").alias("doc_id"), F.col("n").cast("int").alias("n")), "s1")
     gathered = tables.keep(named.select("key", "doc_id", "n"))
     nodes = tables.keep(gathered.select("doc_id", "n").distinct())
@@ -262,6 +263,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     lone = some.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi"), F.first("n").alias("n")).where("doc_id = hi")
     unlike = lone.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") * den > F.col("n") * (den - num))
     unlike = tables.keep(unlike.select("doc_id"))
+    tables.tidy()
     gathered = gathered.join(unlike, "doc_id", "left_anti")
     hub = F.min(F.struct("doc_id", "n")).over(by_key)
     gathered = gathered.withColumn("hub", hub).withColumn("last", F.max("doc_id").over(by_key)).where("last > hub.doc_id")
@@ -273,6 +275,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     fits = _sizes_fit(F.col("n"), F.col("hub_n"), num, den)
     stars = gathered.where((F.col("doc_id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = tables.keep(verify(stars, sets, num, den))
+    tables.tidy()
     groups = connected_components(links, tables)
 
     # 4. keys that still gather several groups when their hub, which has met all the others, is left out
@@ -288,6 +291,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     enough = lambda common, x, y: common * (num + den) >= (x + y) * num
     bounded = rest.join(elsewhere.withColumnRenamed("c", "shared"), "doc_id").where(F.col("shared") * den >= F.col("n") * num)
     left = tables.keep(bounded)
+    tables.tidy()
     by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.max("shared").alias("most_shared"), F.min("n").alias("least_n"))
     may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
     queries = left.join(by_group, "key").where(may_reach).select("doc_id", "n", "shared", "h").distinct()
