@@ -36,11 +36,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with a score of LEAST_LANGUAGE or more."""
-    _scratch(spark)
+    tables = _scratch(spark)
     model = langid.train(docs.select("text", "lang"))
-    name = langid.fresh(docs, "prediction")
-    named = docs.withColumn(name, langid.predictor(spark, model)(F.col("text")))
-    return named.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    row = langid.fresh(docs, "row")
+    # stored, so that a row's number stays; few rows are rejected, and texts needn't be shuffled
+    numbered = tables.keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    named = langid.scores(numbered, model, [row])
+    rejected = tables.keep(named.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE)).select(row))
+    return numbered.join(rejected, row, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

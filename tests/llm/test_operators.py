@@ -189,6 +189,58 @@ def test_language_on_held_out_documents(spark):
     assert (held.lang_pred == held.lang).mean() >= 0.97 and got.score.between(0, 1).all()
 
 
+def test_language_by_words_and_grams_that_tasks_do_not_hold(spark):
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+    texts = [(lang, " ".join(word(letters) for _ in range(400))) for lang, letters in (("x", "abcdeé"), ("y", "abcfgü"), ("z", "cefhi")) for _ in range(3)]
+    # "rare" is once in y, its letters are common in x
+    texts += [("x", "raro rarx arex " * 50), ("y", "rare")]
+    asked = ["rare", "rarest", "bead fég hij", "zzz", "a", "ühia ciffe", "q1q", "", "12"]
+    counts: dict = collections.defaultdict(collections.Counter)
+    grams = lambda w, n: [g for g in (f" {w} "[k : k + n] for k in range(len(w) + 3 - n)) if " " not in g[1:-1] and g != " "]
+    for lang, text in texts:
+        for w in text.split():
+            counts[0, lang][w] += 1
+            for n in range(1, 5):
+                counts[n, lang].update(grams(w, n))
+    names = ["x", "y", "z"]
+
+    def logs(n, key):
+        space = max(len(counts[n, x]) for x in names) + 1
+        return np.array([math.log10((counts[n, x][key] + 0.5) / (counts[n, x].total() + 0.5 * space)) for x in names])
+
+    def known(n, keys):
+        return [k for k in keys if any(counts[n, x][k] for x in names)]
+
+    def vector(w):
+        if known(0, [w]):
+            return logs(0, w)
+        return next((np.mean([logs(n, g) for g in found], axis=0) for n in (4, 3, 2, 1) if (found := known(n, grams(w, n)))), np.zeros(3))
+
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    questions = spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "k int, text string")
+    for words, held in ((3, 5), (1 << 16, 1 << 16)):
+        got = {r.k: (r.lang_pred, r.score) for r in langid.identify(questions, langid.train(docs, words, held)).collect()}
+        for k, text in enumerate(asked):
+            if not any(c.isalpha() for c in text):
+                assert got[k] == ("und", 0)
+                continue
+            total = sum(vector(w) for w in text.replace("1", " ").split())
+            share = np.exp(total - total.max())
+            assert got[k] == (names[int(total.argmax())], pytest.approx(share.max() / share.sum(), rel=1e-9)), text
+        assert got[0][0] == "y"
+
+
+def test_unseen_grams_back_off_however_many_are_known(spark):
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abcdefghijklmnopqrstuv") for _ in range(6)) for _ in range(40_000)}
+    assert len({w[k : k + 4] for w in words for k in range(3)}) > 80_000
+    docs = spark.createDataFrame([("x", " ".join(sorted(words))), ("y", "wxyz zyxw")], "lang string, text string")
+    # no 4-gram of this word was seen; its 3-grams are those of y
+    got = langid.identify(spark.createDataFrame([("xyzyx",)], "text string"), langid.train(docs)).first()
+    assert got.lang_pred == "y"
+
+
 def test_language_model(spark):
     docs = rows_of(spark, "documents")
     tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in zip(docs.doc_id, docs.text)}
