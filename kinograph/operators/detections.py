@@ -17,10 +17,10 @@ def top_k(dets: DataFrame, keys: list[str], k: int) -> DataFrame:
     return dets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def suppress(dets: DataFrame, keys: list[str], iou: float = 0.5, ios: float | None = 0.75, per_key: int = 100) -> DataFrame:
+def suppress(dets: DataFrame, keys: list[str], iou: float = 0.5, ios: float | None = 0.75, per_key: int | None = None) -> DataFrame:
     """Greedy suppression within each key: confident ones first (ties: larger area, then coordinates); one that overlaps a kept
-    one by iou, or by ios of the smaller box, goes. Each key is cut to its per_key most confident first, which bounds its fold."""
-    capped = top_k(dets, keys, per_key).withColumn("_a", B.area(B.box()))
+    one by iou, or by ios of the smaller box, goes. All boxes of a key take part, unless per_key cuts it to its most confident."""
+    capped = (dets if per_key is None else top_k(dets, keys, per_key)).withColumn("_a", B.area(B.box()))
     item = F.struct((-F.col("conf")).alias("nc"), (-F.col("_a")).alias("na"), "x1", "y1", "x2", "y2", "conf")
     grouped = capped.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
 

@@ -179,6 +179,16 @@ def test_suppression_ties_and_containment(spark):
     assert sorted((r.k, r.x2) for r in D.suppress(df, ["k"], ios=None).collect()) == [("a", 4.0), ("a", 12.0), ("b", 10.0)]
 
 
+def test_suppression_takes_all_boxes_of_a_key(spark):
+    # 150 boxes apart from each other, and a copy of the least confident one
+    rows = [(1, 7, 2, 20.0 * k, 0.0, 20.0 * k + 10, 10.0, 0.99 - k / 1000) for k in range(150)] + [(1, 7, 2, 2980.0, 0.0, 2990.0, 10.0, 0.1)]
+    df = spark.createDataFrame(rows, "clip_id int, frame int, cls int, x1 double, y1 double, x2 double, y2 double, conf double")
+    assert sorted(r.x1 for r in D.suppress(df, ["clip_id", "frame", "cls"]).collect()) == [20.0 * k for k in range(150)]
+    tiles = df.where("x1 < 1500").withColumns({"x0": F.lit(0), "y0": F.lit(0)})
+    assert sorted(r.x1 for r in D.merge_tiled(tiles, df.where("x1 >= 1000")).collect()) == [20.0 * k for k in range(150)]
+    assert D.suppress(df, ["clip_id", "frame", "cls"], per_key=20).count() == 20
+
+
 def test_class_map_needs_a_person(spark):
     labels = spark.createDataFrame([(3, "Car"), (9, "lorry")], "model_id int, name string")
     with pytest.raises(Exception, match="person"):
