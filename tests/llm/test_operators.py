@@ -236,9 +236,11 @@ def test_unseen_grams_back_off_however_many_are_known(spark):
     words = {"".join(rng.choice("abcdefghijklmnopqrstuv") for _ in range(6)) for _ in range(40_000)}
     assert len({w[k : k + 4] for w in words for k in range(3)}) > 80_000
     docs = spark.createDataFrame([("x", " ".join(sorted(words))), ("y", "wxyz zyxw")], "lang string, text string")
-    # no 4-gram of this word was seen; its 3-grams are those of y
+    # no 4-gram of this word was seen; of its 3-grams xyz and zyx were, once each in y alone
     got = langid.identify(spark.createDataFrame([("xyzyx",)], "text string"), langid.train(docs)).first()
-    assert got.lang_pred == "y"
+    space = len({f" {w} "[k : k + 3] for w in words for k in range(6)}) + 1
+    x, y = math.log10(0.5 / (6 * len(words) + 0.5 * space)), math.log10(1.5 / (8 + 0.5 * space))
+    assert (got.lang_pred, got.score) == ("y", pytest.approx(1 / (1 + math.exp(x - y)), rel=1e-9))
 
 
 def test_language_model(spark):
