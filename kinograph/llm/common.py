@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,23 +137,19 @@ def binary_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
 class Tables:
     """Parquet tables of one operator call in the shared folder; they cut lineage and outlive lost executors."""
 
-    _live: list["Tables"] = []
-
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, shared_dir(spark), 0
-        Tables._live.append(self)
+        self.named: dict[str, DataFrame] = {}
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
+        """df, stored; with a name it can be looked up in `named`."""
         self.n += 1
         at = f"{self.path}/{self.n}"
         df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def tidy(self) -> None:
-        """Asks the driver's JVM to collect garbage after a large step: Spark deletes a plan's shuffle files only then, and
-        those of steps whose results are stored would add up."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        kept = self.spark.read.schema(df.schema).parquet(at)
+        if name:
+            self.named[name] = kept
+        return kept
 
     def folder(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -165,13 +159,6 @@ class Tables:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    @classmethod
-    def drop_all(cls) -> None:
-        """Delete the tables of all earlier calls; only for callers that have stored every result (the pipeline)."""
-        while cls._live:
-            with_tables = cls._live.pop()
-            with_tables.drop()
-
 
 def running_total(df: DataFrame, by: list[str], bucket: str, order: list, value: Column, name: str) -> DataFrame:
     """Adds name: the sum of value over the rows before this one within by, in the order of bucket, then order.

@@ -1,18 +1,20 @@
-"""Near duplicates by the Jaccard similarity of word-shingle sets: an exact join over groups and their token unions.
-
-1. Documents with equal sets collapse into one class; only its smallest document goes on.
-2. Each class's shingles are dealt by hash into segments, more than the shingles in which a similar set can differ, so that
-   similar sets agree in one segment at least. A key (size class, segment, contents) gathers the documents that may be
-   linked; documents that share no key are never compared, nor those of which too many tokens are in no other set.
-3. Every document is compared with the smallest document of each of its keys, and verified links contract documents into
-   groups of similar ones.
-4. The token-group matrix holds each group's token union. A document of another group is first bounded by its tokens that
-   any other group has at all, together with those of the group that shares a key with it; then by its overlap with that
-   group's union. Only groups that can reach the threshold are opened, and their members that share a key with the document
-   are compared one by one.
+"""Near duplicates by the Jaccard similarity of word-shingle sets: an exact join over a token-group matrix.
+
+1. Documents with equal sets collapse into one class.
+2. A linked set misses few of its partner's tokens. A part of every set's tokens, chosen by hash, shows how many of them any
+   other set has at all; sets that nothing can be linked with go no further.
+3. The others are partitioned into groups of similar sets: each set's tokens are dealt by hash into segments, more than the
+   tokens in which a linked set can differ, so that linked sets agree in one segment at least. A set's group is named by the
+   smallest set with which it shares a segment.
+4. The token-group matrix holds each group's token union (with the number of members that have each token). A set is a query
+   to every group of which some member shares a segment with it; its overlap with the group's union bounds its overlap with
+   any member. Only groups that can reach the threshold are opened.
+5. In an opened group a query is first compared with the member that heads most of their shared segments. Links contract
+   sets to components. Where an opened group still has members in other components, a second matrix over components, with
+   all tokens, bounds again, and what it opens is compared in full.
 
 No link between different texts is lost: a pair is left out only where a bound shows that it can't be linked, or where
-both documents are in one group already.
+both sets are in one component already.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ from kinograph.session import ship_package
 
 #: Size classes grow by this ratio; a pair's sizes are in one class or in neighbouring ones.
 RATIO = 1.3
-#: Bits of the filter by which tasks pass over documents that share no key.
+#: Bits of the filter by which tasks pass over texts of sets that go no further; the join behind it decides.
 FILTER_BITS = 1 << 24
-#: One token in so many is looked at to pass over documents whose other tokens nobody shares.
-PART = 3
-#: Groups of so many members are compared without bounding them first.
-FEW = 8
+#: The share of tokens that stands for a set in the first matrix, in units of 1 - threshold (above 1); smaller sets, of up to
+#: WHOLE tokens, are stood for by all of theirs.
+SAMPLED, WHOLE = 1.75, 40
+#: A task compares so many tokens among each other before it hands them on.
+HELD = 1_000_000
 
 
 def size_classes(num: int, den: int, largest: int) -> np.ndarray:
@@ -134,27 +137,96 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
 
 
-def key_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(key, s1): the keys of all sets that aren't empty; a task gives those of equal sets once, so that a key has no more
-    rows from copies than there are tasks."""
+def _new(s1: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which sets come up for the first time in a task; empty ones never do."""
+    fresh = np.zeros(len(s1), bool)
+    for k, (x, size) in enumerate(zip(s1.tolist(), n.tolist())):
+        if size and x not in seen:
+            seen.add(x)
+            fresh[k] = True
+    return fresh
+
+
+def in_sample(values: np.ndarray, n: np.ndarray, num: int, den: int, whole: float) -> np.ndarray:
+    """Which tokens (of sets of n tokens each) are in the sample; all of those of sets of up to `whole` tokens."""
+    share = min(1.0, SAMPLED * (den - num) / den)
+    return ((mix(values, 17) >> np.uint64(11)).astype(np.float64) <= share * 2.0**53) | (n <= whole)
+
+
+def needed(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens count for each set in the first matrix, and how many of those a linked set has at least (0 or less: any
+    set will do). A linked set has num / den of a set's tokens or more."""
+    n = np.diff(off)
+    counts = in_sample(values, np.repeat(n, n), num, den, WHOLE)
+    return counts, np.bincount(rows_of(off)[counts], minlength=len(n)) - (n - -(-n * num // den))
+
+
+def _visible(values: np.ndarray, n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The tokens that a set shows to others: those that count for any set that may be linked with it."""
+    return in_sample(values, n, num, den, WHOLE * den / num)
+
+
+_OWN = 1 << 30
+
+
+def linkable(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(s1) of the sets of which other sets have enough tokens.
+
+    A token that two sets of a task have is known to be shared there and then, so that no token has more rows than there are
+    tasks. Copies in several tasks are each counted in full, which leaves the sign of the sum as it is.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple] = []  # tokens, their sets' numbers, whether they count; the sets and how many tokens each needs
+        size = base = 0
+
+        def rows(token, s1, c):
+            for at in range(0, len(token), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                ids = pa.nulls(len(token[part]), pa.int64()) if s1 is None else signed(s1[part])
+                yield pa.RecordBatch.from_arrays([signed(token[part]), ids, pa.array(np.broadcast_to(c, len(token))[part].astype(np.int32))], ["token", "s1", "c"])
+
+        def hand_on():
+            if not held:
+                return
+            t, o, k, ids, need = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(t, kind="stable")
+            t, o, k = t[order], o[order], k[order]
+            first = np.ones(len(t), bool)
+            first[1:] = t[1:] != t[:-1]
+            of = np.cumsum(first) - 1
+            lone = np.bincount(of)[of] == 1 if len(t) else np.zeros(0, bool)
+            here = np.bincount(o[~lone & k], minlength=len(ids))
+            # in the sets' order, which packs well
+            mine = np.flatnonzero(lone)[np.argsort(order[lone])]
+            yield from rows(t[mine], ids[o[mine]], np.where(k[mine], 0, -1))
+            yield from rows(t[first & ~lone], None, 0)
+            yield from rows(ids, ids, here - need + _OWN)
+
         for _, values, off in _sets(batches, width):
-            keys, at = segment_keys(values, off, num, den)
-            s1 = _signature(values, off, 21)
-            fresh = np.zeros(len(s1), bool)
-            for k, (x, n) in enumerate(zip(s1.tolist(), np.diff(off).tolist())):
-                if n and x not in seen:
-                    seen.add(x)
-                    fresh[k] = True
-            row = rows_of(at)
-            keep = fresh[row]
-            keys, row = keys[keep], row[keep]
-            for i in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_arrays([signed(keys[i : i + (1 << 16)]), signed(s1[row[i : i + (1 << 16)]])], ["key", "s1"])
-
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "key long, s1 long")
+            s1, n = _signature(values, off, 21), np.diff(off)
+            fresh = _new(s1, n, seen)
+            counts, need = needed(values, off, num, den)
+            row = rows_of(off)
+            there = fresh[row] & _visible(values, n[row], num, den)
+            number = base + np.cumsum(fresh) - 1
+            held.append((values[there], number[row[there]], counts[there], s1[fresh], need[fresh]))
+            base += int(fresh.sum())
+            size += int(there.sum())
+            if size > HELD:
+                yield from hand_on()
+                size = base = 0
+        yield from hand_on()
+
+    # c: 0 for a token that counts for its set, -1 for one that doesn't; _OWN and more in a set's own row
+    found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "token long, s1 long, c int")
+    by_token = Window.partitionBy("token")
+    shared = (F.min("s1").over(by_token) < F.max("s1").over(by_token)) | F.max(F.col("s1").isNull()).over(by_token)
+    worth = F.when(F.col("c") > 0, F.col("c") - _OWN).when((F.col("c") == 0) & F.col("shared"), 1)
+    marked = found.withColumn("shared", shared).where("s1 is not null").select("s1", worth.alias("v")).where("v is not null")
+    return marked.groupBy("s1").agg(F.sum("v").alias("v")).where("v >= 0").select("s1")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -166,16 +238,12 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """doc_id and its sorted distinct shingle hashes as bytes, of the documents in ids.
+def token_sets(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(s1, n, need, tokens): each set of nodes (doc_id, s1) once, with its sorted shingle hashes as bytes.
 
-    The bitmap keeps most other documents' texts out; where it is too full for that, a semi-join keeps out the rest. Sets
-    that nobody asks for do no harm.
+    The bitmap of doc_ids only saves the work on other texts; the join decides.
     """
-    spark = docs.sparkSession
-    bits = id_filter(ids)
-    bitmap = spark.sparkContext.broadcast(bits)
-    full = np.bitwise_count(bits).sum() > FILTER_BITS // 20
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def wanted():
@@ -184,12 +252,60 @@ def token_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 mask = (bitmap.value[place >> 5] >> (place & 31).astype(np.uint32)) & 1
                 yield b.filter(pa.array(mask.astype(bool)))
 
-        for ids, values, off in _sets(wanted(), width):
-            yield pa.RecordBatch.from_arrays([ids, binary_array(values, off)], ["doc_id", "tokens"])
+        seen: set[int] = set()
+        for _, values, off in _sets(wanted(), width):
+            s1, n = _signature(values, off, 21), np.diff(off)
+            fresh = _new(s1, n, seen)
+            need = needed(values, off, num, den)[1]
+            rows = pa.RecordBatch.from_arrays([signed(s1), pa.array(n), pa.array(need.astype(np.int64)), binary_array(values, off)], ["s1", "n", "need", "tokens"])
+            yield rows.filter(pa.array(fresh))
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
-    found = rows.mapInArrow(run, "doc_id long, tokens binary")
-    return found.join(ids, "doc_id", "left_semi") if full else found
+    found = rows.mapInArrow(run, "s1 long, n long, need long, tokens binary").join(nodes.select("s1"), "s1", "left_semi")
+    return found.dropDuplicates(["s1"])
+
+
+def _each_set(sets: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:
+    """rows(values, off) of runs of sets, where `off` says where each set's tokens begin: arrays of equal length, the first the
+    set's place in the run, which becomes its s1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                ids, blobs = part.column(0), part.column(1)
+                sizes = np.array([len(x.as_buffer()) // 8 for x in blobs], np.int64)
+                off = np.concatenate([[0], np.cumsum(sizes)])
+                values = np.frombuffer(b"".join(x.as_py() for x in blobs), np.uint64)
+                row, *others = rows(values, off)
+                for at in range(0, len(row), 1 << 16):
+                    cut = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[cut])), *[pa.array(x[cut].view(np.int64) if x.dtype == np.uint64 else x[cut]) for x in others]], columns)
+
+    return sets.select("s1", "tokens").mapInArrow(run, schema)
+
+
+def segments(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(s1, key): the keys of each set."""
+
+    def rows(values, off):
+        keys, at = segment_keys(values, off, num, den)
+        return rows_of(at), keys
+
+    return _each_set(sets, ["s1", "key"], "s1 long, key long", rows)
+
+
+def matrix_tokens(sets: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
+    """(s1, token, counts): the tokens that each set shows in the first matrix and whether they count for itself, or all."""
+
+    def rows(values, off):
+        row, n = rows_of(off), np.diff(off)
+        if whole:
+            return row, values, np.ones(len(row), bool)
+        there = _visible(values, n[row], num, den)
+        return row[there], values[there], needed(values, off, num, den)[0][there]
+
+    return _each_set(sets, ["s1", "token", "counts"], "s1 long, token long, counts boolean", rows)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -207,8 +323,9 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
     # the same columns on both sides, so that one exchange of the sets serves both joins
-    both = pairs.select("a", "b").join(sets.alias("x"), F.col("a") == F.col("x.doc_id")).select("a", "b", F.col("x.tokens").alias("ta"))
-    both = both.join(sets.alias("y"), F.col("b") == F.col("y.doc_id")).select("a", "b", "ta", F.col("y.tokens").alias("tb"))
+    slim = sets.select("s1", "tokens")
+    both = pairs.select("a", "b").join(slim.alias("x"), F.col("a") == F.col("x.s1")).select("a", "b", F.col("x.tokens").alias("ta"))
+    both = both.join(slim.alias("y"), F.col("b") == F.col("y.s1")).select("a", "b", "ta", F.col("y.tokens").alias("tb"))
     return both.mapInArrow(run, "a long, b long")
 
 
@@ -216,108 +333,107 @@ def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
     return F.least(x, y) * den >= F.greatest(x, y) * num
 
 
-def exploded_tokens(sets: DataFrame, one_in: int = 1) -> DataFrame:
-    """doc_id, token: a row for each token of each set; with one_in, of the tokens whose hash it divides."""
+def _shared_keys(keyed: DataFrame, what: str) -> DataFrame:
+    """The rows of keys that have several values of `what`; sums and a join, so that no task holds all rows of a key."""
+    several = keyed.groupBy("key").agg(F.min(what).alias("lo"), F.max(what).alias("hi")).where("lo < hi").select("key", "lo")
+    return keyed.join(several, "key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc, tokens in zip(b.column(0).to_pylist(), b.column(1)):
-                values = np.frombuffer(tokens.as_buffer(), np.int64)
-                values = values[values % one_in == 0] if one_in > 1 else values
-                for at in range(0, len(values), 1 << 16):
-                    part = values[at : at + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc)), pa.array(part)], ["doc_id", "token"])
 
-    return sets.select("doc_id", "tokens").mapInArrow(run, "doc_id long, token long")
+def open_groups(keyed: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+    """(s1, g, h, head): the groups h that each set s1, itself of group g, can be linked with by the bound of the matrix.
+
+    keyed (key, s1, n, need, g) has the sets of keys that several share. head is the smallest member of h that shares most
+    segments with the set and is of a fitting size; it may be null.
+    """
+    heads = keyed.groupBy("key", F.col("g").alias("h")).agg(F.min(F.struct("s1", "n")).alias("first"), F.max("s1").alias("last"))
+    met = keyed.join(heads, "key").where("g <> h or first.s1 < last")
+    head = F.when((F.col("first.s1") != F.col("s1")) & _sizes_fit(F.col("n"), F.col("first.n"), num, den), F.col("first.s1"))
+    met = met.groupBy("s1", "n", "need", "g", "h", head.alias("head")).agg(F.count("*").alias("keys"))
+    asked = met.groupBy("s1", "n", "need", "g", "h").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.struct("keys", (-F.col("head")).alias("k")))).alias("head"))
+    asked = tables.keep(asked, "queries")
+    # the union of each group, and how many members have each token of it
+    group_of = keyed.select("s1", "g").distinct()
+    shown = tables.keep(matrix_tokens(sets, num, den, whole=False).join(group_of, "s1"))
+    matrix = shown.groupBy(F.col("g").alias("h"), "token").agg(F.count("*").alias("members"))
+    counted = asked.select("s1", "g", "h").join(shown.where("counts").select("s1", "token"), "s1")
+    overlap = counted.join(matrix, ["h", "token"]).where((F.col("g") != F.col("h")) | (F.col("members") > 1)).groupBy("s1", "h").agg(F.count("*").alias("c"))
+    opened = asked.join(overlap, ["s1", "h"], "left").where(F.coalesce("c", F.lit(0)) >= F.col("need"))
+    return tables.keep(opened.select("s1", "g", "h", "head"), "opened")
+
+
+def pairs_left(keyed: DataFrame, opened: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+    """(a, b): the pairs of sets in opened groups that are in different components (groups: id, component) and that the
+    second matrix, of the components' token unions, doesn't rule out. keyed: key, s1, n, label."""
+    members = keyed.select("s1", F.col("label").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("members"))
+    # a group whose only other member was the head has been compared
+    others = F.col("members") - (F.col("g") == F.col("h")).cast("int") - F.col("head").isNotNull().cast("int")
+    unfinished = opened.join(members, "h").where(others > 0).select("s1", "g", "h")
+    # a link shows in both directions: some other member of h has the set's own group unfinished
+    back = unfinished.groupBy(F.col("g").alias("h"), F.col("h").alias("g")).agg(F.count("*").alias("there"))
+    unfinished = tables.keep(unfinished.join(back, ["g", "h"]).where(F.col("there") > (F.col("g") == F.col("h")).cast("int")).select("s1", "h"))
+    named = keyed.join(unfinished.select("s1").distinct(), "s1", "left_semi").join(groups.select(F.col("id").alias("s1"), "component"), "s1", "left")
+    named = named.select("key", "s1", "n", "label", F.coalesce("component", "s1").alias("g"))
+    rest = tables.keep(_shared_keys(named, "g").drop("lo"))
+    rest_sets = rest.select("s1", "n", "g").distinct()
+    owned = tables.keep(matrix_tokens(sets.join(rest_sets.select("s1"), "s1", "left_semi"), num, den, whole=True).select("s1", "token").join(rest_sets, "s1"))
+    several = owned.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
+    # shared: tokens that some other component has; an intersection is no larger than this of either set
+    elsewhere = owned.join(several.select("token"), "token", "left_semi").groupBy("s1").agg(F.count("*").alias("shared"))
+    enough = lambda common, x, y: common * (num + den) >= (x + y) * num
+    left = tables.keep(rest.join(elsewhere, "s1").where(F.col("shared") * den >= F.col("n") * num))
+    by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.max("shared").alias("most_shared"), F.min("n").alias("least_n"))
+    may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
+    queries = tables.keep(left.join(by_group, "key").where(may_reach).select("s1", "n", "shared", "h").distinct())
+    tokens = owned.join(left.select("s1").distinct(), "s1", "left_semi")
+    union = tokens.select(F.col("g").alias("h"), "token").distinct()
+    asked = tokens.select("s1", "token").join(queries, "s1")
+    overlap = asked.join(union, ["h", "token"]).groupBy("s1", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
+    reached = left.select("key", "s1", "shared").join(tables.keep(overlap, "opened_again"), "s1")
+    members = left.select("key", F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"), F.col("label").alias("other_label"))
+    met = reached.join(members, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
+    met = met.select("s1", "other", "other_label").distinct()
+    # a link shows in both directions: only members of groups that the first matrix opened for the set
+    return met.join(unfinished.select("s1", F.col("h").alias("other_label")), ["s1", "other_label"], "left_semi").select(F.col("s1").alias("a"), F.col("other").alias("b"))
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, tables: Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text; other columns are ignored).
 
     Words are runs without ASCII white space, A-Z lower-cased; a set is the distinct runs of `width` words; a shorter
-    text is one shingle, and a text without words (or null) has an empty set and is linked with nothing. Two documents
-    are linked where den * intersection >= num * union (0 < num <= den); component_id is the smallest doc_id reachable by links. Rows that
-    repeat a doc_id with another text link the texts of that doc_id; null ids get null components.
+    text is one shingle, and a text without words (or null) has an empty set and is linked with nothing. Two rows
+    are linked where den * intersection >= num * union (0 < num <= den); component_id is the smallest doc_id reachable by
+    links. Rows that repeat a doc_id are rows of their own, each linked by its own text; equal texts are linked. Rows without
+    a doc_id have no component and link nothing. tables keeps `queries`, `opened`, `links` and `more_links` by name.
     """
     if not 0 < num <= den:
         raise ValueError("the threshold has to be above 0 and at most 1")
-    spark = docs.sparkSession
-    ship_package(spark)
-    tables = tables or Tables(spark)
+    ship_package(docs.sparkSession)
+    tables = tables or Tables(docs.sparkSession)
     signed_docs = tables.keep(signatures(docs, width))
     same = ["n", "s1", "s2"]
     classes = tables.keep(signed_docs.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    members = signed_docs.select("doc_id", *same)
-
-    # 2. keys that gather several classes, whose smallest documents stand for them from here on
-    by_key = Window.partitionBy("key")
-    shared = key_rows(docs, width, num, den).withColumn("lo", F.min("s1").over(by_key)).withColumn("hi", F.max("s1").over(by_key))
-    shared = tables.keep(shared.where("lo < hi").select("key", "s1"))
-    tables.tidy()
-    named = shared.distinct().join(classes.select("s1", F.col("rep").alias("doc_id"), F.col("n").cast("int").alias("n")), "s1")
-    gathered = tables.keep(named.select("key", "doc_id", "n"))
-    nodes = tables.keep(gathered.select("doc_id", "n").distinct())
-    sets = tables.keep(token_sets(docs, nodes.select("doc_id"), width))
-    # a linked set shares all but (den - num) / den of its tokens; a part of the tokens shows that most others don't
-    some = exploded_tokens(sets, PART).join(nodes, "doc_id")
-    lone = some.groupBy("token").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("hi"), F.first("n").alias("n")).where("doc_id = hi")
-    unlike = lone.groupBy("doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).where(F.col("c") * den > F.col("n") * (den - num))
-    unlike = tables.keep(unlike.select("doc_id"))
-    tables.tidy()
-    gathered = gathered.join(unlike, "doc_id", "left_anti")
-    hub = F.min(F.struct("doc_id", "n")).over(by_key)
-    gathered = gathered.withColumn("hub", hub).withColumn("last", F.max("doc_id").over(by_key)).where("last > hub.doc_id")
-    gathered = tables.keep(gathered.select("key", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")))
-    nodes = tables.keep(gathered.select("doc_id").distinct())
-    sets = tables.keep(sets.join(nodes, "doc_id", "left_semi"))
-
-    # 3. stars around each key's smallest document
-    fits = _sizes_fit(F.col("n"), F.col("hub_n"), num, den)
-    stars = gathered.where((F.col("doc_id") != F.col("hub")) & fits).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = tables.keep(verify(stars, sets, num, den))
-    tables.tidy()
+    nodes = tables.keep(classes.join(linkable(docs, width, num, den), "s1", "left_semi").select(F.col("rep").alias("doc_id"), "s1"))
+    sets = tables.keep(token_sets(docs, nodes, width, num, den))
+
+    # the partition: a set's group has the name of the smallest set with which it shares a segment
+    shared = tables.keep(_shared_keys(segments(sets, num, den), "s1"))
+    label = shared.groupBy("s1").agg(F.min("lo").alias("g"))
+    keyed = tables.keep(shared.select("key", "s1").join(label, "s1").join(sets.select("s1", "n", "need"), "s1"))
+    opened = open_groups(keyed, sets, num, den, tables)
+    first = opened.where("head is not null").select(F.least("s1", "head").alias("a"), F.greatest("s1", "head").alias("b")).distinct()
+    links = tables.keep(verify(tables.keep(first), sets, num, den), "links")
     groups = connected_components(links, tables)
-
-    # 4. keys that still gather several groups when their hub, which has met all the others, is left out
-    grouped = gathered.where(F.col("doc_id") != F.col("hub")).join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    grouped = grouped.select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("g"))
-    several = grouped.withColumn("lo", F.min("g").over(by_key)).withColumn("hi", F.max("g").over(by_key)).where("lo < hi")
-    rest = tables.keep(several.select("key", "doc_id", "n", "g"))
-    rest_docs = rest.select("doc_id", "n", "g").distinct()
-    owned = tables.keep(exploded_tokens(sets.join(rest_docs.select("doc_id"), "doc_id", "left_semi")).join(rest_docs, "doc_id"))
-    matrix = owned.groupBy("token").agg(F.min("g").alias("g_min"), F.max("g").alias("g_max")).where("g_min < g_max")
-    elsewhere = owned.join(matrix.select("token"), "token", "left_semi").groupBy("doc_id").agg(F.count("*").alias("c"))
-    # shared: tokens that some other group has; an intersection is no larger than this of either set
-    enough = lambda common, x, y: common * (num + den) >= (x + y) * num
-    bounded = rest.join(elsewhere.withColumnRenamed("c", "shared"), "doc_id").where(F.col("shared") * den >= F.col("n") * num)
-    left = tables.keep(bounded)
-    tables.tidy()
-    by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.max("shared").alias("most_shared"), F.min("n").alias("least_n"))
-    may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
-    queries = left.join(by_group, "key").where(may_reach).select("doc_id", "n", "shared", "h").distinct()
-    others = left.select(F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h")).distinct()
-    sizes = others.groupBy("h").agg(F.count("*").alias("members"))
-    queries = tables.keep(queries.join(sizes, "h"))
-    # a group of few members is opened straight away: its sets are no more work than its union
-    bound, straight = queries.where(F.col("members") > FEW), queries.where(F.col("members") <= FEW)
-    open_tokens = owned.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    asked = open_tokens.select("doc_id", "token").join(bound, "doc_id")
-    union = open_tokens.select(F.col("g").alias("h"), "token").distinct()
-    overlap = asked.join(union, ["h", "token"]).groupBy("doc_id", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
-    opened = left.join(tables.keep(overlap.select("doc_id", "h", "c")), "doc_id")
-    keyed = left.select("key", F.col("doc_id").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"))
-    large = opened.join(keyed, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
-    small = straight.join(others, "h").where(enough(F.least("shared", "other_shared"), F.col("n"), F.col("other_n")))
-    pairs = large.select("doc_id", "other").union(small.select("doc_id", "other")).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    pairs = tables.keep(pairs)
-    asked_for = tables.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    more = tables.keep(verify(pairs, sets.join(asked_for, "doc_id", "left_semi"), num, den))
+    pairs = tables.keep(pairs_left(keyed.withColumnRenamed("g", "label"), opened, sets, groups, num, den, tables))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
+    more = tables.keep(verify(pairs, sets.join(asked, "s1", "left_semi"), num, den), "more_links")
 
     final = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tables)
-    named = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    named = named.select(*same, F.coalesce("component", "rep").alias("component_id"))
-    out = members.join(named, same, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    found = classes.join(final.select(F.col("id").alias("s1"), "component"), "s1", "left").select(*same, "rep", F.coalesce("component", "s1").alias("component"))
+    least = found.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = found.join(least, "component").select(*same, "component_id")
+    out = signed_docs.select("doc_id", *same).join(named, same, "left")
+    mine = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:

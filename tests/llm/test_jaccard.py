@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from kinograph.llm import jaccard
-from kinograph.llm.common import chunks, shingle_sets, word_hashes
+from kinograph.llm.common import Tables, chunks, shingle_sets, word_hashes
 
 
 def brute(texts, width, num, den):
@@ -64,8 +64,25 @@ def test_components_equal_all_pairs(spark, seed, width, num):
     texts = families(seed)
     texts[5000], texts[5001], texts[5002] = None, "", "a b"
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, key string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, width, num, 100).collect()}
+    tables = Tables(spark)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs, width, num, 100, tables).collect()}
     assert got == brute(texts, width, num, 100)
+    # the matrix rules queries out, and every link comes out of a group that it opened
+    queries, opened = tables.named["queries"], tables.named["opened"]
+    assert 0 < opened.count() < queries.count()
+    links = {(r.a, r.b) for name in ("links", "more_links") for r in tables.named[name].collect()}
+    group = {r.s1: r.g for r in opened.select("s1", "g").collect()}
+    reached = {(r.s1, r.h) for r in opened.collect()}
+    assert links and all((a, group[b]) in reached and (b, group[a]) in reached for a, b in links)
+    assert tables.named["links"].count() > tables.named["more_links"].count()
+
+
+def test_a_row_is_linked_by_its_own_text(spark):
+    words = [f"w{k}" for k in range(60)]
+    near, other = " ".join(["v", *words[1:]]), " ".join(f"x{k}" for k in range(60))
+    rows = [(5, " ".join(words)), (3, near), (3, other), (3, other), (None, near), (9, other), (9, None)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(5, 56, 3), (3, 56, 3), (3, 56, 3), (3, 56, 3), (None, 56, None), (9, 56, 3), (9, 0, 9)], key=str)
 
 
 @pytest.mark.parametrize("num", [60, 80, 90, 95])
