@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from kinograph.session import ship_package
 
 # The pattern that cuts text into pieces before the merges of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded pieces that a worker remembers; two generations of so many.
-REMEMBERED = 100_000
+#: Encoded pieces, and compatible pairs, that a worker remembers; of pieces two generations of so many.
+REMEMBERED, PAIRS = 50_000, 1 << 16
 
 
 def byte_symbols() -> dict[str, int]:
@@ -39,6 +40,12 @@ def token_table(path: str) -> tuple[dict, list[bytes], dict[str, int]]:
     """A vocabulary file's model, the bytes of each id, and its special tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    cut = spec.get("pre_tokenizer") or {}
+    same_cut = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    odd = [k for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges", "dropout") if spec["model"].get(k)]
+    odd += [x["content"] for x in spec.get("added_tokens", []) if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized")]
+    if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or not same_cut or odd:
+        raise ValueError(f"{path} isn't a plain byte-level BPE vocabulary {odd or ''}")
     symbols = byte_symbols()
     vocab: dict[str, int] = spec["model"]["vocab"]
     special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -79,32 +86,30 @@ class Encoder:
         vocab: dict[str, int] = model["vocab"]
         ordinary = {table[i]: i for i in vocab.values()}
         self.bytes_ids = {b: i for b, i in ordinary.items()}
-        # merges in order of rank: which pair makes which token, and at which rank
-        self.merged: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.rank: dict[int, int] = {}
+        # merges in order of rank: which pair makes which token, and at which rank; flat tables by id
+        self.merged: dict[int, int] = {}
+        self.left, self.right, self.rank, self.shorter, self.length = (array("i", [-1]) * len(table) for _ in range(5))
         for rank, merge in enumerate(model["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
-            pair, whole = (vocab[left], vocab[right]), vocab[left + right]
-            self.merged.setdefault(pair, rank)
-            if whole not in self.parts:
-                self.parts[whole], self.rank[whole] = pair, rank
+            a, b, whole = vocab[left], vocab[right], vocab[left + right]
+            self.merged.setdefault(a << 32 | b, rank)
+            if self.rank[whole] < 0:
+                self.left[whole], self.right[whole], self.rank[whole] = a, b, rank
         self.automaton = ahocorasick.Automaton()
         for b, i in ordinary.items():
             self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         # the next shorter token that begins like a token
-        self.shorter = {}
         for b, i in ordinary.items():
+            self.length[i] = len(b)
             k = len(b) - 1
             while k and b[:k] not in ordinary:
                 k -= 1
             if k:
                 self.shorter[i] = ordinary[b[:k]]
-        self.length = {i: len(b) for b, i in ordinary.items()}
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.compatible = lru_cache(1 << 16)(self._compatible)
+        self.compatible = lru_cache(PAIRS)(self._compatible)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -114,19 +119,19 @@ class Encoder:
         Both are taken apart from the outside in, latest merge first; a merge across the border that has a lower rank
         than the merge that hides its two sides would have come first.
         """
-        merged, parts, rank = self.merged, self.parts, self.rank
+        merged, rank = self.merged, self.rank
         bound = 1 << 60
         while True:
-            across = merged.get((left, right))
+            across = merged.get(left << 32 | right)
             if across is not None and across < bound:
                 return False
-            a, b = rank.get(left, -1), rank.get(right, -1)
+            a, b = rank[left], rank[right]
             if a < 0 and b < 0:
                 return True
             if a > b:  # the left token was made later; before that, its right part stood at the border
-                bound, left = a, parts[left][1]
+                bound, left = a, self.right[left]
             else:  # at equal places the left pair merges first, so that a merge across of this very rank would win too
-                bound, right = b + 1, parts[right][0]
+                bound, right = b + 1, self.left[right]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.bytes_ids.get(piece)
@@ -151,8 +156,8 @@ class Encoder:
                 if at < n:
                     token = found[at]
                 continue
-            following = shorter.get(token)
-            if following is not None:
+            following = shorter[token]
+            if following >= 0:
                 token = following
             else:
                 open_at[at] = 0
@@ -203,11 +208,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _forget(c: Encoder) -> None:
+    """Idle workers stay for later stages; they don't keep a task's pieces."""
+    c.young, c.old = {}, {}
+    c.compatible.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
+def _encoded(c: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts and where each text's begin (null: no ids)."""
+    rows = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
+    return np.frombuffer(b"".join(rows), np.int32), np.cumsum([0, *(len(r) // 4 for r in rows)])
+
+
 def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """Adds out: the token ids of each whole text (array<int>; null and empty texts: no ids).
 
     The strings of the vocabulary's special tokens become those tokens; nothing is added, cut or padded. A column that
-    is already named out is replaced. Equal texts get equal ids; there is no shuffle.
+    is already named out is replaced. Equal texts get equal ids; there is no shuffle. Fails for a vocabulary file with
+    another cut into pieces, a normalizer or other options that plain byte-level BPE doesn't have.
     """
     path = vocabulary or default_vocabulary()
     ship_package(df.sparkSession)
@@ -217,17 +236,36 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary: str
         # of iterator kind, so that Spark doesn't fuse it into each function of its ids, to be run once for each
         c = encoder(path)
         for texts in batches:
-            rows = [c.encode(t.as_py()) if t.is_valid else b"" for t in texts]
-            off = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-        # idle workers stay for later stages; they don't keep a task's pieces
-        c.young, c.old = {}, {}
-        c.compatible.cache_clear()
-        pa.default_memory_pool().release_unused()
+            ids, off = _encoded(c, texts)
+            yield pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+        _forget(c)
 
     return df.withColumn(out, ids_of(F.col(text)))
 
 
+def round_trip(df: DataFrame, text: str = "text", out: str = "coded", vocabulary: str | None = None) -> DataFrame:
+    """Adds out: a struct of ids (as encode() gives them), ids_sha256 (of the ids as little-endian unsigned 32-bit integers)
+    and decoded (as decode() gives it), all in one pass through Python. A column of that name is replaced."""
+    path = vocabulary or default_vocabulary()
+    ship_package(df.sparkSession)
+
+    @F.arrow_udf("struct<ids: array<int>, ids_sha256: string, decoded: string>")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        c, d = encoder(path), decoder(path)
+        for texts in batches:
+            parts = []
+            # in small runs, so that decoding holds a bounded number of temporary arrays
+            for at in range(0, max(len(texts), 1), 64):
+                ids, off = _encoded(c, texts[at : at + 64])
+                lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids))
+                columns = [lists, pa.array(_hashes(ids, off), pa.string()), pa.array(d.decode(ids, off), pa.string())]
+                parts.append(pa.StructArray.from_arrays(columns, ["ids", "ids_sha256", "decoded"]))
+            yield pa.concat_arrays(parts)
+        _forget(c)
+
+    return df.withColumn(out, coded(F.col(text)))
+
+
 def flat_lists(batch: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Values and row places of an array of integer lists."""
     off = batch.offsets.to_numpy()
@@ -248,21 +286,17 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: st
     return df.withColumn(out, texts_of(F.col(ids)))
 
 
-@F.arrow_udf(T.StringType())
-def ids_sha256(lists: pa.Array) -> pa.Array:
-    """Lower-case hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
-    values, off = flat_lists(lists)
-    data = memoryview(np.ascontiguousarray(values, "<u4").tobytes())
-    return pa.array([hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.string())
+def _hashes(ids: np.ndarray, off: np.ndarray) -> list[str]:
+    data = memoryview(np.ascontiguousarray(ids, "<u4").tobytes())
+    return [hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs))
-    return both.select(
+    return round_trip(docs).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_sha256(F.col("ids")).alias("ids_sha256"),
-        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.col("coded.ids_sha256").alias("ids_sha256"),
+        F.sha2(F.encode("coded.decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )

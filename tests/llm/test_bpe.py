@@ -45,3 +45,28 @@ def test_query_columns_and_nulls(spark, library, tmp_path):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(df)).count() == 0
+
+
+def test_another_kind_of_vocabulary_fails():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_documents_equal_the_library(spark, library):
+    folder = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in bpe.op8_bpe(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs) > 50
+    for r in docs:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert got[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def test_one_pass_gives_what_two_give(spark):
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate([None, *sample_texts()[:140]])], "k int, text string, coded string")
+    two = {r.k: r for r in bpe.decode(bpe.encode(df)).collect()}
+    for r in bpe.round_trip(df).collect():
+        assert (r.coded.ids, r.coded.decoded) == (two[r.k].ids, two[r.k].decoded)
