@@ -66,13 +66,12 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>), ids_sha256, and whether decoding gives the text back."""
     _scratch(spark)
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text")))
-    return both.select(
+    return bpe.round_trip(docs.select("doc_id", "text")).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.col("coded.ids").alias("ids"),
+        F.col("coded.ids_sha256").alias("ids_sha256"),
+        (F.col("coded.decoded") == F.coalesce("text", F.lit(""))).alias("decodes"),
     )
 
 
