@@ -9,9 +9,10 @@
 4. The token-group matrix holds each group's token union (with the number of members that have each token). A set is a query
    to every group of which some member shares a segment with it; its overlap with the group's union bounds its overlap with
    any member. Only groups that can reach the threshold are opened.
-5. In an opened group a query is first compared with the member that heads most of their shared segments. Links contract
-   sets to components. Where an opened group still has members in other components, a second matrix over components, with
-   all tokens, bounds again, and what it opens is compared in full.
+5. In an opened group a query is first compared with the member that heads most of their shared segments, then with the
+   heads of the others, if these are in other components by then: links contract sets to components. Where an opened group
+   still has members in other components, a second matrix over components, with all tokens, bounds again, and what it opens
+   is compared in full.
 
 No link between different texts is lost: a pair is left out only where a bound shows that it can't be linked, or where
 both sets are in one component already.
@@ -63,16 +64,18 @@ def segment_numbers(bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray,
     return differ + 1 + spare, spare
 
 
-def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys of each set (values, beginning at off): all segments that aren't empty under its own size class and, where a
     similar smaller set may be of the class below, under that class; a set with more empty segments than are made up for
-    has keys for the empty ones too. Returns keys and where each row's begin."""
+    has keys for the empty ones too. Returns keys, where each row's begin, and for each key the size class under which it stands
+    and how many keys of that class a linked set shares at least: as many as there are segments less those that may differ
+    and those that are empty."""
     n = np.diff(off)
     bounds = size_classes(num, den, int(n.max(initial=1)) + 1)
     own = np.searchsorted(bounds, n, "right") - 1
     numbers, spares = segment_numbers(bounds, num, den)
     lowest = np.searchsorted(bounds, np.maximum(-(-n * num // den), 1), "right") - 1
-    keys, rows = [], []
+    keys, rows, levels, least = [], [], [], []
     values = mix(values, 3)
     for down in (0, 1):
         which = np.flatnonzero((n > 0) & (own - down >= (own if down == 0 else lowest)) & (own - down >= 0))
@@ -101,11 +104,13 @@ def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tup
         wanted = filled | (empty > spares[level])[owner]
         keys.append(mix(contents ^ tag, 13)[wanted])
         rows.append(which[owner][wanted])
+        levels.append(level[owner][wanted].astype(np.int32))
+        least.append((1 + spares[level] - empty)[owner][wanted].astype(np.int32))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
-    k, r = np.concatenate(keys), np.concatenate(rows)
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    k, r, v, m = (np.concatenate(x) for x in (keys, rows, levels, least))
     order = np.argsort(r, kind="stable")
-    return k[order], np.searchsorted(r[order], np.arange(len(off)))
+    return k[order], np.searchsorted(r[order], np.arange(len(off))), v[order], m[order]
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
@@ -286,13 +291,13 @@ def _each_set(sets: DataFrame, columns: list[str], schema: str, rows) -> DataFra
 
 
 def segments(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(s1, key): the keys of each set."""
+    """(s1, key, level, least): the keys of each set, as segment_keys() gives them."""
 
     def rows(values, off):
-        keys, at = segment_keys(values, off, num, den)
-        return rows_of(at), keys
+        keys, at, level, least = segment_keys(values, off, num, den)
+        return rows_of(at), keys, level, least
 
-    return _each_set(sets, ["s1", "key"], "s1 long, key long", rows)
+    return _each_set(sets, ["s1", "key", "level", "least"], "s1 long, key long, level int, least int", rows)
 
 
 def matrix_tokens(sets: DataFrame, num: int, den: int, whole: bool) -> DataFrame:
@@ -339,18 +344,21 @@ def _shared_keys(keyed: DataFrame, what: str) -> DataFrame:
     return keyed.join(several, "key")
 
 
-def open_groups(keyed: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
-    """(s1, g, h, head): the groups h that each set s1, itself of group g, can be linked with by the bound of the matrix.
+def open_groups(keyed: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(s1, g, h): the groups h that each set s1, itself of group g, can be linked with by the bound of the matrix; and their
+    heads: (s1, h, head, keys), the smallest member of h for some segment that it shares with the set, if its size fits, and
+    for how many segments.
 
-    keyed (key, s1, n, need, g) has the sets of keys that several share. head is the smallest member of h that shares most
-    segments with the set and is of a fitting size; it may be null.
+    keyed (key, s1, n, need, g) has the sets of keys that several share.
     """
-    heads = keyed.groupBy("key", F.col("g").alias("h")).agg(F.min(F.struct("s1", "n")).alias("first"), F.max("s1").alias("last"))
-    met = keyed.join(heads, "key").where("g <> h or first.s1 < last")
+    first = keyed.groupBy("key", F.col("g").alias("h")).agg(F.min(F.struct("s1", "n")).alias("first"), F.max("s1").alias("last"))
+    met = keyed.join(first, "key").where("g <> h or first.s1 < last")
     head = F.when((F.col("first.s1") != F.col("s1")) & _sizes_fit(F.col("n"), F.col("first.n"), num, den), F.col("first.s1"))
-    met = met.groupBy("s1", "n", "need", "g", "h", head.alias("head")).agg(F.count("*").alias("keys"))
-    asked = met.groupBy("s1", "n", "need", "g", "h").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.struct("keys", (-F.col("head")).alias("k")))).alias("head"))
-    asked = tables.keep(asked, "queries")
+    met = met.groupBy("s1", "need", "g", "h", "level", "least", head.alias("head")).agg(F.count("*").alias("keys"))
+    # a linked set of h shares so many segments with this one, each with some member of h
+    met = met.withColumn("all_keys", F.sum("keys").over(Window.partitionBy("s1", "h", "level"))).where("all_keys >= least")
+    met = tables.keep(met.groupBy("s1", "need", "g", "h", "head").agg(F.sum("keys").alias("keys")))
+    asked = tables.keep(met.select("s1", "need", "g", "h").distinct(), "queries")
     # the union of each group, and how many members have each token of it
     group_of = keyed.select("s1", "g").distinct()
     shown = tables.keep(matrix_tokens(sets, num, den, whole=False).join(group_of, "s1"))
@@ -358,21 +366,44 @@ def open_groups(keyed: DataFrame, sets: DataFrame, num: int, den: int, tables: T
     counted = asked.select("s1", "g", "h").join(shown.where("counts").select("s1", "token"), "s1")
     overlap = counted.join(matrix, ["h", "token"]).where((F.col("g") != F.col("h")) | (F.col("members") > 1)).groupBy("s1", "h").agg(F.count("*").alias("c"))
     opened = asked.join(overlap, ["s1", "h"], "left").where(F.coalesce("c", F.lit(0)) >= F.col("need"))
-    return tables.keep(opened.select("s1", "g", "h", "head"), "opened")
+    opened = tables.keep(opened.select("s1", "g", "h"), "opened")
+    heads = met.where("head is not null").select("s1", "h", "head", "keys").join(opened.select("s1", "h"), ["s1", "h"], "left_semi")
+    return opened, tables.keep(heads)
 
 
-def pairs_left(keyed: DataFrame, opened: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that aren't in one component (groups: id, component)."""
+    named = pairs
+    for side in ("a", "b"):
+        named = named.join(groups.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")), side, "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select(*pairs.columns)
+
+
+def compare_heads(heads: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
+    """(id, component): each set linked with heads in its opened groups, first with the one of most shared segments, then with
+    the others that are in other components."""
+    first = heads.groupBy("s1").agg(F.max_by("head", F.struct("keys", "head")).alias("head"))
+    pair = lambda df: df.select(F.least("s1", "head").alias("a"), F.greatest("s1", "head").alias("b")).distinct()
+    links = tables.keep(verify(tables.keep(pair(first)), sets, num, den), "links")
+    groups = tables.keep(connected_components(links, tables))
+    others = pair(heads.join(first, ["s1", "head"], "left_anti"))
+    more = tables.keep(verify(tables.keep(apart(others, groups)), sets, num, den), "other_links")
+    return tables.keep(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tables))
+
+
+def pairs_left(keyed: DataFrame, opened: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:
     """(a, b): the pairs of sets in opened groups that are in different components (groups: id, component) and that the
     second matrix, of the components' token unions, doesn't rule out. keyed: key, s1, n, label."""
     members = keyed.select("s1", F.col("label").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("members"))
-    # a group whose only other member was the head has been compared
-    others = F.col("members") - (F.col("g") == F.col("h")).cast("int") - F.col("head").isNotNull().cast("int")
-    unfinished = opened.join(members, "h").where(others > 0).select("s1", "g", "h")
+    # a group whose other members were all heads has been compared
+    met = heads.groupBy("s1", "h").agg(F.countDistinct("head").alias("met"))
+    others = F.col("members") - (F.col("g") == F.col("h")).cast("int") - F.coalesce("met", F.lit(0))
+    unfinished = opened.join(members, "h").join(met, ["s1", "h"], "left").where(others > 0).select("s1", "g", "h")
     # a link shows in both directions: some other member of h has the set's own group unfinished
     back = unfinished.groupBy(F.col("g").alias("h"), F.col("h").alias("g")).agg(F.count("*").alias("there"))
     unfinished = tables.keep(unfinished.join(back, ["g", "h"]).where(F.col("there") > (F.col("g") == F.col("h")).cast("int")).select("s1", "h"))
     named = keyed.join(unfinished.select("s1").distinct(), "s1", "left_semi").join(groups.select(F.col("id").alias("s1"), "component"), "s1", "left")
-    named = named.select("key", "s1", "n", "label", F.coalesce("component", "s1").alias("g"))
+    named = named.select("key", "level", "least", "s1", "n", "label", F.coalesce("component", "s1").alias("g"))
     rest = tables.keep(_shared_keys(named, "g").drop("lo"))
     rest_sets = rest.select("s1", "n", "g").distinct()
     owned = tables.keep(matrix_tokens(sets.join(rest_sets.select("s1"), "s1", "left_semi"), num, den, whole=True).select("s1", "token").join(rest_sets, "s1"))
@@ -383,15 +414,17 @@ def pairs_left(keyed: DataFrame, opened: DataFrame, sets: DataFrame, groups: Dat
     left = tables.keep(rest.join(elsewhere, "s1").where(F.col("shared") * den >= F.col("n") * num))
     by_group = left.groupBy("key", F.col("g").alias("h")).agg(F.max("shared").alias("most_shared"), F.min("n").alias("least_n"))
     may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
-    queries = tables.keep(left.join(by_group, "key").where(may_reach).select("s1", "n", "shared", "h").distinct())
+    queries = left.join(by_group, "key").where(may_reach).groupBy("s1", "n", "shared", "h", "level", "least").agg(F.count("*").alias("keys"))
+    queries = tables.keep(queries.where("keys >= least").select("s1", "n", "shared", "h").distinct())
     tokens = owned.join(left.select("s1").distinct(), "s1", "left_semi")
     union = tokens.select(F.col("g").alias("h"), "token").distinct()
     asked = tokens.select("s1", "token").join(queries, "s1")
     overlap = asked.join(union, ["h", "token"]).groupBy("s1", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
-    reached = left.select("key", "s1", "shared").join(tables.keep(overlap, "opened_again"), "s1")
-    members = left.select("key", F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"), F.col("label").alias("other_label"))
+    reached = left.select("key", "level", "least", "s1", "shared").join(tables.keep(overlap, "opened_again"), "s1")
+    members = left.select("key", F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"), F.col("label").alias("other_label"), F.col("least").alias("other_least"))
     met = reached.join(members, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
-    met = met.select("s1", "other", "other_label").distinct()
+    met = met.groupBy("s1", "other", "other_label", "level", "least", "other_least").agg(F.count("*").alias("keys"))
+    met = met.where(F.col("keys") >= F.greatest("least", "other_least")).select("s1", "other", "other_label").distinct()
     # a link shows in both directions: only members of groups that the first matrix opened for the set
     return met.join(unfinished.select("s1", F.col("h").alias("other_label")), ["s1", "other_label"], "left_semi").select(F.col("s1").alias("a"), F.col("other").alias("b"))
 
@@ -403,7 +436,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     text is one shingle, and a text without words (or null) has an empty set and is linked with nothing. Two rows
     are linked where den * intersection >= num * union (0 < num <= den); component_id is the smallest doc_id reachable by
     links. Rows that repeat a doc_id are rows of their own, each linked by its own text; equal texts are linked. Rows without
-    a doc_id have no component and link nothing. tables keeps `queries`, `opened`, `links` and `more_links` by name.
+    a doc_id have no component and link nothing. tables keeps `queries`, `opened`,
+    `links`, `other_links` and `more_links` by name.
     """
     if not 0 < num <= den:
         raise ValueError("the threshold has to be above 0 and at most 1")
@@ -417,13 +451,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     # the partition: a set's group has the name of the smallest set with which it shares a segment
     shared = tables.keep(_shared_keys(segments(sets, num, den), "s1"))
-    label = shared.groupBy("s1").agg(F.min("lo").alias("g"))
-    keyed = tables.keep(shared.select("key", "s1").join(label, "s1").join(sets.select("s1", "n", "need"), "s1"))
-    opened = open_groups(keyed, sets, num, den, tables)
-    first = opened.where("head is not null").select(F.least("s1", "head").alias("a"), F.greatest("s1", "head").alias("b")).distinct()
-    links = tables.keep(verify(tables.keep(first), sets, num, den), "links")
-    groups = connected_components(links, tables)
-    pairs = tables.keep(pairs_left(keyed.withColumnRenamed("g", "label"), opened, sets, groups, num, den, tables))
+    enough = shared.groupBy("s1", "level").agg(F.min("lo").alias("lo"), F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least")
+    label = enough.groupBy("s1").agg(F.min("lo").alias("g"))
+    keyed = shared.select("key", "s1", "level", "least").join(enough.select("s1", "level"), ["s1", "level"], "left_semi")
+    keyed = tables.keep(keyed.join(label, "s1").join(sets.select("s1", "n", "need"), "s1"))
+    opened, heads = open_groups(keyed, sets, num, den, tables)
+    groups = compare_heads(heads, sets, num, den, tables)
+    pairs = tables.keep(pairs_left(keyed.withColumnRenamed("g", "label"), opened, heads, sets, groups, num, den, tables))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct()
     more = tables.keep(verify(pairs, sets.join(asked, "s1", "left_semi"), num, den), "more_links")
 

@@ -70,7 +70,7 @@ def test_components_equal_all_pairs(spark, seed, width, num):
     # the matrix rules queries out, and every link comes out of a group that it opened
     queries, opened = tables.named["queries"], tables.named["opened"]
     assert 0 < opened.count() < queries.count()
-    links = {(r.a, r.b) for name in ("links", "more_links") for r in tables.named[name].collect()}
+    links = {(r.a, r.b) for name in ("links", "other_links", "more_links") for r in tables.named[name].collect()}
     group = {r.s1: r.g for r in opened.select("s1", "g").collect()}
     reached = {(r.s1, r.h) for r in opened.collect()}
     assert links and all((a, group[b]) in reached and (b, group[a]) in reached for a, b in links)
@@ -98,8 +98,11 @@ def test_linked_sets_share_a_key(num):
         if not len(y) or 100 * common < num * union:
             continue
         values = np.concatenate([np.sort(x), np.sort(y)])
-        keys, at = jaccard.segment_keys(values, np.array([0, len(x), len(values)]), num, 100)
-        assert set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist())
+        keys, at, level, least = jaccard.segment_keys(values, np.array([0, len(x), len(values)]), num, 100)
+        same, of_x, of_y = np.intersect1d(keys[: at[1]], keys[at[1] :], return_indices=True)
+        assert len(same)
+        # in some size class they share as many as each asks for
+        assert any(((lv == level[of_x]).sum() >= max(least[: at[1]][of_x][lv == level[of_x]].max(), least[at[1] :][of_y][lv == level[of_x]].max())) for lv in set(level[of_x]))
 
 
 def test_word_sets():
