@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from kinograph.llm.common import Tables, chunks, list_array, mix, signed, word_hashes
 from kinograph.session import ship_package
 
-# The masks, 1 where the token counts; between them any two substitutions in a window leave one untouched
-MASKS = ["111111000000", "111000111000", "111000000111", "000111111000", "000111000111", "000000111111"]
+# The masks, 1 where the token counts. Found by a search over masks of six counted tokens: whatever substitutions
+# SHARE allows in a window of SPAN to WINDOW tokens, some mask somewhere in the window meets none of them (a test goes through all)
+MASKS = ["1111011", "110010111", "11000100111", "111100011", "1101010101", "11101101", "10100001111", "101100001011", "100000101111"]
+#: Items of fewer tokens have to occur whole.
 SPAN = 12
 #: Tokens of the compared window, and the share of them that has to agree.
 WINDOW, SHARE = 16, 0.75
@@ -67,8 +69,8 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: flo
     (exclusive) of the document, of which `matched` agree with the item.
 
     Tokens are A-Z lower-cased runs without ASCII white space. An overlap counts if on one diagonal some window of
-    min(window, item's tokens) tokens agrees in at least `share` of them and the overlap was found by a spaced seed; items
-    of fewer than SPAN tokens have to occur whole. Null or empty texts, and null ids, have no overlaps; of several
+    min(window, item's tokens) tokens agrees in at least `share` of them; with WINDOW and SHARE the spaced seeds find all of
+    these. Items of fewer than SPAN tokens have to occur whole. Null or empty texts, and null ids, have no overlaps; of several
     overlaps the one with most matched tokens counts, then the first. A doc_id that repeats is one document.
     """
     spark = docs.sparkSession

@@ -108,11 +108,12 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness; n_near, for ids divisible by 100: how
     many other rows have a fingerprint within the radius (null for other ids).
 
-    A repeated doc_id gives a row for each combination of its texts with those of the next id; null ids are left out.
+    A repeated doc_id gives a row for each combination of its distinct texts with those of the next id. Rows without a doc_id
+    have no next document: their fingerprints are given, and what depends on the edited or next text is null.
     """
     tables = Tables(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null")
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    every = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs, nameless = every.where("doc_id is not null"), every.where("doc_id is null")
     sizes = docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
     order = next_descending(sizes.select("doc_id").distinct())
     wanted = sizes.join(order, "doc_id").select(F.col("doc_id").alias("target"), "next_id", F.floor(F.col("n_chars") / 3).cast("int").alias("cut")).distinct()
@@ -137,7 +138,12 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
     queries = pair.where(F.col("doc_id") % 100 == 0)
     near = within_radius(queries, pair).join(sizes_of, "fp").groupBy("query_fp").agg((F.sum("rows") - 1).alias("near"))
     out = pair.join(following, "next_id").join(near.withColumnRenamed("query_fp", "fp"), "fp", "left")
-    return out.select(
+    # equal texts of nameless rows vote alike, so that their rows share one fingerprint
+    sized = nameless.select(F.sha2(F.encode("text", "UTF-8"), 256).alias("own"), F.char_length("text").cast("long").alias("n_chars"), "text")
+    alone = fingerprints(sized, ["own", "n_chars"]).join(sized.groupBy("own").agg(F.count("*").alias("times")), "own")
+    none = {"edited_sha256": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double", "n_near": "long"}
+    alone = alone.select(F.lit(None).cast("long").alias("doc_id"), "n_chars", as_string(F.col("fp")).alias("fingerprint"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))), *[F.lit(None).cast(k).alias(c) for c, k in none.items()])
+    named = out.select(
         "doc_id",
         "n_chars",
         F.lower(F.hex("sha")).alias("edited_sha256"),
@@ -147,3 +153,4 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.when(F.col("doc_id") % 100 == 0, F.col("near")).alias("n_near"),
     )
+    return named.unionByName(alone.drop("col"))

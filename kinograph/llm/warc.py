@@ -37,15 +37,16 @@ class ArchiveError(ValueError):
 
 
 def record_bytes(page_id: int, url: str | None, payload: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
-    """One record: headers, HTTP headers, and for responses the payload."""
+    """One record: headers, HTTP headers, and for responses the payload. A page_id may stand for several payloads, so that a
+    record is named by both."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    lines = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <{RECORD_URN}{page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = [VERSION.decode(), f"WARC-Type: {kind}", f"WARC-Record-ID: <{RECORD_URN}{page_id}:{digest}>", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url))
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if kind == "revisit":
-        lines += [f"WARC-Refers-To: <{RECORD_URN}{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: <{RECORD_URN}{refers_to}:{digest}>", f"WARC-Profile: {PROFILE}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -135,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     """Writes a record for each row of pages (page_id, url, html; null html: empty) and gives (path, records, bytes).
 
     Of rows with equal payloads of at least `least` bytes the one with the smallest page_id is a response and the others are
-    revisits of it. Rows without a page_id are left out. folder has to be a URI that pyarrow can write to from every host.
+    revisits of it; rows that repeat a page_id and payload are alike. Rows without a page_id are left out. folder has to be a URI that pyarrow can write to from every host.
     An archive appears under its name once it is whole; a task that runs again writes the same names and contents.
     """
     spark = pages.sparkSession
@@ -190,7 +191,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     ship_package(spark)
 
     def page_of(urn: str | None) -> int | None:
-        return int(urn.strip("<>").removeprefix(RECORD_URN)) if urn else None
+        return int(urn.strip("<>").removeprefix(RECORD_URN).partition(":")[0]) if urn else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "record_type", "refers_to", "url", "declared_digest", "declared_bytes", "payload"]
@@ -221,12 +222,13 @@ def measured(found: DataFrame) -> DataFrame:
 
 def resolve(found: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of found, which has measured()'s columns: a revisit's
-    length and digest are those of the response it refers to; fails where they aren't those that its headers declare."""
+    length and digest are those of the response it refers to, by page_id and payload; fails where there is none, or where they
+    aren't those that its headers declare. Joins deal records by both, and Spark splits those of a payload with many copies."""
     own = found
     wrong = lambda size, digest: F.when((F.col("declared_bytes") != F.col(size)) | (F.col("declared_digest") != F.col(digest)) | F.col(digest).isNull(), F.raise_error(F.concat(F.lit("record doesn't match its headers: "), F.col("page_id").cast("string")))).otherwise(F.col(size))
     responses = own.where("record_type = 'response'").select("page_id", wrong("size", "digest").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
-    targets = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("size").alias("of_size"), F.col("digest").alias("of_digest")).distinct()
-    revisits = own.where("record_type = 'revisit'").drop("size", "digest").join(targets, "refers_to", "left")
+    targets = own.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("declared_digest"), F.col("size").alias("of_size"), F.col("digest").alias("of_digest")).distinct()
+    revisits = own.where("record_type = 'revisit'").drop("size", "digest").join(targets, ["refers_to", "declared_digest"], "left")
     revisits = revisits.select("page_id", wrong("of_size", "of_digest").alias("payload_bytes"), F.col("of_digest").alias("payload_digest"), "record_type", "refers_to")
     return responses.union(revisits)
 

@@ -98,9 +98,26 @@ def test_next_descending(spark):
     assert got == dict(zip(order, order[1:] + order[:1]))
 
 
-def test_masks_leave_two_substitutions():
-    for pair in itertools.combinations(range(decontaminate.SPAN), 2):
-        assert any(all(m[i] == "0" for i in pair) for m in decontaminate.MASKS)
+def test_each_overlap_that_counts_has_a_seed():
+    for size in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        wrong = size - math.ceil(decontaminate.SHARE * size)
+        places = [{at + i for i, x in enumerate(m) if x == "1"} for m in decontaminate.MASKS for at in range(size - len(m) + 1)]
+        assert all(any(not p & set(chosen) for p in places) for chosen in itertools.combinations(range(size), wrong)), size
+
+
+def test_recall_at_every_number_of_substitutions(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    items = [[word() for _ in range(16)] for _ in range(150)]
+    docs = []
+    for k, item in enumerate(items):
+        for wrong in range(6):
+            passage = list(item)
+            for at in rng.sample(range(16), wrong):
+                passage[at] = word()
+            docs.append((k * 10 + wrong, " ".join([word() for _ in range(20)] + passage + [word() for _ in range(20)])))
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k * 10 + wrong, k) for k in range(150) for wrong in range(5)}
 
 
 def test_substituted_passages_are_found(spark):
@@ -141,6 +158,27 @@ def archive():
     return dictionary, context, raw
 
 
+def test_a_page_with_two_payloads(spark, tmp_path):
+    rows = [(3, "u", "z" * 100), (3, "u", "y" * 120), (4, "u", "z" * 100), (4, "v", "z" * 100), (2, "u", "y" * 120), (3, "u", "y" * 120)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.op6_warc(spark, str(tmp_path)).collect())
+    assert got == [(2, 120, "response", 0), (3, 100, "response", 0), (3, 120, "revisit", 2), (3, 120, "revisit", 2), (4, 100, "revisit", 3), (4, 100, "revisit", 3)]
+
+
+def test_pages_equal_a_plain_version(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "html").collect()
+    payload = {r.page_id: (r.html or "").encode() for r in pages}
+    first = {}
+    for i in sorted(payload):
+        first.setdefault(payload[i], i)
+    got = {r.page_id: r for r in warc.op6_warc(spark, FOLDER).collect()}
+    assert len(got) == len(pages) == len(payload)
+    for i, data in payload.items():
+        later = len(data) >= 100 and first[data] != i
+        want = (len(data), hashlib.sha256(data).hexdigest(), "revisit" if later else "response", first[data] if later else None)
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to) == want
+
+
 def test_archives_round_trip(archive):
     dictionary, context, raw = archive
     for d in (dictionary, zstandard.compress(dictionary)):
