@@ -1,11 +1,14 @@
-"""Language-model scores: a log-bilinear model over the most frequent words, trained by noise-contrastive estimation.
+"""Language-model scores: a log-bilinear model over word classes, trained by noise-contrastive estimation.
 
 A word's class is itself if it is one of the most frequent words, else that of its ending and length, which any word has;
-the end of a text is a class too. The two classes before a word each add (context vector * position weights) . target vector, and the target its bias;
-batched matrix products over all class pairs give the normaliser of every context, so that log-probabilities are exact.
-The words of a class of endings are told apart by their corpus counts, add-one smoothed. Every training text is counted: the model
-is fitted to all class pairs at distance one and two of the whole corpus, with the noise terms of the contrastive loss
-in their expectation, and rare words' counts come from a shuffled table.
+the end of a text is a class too. The two classes before a word predict its target vector: their context vectors, each times
+the weights of its position, are added up, and the score is the sum's product with the target vector plus the target's bias.
+
+Training goes through every training text. A task starts from the parameters so far and takes mini-batches of its own
+tokens, with both positions in one score, against noise classes drawn from the classes' frequencies; a shuffle averages the
+tasks' parameters, and the next round, over other texts, starts from there. Batched matrix products over all pairs of
+classes give the normaliser of every context, so that log-probabilities are exact. The words of a class of endings are told
+apart by their corpus counts, add-one smoothed; rare words' counts come from a shuffled table.
 """
 
 from __future__ import annotations
@@ -15,15 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import _LOWER, _SPACE, Tables, chunks, list_array, mix, most_frequent, rows_of, signed, word_hashes
+from kinograph.llm.common import _LOWER, _SPACE, Tables, chunks, list_array, mix, most_frequent, rows_of, signed, text_buffers, word_hashes
 from kinograph.llm.quality import held_out
 from kinograph.session import ship_package
 
-#: Classes of the model; words whose counts every task holds; vector size; noise words for each word; steps of the fit.
-CLASSES, FREQUENT, SIZE, NOISE, STEPS = 640, 1 << 19, 16, 8, 250
+#: Classes of the model; words whose counts every task holds; vector size.
+CLASSES, FREQUENT, SIZE = 2048, 1 << 19, 16
+#: Tokens of a mini-batch; noise classes of a batch and how many each of its tokens is set against; rounds over the texts, the
+#: least mini-batches of a task (which goes through few tokens several times), and their rate.
+BATCH, DRAWN, NOISE, ROUNDS, LEAST_STEPS, RATE = 2048, 64, 8, 3, 150, 0.15
 #: Class 0 is the end, 1 to ENDINGS the classes of endings, the others words.
 END, ENDINGS = 0, 256
 #: A task hands on its word counts when it holds so many.
@@ -116,81 +123,170 @@ def class_sequence(classes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray,
     return seq, one, two
 
 
-def pair_counts(docs: DataFrame, frequent, classes: int) -> DataFrame:
-    """(position, context, target, c): class pairs over all texts; at most 2 x classes^2 rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, classes * classes), np.int64)
-        for b in batches:
-            for _, _, raw, off in chunks(b.column(0)):
-                hashes, words, starts = word_hashes(raw, off)
-                seq, one, two = class_sequence(frequent.value.find(hashes, endings(raw, starts))[2], words)
-                for k, context in enumerate((one, two)):
-                    total[k] += np.bincount(context * classes + seq, minlength=classes * classes)
-        for k in (0, 1):
-            code = np.flatnonzero(total[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), k, np.int32)), pa.array((code // classes).astype(np.int32)), pa.array((code % classes).astype(np.int32)), pa.array(total[k][code])], ["position", "context", "target", "c"])
+@dataclass
+class Parameters:
+    context: np.ndarray  # (classes, size)
+    target: np.ndarray  # (classes, size)
+    weight: np.ndarray  # (2, size): for the classes one and two places before
+    bias: np.ndarray  # (classes,)
 
-    rows = docs.select("text").mapInArrow(run, "position int, context int, target int, c long")
-    return rows.groupBy("position", "context", "target").agg(F.sum("c").alias("c"))
+    def arrays(self) -> list[np.ndarray]:
+        return [self.context, self.target, self.weight, self.bias]
 
+    def scores(self, seq: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return ((self.context[one] * self.weight[0] + self.context[two] * self.weight[1]) * self.target[seq]).sum(1) + self.bias[seq]
 
-def fit(pairs: np.ndarray, size: int = SIZE, noise: int = NOISE, steps: int = STEPS, rate: float = 0.03) -> tuple[np.ndarray, np.ndarray]:
-    """Noise-contrastive estimation on pair counts (2, classes, classes). Returns (2, classes, classes) pair scores and biases.
 
-    A pair counts n times as data against noise * n(context) * p(target) times as noise; Adam on the whole loss.
-    """
-    k = pairs.shape[1]
-    unigram = pairs[0].sum(0) + 1.0
-    unigram /= unigram.sum()
+def first_parameters(unigram: np.ndarray, size: int) -> Parameters:
     rng = np.random.default_rng(1)
-    context, target = rng.normal(0, 0.1, (k, size)), rng.normal(0, 0.1, (k, size))
-    weight, bias = np.ones((2, size)), np.log(unigram)
-    params = [context, target, weight, bias]
-    moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    data = pairs.astype(float)
-    fake = noise * data.sum(2)[:, :, None] * unigram
-    scale = 1 / max(data[0].sum(), 1)
-    shift = np.log(noise * unigram)
-    for step in range(1, steps + 1):
-        grads = [np.full_like(p, 0.0) for p in params]
-        grads[0] += 1e-6 * context
-        grads[1] += 1e-6 * target
-        for j in (0, 1):
-            scores = (context * weight[j]) @ target.T + bias
-            p = 1 / (1 + np.exp(-(scores - shift)))
-            g = (fake[j] * p - data[j] * (1 - p)) * scale
-            grads[0] += (g @ target) * weight[j]
-            grads[1] += g.T @ (context * weight[j])
-            grads[2][j] += ((g @ target) * context).sum(0)
-            grads[3] += g.sum(0)
-        for x, g, m, s in zip(params, grads, moment, square):
-            m += 0.1 * (g - m)
-            s += 0.001 * (g * g - s)
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
-    return np.stack([(context * weight[j]) @ target.T for j in (0, 1)]), bias
+    k = len(unigram)
+    return Parameters(rng.normal(0, 0.3, (k, size)), rng.normal(0, 0.3, (k, size)), np.ones((2, size)) * [[1.0], [0.5]], np.log(unigram))
+
+
+def _add_rows(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    order = np.argsort(at, kind="stable")
+    ids = at[order]
+    cuts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    into[ids[cuts]] += np.add.reduceat(rows[order], cuts, axis=0)
+
+
+class Trainer:
+    """Mini-batches of noise-contrastive estimation with Adagrad, from the given parameters on."""
+
+    def __init__(self, start: Parameters, unigram: np.ndarray, seed: int):
+        self.p = Parameters(*(x.copy() for x in start.arrays()))
+        self.noise_log = np.log(NOISE * unigram)
+        self.upto = np.cumsum(unigram)
+        self.rng = np.random.default_rng(seed)
+        self.squares = [np.full_like(x, 0.05) for x in start.arrays()]
+        self.tokens = self.steps = 0
+
+    def batch(self, seq: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        p = self.p
+        drawn = np.minimum(np.searchsorted(self.upto, self.rng.random(DRAWN)), len(self.upto) - 1)
+        before, further = p.context[one], p.context[two]
+        h = before * p.weight[0] + further * p.weight[1]
+        mine, noise = p.target[seq], p.target[drawn]
+        # the tokens should be told from the noise, and each drawn class stands for NOISE / DRAWN of a token's noise
+        good = 1 / (1 + np.exp(np.clip((h * mine).sum(1) + p.bias[seq] - self.noise_log[seq], -30, 30)))
+        bad = 1 / (1 + np.exp(np.clip(self.noise_log[drawn] - h @ noise.T - p.bias[drawn], -30, 30))) * (-NOISE / DRAWN)
+        to_h = good[:, None] * mine + bad @ noise
+        grads = [np.zeros_like(x) for x in p.arrays()]
+        _add_rows(grads[0], np.concatenate([one, two]), np.concatenate([to_h * p.weight[0], to_h * p.weight[1]]))
+        _add_rows(grads[1], np.concatenate([seq, drawn]), np.concatenate([good[:, None] * h, bad.T @ h]))
+        grads[2][0], grads[2][1] = (to_h * before).sum(0), (to_h * further).sum(0)
+        grads[3] += np.bincount(seq, good, len(p.bias)) + np.bincount(drawn, bad.sum(0), len(p.bias))
+        for x, g, square in zip(p.arrays(), grads, self.squares):
+            g /= np.sqrt(len(seq))
+            square += g * g
+            x += RATE * g / np.sqrt(square)
+        self.tokens += len(seq)
+        self.steps += 1
+
+    def take(self, seq: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """All tokens, in random order."""
+        order = self.rng.permutation(len(seq))
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
+            self.batch(seq[part], one[part], two[part])
+
+
+def train_round(docs: DataFrame, frequent, start: Parameters, unigram: np.ndarray) -> Parameters:
+    """The parameters after every text of docs, averaged over the tasks by their tokens; a row a class goes to the driver."""
+    size, k = start.context.shape[1], len(unigram)
+    given = docs.sparkSession.sparkContext.broadcast((start, unigram))  # classes x (2 x size + 2) numbers
+    names = [f"v{i}" for i in range(2 * size + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trainer, few = Trainer(*given.value, seed=TaskContext.get().partitionId() + 1), []
+        for b in batches:
+            for _, _, raw, off in chunks(b.column(0)):
+                hashes, words, starts = word_hashes(raw, off)
+                some = class_sequence(frequent.value.find(hashes, endings(raw, starts))[2], words)
+                trainer.take(*some)
+                if trainer.steps < LEAST_STEPS:
+                    few.append(some)
+                else:
+                    few = []
+        if not trainer.tokens:
+            return
+        seen = trainer.tokens
+        while trainer.steps < LEAST_STEPS:
+            for some in few:
+                trainer.take(*some)
+        p = trainer.p
+        # a row a class, and one for the position weights
+        table = np.concatenate([np.concatenate([p.context, p.target, p.bias[:, None]], 1), np.append(p.weight.ravel(), 0.0)[None, :]]) * seen
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k + 1, dtype=np.int32)), pa.array(np.full(k + 1, seen)), *[pa.array(c) for c in table.T]], ["class", "tokens", *names])
+
+    found = docs.select("text").mapInArrow(run, "class int, tokens long, " + ", ".join(f"{n} double" for n in names))
+    got = found.groupBy("class").agg(*[(F.sum(n) / F.sum("tokens")).alias(n) for n in names]).toArrow().sort_by("class")
+    if not len(got):
+        return start
+    table = np.stack([got[n].to_numpy() for n in names], 1)
+    return Parameters(table[:k, :size], table[:k, size : 2 * size], table[k, : 2 * size].reshape(2, size), table[:k, 2 * size])
 
 
 @dataclass
 class Model:
-    pair_scores: np.ndarray  # (2, classes, classes)
-    bias: np.ndarray
+    p: Parameters
     normaliser: np.ndarray  # (classes, classes): for the contexts one and two places before
 
     def log10(self, seq: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        s = self.pair_scores[0][one, seq] + self.pair_scores[1][two, seq] + self.bias[seq] - self.normaliser[one, two]
-        return s / np.log(10)
+        return (self.p.scores(seq, one, two) - self.normaliser[one, two]) / np.log(10)
 
 
-def normalised(pair_scores: np.ndarray, bias: np.ndarray) -> Model:
-    k = len(bias)
-    z = np.empty((k, k))
+def normalised(p: Parameters) -> Model:
+    k = len(p.bias)
+    scores = [(p.context * p.weight[j]) @ p.target.T for j in (0, 1)]
     # exp(a1 + a2 + b) summed over targets is a matrix product of exponentials
-    top = [s.max(1) for s in pair_scores]
-    left, right = np.exp(pair_scores[0] - top[0][:, None] + bias), np.exp(pair_scores[1] - top[1][:, None])
+    top = [s.max(1) for s in scores]
+    left, right = np.exp(scores[0] - top[0][:, None] + p.bias), np.exp(scores[1] - top[1][:, None])
+    z = np.empty((k, k), np.float32)
     for at in range(0, k, 64):
-        z[at : at + 64] = np.log(np.maximum(left[at : at + 64] @ right.T, 1e-300))
-    return Model(pair_scores, bias, z + top[0][:, None] + top[1][None, :])
+        z[at : at + 64] = np.log(np.maximum(left[at : at + 64] @ right.T, 1e-300)) + top[0][at : at + 64, None] + top[1][None, :]
+    return Model(p, z)
+
+
+@dataclass
+class Learned:
+    """All that training texts teach: counts (key, g, c) of every word in a stored table, and what each task holds."""
+
+    counts: DataFrame
+    frequent: Frequent
+    model: Model
+    split: np.ndarray  # what the count + 1 of a word is divided by within its class of endings
+    tokens: int
+    ends: int
+    distinct: int
+
+
+def learn(training: DataFrame, tables: Tables, classes: int = CLASSES, frequent_most: int = FREQUENT) -> Learned:
+    """The model of these texts (column text). Without texts each class is equally likely."""
+    spark = training.sparkSession
+    ship_package(spark)
+    counts = tables.keep(count_words(training))
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    ends = training.count()
+    frequent = frequent_words(counts, frequent_most, classes)
+    # how often each class occurs: words of their own, and for each class of endings the others
+    own = frequent.classes > 0
+    often, split = np.zeros(classes), np.ones(ENDINGS + 1)
+    often[END] = ends
+    often[frequent.classes[own]] = frequent.counts[own]
+    for r in counts.groupBy("g").agg(F.sum("c").alias("s"), F.count("*").alias("d")).collect():
+        often[r.g] += r.s
+        split[r.g] += r.s + r.d
+    less = np.bincount(frequent.groups[own], frequent.counts[own], ENDINGS + 1)
+    often[: ENDINGS + 1] -= less
+    split -= less + np.bincount(frequent.groups[own], minlength=ENDINGS + 1)
+    unigram = (often + 1.0) / (often + 1.0).sum()
+    shared = spark.sparkContext.broadcast(frequent)  # frequent_most rows at most
+    p = first_parameters(unigram, SIZE)
+    for part in range(ROUNDS):
+        p = train_round(training.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == part), shared, p, unigram)
+    shared.unpersist()
+    return Learned(counts, frequent, normalised(p), split, totals.n + ends, ends, totals.v + (ends > 0))
 
 
 def score(docs: DataFrame, training: DataFrame, classes: int = CLASSES, frequent_most: int = FREQUENT, tables: Tables | None = None) -> DataFrame:
@@ -200,27 +296,17 @@ def score(docs: DataFrame, training: DataFrame, classes: int = CLASSES, frequent
     the add-one unigram log10 probability, score the log-bilinear model's. Without training texts each class is equally
     likely and base_score is 0 for each token. doc_id may repeat or be null; rows are told apart by a number of their own.
     """
+    tables = tables or Tables(docs.sparkSession)
+    return scored(docs, learn(training, tables, classes, frequent_most), tables)
+
+
+def scored(docs: DataFrame, learned: Learned, tables: Tables) -> DataFrame:
+    """score() by what has been learned."""
     spark = docs.sparkSession
-    ship_package(spark)
-    tables = tables or Tables(spark)
-    counts = tables.keep(count_words(training))
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = training.count()
-    n_all, v_all = totals.n + ends, totals.v + (ends > 0)
-    frequent = frequent_words(counts, frequent_most, classes)
-    shared = spark.sparkContext.broadcast(frequent)  # frequent_most rows at most
-    got = pair_counts(training, shared, classes).toArrow()
-    pairs = np.zeros((2, classes, classes))
-    pairs[got["position"].to_numpy(), got["context"].to_numpy(), got["target"].to_numpy()] = got["c"].to_numpy()
-    model = normalised(*fit(pairs))
-    tables_of = spark.sparkContext.broadcast(model)  # 3 x classes^2 numbers
-    # what each class of endings splits: its words without a class of their own, add-one smoothed, one place for the unseen
-    split_of = np.ones(ENDINGS + 1)
-    for r in counts.groupBy("g").agg(F.sum("c").alias("s"), F.count("*").alias("d")).collect():
-        split_of[r.g] += r.s + r.d
-    own = frequent.classes > 0
-    split_of -= np.bincount(frequent.groups[own], frequent.counts[own] + 1, ENDINGS + 1)
-    split_scale = np.log10(split_of)
+    counts, ends, n_all, v_all = learned.counts, learned.ends, learned.tokens, learned.distinct
+    shared = spark.sparkContext.broadcast(learned.frequent)  # frequent_most rows at most
+    tables_of = spark.sparkContext.broadcast(learned.model)  # classes^2 numbers
+    split_scale = np.log10(learned.split)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, m = shared.value, tables_of.value

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -298,10 +299,50 @@ def test_language_model(spark):
     assert held.score.sum() > held.base_score.sum() * 0.97
 
 
+def small_model(rng, k=12, size=4):
+    return lm.Parameters(rng.normal(size=(k, size)), rng.normal(size=(k, size)), rng.normal(size=(2, size)), rng.normal(size=k))
+
+
 def test_class_probabilities_add_up_to_one():
-    rng = np.random.default_rng(2)
-    pairs = rng.integers(0, 40, (2, 12, 12)).astype(float)
-    m = lm.normalised(*lm.fit(pairs, size=4, steps=60))
+    m = lm.normalised(small_model(np.random.default_rng(2)))
     for one, two in itertools.product(range(12), repeat=2):
         p = 10 ** m.log10(np.arange(12), np.full(12, one), np.full(12, two))
-        assert p.sum() == pytest.approx(1)
+        assert p.sum() == pytest.approx(1, rel=1e-5)
+
+
+def test_both_positions_are_learned_together():
+    # the class before tells nearly the same as the one before that: counted one by one, their evidence would count twice
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 3, 60_000)
+    two = np.where(rng.random(60_000) < 0.9, one, rng.integers(0, 3, 60_000))
+    chance = 1 / (1 + np.exp(-(one + two - 2.0)))
+    seq = np.where(rng.random(60_000) < chance, 3, 4)
+    unigram = np.bincount(seq, minlength=5) + 1.0
+    trainer = lm.Trainer(lm.first_parameters(unigram / unigram.sum(), 8), unigram / unigram.sum(), 1)
+    for _ in range(6):
+        trainer.take(seq, one, two)
+    got = 10 ** lm.normalised(trainer.p).log10(np.full(60_000, 3), one, two)
+    assert np.abs(got - chance).mean() < 0.04
+
+
+def test_scores_equal_a_plain_version(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("doc_id < 300")
+    tables = Tables(spark)
+    learned = lm.learn(docs.where("doc_id % 3 > 0"), tables, classes=400, frequent_most=900)
+    got = {r.doc_id: r.score for r in lm.scored(docs, learned, tables).collect()}
+    counts = {r.key & (1 << 64) - 1: r.c for r in learned.counts.collect()}
+    f, p = learned.frequent, learned.model.p
+    for r in docs.where("doc_id < 40").collect():
+        raw, off = lm.text_buffers(pa.array([r.text]))
+        hashes, _, starts = lm.word_hashes(raw, off)
+        before, total = [lm.END, lm.END], 0.0
+        for h, g in [*zip(hashes.tolist(), lm.endings(raw, starts).tolist()), (None, None)]:
+            at = int(np.searchsorted(f.keys, h)) if h is not None else 0
+            own = h is not None and at < len(f.keys) and int(f.keys[at]) == h and f.classes[at]
+            cls = lm.END if h is None else int(own or g)
+            x = (p.context[before[-1]] * p.weight[0] + p.context[before[-2]] * p.weight[1]) @ p.target.T + p.bias
+            total += (x[cls] - np.log(np.exp(x).sum())) / math.log(10)
+            if h is not None and not own:
+                total += math.log10((counts.get(h, 0) + 1) / learned.split[g])
+            before.append(cls)
+        assert got[r.doc_id] == pytest.approx(total, rel=1e-5)
