@@ -123,6 +123,19 @@ def anchor_agrees(x1: Column, x2: Column, x: Column, tol: float = 0.25) -> Colum
     return F.coalesce(x.between(x1 - grow, x2 + grow), F.lit(True))
 
 
+def anchors_agree(anchored: list[tuple[Box, Column, Column]], tol: float = 0.25) -> Column:
+    """Whether every anchor (x, y) lies in its box, grown by tol of its size on each side; a missing anchor or box agrees."""
+    out = F.lit(True)
+    for b, x, y in anchored:
+        dx, dy = (b.x2 - b.x1) * tol, (b.y2 - b.y1) * tol
+        inside = x.between(b.x1 - dx, b.x2 + dx) & y.between(b.y1 - dy, b.y2 + dy)
+        known = x.isNotNull() & y.isNotNull()
+        for c in b:
+            known = known & c.isNotNull()
+        out = out & F.when(known, inside).otherwise(True)
+    return out
+
+
 def warp(b: Box, h: list[Column]) -> Box:
     """The box around the four corners under a 3x3 homography (row by row); unchanged where a corner goes to infinity."""
     corners = [(b.x1, b.y1), (b.x2, b.y1), (b.x2, b.y2), (b.x1, b.y2)]

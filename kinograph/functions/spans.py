@@ -6,6 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column, places: int) -> Column:
+    """The value with so many places (5 at most), as Python rounds it: by the exact value of the double, halves to even.
+
+    The part of value * 10^places that the product loses is found by cutting the value into two halves of its digits, each of
+    which is multiplied without loss.
+    """
+    scale = float(10**places)
+    big = value * 134217729.0
+    high = big - (big - value)
+    product = value * scale
+    lost = (high * scale - product) + (value - high) * scale
+    below = F.floor(product).cast("double")
+    over = (product - below - 0.5) + lost
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(F.pmod(below, F.lit(2.0)))
+    return F.when(F.abs(value) < 1e10, (below + up) / scale).otherwise(value)
+
+
 def to_frames(seconds: Column | float, fps: Column) -> Column:
     seconds = seconds if isinstance(seconds, Column) else F.lit(seconds)
     return F.rint(seconds * fps).cast("int")
@@ -13,7 +30,7 @@ def to_frames(seconds: Column | float, fps: Column) -> Column:
 
 def to_seconds(frame: Column, fps: Column, places: int | None = 3) -> Column:
     out = F.try_divide(frame.cast("double"), fps)
-    return out if places is None else F.bround(out, places)
+    return out if places is None else rounded(out, places)
 
 
 def smooth_frames(window_s: float, fps: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +13,7 @@ from pyspark.sql.window import Window
 from kinograph.functions import boxes as B
 from kinograph.functions import spans as S
 from kinograph.functions.text import SYNONYMS
+from kinograph.session import ship_package
 
 
 def top_k(dets: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -17,20 +22,61 @@ def top_k(dets: DataFrame, keys: list[str], k: int) -> DataFrame:
     return dets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _survivors(boxes: np.ndarray, iou: float, ios: float | None) -> np.ndarray:
+    """Which of these boxes (x1, y1, x2, y2), best first, no better survivor overlaps."""
+    x1, y1, x2, y2 = boxes.T
+    area = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0)
+    kept = np.ones(len(boxes), bool)
+    for i in range(len(boxes) - 1):
+        if not kept[i]:
+            continue
+        rest = slice(i + 1, None)
+        inter = np.maximum(np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest]), 0) * np.maximum(np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]), 0)
+        union, smaller = area[i] + area[rest] - inter, np.minimum(area[i], area[rest])
+        hit = np.divide(inter, union, out=np.zeros_like(inter), where=union > 0) >= iou
+        if ios is not None:
+            hit |= np.divide(inter, smaller, out=np.zeros_like(inter), where=smaller > 0) >= ios
+        kept[rest] &= ~hit
+    return kept
+
+
 def suppress(dets: DataFrame, keys: list[str], iou: float = 0.5, ios: float | None = 0.75, per_key: int | None = None) -> DataFrame:
     """Greedy suppression within each key: confident ones first (ties: larger area, then coordinates); one that overlaps a kept
-    one by iou, or by ios of the smaller box, goes. All boxes of a key take part, unless per_key cuts it to its most confident."""
-    capped = (dets if per_key is None else top_k(dets, keys, per_key)).withColumn("_a", B.area(B.box()))
-    item = F.struct((-F.col("conf")).alias("nc"), (-F.col("_a")).alias("na"), "x1", "y1", "x2", "y2", "conf")
-    grouped = capped.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-
-    def overlaps(a, b):
-        x, y = (B.Box(o["x1"], o["y1"], o["x2"], o["y2"]) for o in (a, b))
-        hit = B.iou(x, y) >= iou
-        return hit if ios is None else hit | (B.ios(x, y) >= ios)
-
-    kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, d: F.when(F.exists(acc, lambda k: overlaps(k, d)), acc).otherwise(F.array_append(acc, d)))
-    return grouped.select(*keys, F.explode(kept).alias("_d")).select(*keys, "_d.x1", "_d.y1", "_d.x2", "_d.y2", "_d.conf")
+    one by iou, or by ios of the smaller box, goes. All boxes of a key take part, unless per_key cuts it to its most confident.
+
+    One exchange by the keys and a sort; a task holds the boxes of one key (a class in one picture) at a time. Rows with a
+    missing coordinate overlap nothing.
+    """
+    ship_package(dets.sparkSession)
+    coordinates = ["x1", "y1", "x2", "y2", "conf"]
+    chosen = (dets if per_key is None else top_k(dets, keys, per_key)).select(*keys, *[F.col(c).cast("double").alias(c) for c in coordinates])
+    order = [F.desc("conf"), F.desc(B.area(B.box())), "x1", "y1", "x2", "y2"]
+    dealt = chosen.withColumn("_key", F.hash(*keys)).repartition(*keys).sortWithinPartitions("_key", *keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def survivors(t: pa.Table, starts: np.ndarray) -> list[pa.RecordBatch]:
+            boxes = np.stack([t[c].to_numpy() for c in coordinates[:4]], 1)
+            kept = np.concatenate([_survivors(boxes[a:b], iou, ios) for a, b in zip(starts, np.append(starts[1:], len(t)))])
+            return t.filter(pa.array(kept)).drop_columns(["_key"]).combine_chunks().to_batches()
+
+        for b in batches:
+            held.append(b)
+            t = pa.Table.from_batches(held)
+            changed = np.zeros(len(t), bool)
+            for c in ("_key", *keys):
+                codes = t[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                changed[1:] |= codes[1:] != codes[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(changed)])
+            # the last key may go on in the next batch
+            if len(starts) > 1:
+                yield from survivors(t.slice(0, starts[-1]), starts[:-1])
+            held = t.slice(starts[-1]).to_batches()
+        if held and sum(map(len, held)):
+            yield from survivors(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    return dealt.mapInArrow(run, chosen.schema)
 
 
 def tiles(clips: DataFrame, tile: int, overlap: float) -> DataFrame:

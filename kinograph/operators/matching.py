@@ -10,11 +10,22 @@ from kinograph.functions import spans as S
 
 
 def overlap_pairs(preds: DataFrame, gts: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of a key whose spans meet, with tiou and agree (the predicted box's range holds the labelled anchor)."""
-    p = preds.select(*keys, "pred_id", F.col("frame_start").alias("p0"), F.col("frame_end").alias("p1"), F.col("type").alias("p_type"), "px1", "px2")
-    g = gts.select(*keys, "gt_id", F.col("frame_start").alias("g0"), F.col("frame_end").alias("g1"), F.col("type").alias("g_type"), "ax", "ambiguous")
+    """Pairs of a key whose spans meet, with tiou and agree: the predicted boxes hold the labelled anchors.
+
+    preds has a person's range px1, px2, or whole boxes px1..py2 and vx1..vy2 of person and vehicle; gts the anchors ax, or ax,
+    ay, vax and vay. Anything missing agrees.
+    """
+    # a prediction's setting stays, where the labels don't have one
+    setting = [c for c in ("pos",) if c in preds.columns and c not in keys]
+    whole = [c for c in ("px1", "py1", "px2", "py2", "vx1", "vy1", "vx2", "vy2") if c in preds.columns]
+    anchors = [c for c in ("ax", "ay", "vax", "vay") if c in gts.columns]
+    both = len(whole) == 8 and len(anchors) == 4
+    p = preds.select(*keys, *setting, "pred_id", F.col("frame_start").alias("p0"), F.col("frame_end").alias("p1"), F.col("type").alias("p_type"), *whole)
+    g = gts.select(*keys, "gt_id", F.col("frame_start").alias("g0"), F.col("frame_end").alias("g1"), F.col("type").alias("g_type"), *anchors, "ambiguous")
     met = p.join(g, keys).where("p0 <= g1 and g0 <= p1")
-    return met.withColumn("tiou", S.temporal_iou(F.col("p0"), F.col("p1"), F.col("g0"), F.col("g1"))).withColumn("agree", B.anchor_agrees(F.col("px1"), F.col("px2"), F.col("ax")))
+    two = [(B.box("p"), F.col("ax"), F.col("ay")), (B.box("v"), F.col("vax"), F.col("vay"))] if both else []
+    agree = B.anchors_agree(two) if both else B.anchor_agrees(F.col("px1"), F.col("px2"), F.col("ax"))
+    return met.withColumn("tiou", S.temporal_iou(F.col("p0"), F.col("p1"), F.col("g0"), F.col("g1"))).withColumn("agree", agree)
 
 
 def greedy_matches(candidates: DataFrame, keys: list[str]) -> DataFrame:

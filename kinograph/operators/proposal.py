@@ -57,8 +57,12 @@ def fired(spans: DataFrame, min_dwell_s: float = 0.5, door_conf: float = 0.30) -
 def candidates(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Merged fired spans of each key with the sorted union of their rules and the evidence that the key's track gives.
 
-    spans: what fired() gives, with min_d, and optionally max_iou and edge flags.
+    spans: what fired() gives, with min_d, and optionally max_iou (of the span), vehicle_is_static, born_at_frame_edge and
+    died_at_frame_edge (of the key's tracks), which then are evidence too.
     """
+    given = set(spans.columns)
+    more = [S.rounded(F.max("max_iou"), 4).alias("max_iou")] if "max_iou" in given else []
+    more += [F.bool_or(c).alias(c) for c in ("vehicle_is_static", "born_at_frame_edge", "died_at_frame_edge") if c in given]
     order = Window.partitionBy(*keys).orderBy("frame_start", "frame_end")
     reach = F.max("frame_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(F.col("_r").isNull() | (F.col("frame_start") > F.col("_r") + 1), 1).otherwise(0)
@@ -69,10 +73,13 @@ def candidates(spans: DataFrame, keys: list[str]) -> DataFrame:
         start.alias("frame_start"),
         end.alias("frame_end"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"),
-        F.bround(F.min("min_d"), 4).alias("min_d_norm"),
-        F.bround(S.length_s(start, end, fps), 3).alias("dwell_s"),
+        S.rounded(F.min("min_d"), 4).alias("min_d_norm"),
+        S.rounded(S.length_s(start, end, fps), 3).alias("dwell_s"),
         (F.max("birth") <= tol).alias("birth_at_clip_start"),
         (F.max("death") >= F.max("n_frames") - 1 - tol).alias("death_at_clip_end"),
+        F.max("birth").alias("person_birth"),
+        F.max("death").alias("person_death"),
+        *more,
     ).drop("_i")
 
 

@@ -62,6 +62,34 @@ def contact_spans(series: DataFrame, keys: list[str], value: str, enter: float |
     )
 
 
+def contact_spans_grid(series: DataFrame, keys: list[str], value: str, settings: list[tuple[int, float, float, float]], conf: str) -> DataFrame:
+    """contact_spans() for many settings (pos, enter, leave, least conf) in one pass: (pos, keys, sid, frame_start, frame_end,
+    min_d). Under a setting, values whose column conf is below its least are missing.
+
+    The series is dealt and sorted once; each setting's state is a column of the same windows, and only rows within a span
+    (or one after) are multiplied by the settings.
+    """
+    order = Window.partitionBy(*keys).orderBy("frame")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = F.col(value)
+    seen = {p: F.when(F.col(conf) >= c, v) for p, _, _, c in settings}
+    state = {f"_st{p}": F.coalesce(F.last(F.when(seen[p] < enter, 1).when(seen[p] > leave, 0), ignorenulls=True).over(upto), F.lit(0)) for p, enter, leave, _ in settings}
+    last = {c: F.max(F.when((F.col(conf) >= c) & v.isNotNull(), F.col("frame"))).over(Window.partitionBy(*keys)) for c in sorted({c for *_, c in settings})}
+    held = series.withColumns(state | {f"_last{k}": x for k, x in enumerate(last.values())})
+    edges = held.withColumns({f"_ps{p}": F.coalesce(F.lag(f"_st{p}").over(order), F.lit(0)) for p, *_ in settings})
+    opened = lambda p: F.when((F.col(f"_st{p}") == 1) & (F.col(f"_ps{p}") == 0), 1).otherwise(0)
+    numbered = edges.withColumns({f"_sid{p}": F.sum(opened(p)).over(upto) for p, *_ in settings})
+    number = {c: k for k, c in enumerate(last)}
+    each = [F.struct(F.lit(p).alias("pos"), F.col(f"_st{p}").alias("st"), F.col(f"_ps{p}").alias("ps"), F.col(f"_sid{p}").alias("sid"), F.col(f"_last{number[c]}").alias("last"), seen[p].alias("v")) for p, _, _, c in settings]
+    inside = numbered.select(*keys, "frame", F.explode(F.filter(F.array(*each), lambda x: (x["st"] == 1) | (x["ps"] == 1))).alias("x")).select(*keys, "frame", "x.*")
+    on = F.col("st") == 1
+    return inside.groupBy("pos", *keys, "sid").agg(
+        F.min(F.when(on, F.col("frame"))).alias("frame_start"),
+        F.coalesce(F.min(F.when(~on, F.col("frame"))) - 1, F.max("last")).alias("frame_end"),
+        F.min(F.when(on, F.col("v"))).alias("min_d"),
+    )
+
+
 def merge_islands(spans: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
     """Spans (frame_start, frame_end) of a key that overlap, touch or lie at most gap frames apart, as one: with island and n."""
     order = Window.partitionBy(*keys).orderBy("frame_start", "frame_end")

@@ -6,39 +6,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinograph.functions import spans as S
+
+# Fixed value: how far a label's time may be from its frame's
+TIME_TOLERANCE_S = 0.011
+
 
 def findings(gts: DataFrame, clips: DataFrame, least_s: float = 0.5) -> DataFrame:
-    """(severity, rule, key): one row for each broken rule. gts: clip_id, gt_id, frame_start, frame_end, type, desc."""
-    key = F.concat_ws("/", F.col("clip_id").cast("string"), F.col("gt_id").cast("string"))
-    known = gts.join(clips.select("clip_id", "fps", "n_frames"), "clip_id", "left")
-    row = lambda df, severity, rule, k=key: df.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), k.alias("key"))
-    repeated = gts.groupBy("clip_id", "gt_id").agg(F.count("*").alias("n")).where("n > 1")
-    # the next spans of the same clip and description that begin before this one has ended touch or overlap it
+    """(severity, rule, key): one row for each broken rule. gts: clip_id, gt_id, frame_start, frame_end, type, desc, and
+    optionally time_start_s and time_end_s, vehicle_desc, person_anchor_frame and vehicle_anchor_frame, whose rules then apply.
+
+    Labels are dealt by clip once: the clip's properties, repeated ids and the spans before are all found there, and each row
+    carries the list of the rules that it breaks.
+    """
+    has = set(gts.columns).__contains__
+    known = gts.repartition("clip_id").join(clips.select("clip_id", "fps", "n_frames"), "clip_id", "left")
+    same_id = Window.partitionBy("clip_id", "gt_id")
+    # a span of the same clip and description that began before and ends later, or one frame before, overlaps or touches
     order = Window.partitionBy("clip_id", "desc").orderBy("frame_start", "frame_end", "gt_id")
-    reach = gts.withColumn("_r", F.max("frame_end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    out = [
-        row(repeated, "error", "duplicate_id"),
-        row(known.where("fps is null"), "error", "unknown_clip"),
-        row(known.where("frame_end < frame_start"), "error", "span_order"),
-        row(known.where("frame_start < 0 or frame_end >= n_frames"), "error", "span_range"),
-        row(known.where(F.try_divide((F.col("frame_end") - F.col("frame_start") + 1).cast("double"), F.col("fps")) < least_s), "warning", "short"),
-        row(known.where(F.size(F.split("desc", ",")) < 3), "warning", "few_parts"),
-        row(reach.where("frame_start <= _r"), "warning", "overlap"),
-        row(reach.where("frame_start = _r + 1"), "info", "abuts"),
-        row(clips.join(gts, "clip_id", "left_anti"), "info", "no_labels", F.col("clip_id").cast("string")),
+    known = known.withColumns(
+        {
+            "_n": F.count("*").over(same_id),
+            "_first": F.row_number().over(same_id.orderBy("frame_start", "frame_end", "desc")) == 1,
+            "_r": F.max("frame_end").over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        }
+    )
+    length = F.try_divide((F.col("frame_end") - F.col("frame_start") + 1).cast("double"), F.col("fps"))
+    rules = [
+        ("error", "duplicate_id", (F.col("_n") > 1) & F.col("_first")),
+        ("error", "unknown_clip", F.col("fps").isNull()),
+        ("error", "span_order", F.col("frame_end") < F.col("frame_start")),
+        ("error", "span_range", (F.col("frame_start") < 0) | (F.col("frame_end") >= F.col("n_frames"))),
+        ("warning", "short", length < least_s),
+        ("warning", "few_parts", F.size(F.split("desc", ",")) < 3),
+        ("warning", "overlap", F.col("frame_start") <= F.col("_r")),
+        ("info", "abuts", F.col("frame_start") == F.col("_r") + 1),
     ]
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    for frame, time in (("frame_start", "time_start_s"), ("frame_end", "time_end_s")):
+        if has(time):
+            rules.append(("error", time, F.abs(F.col(time) - S.to_seconds(F.col(frame), F.col("fps"))) > TIME_TOLERANCE_S))
+    if has("vehicle_desc"):
+        rules += [("error", f"empty_{c}", F.coalesce(F.col(c), F.lit("")) == "") for c in ("desc", "vehicle_desc")]
+    for c in ("person_anchor_frame", "vehicle_anchor_frame"):
+        if has(c):
+            rules += [("warning", f"no_{c}", F.col(c).isNull()), ("warning", f"{c}_outside", ~F.col(c).between(F.col("frame_start"), F.col("frame_end")))]
+    broken = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"))) for severity, rule, hit in rules]))
+    key = F.concat_ws("/", F.col("clip_id").cast("string"), F.col("gt_id").cast("string"))
+    out = known.select(key.alias("key"), F.explode(broken).alias("b")).select("b.severity", "b.rule", "key")
+    unlabelled = clips.join(gts.select("clip_id").distinct(), "clip_id", "left_anti")
+    return out.unionByName(unlabelled.select(F.lit("info").alias("severity"), F.lit("no_labels").alias("rule"), F.col("clip_id").cast("string").alias("key")))
+
+
+def touching_pairs(gts: DataFrame) -> DataFrame:
+    """(clip_id, first_id, second_id, kind, grouped): the pairs of labels of one clip and description of which the second
+    begins before the first has ended (overlap) or right after (abut). gts: clip_id, gt_id, frame_start, frame_end, desc,
+    event_group_id. The join is within a clip's labels of one description."""
+    side = lambda p: gts.select("clip_id", "desc", *[F.col(c).alias(f"{p}_{c}") for c in ("gt_id", "frame_start", "frame_end", "event_group_id")])
+    met = side("a").join(side("b"), ["clip_id", "desc"])
+    met = met.where(F.struct("a_frame_start", "a_gt_id") < F.struct(F.col("b_frame_start"), F.col("b_gt_id"))).where("b_frame_start <= a_frame_end + 1")
+    kind = F.when(F.col("b_frame_start") <= F.col("a_frame_end"), "overlap").otherwise("abut")
+    return met.select("clip_id", F.col("a_gt_id").alias("first_id"), F.col("b_gt_id").alias("second_id"), kind.alias("kind"), F.col("a_event_group_id").eqNullSafe(F.col("b_event_group_id")).alias("grouped"))
 
 
 def pooled(records: DataFrame, inventory: DataFrame, allow_partial: bool = False) -> DataFrame:
     """All clips' records in one order. Fails where an inventory clip has no records (unless allow_partial) or where the
     records come from more than one configuration. records: clip_id, config_hash, frame_start, interaction_id, ..."""
-    missing = inventory.join(records, "clip_id", "left_anti").agg(F.count("*").alias("missing"))
-    hashes = records.agg(F.countDistinct("config_hash").alias("hashes"))
-    checks = missing.crossJoin(hashes)
+    seen = records.select("clip_id", "config_hash").distinct()
+    both = inventory.select("clip_id").distinct().join(seen, "clip_id", "left")
+    # one small aggregate over clips, not over records
+    checks = both.agg(F.count_if(F.col("config_hash").isNull()).alias("missing")).crossJoin(seen.agg(F.countDistinct("config_hash").alias("hashes")))
     checks = checks.withColumn("_ok", F.assert_true(F.col("hashes") <= 1, F.lit("records of several configurations")))
     if not allow_partial:
         checks = checks.withColumn("_ok2", F.assert_true(F.col("missing") == 0, F.lit("clips without records")))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinograph.functions import spans as S
 from kinograph.functions.text import TYPES
 from kinograph.operators import matching as M
 
 
 def rate(part: Column, whole: Column, places: int = 4) -> Column:
-    return F.bround(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), places)
+    return S.rounded(F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0)), places)
 
 
 def with_prf(counts: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def loco_summary(counts: DataFrame) -> DataFrame:
     every = totals(counts, ["pos"]).withColumn("k", f1)
     best = every.agg(F.min_by(F.struct("pos", "tp", "fp", "fn"), F.struct((-F.col("k")).alias("k"), "pos")).alias("b")).select("b.*")
     chosen = with_prf(best).select(F.col("pos").alias("all_pos"), *[F.col(c).alias(f"all_{c}") for c in ("tp", "fp", "fn", "f1")])
-    return held.crossJoin(chosen).withColumn("gap", F.bround(F.col("all_f1") - F.col("held_f1"), 4))
+    return held.crossJoin(chosen).withColumn("gap", S.rounded(F.col("all_f1") - F.col("held_f1"), 4))
 
 
 def fold_agreement(folds: DataFrame, settings: DataFrame, knobs: list[str]) -> DataFrame:
@@ -124,12 +127,23 @@ def slot_rollup(outcomes: DataFrame) -> DataFrame:
     sided = outcomes.withColumn("side", F.split_part("slot", F.lit("."), F.lit(1)))
     counted = sided.groupingSets([["side", "slot"], ["side"]], "side", "slot").agg(*[F.count_if(F.col("outcome") == o).alias(o) for o in ("correct", "wrong", "abstain")])
     answered = F.col("correct") + F.col("wrong")
-    return counted.withColumns({"accuracy": F.bround(F.try_divide(F.col("correct").cast("double"), answered.cast("double")), 4), "coverage": F.bround(F.try_divide(answered.cast("double"), (answered + F.col("abstain")).cast("double")), 4)})
+    return counted.withColumns({"accuracy": S.rounded(F.try_divide(F.col("correct").cast("double"), answered.cast("double")), 4), "coverage": S.rounded(F.try_divide(answered.cast("double"), (answered + F.col("abstain")).cast("double")), 4)})
 
 
-def settings_grid(spark) -> DataFrame:
-    """(pos, det_conf, tau_near, tau_far): all combinations whose tau_far is above tau_near, in grid order."""
+class Setting(NamedTuple):
+    pos: int
+    det_conf: float
+    tau_near: float
+    tau_far: float
+
+
+def grid_rows() -> list[Setting]:
+    """All settings whose tau_far is above tau_near, in grid order."""
     # The grid
     conf, near, far = (0.35, 0.50, 0.65), (0.06, 0.10, 0.15, 0.22), (0.18, 0.25, 0.32, 0.45)
-    rows = [(c, n, f) for c in conf for n in near for f in far if f > n]
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "pos int, det_conf double, tau_near double, tau_far double")
+    return [Setting(k, *r) for k, r in enumerate((c, n, f) for c in conf for n in near for f in far if f > n)]
+
+
+def settings_grid(spark) -> DataFrame:
+    """(pos, det_conf, tau_near, tau_far) of grid_rows()."""
+    return spark.createDataFrame([tuple(r) for r in grid_rows()], "pos int, det_conf double, tau_near double, tau_far double")

@@ -26,7 +26,7 @@ def span_boxes(spans: DataFrame, obs: DataFrame, clips: DataFrame) -> DataFrame:
     inside = spans.select(*keys).distinct().join(obs, ["clip_id", "track_id"]).where("frame between frame_start and frame_end")
     union = inside.groupBy(*keys).agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
     sized = union.join(clips.select("clip_id", "width", "height"), "clip_id")
-    share = lambda c, side: F.bround(F.try_divide(F.col(c), F.col(side)), 5).alias(c)
+    share = lambda c, side: S.rounded(F.try_divide(F.col(c), F.col(side)), 5).alias(c)
     return spans.join(sized.select(*keys, share("x1", "width"), share("y1", "height"), share("x2", "width"), share("y2", "height")), keys, "left")
 
 

@@ -79,16 +79,23 @@ def smoothed_series(spark, d):
     return O.smooth(dense, ["pair_id"], "d_norm", 1)
 
 
+# every fourth frame of a track has no box
+X.SQL["detgap"] = "detgap AS (SELECT * REPLACE (frame + frame // 3 AS frame) FROM det)"
+
+
+def _detgap(spark, d):
+    return X.det(spark, d).withColumn("frame", F.col("frame") + F.floor(F.col("frame") / 3))
+
+
 @query(
-    "clip_id:l cls:l frame:l speed:d", "det clips",
+    "clip_id:l cls:l frame:l speed:d", "det detgap clips",
     """SELECT clip_id, cls, frame, CASE WHEN px1 IS NULL THEN NULL WHEN (h0 + h1) / 2 <= 0 THEN 'inf'::DOUBLE
          ELSE sqrt(((x1 + x2 - px1 - px2) / 2) ** 2 + ((y1 + y2 - py1 - py2) / 2) ** 2) / ((h0 + h1) / 2) / ((frame - pf) / fps) END AS speed
        FROM (SELECT d.*, fps, greatest(0, y2 - y1) AS h1, lag(frame) OVER w AS pf, lag(x1) OVER w AS px1, lag(x2) OVER w AS px2, lag(y1) OVER w AS py1, lag(y2) OVER w AS py2,
-               lag(greatest(0, y2 - y1)) OVER w AS h0 FROM det d JOIN clips USING (clip_id) WHERE frame % 3 <> 1 WINDOW w AS (PARTITION BY clip_id, cls ORDER BY frame))""",
+               lag(greatest(0, y2 - y1)) OVER w AS h0 FROM detgap d JOIN clips USING (clip_id) WINDOW w AS (PARTITION BY clip_id, cls ORDER BY frame))""",
 )
 def speed_prev_visible(spark, d):
-    seen = X.det(spark, d).where("frame % 3 <> 1")
-    prev = O.previous_visible(seen, ["clip_id", "cls"], ["frame", "x1", "y1", "x2", "y2"]).join(X.clips(spark, d), "clip_id")
+    prev = O.previous_visible(_detgap(spark, d), ["clip_id", "cls"], ["frame", "x1", "y1", "x2", "y2"]).join(X.clips(spark, d), "clip_id")
     return prev.withColumn("speed", B.speed(B.box("prev_"), B.box(), (F.col("frame") - F.col("prev_frame")) / F.col("fps")))
 
 
@@ -226,14 +233,33 @@ def _overlap(a, b):
     return f"({inter}) / ({area(a)} + {area(b)} - {inter}) >= 0.2 OR ({inter}) / least({area(a)}, {area(b)}) >= 0.4"
 
 
-@query(
-    "clip_id:l cls:l x1:d y1:d x2:d y2:d conf:d", "det",
-    f"""SELECT clip_id, cls, k.x1, k.y1, k.x2, k.y2, k.conf FROM (SELECT clip_id, cls, unnest(list_reduce(list_transform(l, lambda c: [c]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda o: {_overlap('o', 'c[1]')})) > 0 THEN acc ELSE list_append(acc, c[1]) END)) AS k
-        FROM (SELECT clip_id, cls, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}} ORDER BY conf DESC, (x2 - x1) * (y2 - y1) DESC, x1, y1, x2, y2) AS l
-              FROM (SELECT * FROM det QUALIFY row_number() OVER (PARTITION BY clip_id, cls ORDER BY conf DESC, x1, y1, x2, y2) <= 20) GROUP BY 1, 2))""",
-)
+def _kept(source: str, keys: str, test) -> str:
+    order = "conf DESC, (x2 - x1) * (y2 - y1) DESC, x1, y1, x2, y2"
+    return f"""SELECT {keys}, k.x1, k.y1, k.x2, k.y2, k.conf FROM (SELECT {keys}, unnest(list_reduce(list_transform(l, lambda c: [c]), lambda acc, c: CASE WHEN len(list_filter(acc, lambda o: {test('o', 'c[1]')})) > 0 THEN acc ELSE list_append(acc, c[1]) END)) AS k
+        FROM (SELECT {keys}, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}} ORDER BY {order}) AS l FROM {source} GROUP BY ALL))"""
+
+
+# 25 boxes of a class of a clip are a picture
+X.SQL["pictures"] = "pictures AS (SELECT * REPLACE (frame // 25 AS frame) FROM det)"
+
+
+def _pictures(spark, d):
+    return X.det(spark, d).withColumn("frame", F.floor(F.col("frame") / 25))
+
+
+@query("clip_id:l frame:l cls:l x1:d y1:d x2:d y2:d conf:d", "det pictures", _kept("pictures", "clip_id, frame, cls", _overlap))
 def nms_survivors(spark, d):
-    return D.suppress(X.det(spark, d), ["clip_id", "cls"], 0.2, 0.4, per_key=20)
+    return D.suppress(_pictures(spark, d), ["clip_id", "frame", "cls"], 0.2, 0.4)
+
+
+X.SQL["merged"] = "merged AS (SELECT clip_id, frame, cls, CASE WHEN det_id % 3 > 0 THEN x1 + 40 * (det_id % 3) ELSE x1 END AS x1, CASE WHEN det_id % 3 > 0 THEN y1 + 30 ELSE y1 END AS y1, CASE WHEN det_id % 3 > 0 THEN x2 + 40 * (det_id % 3) ELSE x2 END AS x2, CASE WHEN det_id % 3 > 0 THEN y2 + 30 ELSE y2 END AS y2, conf FROM pictures)"
+
+
+@query("clip_id:l frame:l cls:l x1:d y1:d x2:d y2:d conf:d", "det pictures merged", _kept("merged", "clip_id, frame, cls", _overlap))
+def merged_tiles(spark, d):
+    boxes = _pictures(spark, d)
+    local = boxes.where("det_id % 3 > 0").withColumns({"x0": 40 * (F.col("det_id") % 3), "y0": F.lit(30)})
+    return D.merge_tiled(local, boxes.where("det_id % 3 = 0"), 0.2, 0.4)
 
 
 @query(
@@ -254,12 +280,12 @@ def track_majority_class(spark, d):
 
 
 @query(
-    "clip_id:l cls:l birth:l death:l observed:l span:l gap_frames:l motion:d static:b", "det",
+    "clip_id:l cls:l birth:l death:l observed:l span:l gap_frames:l motion:d static:b", "det detgap",
     """SELECT *, motion < 0.05 AS static FROM (SELECT clip_id, cls, min(frame) AS birth, max(frame) AS death, count(*) AS observed, max(frame) - min(frame) + 1 AS span, max(frame) - min(frame) + 1 - count(*) AS gap_frames,
-       CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(stddev_pop((x1 + x2) / 2) ** 2 + stddev_pop((y1 + y2) / 2) ** 2) / avg(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) END AS motion FROM det WHERE frame % 3 <> 1 GROUP BY 1, 2)""",
+       CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(stddev_pop((x1 + x2) / 2) ** 2 + stddev_pop((y1 + y2) / 2) ** 2) / avg(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) END AS motion FROM detgap GROUP BY 1, 2)""",
 )
 def track_inventory(spark, d):
-    return D.track_inventory(X.det(spark, d).where("frame % 3 <> 1"), ["clip_id", "cls"])
+    return D.track_inventory(_detgap(spark, d), ["clip_id", "cls"])
 
 
 @query(
@@ -308,6 +334,36 @@ def proposed_candidates(spark, d):
     return P.candidates(_fired(spark, d), ["pair_id"]).withColumn("rules", F.array_join("rules", ","))
 
 
+X.SQL["evidence"] = """evidence AS (SELECT c.clip_id AS pair_id, c.frame_start, f.birth AS person_birth, f.death AS person_death, round_even(max((event_id % 977) / 977), 4) AS max_iou, c.clip_id % 3 = 0 AS born_at_frame_edge, c.clip_id % 4 = 0 AS died_at_frame_edge
+  FROM cands c JOIN (SELECT DISTINCT pair_id, birth, death FROM fired) f ON f.pair_id = c.clip_id JOIN sig g ON g.pair_id = c.clip_id AND g.frame BETWEEN c.frame_start AND c.frame_end GROUP BY ALL)"""
+
+
+@query("pair_id:l frame_start:l person_birth:l person_death:l max_iou:d born_at_frame_edge:b died_at_frame_edge:b", "sig sp clips fired cands evidence", "SELECT * FROM evidence")
+def candidate_evidence(spark, d):
+    spans = _fired(spark, d)
+    inside = spans.select("pair_id", "sid", "frame_start", "frame_end").join(X.sig(spark, d), "pair_id").where("frame between frame_start and frame_end")
+    iou = inside.groupBy("pair_id", "sid").agg(F.max((F.col("event_id") % 977) / 977).alias("max_iou"))
+    spans = spans.join(iou, ["pair_id", "sid"], "left").withColumns({"born_at_frame_edge": F.col("pair_id") % 3 == 0, "died_at_frame_edge": F.col("pair_id") % 4 == 0})
+    return P.candidates(spans, ["pair_id"])
+
+
+_HALF = "CASE WHEN greatest(3, round_even(0.4::DOUBLE * fps, 0))::INT // 2 = {} THEN avg(d_norm) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN {} PRECEDING AND {} FOLLOWING) END"
+
+
+@query(
+    "clip_id:l frame:l visible:b d_norm:d iou:d speed_bl_s:d", "det clips pairs",
+    f"""SELECT clip_id, frame, visible, coalesce({', '.join(_HALF.format(h, h, h) for h in (1, 5, 6))}) AS d_norm, iou, speed_bl_s FROM (
+       SELECT a.clip_id, a.frame, a.fps, p.clip_id IS NOT NULL AS visible, CASE WHEN p.clip_id IS NOT NULL THEN sqrt(greatest(bx1 - ax2, ax1 - bx2, 0) ** 2 + greatest(by1 - ay2, ay1 - by2, 0) ** 2) / sqrt((bx2 - bx1) ** 2 + (by2 - by1) ** 2) END AS d_norm, CASE WHEN p.clip_id IS NOT NULL THEN ({_INTER}) / ({_AREA[0]} + {_AREA[1]} - {_INTER}) END AS iou,
+         sqrt(((ax1 + ax2 - qx1 - qx2) / 2) ** 2 + ((ay1 + ay2 - qy1 - qy2) / 2) ** 2) / ((ay2 - ay1 + qy2 - qy1) / 2) / ((a.frame - qf) / fps) AS speed_bl_s
+       FROM (SELECT c.clip_id, fps, unnest(range(n_frames)) AS frame FROM clips c WHERE clip_id IN (SELECT clip_id FROM pairs)) a
+       LEFT JOIN (SELECT *, lag(frame) OVER w AS qf, lag(ax1) OVER w AS qx1, lag(ax2) OVER w AS qx2, lag(ay1) OVER w AS qy1, lag(ay2) OVER w AS qy2 FROM pairs WINDOW w AS (PARTITION BY clip_id ORDER BY frame)) p ON p.clip_id = a.clip_id AND p.frame = a.frame)""",
+)
+def pair_series(spark, d):
+    det = X.det(spark, d)
+    side = lambda c: det.where(F.col("cls") == c).select("clip_id", F.col("cls").alias("track_id"), "frame", "x1", "y1", "x2", "y2")
+    return P.pair_series(side(1), side(2), X.clips(spark, d), [1, 5, 6])
+
+
 @query(
     "pair_id:l frame_start:l rule:s type:s confidence:d", "sig sp clips fired cands",
     f"""SELECT clip_id AS pair_id, frame_start, rule, CASE rule WHEN 'R1_dwell' THEN 'attend_vehicle' WHEN 'R2_death_near' THEN 'enter_vehicle' WHEN 'R3_birth_near' THEN 'exit_vehicle' ELSE 'open_close_door' END AS type, 0.5 AS confidence
@@ -355,6 +411,24 @@ def anchor_agreement(spark, d):
     return M.overlap_pairs(X.pred(spark, d), X.gt(spark, d), ["clip_id"]).groupBy("agree").agg(F.count("*").alias("n"))
 
 
+X.SQL["pred4"] = """pred4 AS (SELECT *, ((3 * clip_id + 5 * pred_id) % 70) / 100 AS py1, ((3 * clip_id + 5 * pred_id) % 70) / 100 + 0.2::DOUBLE AS py2, CASE WHEN pred_id % 9 <> 4 THEN ((11 * clip_id + 3 * pred_id) % 60) / 100 END AS vx1,
+    ((11 * clip_id + 3 * pred_id) % 60) / 100 + 0.3::DOUBLE AS vx2, ((5 * clip_id + 17 * pred_id) % 50) / 100 AS vy1, ((5 * clip_id + 17 * pred_id) % 50) / 100 + 0.25::DOUBLE AS vy2 FROM pred)"""
+X.SQL["gt4"] = "gt4 AS (SELECT *, CASE WHEN gt_id % 7 <> 0 THEN ((3 * clip_id + 5 * gt_id) % 75) / 100 + 0.05::DOUBLE END AS ay, CASE WHEN gt_id % 4 <> 1 THEN ((11 * clip_id + 3 * gt_id) % 70) / 100 + 0.1::DOUBLE END AS vax, ((5 * clip_id + 17 * gt_id) % 60) / 100 + 0.05::DOUBLE AS vay FROM gt)"
+_HOLDS = lambda a, p: f"CASE WHEN {a}x IS NULL OR {a}y IS NULL OR {p}x1 IS NULL OR {p}y1 IS NULL OR {p}x2 IS NULL OR {p}y2 IS NULL THEN true ELSE {a}x BETWEEN {p}x1 - ({p}x2 - {p}x1) * 0.25::DOUBLE AND {p}x2 + ({p}x2 - {p}x1) * 0.25::DOUBLE AND {a}y BETWEEN {p}y1 - ({p}y2 - {p}y1) * 0.25::DOUBLE AND {p}y2 + ({p}y2 - {p}y1) * 0.25::DOUBLE END"
+X.SQL["cand4"] = "cand4 AS (SELECT c.* REPLACE (" + _HOLDS("a", "p") + " AND " + _HOLDS("va", "v") + " AS agree) FROM cand c JOIN pred4 USING (clip_id, pred_id) JOIN gt4 USING (clip_id, gt_id) WHERE tiou >= 0.3)"
+X.SQL["matches4"] = X.greedy_sql("matches4", "cand4", "clip_id")
+
+
+@query("clip_id:l pred_id:l gt_id:l tiou:d negative:b agree:b", "sig pred gt pred4 gt4 cand cand4 matches4", "SELECT * FROM matches4")
+def matches_by_both_anchors(spark, d):
+    p, s, g = F.col("clip_id"), F.col("pred_id"), F.col("gt_id")
+    y, vx, vy = ((3 * p + 5 * s) % 70) / 100, ((11 * p + 3 * s) % 60) / 100, ((5 * p + 17 * s) % 50) / 100
+    preds = X.pred(spark, d).withColumns({"py1": y, "py2": y + 0.2, "vx1": F.when(s % 9 != 4, vx), "vx2": vx + 0.3, "vy1": vy, "vy2": vy + 0.25})
+    ay, vax, vay = ((3 * p + 5 * g) % 75) / 100 + 0.05, ((11 * p + 3 * g) % 70) / 100 + 0.1, ((5 * p + 17 * g) % 60) / 100 + 0.05
+    gts = X.gt(spark, d).withColumns({"ay": F.when(g % 7 != 0, ay), "vax": F.when(g % 4 != 1, vax), "vay": vay})
+    return M.match_events(preds, gts, ["clip_id"])
+
+
 @query("clip_id:l pred_id:l gt_id:l tiou:d negative:b agree:b", _MATCHED, "SELECT * FROM matches")
 def greedy_matches(spark, d):
     return _matches(spark, d)
@@ -443,14 +517,14 @@ def grid_settings(spark, d):
 
 
 X.SQL["loco"] = (
-    "grid15 AS (SELECT pos, tau_near, tau_far FROM grid WHERE det_conf = 0.35), sig_s AS (SELECT s.*, pos, tau_near, tau_far FROM sig s, grid15),"
+    "sig_s AS (SELECT s.* REPLACE (CASE WHEN 0.3::DOUBLE + (event_id % 70) / 100 >= det_conf THEN d_norm END AS d_norm), pos, tau_near, tau_far FROM sig s, grid),"
     + X.spans_sql("sps", "tau_near", "tau_far", "sig_s", "pos, pair_id")
     + f""", pred_s AS (SELECT pos, pair_id AS clip_id, sid AS pred_id, frame_start, frame_end, ((7 * pair_id + 13 * sid) % 80) / 100 AS px1, ((7 * pair_id + 13 * sid) % 80) / 100 + 0.1::DOUBLE AS px2 FROM sps),
     cand_s AS ({X.SQL['cand'].split('AS (', 1)[1].rsplit(')', 1)[0].replace('FROM pred p', 'FROM pred_s p').replace('SELECT p.clip_id,', 'SELECT p.pos, p.clip_id,').replace('p.type AS p_type,', '')}),
     cand_s3 AS (SELECT * FROM cand_s WHERE tiou >= 0.3)"""
     + ", " + X.greedy_sql("matches_s", "cand_s3", "pos, clip_id")
     + """, counts AS (SELECT c.pos, c.clip_id, coalesce(m.tp, 0) AS tp, coalesce(p.n, 0) - coalesce(m.tp, 0) AS fp, coalesce(g.n, 0) - coalesce(m.tp, 0) AS fn
-      FROM (SELECT pos, clip_id FROM grid15, (SELECT DISTINCT pair_id AS clip_id FROM sig)) c LEFT JOIN (SELECT pos, clip_id, count(*) AS n FROM pred_s GROUP BY 1, 2) p USING (pos, clip_id)
+      FROM (SELECT pos, clip_id FROM grid, (SELECT DISTINCT pair_id AS clip_id FROM sig)) c LEFT JOIN (SELECT pos, clip_id, count(*) AS n FROM pred_s GROUP BY 1, 2) p USING (pos, clip_id)
       LEFT JOIN (SELECT clip_id, count(*) FILTER (WHERE type <> 'pass_by') AS n FROM gt GROUP BY 1) g USING (clip_id) LEFT JOIN (SELECT pos, clip_id, count(*) FILTER (WHERE NOT negative) AS tp FROM matches_s GROUP BY 1, 2) m USING (pos, clip_id)),
     folds AS (SELECT clip_id AS fold, pos, tp, fp, fn, fit_f1 FROM (SELECT *, coalesce(2.0::DOUBLE * otp / nullif(2.0::DOUBLE * otp + ofp + ofn, 0), 0) AS fit_f1 FROM (SELECT *, sum(tp) OVER w - tp AS otp, sum(fp) OVER w - fp AS ofp, sum(fn) OVER w - fn AS ofn FROM counts WINDOW w AS (PARTITION BY pos)))
       QUALIFY row_number() OVER (PARTITION BY clip_id ORDER BY fit_f1 DESC, pos) = 1)"""
@@ -458,15 +532,19 @@ X.SQL["loco"] = (
 
 
 def _loco_counts(spark, d):
-    grid = E.settings_grid(spark).where("det_conf = 0.35")
-    sig = X.sig(spark, d)
-    both = sig.join(F.broadcast(grid))
-    preds = X.pred_of(O.contact_spans(both, ["pos", "pair_id"], "d_norm", F.col("tau_near"), F.col("tau_far")))
-    gts = X.gt(spark, d).join(F.broadcast(grid.select("pos")))
-    clips = sig.select(F.col("pair_id").alias("clip_id")).distinct().join(F.broadcast(grid.select("pos")))
-    matches = M.match_events(preds, gts, ["pos", "clip_id"])
-    counts = E.detection_counts(preds, gts, matches, ["pos", "clip_id"])
-    return clips.join(counts, ["pos", "clip_id"], "left").fillna(0, ["tp", "fp", "fn"])
+    grid = E.settings_grid(spark)
+    sig = X.sig(spark, d).withColumn("conf", 0.3 + (F.col("event_id") % 70) / 100)
+    settings = [(r.pos, r.tau_near, r.tau_far, r.det_conf) for r in E.grid_rows()]
+    preds = X.pred_of(O.contact_spans_grid(sig, ["pair_id"], "d_norm", settings, "conf"))
+    gts = X.gt(spark, d)
+    # labels meet the predictions of every setting; only their counts are multiplied by the settings
+    pairs = M.overlap_pairs(preds, gts, ["clip_id"]).where("tiou >= 0.3").withColumn("negative", F.col("g_type") == "pass_by")
+    hits = M.greedy_matches(pairs, ["pos", "clip_id"]).groupBy("pos", "clip_id").agg(F.count_if(~F.col("negative")).alias("tp"))
+    made = preds.groupBy("pos", "clip_id").agg(F.count("*").alias("n_pred"))
+    asked = gts.groupBy("clip_id").agg(F.count_if(F.col("type") != "pass_by").alias("n_pos"))
+    clips = sig.select(F.col("pair_id").alias("clip_id")).distinct().join(asked, "clip_id", "left").join(F.broadcast(grid.select("pos")))
+    all_of = clips.join(made, ["pos", "clip_id"], "left").join(hits, ["pos", "clip_id"], "left").fillna(0, ["n_pred", "n_pos", "tp"])
+    return all_of.select("pos", "clip_id", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_pos") - F.col("tp")).alias("fn"))
 
 
 _LOCO = "sig gt grid loco"
@@ -638,6 +716,30 @@ def audit_findings(spark, d):
     return A.findings(g.withColumn("gt_id", F.when(i == 7, 6).otherwise(i)), X.clips(spark, d))
 
 
+@query(
+    "severity:s rule:s n:l", "sig gt clips",
+    """SELECT severity, rule, count(*) AS n FROM (WITH g AS (SELECT *, frame_start / fps + CASE WHEN gt_id % 11 = 0 THEN 0.02 ELSE 0.004 END AS t0, frame_end / fps AS t1, CASE WHEN gt_id % 6 = 1 THEN '' WHEN gt_id % 6 = 2 THEN NULL ELSE 'car, red, parked' END AS v, CASE WHEN gt_id % 8 > 0 THEN frame_start + gt_id % 8 - 2 END AS pa FROM gt LEFT JOIN clips USING (clip_id))
+       SELECT 'error' AS severity, 'time_start_s' AS rule FROM g WHERE abs(t0 - round(frame_start / fps, 3)) > 0.011 UNION ALL SELECT 'error', 'time_end_s' FROM g WHERE abs(t1 - round(frame_end / fps, 3)) > 0.011 UNION ALL SELECT 'error', 'empty_vehicle_desc' FROM g WHERE coalesce(v, '') = ''
+       UNION ALL SELECT 'warning', 'no_person_anchor_frame' FROM g WHERE pa IS NULL UNION ALL SELECT 'warning', 'person_anchor_frame_outside' FROM g WHERE pa < frame_start OR pa > frame_end UNION ALL SELECT 'error', 'unknown_clip' FROM g WHERE fps IS NULL) GROUP BY 1, 2""",
+)
+def audit_labels(spark, d):
+    i, clips = F.col("gt_id"), X.clips(spark, d)
+    g = X.gt(spark, d).join(clips.select("clip_id", "fps"), "clip_id", "left")
+    blank = F.when(i % 6 == 1, "").when(i % 6 == 2, None).otherwise("car, red, parked")
+    more = {"desc": F.lit("man, dark shirt, bag"), "time_start_s": F.col("frame_start") / F.col("fps") + F.when(i % 11 == 0, 0.02).otherwise(0.004), "time_end_s": F.col("frame_end") / F.col("fps")}
+    g = g.withColumns(more | {"vehicle_desc": blank, "person_anchor_frame": F.when(i % 8 > 0, F.col("frame_start") + i % 8 - 2)}).drop("fps")
+    names = ["time_start_s", "time_end_s", "empty_vehicle_desc", "no_person_anchor_frame", "person_anchor_frame_outside", "unknown_clip"]
+    return A.findings(g, clips).where(F.col("rule").isin(names)).groupBy("severity", "rule").agg(F.count("*").alias("n"))
+
+
+@query(
+    "clip_id:l first_id:l second_id:l kind:s grouped:b", "sig gt",
+    """SELECT a.clip_id, a.gt_id AS first_id, b.gt_id AS second_id, CASE WHEN b.frame_start <= a.frame_end THEN 'overlap' ELSE 'abut' END AS kind, a.gt_id // 4 = b.gt_id // 4 AS grouped FROM gt a JOIN gt b ON a.clip_id = b.clip_id AND a.gt_id % 3 = b.gt_id % 3 AND (a.frame_start, a.gt_id) < (b.frame_start, b.gt_id) AND b.frame_start <= a.frame_end + 1""",
+)
+def audit_touching(spark, d):
+    return A.touching_pairs(X.gt(spark, d).withColumns({"desc": (F.col("gt_id") % 3).cast("string"), "event_group_id": F.floor(F.col("gt_id") / 4)}))
+
+
 @query("clip_id:l frame_start:l interaction_id:s", "sig sp clips fired cands", "SELECT clip_id, frame_start, printf('%d__i%03d', clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_start, frame_end)) AS interaction_id FROM cands")
 def pooled_interactions(spark, d):
     c = P.numbered(P.geometric_judge(P.candidates(_fired(spark, d), ["pair_id"])).withColumnRenamed("pair_id", "clip_id"), ["frame_start", "frame_end"])
@@ -663,7 +765,8 @@ def _tspans(spark, d):
 
 @query(
     "clip_id:l frame_start:l x1:d y1:d x2:d y2:d", "det clips tspans",
-    """SELECT s.clip_id, frame_start, round_even(min(x1) / any_value(width), 5) AS x1, round_even(min(y1) / any_value(height), 5) AS y1, round_even(max(x2) / any_value(width), 5) AS x2, round_even(max(y2) / any_value(height), 5) AS y2
+    # printed, because round_even() rounds a product that has lost the value's last digits
+    """SELECT s.clip_id, frame_start, printf('%.5f', min(x1) / any_value(width))::DOUBLE AS x1, printf('%.5f', min(y1) / any_value(height))::DOUBLE AS y1, printf('%.5f', max(x2) / any_value(width))::DOUBLE AS x2, printf('%.5f', max(y2) / any_value(height))::DOUBLE AS y2
        FROM tspans s JOIN clips USING (clip_id) LEFT JOIN det t ON t.clip_id = s.clip_id AND t.cls = 1 AND t.frame BETWEEN frame_start AND frame_end GROUP BY 1, 2""",
 )
 def span_boxes(spark, d):

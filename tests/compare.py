@@ -15,7 +15,7 @@ def connection(folder: str):
 
 def plain(value):
     if isinstance(value, float):
-        return round(value, 5) + 0.0
+        return value + 0.0
     return value
 
 

@@ -229,3 +229,22 @@ def test_pooling_refuses_gaps_and_mixed_configurations(spark):
     mixed = rows.union(spark.createDataFrame([("b", "other", 1, "b__i001")], rows.schema))
     with pytest.raises(Exception, match="configurations"):
         A.pooled(mixed, clips).collect()
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    values = [a / b for b in (1920, 1280, 720, 29.97, 7) for a in range(0, 2 * 1920, 7)] + [2.675, 1.005, 0.015625, -0.00005, 138 / 1920, 306 / 1920, 294 / 1920]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (3, 4, 5):
+        assert all(r.r == round(r.v, places) for r in df.select("v", S.rounded(F.col("v"), places).alias("r")).collect())
+
+
+def test_many_settings_in_one_pass(spark):
+    rows = [(k, f, ((f * 7 + k * 3) % 23) / 23, ((f * 5 + k) % 11) / 11) for k in range(4) for f in range(60)]
+    series = spark.createDataFrame(rows, "pair int, frame int, d double, conf double")
+    settings = [(0, 0.1, 0.3, 0.0), (1, 0.2, 0.6, 0.0), (2, 0.2, 0.6, 0.4)]
+    got = {tuple(r) for r in O.contact_spans_grid(series, ["pair"], "d", settings, "conf").collect()}
+    want = set()
+    for pos, near, far, least in settings:
+        one = O.contact_spans(series.withColumn("d", F.when(F.col("conf") >= least, F.col("d"))), ["pair"], "d", near, far)
+        want |= {(pos, *r) for r in one.collect()}
+    assert got == want and len(got) > 12

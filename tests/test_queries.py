@@ -1,11 +1,11 @@
-"""Every registered query with SQL gives DuckDB's rows, on the smallest tables."""
+"""Every registered query with SQL gives DuckDB's rows, on small tables."""
 
 import pytest
 
 from kinograph.queries import ORACLES, QUERIES
 from tests.compare import connection, differences
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
