@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,6 +142,12 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.n = spark, shared_dir(spark), 0
         self.named: dict[str, DataFrame] = {}
+        # a query's result is read from these tables after it has been returned, so that they go with the application
+        atexit.register(self._leave)
+
+    def _leave(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            self.drop()
 
     def keep(self, df: DataFrame, name: str | None = None) -> DataFrame:
         """df, stored; with a name it can be looked up in `named`."""
@@ -158,6 +166,7 @@ class Tables:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        atexit.unregister(self._leave)
 
 
 def running_total(df: DataFrame, by: list[str], bucket: str, order: list, value: Column, name: str) -> DataFrame:

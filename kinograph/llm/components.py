@@ -17,7 +17,9 @@ def connected_components(edges: DataFrame, tables: Tables, most_rounds: int = 60
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = tables.keep(edges)
-    before = None
+    state = [F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")]
+    first = edges.agg(*state).first()
+    before = (first.n, first.h)
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,7 +30,7 @@ def connected_components(edges: DataFrame, tables: Tables, most_rounds: int = 60
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = tables.keep(small)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        now = edges.agg(*state).first()
         if (now.n, now.h) == before:
             break
         before = (now.n, now.h)

@@ -385,10 +385,10 @@ def compare_heads(heads: DataFrame, sets: DataFrame, num: int, den: int, tables:
     first = heads.groupBy("s1").agg(F.max_by("head", F.struct("keys", "head")).alias("head"))
     pair = lambda df: df.select(F.least("s1", "head").alias("a"), F.greatest("s1", "head").alias("b")).distinct()
     links = tables.keep(verify(tables.keep(pair(first)), sets, num, den), "links")
-    groups = tables.keep(connected_components(links, tables))
+    groups = connected_components(links, tables)
     others = pair(heads.join(first, ["s1", "head"], "left_anti"))
     more = tables.keep(verify(tables.keep(apart(others, groups)), sets, num, den), "other_links")
-    return tables.keep(connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tables))
+    return connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), tables)
 
 
 def pairs_left(keyed: DataFrame, opened: DataFrame, heads: DataFrame, sets: DataFrame, groups: DataFrame, num: int, den: int, tables: Tables) -> DataFrame:

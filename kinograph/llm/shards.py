@@ -47,11 +47,16 @@ def balanced_shards(docs: DataFrame, group: str, shards: int = SHARDS, rounds: i
     """docs (doc_id, group: a long, and other columns) with shard and slot: row counts of shards differ by one at most,
     and slots count each shard's rows from 0 without gaps.
 
-    Rows with equal group are linked; a null group is linked with nothing. Rows that repeat a doc_id each get a slot. docs has
-    to give the same rows whenever it is read (a stored table).
+    Rows with equal group are linked; a null group is linked with nothing. Rows that repeat a doc_id, or have none, each get a
+    slot. Other columns may have any names; shard and slot are replaced. docs has to give the same rows whenever it is read (a
+    stored table). Links other than equal groups (an edge list) aren't taken.
     """
     spark = docs.sparkSession
     tables = tables or Tables(spark)
+    kept_names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    whole = F.struct(*[F.col(f"`{c}`") for c in kept_names])
+    docs = docs.select(F.col("doc_id"), F.col(f"`{group}`").alias("same"), whole.alias("whole"))
+    group = "same"
     total = docs.count()
     least, extra = divmod(total, shards)
     parts = max(1, min(MOST_PARTS, total // ORDERED_ROWS))
@@ -93,7 +98,7 @@ def balanced_shards(docs: DataFrame, group: str, shards: int = SHARDS, rounds: i
         place = F.element_at(F.filter(F.array(*open_places), lambda x: x["lo"] <= F.col("extra")), -1)
         over = over.withColumn("_x", place)
         stay = stay.union(over.select(*docs.columns, F.col("_x.shard").alias("shard"), (F.col("_x.slot") + F.col("extra") - F.col("_x.lo")).alias("slot")))
-    return stay
+    return stay.select("whole.*", "shard", "slot")
 
 
 def op5_shards(spark, sf_dir: str) -> DataFrame:

@@ -113,6 +113,29 @@ def test_language_model(spark, odd):
     assert got[1].n_tokens == 1 and got[1].score < 0 and got[4].n_tokens == 120_001
 
 
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Repeated and missing doc_ids: equal rows, and one doc_id with several texts."""
+    folder = str(tmp_path_factory.mktemp("repeated"))
+    rows = [(None, "a text of some words without a number", "en", "s", 1), (None, None, None, None, None), (2, "one text of number two", "en", "s", 1), (2, "one text of number two", "en", "s", 1), (2, "another text of number two", "fr", "s", 1), (3, "third", None, "s", 1)]
+    write(spark, folder, rows, pages=[(1, "u", "p")], labels=[(2, 1, 0), (3, 0, 0), (3, 0, 0)], benchmark=[(1, "one text of number two")])
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op3_simhash", "op4_decontaminate", "op6_warc"}))
+def test_each_row_of_a_repeated_or_missing_doc_id_has_its_own(spark, repeated, name):
+    assert sorted(str(r.doc_id) for r in QUERIES[name](spark, repeated).collect()) == ["2", "2", "2", "3", "None", "None"]
+
+
+def test_repeated_doc_ids_of_fingerprints_passages_and_pipeline(spark, repeated):
+    got = QUERIES["op3_simhash"](spark, repeated).collect()
+    assert sorted(str(r.doc_id) for r in got if r.doc_id is None) == ["None", "None"] and {r.doc_id for r in got} == {None, 2, 3}
+    # the distinct texts of 2 after each other, and each as what follows 3
+    assert sorted(r.n_chars for r in got if r.doc_id == 2) == [22, 26] and sum(r.doc_id == 3 for r in got) == 2
+    assert [(r.doc_id, r.item_id) for r in QUERIES["op4_decontaminate"](spark, repeated).collect()] == [(2, 1)]
+    assert {r.doc_id for r in corpus_pipeline.run(spark, repeated).collect()} <= {None, 3}
+
+
 def test_pipeline(spark, odd):
     kept = {r.doc_id for r in corpus_pipeline.run(spark, odd).collect()}
     assert not kept & {1, 2, 3, 5, 6, 7, 9, 11}  # no language, a passage of the benchmark, or a copy
