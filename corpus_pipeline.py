@@ -26,7 +26,10 @@ def _scratch(spark: SparkSession) -> Tables:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a factorisation machine, fitted on a bounded sample of labelled ones, scores LEAST_QUALITY or more."""
+    """Documents that a factorisation machine, fitted on a bounded sample of labelled ones, scores LEAST_QUALITY or more.
+
+    A null text counts as empty; rows that repeat a doc_id are judged one by one.
+    """
     _scratch(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = quality.train(docs, labels)
@@ -35,7 +38,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised with a score of LEAST_LANGUAGE or more."""
+    """Documents whose language is recognised with a score of LEAST_LANGUAGE or more.
+
+    Texts that are null or have no letter go; rows that repeat a doc_id are judged one by one. The score is a share among the
+    learned languages, so that a text in a language that wasn't learned is rarely rejected.
+    """
     tables = _scratch(spark)
     model = langid.train(docs.select("text", "lang"))
     row = langid.fresh(docs, "row")
@@ -47,7 +54,10 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates (five-word shingles, Jaccard 0.8 or more)."""
+    """The document with the smallest doc_id of each group of near duplicates (five-word shingles, Jaccard 0.8 or more).
+
+    Texts without words are no duplicates. Of rows that repeat a doc_id all stay or go, rows without a doc_id stay.
+    """
     tables = _scratch(spark)
     groups = jaccard.jaccard_components(docs, 5, 80, 100, tables)
     # stored, so that the join is planned by the ids' real size
@@ -56,7 +66,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Rows that repeat a doc_id all go if one has a passage; rows without a doc_id
+    and null texts stay."""
     tables = _scratch(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = tables.keep(decontaminate.overlaps(docs, items, tables=tables).select("doc_id").distinct())
@@ -64,7 +75,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (array<int>), ids_sha256, and whether decoding gives the text back."""
+    """Of every row, null and empty texts included: doc_id, n_tokens, ids (array<int>), ids_sha256, and whether decoding gives the text back."""
     _scratch(spark)
     return bpe.round_trip(docs.select("doc_id", "text")).select(
         "doc_id",
