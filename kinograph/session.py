@@ -53,10 +53,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """A folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset in a local
+    session (tests). Fails where executors are on other hosts and no shared folder is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-kinograph-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
