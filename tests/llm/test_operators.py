@@ -60,9 +60,40 @@ def test_licences_equal_sql(spark):
     assert ours == theirs and sum(v[0] is not None for v in ours.values()) > 20
 
 
-def test_size_bounds_lose_nothing():
-    for name, grams, size in licences.template_rows(licences.TEMPLATES, 0.9):
-        assert 2 * min(size, len(grams)) / (size + len(grams)) >= 0.9 - 1e-9, name
+def test_size_bounds_and_cues_lose_nothing():
+    known = licences.template_rows(licences.TEMPLATES, 0.9)
+    cues = licences.cues(known)
+    for name, grams, low, high in known:
+        dice = lambda size: 2 * min(size, len(grams)) / (size + len(grams))
+        assert dice(low) >= 0.9 - 1e-9 > dice(low - 1) and dice(high) >= 0.9 - 1e-9 > dice(high + 1), name
+        # a unit shares `low` bigrams at least; fewer than that are without a cue
+        assert sum(not set(g.split()) & set(cues) for g in grams) < low, name
+
+
+def test_licences_in_paragraphs_and_sentences(spark):
+    grant, whole = licences.TEMPLATES["MIT"][2:]
+    terms = whole[len(grant):].strip()
+    header = licences.TEMPLATES["Apache-2.0"][2].replace(" Unless", "\n\nUnless")
+    texts = {
+        1: "A page of notes.\n\n" + grant + "\n \n" + terms + "\n\nMore notes follow here.",
+        2: "We like it. Licensed under the MIT License. You may call us (soon) about it.",
+        3: "Some code.\n\n" + header.upper() + "\n\nThe end.",
+        4: "The software comes with a license, and copies of it, but no notice.",
+        5: "",
+        6: None,
+        7: licences.TEMPLATES["GPL-3.0"][1].replace("; ", ";\n").replace("Foundation, ", "Foundation,\n"),
+        8: " ".join(whole.split()[: len(whole.split()) // 2]),
+    }
+    docs = spark.createDataFrame([(k, v) for k, v in texts.items()] + [(None, texts[2]), (2, texts[2])], "doc_id long, text string")
+    rows = [(r.doc_id, r.licence, r.units) for r in licences.scan(docs).collect()]
+    by = {k: (name, n) for k, name, n in rows if k}
+    assert by[1][0] == "MIT" and by[1][1] >= 2 and by[2] == ("MIT", 1) and by[3][0] == "Apache-2.0"
+    assert by[4] == by[5] == by[6] == by[8] == (None, 0) and by[7][0] == "GPL-3.0"
+    assert len(rows) == len(texts) + 2 and (None, "MIT", 1) in rows
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r.doc_id, r.text) for r in docs.collect()])
+    assert sorted(((r[0], r[1], r[3]) for r in con.execute(licences.oracle()).fetchall()), key=str) == sorted(rows, key=str)
 
 
 def test_simhash_search_is_exact(spark):
