@@ -111,7 +111,7 @@ def scan(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = N
     known = known.select("licence", "grams", F.explode(F.sequence("low", "high")).alias("size"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    cued = rows.where(F.translate("text", upper, lower).rlike("(?<![a-z0-9])(?:" + "|".join(cues(parts)) + ")(?![a-z0-9])"))
+    cued = rows.where(F.col("text").rlike("(?i)(?<![a-z0-9])(?:" + "|".join(cues(parts)) + ")(?![a-z0-9])"))
     lines = F.split("text", "\n")
     sentences = F.split(F.regexp_replace("text", r"([.!?])[ \t]+([A-Z(\"])", "$1\n$2"), "\n")
     paragraphs = F.split("text", "\n[ \t\r]*\n")
