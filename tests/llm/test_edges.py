@@ -11,6 +11,8 @@ from kinograph.llm.queries import QUERIES
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: names that the operators use inside
 EXTRA = "row long, score double, ids string, shard int, key long, tokens string, `_p` int, g long, n int, fp long, p int, `_y` int"
+#: read other tables; test_negatives.py and test_codes.py have their cases
+VECTORS = ("op12_negatives", "op13_codes")
 LONG = " ".join(f"word{k % 977} of" for k in range(60_000))
 
 
@@ -21,6 +23,7 @@ def write(spark, folder, docs, extra=True, pages=(), labels=(), benchmark=()):
     spark.createDataFrame(list(pages), "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(list(benchmark), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return n
 
 
@@ -56,7 +59,7 @@ def test_pipeline_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op4_decontaminate", "op6_warc"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op4_decontaminate", "op6_warc", *VECTORS}))
 def test_one_row_for_each_odd_document(spark, odd, name):
     got = QUERIES[name](spark, odd).collect()
     assert sorted(r.doc_id for r in got) == [d[0] for d in ODD]
@@ -122,7 +125,7 @@ def repeated(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op3_simhash", "op4_decontaminate", "op6_warc"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op3_simhash", "op4_decontaminate", "op6_warc", *VECTORS}))
 def test_each_row_of_a_repeated_or_missing_doc_id_has_its_own(spark, repeated, name):
     assert sorted(str(r.doc_id) for r in QUERIES[name](spark, repeated).collect()) == ["2", "2", "2", "3", "None", "None"]
 
