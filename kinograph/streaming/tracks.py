@@ -1,17 +1,30 @@
-"""Tracks from detections: frame by frame, by overlap with each track's last box; one clip and kind is one group."""
+"""Tracks from detections, frame by frame: boxes move at constant velocity, and each frame's boxes are assigned in two passes.
+
+Trusted detections are assigned first, then the others to the tracks that are left, so that a track outlives weak detections; an
+assignment is the one-to-one choice with the greatest total overlap of boxes and predicted boxes. Persons and vehicles are tracked
+apart. What is held of a clip is its live tracks, in a batch job as in a stream.
+"""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinograph.functions.assignment import heaviest_pairs
 from kinograph.session import ship_package
 
 #: Vehicles' numbers begin here, so that they can't meet persons'.
 VEHICLES_FROM = 10_000
-OUTPUT = "clip_id string, track_id int, cls int, frame int, x1 double, y1 double, x2 double, y2 double"
+BOX = ["x1", "y1", "x2", "y2"]
+#: Standard deviations as shares of a box's height: of a measured place, and of a frame's change of place and of velocity.
+PLACE, VELOCITY = 1 / 20, 1 / 160
 
 
 def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -21,57 +34,197 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inter / np.maximum(area(a)[:, None] + area(b)[None] - inter, 1e-12)
 
 
-def associate(dets: pd.DataFrame, lost_after: int, trusted: float, least_iou: float = 0.3, least_seen: int = 2) -> pd.DataFrame:
-    """dets of one group (frame, cls, x1..y2, conf) with track_id; tracks seen fewer than least_seen times are left out.
+class Tracker:
+    """The live tracks of one clip and kind.
 
-    In each frame trusted detections are matched first, then the others; greedily, the largest overlap first. Only trusted
-    ones begin tracks. A track that isn't seen for more than lost_after frames has ended.
+    Of each track: its number (-1 until it has been seen in `least_seen` frames after each other), last frame, frames seen after
+    each other, filtered place and velocity of its box (centre and size), and their covariance (place, both, velocity) in squared
+    box heights. A track ends when it hasn't been seen for more than `lost_after` frames, one without a number when it misses one.
     """
-    boxes = dets[["x1", "y1", "x2", "y2"]].to_numpy(float)
-    ids = np.full(len(dets), -1)
-    live: dict[int, tuple[int, np.ndarray]] = {}
-    following = 0
-    for frame, rows in dets.groupby("frame", sort=True).indices.items():
-        live = {k: v for k, v in live.items() if frame - v[0] <= lost_after}
-        rows = rows[np.argsort(-dets["conf"].to_numpy()[rows], kind="stable")]
-        sure = dets["conf"].to_numpy()[rows] >= trusted
-        taken: set[int] = set()
-        for part in (rows[sure], rows[~sure]):
-            names = [k for k in live if k not in taken]
-            if names and len(part):
-                score = _iou(boxes[part], np.stack([live[k][1] for k in names]))
-                for flat in np.argsort(-score, axis=None, kind="stable"):
-                    i, j = divmod(int(flat), len(names))
-                    if score[i, j] < least_iou:
-                        break
-                    if ids[part[i]] < 0 and names[j] not in taken:
-                        ids[part[i]] = names[j]
-                        taken.add(names[j])
-        for r in rows[sure]:
-            if ids[r] < 0:
-                ids[r], following = following, following + 1
-        for r in rows:
-            if ids[r] >= 0:
-                live[ids[r]] = (frame, boxes[r])
-    out = dets.assign(track_id=ids)
-    out = out[out["track_id"] >= 0]
-    return out[out.groupby("track_id")["frame"].transform("count") >= least_seen]
-
-
-def track(dets: DataFrame, clips: DataFrame, trusted: float = 0.65) -> DataFrame:
-    """Tracks of persons (class 0) and of vehicles, apart, in each clip; a track's class is its most frequent one.
-
-    A group is one clip's detections of one kind, which a clip's length bounds.
+
+    def __init__(self, lost_after: int, trusted: float, least_iou: tuple[float, float] = (0.2, 0.5), least_seen: int = 2):
+        self.lost_after, self.trusted, self.least_iou, self.least_seen = lost_after, trusted, least_iou, least_seen
+        self.following = 0
+        self.number, self.last, self.streak = (np.zeros(0, np.int64) for _ in range(3))
+        self.place, self.velocity, self.spread = np.zeros((0, 4)), np.zeros((0, 4)), np.zeros((0, 3))
+
+    def _keep(self, which) -> None:
+        for name in ("number", "last", "streak", "place", "velocity", "spread"):
+            setattr(self, name, getattr(self, name)[which])
+
+    def _predict(self, frame: int) -> tuple[np.ndarray, np.ndarray]:
+        dt = (frame - self.last).astype(float)
+        pp, pv, vv = self.spread.T
+        spread = np.stack([pp + 2 * dt * pv + dt * dt * vv + dt * PLACE**2, pv + dt * vv, vv + dt * VELOCITY**2], 1)
+        return self.place + dt[:, None] * self.velocity, spread
+
+    def warp(self, h: np.ndarray) -> None:
+        """Moves all tracks as the picture moved (a 3 x 3 homography from the frame before)."""
+        if not len(self.place):
+            return
+        h = np.asarray(h, float).reshape(3, 3)
+        ends = np.concatenate([self.place[:, :2], self.place[:, :2] + self.velocity[:, :2]])
+        moved = np.concatenate([ends, np.ones((len(ends), 1))], 1) @ h.T
+        moved = moved[:, :2] / np.where(np.abs(moved[:, 2:]) < 1e-12, 1e-12, moved[:, 2:])
+        n = len(self.place)
+        self.place[:, :2], self.velocity[:, :2] = moved[:n], moved[n:] - moved[:n]
+
+    def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
+        """Track numbers of a frame's boxes, -1 where there is none (yet). Frames have to ascend."""
+        age = frame - self.last
+        self._keep((age <= self.lost_after) & ((self.number >= 0) | (age <= 1)))
+        numbers = np.full(len(boxes), -1)
+        if not len(boxes):
+            return numbers
+        place, spread = self._predict(frame)
+        centre, half = place[:, :2], np.maximum(place[:, 2:], 0) / 2
+        predicted = np.concatenate([centre - half, centre + half], 1)
+        of_box = np.full(len(boxes), -1)
+        free = np.ones(len(place), bool)
+        sure = conf >= self.trusted
+        for chosen, least in ((np.flatnonzero(sure), self.least_iou[0]), (np.flatnonzero(~sure), self.least_iou[1])):
+            left = np.flatnonzero(free)
+            for r, c in heaviest_pairs(_iou(boxes[chosen], predicted[left]), least):
+                of_box[chosen[r]] = left[c]
+                free[left[c]] = False
+        measured = np.concatenate([(boxes[:, :2] + boxes[:, 2:]) / 2, boxes[:, 2:] - boxes[:, :2]], 1)
+        seen = np.flatnonzero(of_box >= 0)
+        at = of_box[seen]
+        pp, pv, vv = spread[at].T
+        total = pp + PLACE**2
+        off = measured[seen] - place[at]
+        self.place[at] = place[at] + (pp / total)[:, None] * off
+        self.velocity[at] += (pv / total)[:, None] * off
+        self.spread[at] = np.stack([pp * PLACE**2 / total, pv * PLACE**2 / total, vv - pv * pv / total], 1)
+        self.streak[at] = np.where(self.last[at] == frame - 1, self.streak[at] + 1, 1)
+        self.last[at] = frame
+        # tracks begin with trusted boxes alone
+        new = np.flatnonzero((of_box < 0) & sure)
+        of_box[new] = len(self.last) + np.arange(len(new))
+        n = len(new)
+        self.number, self.last, self.streak = np.append(self.number, np.full(n, -1)), np.append(self.last, np.full(n, frame)), np.append(self.streak, np.ones(n, np.int64))
+        self.place, self.velocity = np.concatenate([self.place, measured[new]]), np.concatenate([self.velocity, np.zeros((n, 4))])
+        self.spread = np.concatenate([self.spread, np.tile([(2 * PLACE) ** 2, 0.0, (10 * VELOCITY) ** 2], (n, 1))])
+        for i in np.flatnonzero(of_box >= 0):
+            k = of_box[i]
+            if self.number[k] < 0 and self.streak[k] >= self.least_seen:
+                self.number[k], self.following = self.following, self.following + 1
+            numbers[i] = self.number[k]
+        return numbers
+
+
+def lost_frames(fps: float) -> int:
+    """A second's frames, five at least."""
+    return max(5, int(np.rint(fps)))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], trusted: float, least_seen: int) -> Iterator[pa.RecordBatch]:
+    """Rows come by clip, kind and frame; the last frame of a batch waits for the next batch, which may go on with it."""
+    clip, tracker, waiting = None, None, None
+
+    def followed(rows: pa.Table, of_frame: np.ndarray) -> pa.Table:
+        nonlocal clip, tracker
+        numbers = np.full(len(rows), -1)
+        clips, persons, frames = rows.column("clip_id"), rows.column("person").to_numpy(), rows.column("frame").to_numpy()
+        fps, conf = rows.column("fps").to_numpy(), rows.column("conf").to_numpy()
+        boxes, warps = np.stack([rows.column(c).to_numpy() for c in BOX], 1), rows.column("h")
+        for a, b in zip(of_frame[:-1].tolist(), of_frame[1:].tolist()):
+            now = (clips[a].as_py(), bool(persons[a]))
+            if now != clip:
+                clip, tracker = now, Tracker(lost_frames(fps[a]), trusted, least_seen=least_seen)
+            moved = np.flatnonzero(np.isnan(conf[a:b]))
+            for k in moved:
+                tracker.warp(warps[a + int(k)].as_py())
+            at = np.delete(np.arange(a, b), moved)
+            found = tracker.step(int(frames[a]), boxes[at], conf[at])
+            numbers[at] = np.where(found >= 0, found + (0 if now[1] else VEHICLES_FROM), -1)
+        kept = np.flatnonzero(numbers >= 0)
+        return rows.drop_columns(["person", "fps", "h"]).append_column("track_id", pa.array(numbers, pa.int32())).take(pa.array(kept))
+
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([waiting, rows]) if waiting is not None else rows).combine_chunks()
+        if not len(rows):
+            continue
+        differs = np.zeros(len(rows) - 1, bool)
+        for c in ("clip_id", "person", "frame"):
+            x = rows.column(c)
+            differs |= pc.not_equal(x.slice(1), x.slice(0, len(rows) - 1)).to_numpy(zero_copy_only=False)
+        begins = np.concatenate([[0], np.flatnonzero(differs) + 1])
+        waiting = rows.slice(int(begins[-1]))
+        if len(begins) > 1:
+            yield from followed(rows.slice(0, int(begins[-1])), begins).to_batches()
+    if waiting is not None:
+        yield from followed(waiting, np.array([0, len(waiting)])).to_batches()
+
+
+def observed(dets: DataFrame, clips: DataFrame, trusted: float = 0.65, camera: DataFrame | None = None, least_seen: int = 2) -> DataFrame:
+    """dets (clip_id, frame, cls, x1..y2, conf) that belong to a track, with track_id.
+
+    camera: clip_id, frame, h (nine numbers, the homography from the frame before); tracks are moved by it before they are
+    predicted. Detections of clips that aren't in clips, and ones without a frame, box or confidence, are left out. A clip's
+    frames of a kind follow one another in one task, which holds a frame and the live tracks; no clip is ever held whole.
+    """
+    ship_package(dets.sparkSession)
+    rates = clips.select("clip_id", "fps")
+    good = F.col("frame").isNotNull() & F.col("conf").isNotNull()
+    for c in BOX:
+        good = good & F.col(c).isNotNull()
+    rows = dets.where(good).select("clip_id", (F.col("cls") == 0).alias("person"), F.col("frame").cast("int"), F.col("cls").cast("int"), *[F.col(c).cast("double") for c in (*BOX, "conf")], F.lit(None).cast("array<double>").alias("h"))
+    if camera is not None:
+        none = [F.lit(None).cast("double").alias(c) for c in (*BOX, "conf")]
+        rows = rows.unionByName(camera.select("clip_id", F.explode(F.array(F.lit(True), F.lit(False))).alias("person"), F.col("frame").cast("int"), F.lit(None).cast("int").alias("cls"), *none, F.col("h").cast("array<double>")))
+    rows = rows.join(rates, "clip_id").repartition("clip_id", "person").sortWithinPartitions("clip_id", "person", "frame", F.desc("conf"), *BOX, "cls")
+    kind = dict(dets.dtypes)["clip_id"]
+    return rows.mapInArrow(lambda it: _numbered(it, trusted, least_seen), f"clip_id {kind}, frame int, cls int, x1 double, y1 double, x2 double, y2 double, conf double, track_id int")
+
+
+def with_majority_class(rows: DataFrame) -> DataFrame:
+    """Each track's class is its most frequent one, the first seen of equally frequent ones."""
+    counts = rows.groupBy("clip_id", "track_id", "cls").agg(F.count("*").alias("n"), F.min("frame").alias("first"))
+    of_track = counts.groupBy("clip_id", "track_id").agg(F.min_by("cls", F.struct((-F.col("n")).alias("n"), "first", "cls")).alias("cls"))
+    return rows.drop("cls").join(of_track, ["clip_id", "track_id"])
+
+
+def track(dets: DataFrame, clips: DataFrame, trusted: float = 0.65, camera: DataFrame | None = None, least_seen: int = 2) -> DataFrame:
+    """Tracks (clip_id, track_id, cls, frame, x1..y2) of persons (class 0) and of vehicles, with one class each."""
+    found = with_majority_class(observed(dets, clips, trusted, camera, least_seen))
+    return found.select("clip_id", "track_id", "cls", "frame", *BOX)
+
+
+def stream_tracks(dets: DataFrame, trusted: float = 0.65, delay: str = "10 seconds", idle: str = "1 hour", least_seen: int = 2) -> DataFrame:
+    """observed() of a streaming DataFrame (clip_id, cls, frame, x1..y2, conf, fps, ts).
+
+    ts is the time of a row's frame. Rows wait until the watermark has passed their frame, so that the result doesn't depend on
+    their order of arrival within `delay`; those that come later are left out and counted (see late.LateRows).
+    State of a clip and kind: its live tracks and the rows that wait. It goes when the watermark is `idle` past the last frame.
     """
     ship_package(dets.sparkSession)
-    known = dets.join(clips.select("clip_id", "fps"), "clip_id").withColumn("person", F.col("cls") == 0)
+    kind = dict(dets.dtypes)["clip_id"]
+    columns = ["clip_id", "frame", "cls", *BOX, "conf"]
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = associate(pdf, max(5, int(np.rint(pdf["fps"].iloc[0]))), trusted)
-        if len(found) and not pdf["person"].iloc[0]:
-            found = found.assign(track_id=found["track_id"] + VEHICLES_FROM)
-        counts = found.groupby(["track_id", "cls"], sort=False).agg(n=("frame", "size"), first=("frame", "min")).reset_index()
-        best = counts.sort_values(["n", "first"], ascending=[False, True]).drop_duplicates("track_id").set_index("track_id")["cls"]
-        return found.assign(cls=found["track_id"].map(best))[["clip_id", "track_id", "cls", "frame", "x1", "y1", "x2", "y2"]]
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tracker, waiting, newest = pickle.loads(state.get[0]) if state.exists else (None, {}, 0)
+        passed = state.getCurrentWatermarkMs()
+        rows = pd.concat([pd.DataFrame(waiting), *([] if state.hasTimedOut else list(batches))])
+        if not len(rows):  # only a time-out comes without rows
+            state.remove()
+            return
+        if tracker is None:
+            tracker = Tracker(lost_frames(rows["fps"].iloc[0]), trusted, least_seen=least_seen)
+        out = []
+        ready = rows[rows["ms"] <= passed].sort_values(["frame", "conf", *BOX, "cls"], ascending=[True, False, *[True] * 5], kind="stable")
+        for frame, now in ready.groupby("frame", sort=True):
+            numbers = tracker.step(int(frame), now[BOX].to_numpy(float), now["conf"].to_numpy(float))
+            now = now[columns].assign(track_id=numbers + (0 if key[1] else VEHICLES_FROM))
+            out.append(now[numbers >= 0])
+        newest = max(newest, int(rows["ms"].max()))
+        rows = rows[rows["ms"] > passed]
+        state.update((pickle.dumps((tracker, rows.to_dict("list"), newest)),))
+        state.setTimeoutTimestamp(int(rows["ms"].min()) if len(rows) else max(newest + idle_ms, passed + 1))
+        yield pd.concat(out) if out else pd.DataFrame(columns=[*columns, "track_id"])
 
-    return known.groupBy("clip_id", "person").applyInPandas(run, OUTPUT)
+    watched = dets.withWatermark("ts", delay).select("clip_id", (F.col("cls") == 0).alias("person"), "frame", "cls", *BOX, "conf", "fps", F.unix_millis("ts").alias("ms"), "ts")
+    schema = f"clip_id {kind}, frame int, cls int, x1 double, y1 double, x2 double, y2 double, conf double, track_id int"
+    return watched.groupBy("clip_id", "person").applyInPandasWithState(step, schema, "held binary", "append", "EventTimeTimeout")
