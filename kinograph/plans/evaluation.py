@@ -101,6 +101,20 @@ def leave_one_out(counts: DataFrame) -> DataFrame:
     return rest.withColumn("fit_f1", f1).groupBy(F.col("clip_id").alias("fold")).agg(best.alias("b")).select("fold", "b.*")
 
 
+def setting_counts(preds: DataFrame, gts: DataFrame, clips: DataFrame, grid: DataFrame, least_tiou: float = 0.3) -> DataFrame:
+    """(pos, clip_id, tp, fp, fn) of every clip (clip_id) and setting of the grid (pos). preds: with pos, as for overlap_pairs().
+
+    Labels meet the predictions of every setting; only their counts are multiplied by the settings.
+    """
+    pairs = M.overlap_pairs(preds, gts, ["clip_id"]).where(F.col("tiou") >= least_tiou).withColumn("negative", F.col("g_type") == "pass_by")
+    hits = M.greedy_matches(pairs, ["pos", "clip_id"]).groupBy("pos", "clip_id").agg(F.count_if(~F.col("negative")).alias("tp"))
+    made = preds.groupBy("pos", "clip_id").agg(F.count("*").alias("n_pred"))
+    asked = gts.groupBy("clip_id").agg(F.count_if(F.col("type") != "pass_by").alias("n_pos"))
+    every = clips.select("clip_id").distinct().join(asked, "clip_id", "left").join(F.broadcast(grid.select("pos")))
+    all_of = every.join(made, ["pos", "clip_id"], "left").join(hits, ["pos", "clip_id"], "left").fillna(0, ["n_pred", "n_pos", "tp"])
+    return all_of.select("pos", "clip_id", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_pos") - F.col("tp")).alias("fn"))
+
+
 def loco_summary(counts: DataFrame) -> DataFrame:
     """Held-out and all-data P/R/F1 with the gap between the two F1."""
     held = with_prf(leave_one_out(counts).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])).select(*[F.col(c).alias(f"held_{c}") for c in ("tp", "fp", "fn", "f1")])

@@ -507,15 +507,7 @@ def _loco_counts(spark, d):
     sig = X.sig(spark, d).withColumn("conf", 0.3 + (F.col("event_id") % 70) / 100)
     settings = [(r.pos, r.tau_near, r.tau_far, r.det_conf) for r in E.grid_rows()]
     preds = X.pred_of(O.contact_spans_grid(sig, ["pair_id"], "d_norm", settings, "conf"))
-    gts = X.gt(spark, d)
-    # labels meet the predictions of every setting; only their counts are multiplied by the settings
-    pairs = M.overlap_pairs(preds, gts, ["clip_id"]).where("tiou >= 0.3").withColumn("negative", F.col("g_type") == "pass_by")
-    hits = M.greedy_matches(pairs, ["pos", "clip_id"]).groupBy("pos", "clip_id").agg(F.count_if(~F.col("negative")).alias("tp"))
-    made = preds.groupBy("pos", "clip_id").agg(F.count("*").alias("n_pred"))
-    asked = gts.groupBy("clip_id").agg(F.count_if(F.col("type") != "pass_by").alias("n_pos"))
-    clips = sig.select(F.col("pair_id").alias("clip_id")).distinct().join(asked, "clip_id", "left").join(F.broadcast(grid.select("pos")))
-    all_of = clips.join(made, ["pos", "clip_id"], "left").join(hits, ["pos", "clip_id"], "left").fillna(0, ["n_pred", "n_pos", "tp"])
-    return all_of.select("pos", "clip_id", "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_pos") - F.col("tp")).alias("fn"))
+    return E.setting_counts(preds, X.gt(spark, d), sig.select(F.col("pair_id").alias("clip_id")), grid)
 
 
 _LOCO = "sig gt grid loco"
@@ -537,10 +529,10 @@ def loco_summary(spark, d):
 
 @query(
     "knob:s n_values:l modal:d n_modal:l", _LOCO,
-    """SELECT knob, count(*) AS n_values, arg_max(value, n * 1000000 - f) AS modal, max(n) AS n_modal FROM (SELECT knob, value, count(*) AS n, min(fold) AS f FROM (SELECT fold, 'tau_near' AS knob, tau_near AS value FROM folds JOIN grid USING (pos) UNION ALL SELECT fold, 'tau_far', tau_far FROM folds JOIN grid USING (pos)) GROUP BY 1, 2) GROUP BY 1""",
+    """SELECT knob, count(*) AS n_values, arg_max(value, n * 1000000 - f) AS modal, max(n) AS n_modal FROM (SELECT knob, value, count(*) AS n, min(fold) AS f FROM (SELECT fold, 'tau_near' AS knob, tau_near AS value FROM folds JOIN grid USING (pos) UNION ALL SELECT fold, 'tau_far', tau_far FROM folds JOIN grid USING (pos) UNION ALL SELECT fold, 'det_conf', det_conf FROM folds JOIN grid USING (pos)) GROUP BY 1, 2) GROUP BY 1""",
 )
 def fold_agreement(spark, d):
-    return E.fold_agreement(E.leave_one_out(_loco_counts(spark, d)), E.settings_grid(spark), ["tau_near", "tau_far"])
+    return E.fold_agreement(E.leave_one_out(_loco_counts(spark, d)), E.settings_grid(spark), ["det_conf", "tau_near", "tau_far"])
 
 
 # --- text and JSON ---

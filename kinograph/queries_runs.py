@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinograph import fixtures as X
+from kinograph.operators import series as O
+from kinograph.plans import evaluation as E
+from kinograph.plans import sweep as W
 from kinograph.registry import query
+from kinograph.session import shared_dir
 from kinograph.streaming import tracks as K
 
 # --- tracking: every pair of the signal is an object that moves at its own speed; a seventh of its boxes is missing ---
@@ -36,3 +40,54 @@ X.SQL["truth"] = """seen AS (SELECT *, cls = 0 AS person, lead(frame) OVER (PART
 def tracked_objects(spark, d):
     dets = planted(spark, d)
     return K.track(dets, dets.select("clip_id", F.lit(25.0).alias("fps")).distinct())
+
+
+# --- sweeps: each clip's spans under each setting are computed once and kept ---
+
+KNOBS = ["det_conf", "tau_near", "tau_far"]
+
+
+def _spans_of(spark, d):
+    """The spans of the signal under the settings that are missing, for the clips that lack them."""
+
+    def compute(todo):
+        grid = sorted(tuple(r) for r in todo.select(*KNOBS).distinct().collect())  # as many as the grid has
+        settings = spark.createDataFrame([(k, *r) for k, r in enumerate(grid)], "pos int, det_conf double, tau_near double, tau_far double")
+        sig = X.sig(spark, d).withColumn("clip_id", F.col("pair_id").cast("string")).withColumn("conf", 0.3 + (F.col("event_id") % 70) / 100)
+        sig = sig.join(todo.select("clip_id").distinct(), "clip_id", "left_semi")
+        spans = O.contact_spans_grid(sig, ["clip_id"], "d_norm", [(k, near, far, conf) for k, (conf, near, far) in enumerate(grid)], "conf")
+        return spans.join(F.broadcast(settings), "pos").join(todo, ["clip_id", *KNOBS]).select("clip_id", "judge", "digest", "sid", "frame_start", "frame_end", "min_d")
+
+    return compute
+
+
+def _store(spark):
+    return W.Store(spark, shared_dir(spark), "sid long, frame_start long, frame_end long, min_d double")
+
+
+def _signal_clips(spark, d):
+    return X.sig(spark, d).select(F.col("pair_id").cast("string").alias("clip_id")).distinct()
+
+
+@query(
+    "run:s computed:l stored:l", "sig gt grid loco",
+    """SELECT run, n * m AS computed, (SELECT count(*) FROM sps WHERE pos < upto) AS stored FROM (SELECT count(DISTINCT pair_id) AS n FROM sig), (VALUES ('a few', 20, 20), ('all', 25, 45), ('again', 0, 45)) r(run, m, upto)""",
+)
+def sweep_runs(spark, d):
+    """What three sweeps over one store compute: some settings, all, and all again."""
+    store, grid, clips = _store(spark), E.settings_grid(spark), _signal_clips(spark, d)
+    out = []
+    for run, settings in (("a few", grid.where("pos < 20")), ("all", grid), ("again", grid)):
+        out.append((run, W.sweep(store, clips, settings, KNOBS, "geometric", _spans_of(spark, d)), store.rows().count()))
+    return spark.createDataFrame(out, "run string, computed long, stored long")
+
+
+@query("fold:l pos:l tp:l fp:l fn:l fit_f1:d", "sig gt grid loco", "SELECT * FROM folds")
+def rescored_folds(spark, d):
+    """Held-out settings from stored spans: the store is filled in two sweeps, and scoring reads it."""
+    store, grid, clips = _store(spark), E.settings_grid(spark), _signal_clips(spark, d)
+    for settings in (grid.where("det_conf < 0.5"), grid):
+        W.sweep(store, clips, settings, KNOBS, "geometric", _spans_of(spark, d))
+    stored = W.results(store, W.wanted(clips, grid, KNOBS, "geometric")).join(F.broadcast(grid), KNOBS).withColumn("pair_id", F.col("clip_id").cast("long"))
+    counts = E.setting_counts(X.pred_of(stored), X.gt(spark, d), clips.select(F.col("clip_id").cast("long").alias("clip_id")), grid)
+    return E.leave_one_out(counts)
