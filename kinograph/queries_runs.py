@@ -10,6 +10,8 @@ from kinograph.plans import evaluation as E
 from kinograph.plans import sweep as W
 from kinograph.registry import query
 from kinograph.session import shared_dir
+from kinograph.sources import documents as J
+from kinograph.sources import records as R
 from kinograph.streaming import tracks as K
 
 # --- tracking: every pair of the signal is an object that moves at its own speed; a seventh of its boxes is missing ---
@@ -91,3 +93,40 @@ def rescored_folds(spark, d):
     stored = W.results(store, W.wanted(clips, grid, KNOBS, "geometric")).join(F.broadcast(grid), KNOBS).withColumn("pair_id", F.col("clip_id").cast("long"))
     counts = E.setting_counts(X.pred_of(stored), X.gt(spark, d), clips.select(F.col("clip_id").cast("long").alias("clip_id")), grid)
     return E.leave_one_out(counts)
+
+
+# --- documents: a JSON file a clip, written all or none, read back by shape ---
+
+
+def _interactions(spark, d):
+    """The predicted spans as a clip document's interactions."""
+    clip, number = F.col("clip_id").cast("string"), F.format_string("%s__i%03d", F.col("clip_id").cast("string"), F.col("pred_id"))
+    subject = F.struct(F.lit(1).alias("track_id"), F.lit("").alias("description"), F.lit(None).cast("map<string,string>").alias("attributes"))
+    vehicle = F.struct(F.lit(10_000).alias("track_id"), F.lit("car").alias("cls"), F.lit("").alias("description"), F.lit(None).cast("map<string,string>").alias("attributes"))
+    return X.pred(spark, d).select(
+        clip.alias("clip_id"), F.lit("h").alias("config_hash"), number.alias("interaction_id"), number.alias("event_group_id"), "type", F.col("frame_start").cast("int"), F.col("frame_end").cast("int"),
+        (F.col("frame_start") / 25).alias("time_start_s"), (F.col("frame_end") / 25).alias("time_end_s"), subject.alias("person"), vehicle.alias("vehicle"), F.lit("").alias("note"), F.col("px1").alias("confidence"), F.create_map(F.lit("rule"), F.lit("R1_dwell")).alias("evidence"),
+    )
+
+
+@query(
+    "name:s status:s clip:s interactions:l frames:l confidence:d", "sig pred clips",
+    """SELECT CASE WHEN clip_id % 10 = 4 THEN 'of_' || clip_id ELSE clip_id::VARCHAR END AS name, CASE clip_id % 10 WHEN 3 THEN 'damaged' WHEN 4 THEN 'mismatch' WHEN 5 THEN 'other' ELSE 'document' END AS status, CASE WHEN clip_id % 10 NOT IN (3, 5) THEN clip_id::VARCHAR END AS clip,
+         CASE WHEN clip_id % 10 NOT IN (3, 5) THEN n END AS interactions, CASE WHEN clip_id % 10 NOT IN (3, 5) THEN f END AS frames, CASE WHEN clip_id % 10 NOT IN (3, 5) THEN p END AS confidence
+       FROM clips LEFT JOIN (SELECT clip_id, count(*) AS n0, sum(frame_end - frame_start + 1) AS f0, max(px1) AS p FROM pred GROUP BY 1) USING (clip_id), LATERAL (SELECT coalesce(n0, 0) AS n, coalesce(f0, 0) AS f) WHERE clip_id % 10 <> 6
+       UNION ALL SELECT clip_id::VARCHAR, 'missing', NULL, NULL, NULL, NULL FROM clips WHERE clip_id % 10 IN (4, 6)""",
+)
+def stored_documents(spark, d):
+    """Documents of all clips, written and read back: some damaged, of another shape, named after another clip, or missing."""
+    clips = X.clips(spark, d).withColumn("number", F.col("clip_id")).withColumn("clip_id", F.col("clip_id").cast("string"))
+    docs = R.clip_documents(_interactions(spark, d), clips).join(clips.select("clip_id", "number"), "clip_id").where("number % 10 <> 6")
+    k = F.col("number") % 10
+    name = F.concat(F.when(k == 4, "of_").otherwise(""), "clip_id", F.lit(".json"))
+    text = F.when(k == 3, F.left("value", F.lit(20))).when(k == 5, F.lit('{"clips": []}')).otherwise(F.col("value"))
+    folder = shared_dir(spark)
+    J.write_documents(docs.select(name.alias("name"), text.alias("value")), folder)
+    files = J.with_missing(J.read_documents(spark, folder), clips).withColumn("d", F.from_json("value", R.DOCUMENT))
+    length = F.aggregate("d.interactions", F.lit(0).cast("long"), lambda a, i: a + i["frame_end"] - i["frame_start"] + 1)
+    most = F.array_max(F.transform("d.interactions", lambda i: i["confidence"]))
+    known = F.col("d").isNotNull()
+    return files.select("name", "status", F.col("clip_id").alias("clip"), F.when(known, F.size("d.interactions")).alias("interactions"), F.when(known, length).alias("frames"), F.when(known, most).alias("confidence"))
