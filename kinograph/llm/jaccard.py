@@ -5,11 +5,13 @@
    other set has at all; sets that nothing can be linked with go no further.
 3. The others are partitioned into groups of similar sets: each set's tokens are dealt by hash into segments, more than the
    tokens in which a linked set can differ, so that linked sets agree in one segment at least. A set's group is named by the
-   smallest set with which it shares a segment.
+   most popular set with which it shares a segment: the one whose segments are in the most sets, such as the text of which
+   the others are copies with edits.
 4. The token-group matrix holds each group's token union (with the number of members that have each token). A set is a query
    to every group of which some member shares a segment with it; its overlap with the group's union bounds its overlap with
    any member. Only groups that can reach the threshold are opened.
-5. In an opened group a query is first compared with the member that heads most of their shared segments, then with the
+5. In an opened group a query is first compared with the member that heads most of their shared segments (the most popular
+   one of each), then with the
    heads of the others, if these are in other components by then: links contract sets to components. Where an opened group
    still has members in other components, a second matrix over components, with all tokens, bounds again, and what it opens
    is compared in full.
@@ -338,6 +340,16 @@ def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:
     return F.least(x, y) * den >= F.greatest(x, y) * num
 
 
+def popular_first(segments: DataFrame) -> DataFrame:
+    """Segments (s1, key, ...) of keys that several sets have, with rank, by which the most popular set comes first, and lo, the
+    first rank of the key. Sums and joins, so that no task holds all rows of a key."""
+    counts = segments.groupBy("key").agg(F.count("*").alias("sets"), F.min("s1").alias("lowest"), F.max("s1").alias("last")).where("lowest < last")
+    shared = segments.join(counts.select("key", "sets"), "key")
+    popular = shared.groupBy("s1").agg(F.sum("sets").alias("popular"))
+    ranked = shared.drop("sets").join(popular, "s1").withColumn("rank", F.struct((-F.col("popular")).alias("p"), "s1")).drop("popular")
+    return ranked.join(ranked.groupBy("key").agg(F.min("rank").alias("lo")), "key")
+
+
 def _shared_keys(keyed: DataFrame, what: str) -> DataFrame:
     """The rows of keys that have several values of `what`; sums and a join, so that no task holds all rows of a key."""
     several = keyed.groupBy("key").agg(F.min(what).alias("lo"), F.max(what).alias("hi")).where("lo < hi").select("key", "lo")
@@ -346,13 +358,13 @@ def _shared_keys(keyed: DataFrame, what: str) -> DataFrame:
 
 def open_groups(keyed: DataFrame, sets: DataFrame, num: int, den: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(s1, g, h): the groups h that each set s1, itself of group g, can be linked with by the bound of the matrix; and their
-    heads: (s1, h, head, keys), the smallest member of h for some segment that it shares with the set, if its size fits, and
-    for how many segments.
+    heads: (s1, h, head, keys), the most popular member of h for some segment that it shares with the set, if its size fits,
+    and for how many segments.
 
-    keyed (key, s1, n, need, g) has the sets of keys that several share.
+    keyed (key, s1, n, need, g, rank) has the sets of keys that several share.
     """
-    first = keyed.groupBy("key", F.col("g").alias("h")).agg(F.min(F.struct("s1", "n")).alias("first"), F.max("s1").alias("last"))
-    met = keyed.join(first, "key").where("g <> h or first.s1 < last")
+    first = keyed.groupBy("key", F.col("g").alias("h")).agg(F.min(F.struct("rank.p", "s1", "n")).alias("first"), F.min("s1").alias("lowest"), F.max("s1").alias("last"))
+    met = keyed.join(first, "key").where("g <> h or lowest < last")
     head = F.when((F.col("first.s1") != F.col("s1")) & _sizes_fit(F.col("n"), F.col("first.n"), num, den), F.col("first.s1"))
     met = met.groupBy("s1", "need", "g", "h", "level", "least", head.alias("head")).agg(F.count("*").alias("keys"))
     # a linked set of h shares so many segments with this one, each with some member of h
@@ -449,11 +461,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     nodes = tables.keep(classes.join(linkable(docs, width, num, den), "s1", "left_semi").select(F.col("rep").alias("doc_id"), "s1"))
     sets = tables.keep(token_sets(docs, nodes, width, num, den))
 
-    # the partition: a set's group has the name of the smallest set with which it shares a segment
-    shared = tables.keep(_shared_keys(segments(sets, num, den), "s1"))
+    # the partition: a set's group has the name of the most popular set with which it shares a segment
+    shared = tables.keep(popular_first(segments(sets, num, den)))
     enough = shared.groupBy("s1", "level").agg(F.min("lo").alias("lo"), F.count("*").alias("c"), F.max("least").alias("least")).where("c >= least")
-    label = enough.groupBy("s1").agg(F.min("lo").alias("g"))
-    keyed = shared.select("key", "s1", "level", "least").join(enough.select("s1", "level"), ["s1", "level"], "left_semi")
+    label = enough.groupBy("s1").agg(F.min("lo")["s1"].alias("g"))
+    keyed = shared.select("key", "s1", "level", "least", "rank").join(enough.select("s1", "level"), ["s1", "level"], "left_semi")
     keyed = tables.keep(keyed.join(label, "s1").join(sets.select("s1", "n", "need"), "s1"))
     opened, heads = open_groups(keyed, sets, num, den, tables)
     groups = compare_heads(heads, sets, num, den, tables)
