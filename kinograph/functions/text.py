@@ -187,5 +187,7 @@ def parse_description(text: Column) -> Column:
 
 
 def content_key(*parts: Column) -> Column:
-    """A stable key of its parts."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+    """A stable key of its parts. Each is written after its length, a NULL as a mark of its own, so that different parts never
+    give one text."""
+    texts = [p.cast("string") for p in parts]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)

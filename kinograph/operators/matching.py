@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinograph.functions import boxes as B
 from kinograph.functions import spans as S
+from kinograph.session import Steps
 
 
 def overlap_pairs(preds: DataFrame, gts: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def greedy_matches(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one matches of each key: positive labels before negative ones, agreeing actors, then higher tiou, then ids.
 
     candidates: keys, pred_id, gt_id, tiou, agree, negative. Agreement ranks and never rules out. A key's candidates are
-    folded as one array: the overlaps within one clip.
+    folded as one array: the overlaps within one clip. For keys of many thousands dominant_matches() is the way.
     """
     item = F.struct(F.col("negative").cast("int").alias("neg"), (-F.col("agree").cast("int")).alias("na"), (-F.col("tiou")).alias("nt"), "pred_id", "gt_id", "tiou", "agree")
     arrays = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_c"))
@@ -47,6 +48,31 @@ def greedy_matches(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return folded.select(*keys, "m.pred_id", "m.gt_id", "m.tiou", (F.col("m.neg") == 1).alias("negative"), "m.agree")
 
 
+def dominant_matches(candidates: DataFrame, keys: list[str], steps: Steps | None = None) -> DataFrame:
+    """greedy_matches() in rounds, for keys of any size: no task holds all candidates of a key.
+
+    In a round the pairs that are the first choice of both their prediction and their label are matched, and all pairs of
+    either leave. The order is total, so that the first pair of what is left is always one of them, and no pair that greedy choice
+    would take before it could take its place: the result is the same. A round is two partial aggregations, a join of
+    their results and two anti-joins, kept in the shared folder; the number of rounds is the longest chain of pairs of which each
+    waits for the one before.
+    """
+    steps = steps or Steps(candidates.sparkSession)
+    order = F.struct(F.col("negative").cast("int").alias("neg"), (-F.col("agree").cast("int")).alias("na"), (-F.col("tiou")).alias("nt"), "pred_id", "gt_id")
+    left = steps.keep(candidates.select(*keys, order.alias("o")))
+    out = None
+    while not left.isEmpty():
+        first = lambda side: left.groupBy(*keys, F.col(f"o.{side}").alias(side)).agg(F.min("o").alias("o"))
+        chosen = steps.keep(first("pred_id").select(*keys, "o").join(first("gt_id").select(*keys, "o"), [*keys, "o"]))
+        out = chosen if out is None else out.unionByName(chosen)
+        for side in ("pred_id", "gt_id"):
+            taken = chosen.select(*keys, F.col(f"o.{side}").alias(side))
+            left = left.withColumn(side, F.col(f"o.{side}")).join(taken, [*keys, side], "left_anti").drop(side)
+        left = steps.keep(left)
+    out = left if out is None else out
+    return out.select(*keys, "o.pred_id", "o.gt_id", (-F.col("o.nt")).alias("tiou"), (F.col("o.neg") == 1).alias("negative"), (F.col("o.na") == -1).alias("agree"))
+
+
 def match_events(preds: DataFrame, gts: DataFrame, keys: list[str], least_tiou: float = 0.3, same_type: bool = False) -> DataFrame:
     """greedy_matches() of all pairs with tiou of least_tiou and more; same_type asks positive labels for the same type."""
     pairs = overlap_pairs(preds, gts, keys).where(F.col("tiou") >= least_tiou).withColumn("negative", F.col("g_type") == "pass_by")

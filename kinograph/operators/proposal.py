@@ -17,12 +17,15 @@ RULE_TYPE = {"R1_dwell": "attend_vehicle", "R2_death_near": "enter_vehicle", "R3
 TOLERANCE_S = 0.35
 
 
-def pair_series(persons: DataFrame, vehicles: DataFrame, clips: DataFrame, halves: list[int], window_s: float = 0.4) -> DataFrame:
+def pair_series(persons: DataFrame, vehicles: DataFrame, clips: DataFrame, halves: list[int] | None = None, window_s: float = 0.4) -> DataFrame:
     """Dense series of each person and vehicle that meet in a frame: visible, d_norm (smoothed), iou, speed_bl_s.
 
     persons and vehicles: clip_id, track_id, frame, x1..y2. Frames without both are NULL; smoothing fills them up to half a
-    window. halves: the half widths that occur among the clips' frame rates.
+    window. halves: the half widths that occur among the clips' frame rates; they are read from clips where they aren't given.
     """
+    half = F.floor(S.smooth_frames(window_s, F.col("fps")) / 2).cast("int")
+    if halves is None:
+        halves = [r.half for r in clips.select(half.alias("half")).where("half is not null").distinct().collect()]
     rename = lambda df, p: df.select("clip_id", F.col("track_id").alias(f"{p}id"), "frame", *[F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")])
     met = rename(persons, "p_").join(rename(vehicles, "v_"), ["clip_id", "frame"])
     keys = ["clip_id", "p_id", "v_id"]
@@ -34,7 +37,7 @@ def pair_series(persons: DataFrame, vehicles: DataFrame, clips: DataFrame, halve
     axis = seen.groupBy(*keys).agg(F.first("fps").alias("fps"), F.first("n_frames").alias("n_frames"))
     axis = axis.select(*keys, "fps", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)).alias("frame"))
     dense = axis.join(seen.drop("fps", "n_frames"), [*keys, "frame"], "left").fillna(False, ["visible"])
-    dense = dense.withColumn("half", F.floor(S.smooth_frames(window_s, F.col("fps")) / 2).cast("int"))
+    dense = dense.withColumn("half", half)
     return O.smooth_per_clip(dense, keys, "d_norm", "half", halves).drop("half", "fps")
 
 

@@ -23,12 +23,13 @@ def smooth(series: DataFrame, keys: list[str], value: str, half: int, out: str |
 
 
 def smooth_per_clip(series: DataFrame, keys: list[str], value: str, half: str, halves: list[int]) -> DataFrame:
-    """smooth() where each row's column `half` gives its width; halves lists all widths that occur (window bounds are literals)."""
-    parts = [smooth(series.where(F.col(half) == h), keys, value, h) for h in halves]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """smooth() where each row's column `half` gives its width, in one pass; halves lists the widths, since a window's bounds are
+    literals. A row of another width fails; one whose half is NULL, 0 or less stays as it is."""
+    order = Window.partitionBy(*keys).orderBy("frame")
+    out = F.when(F.coalesce(F.col(half), F.lit(0)) <= 0, F.col(value))
+    for h in sorted({h for h in halves if h > 0}):
+        out = out.when(F.col(half) == h, F.avg(value).over(order.rowsBetween(-h, h)))
+    return series.withColumn(value, out.otherwise(F.raise_error(F.concat(F.lit("a width that isn't listed: "), F.col(half).cast("string")))))
 
 
 def previous_visible(series: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

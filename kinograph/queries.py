@@ -332,7 +332,7 @@ _HALF = "CASE WHEN greatest(3, round_even(0.4::DOUBLE * fps, 0))::INT // 2 = {}
 def pair_series(spark, d):
     det = X.det(spark, d)
     side = lambda c: det.where(F.col("cls") == c).select("clip_id", F.col("cls").alias("track_id"), "frame", "x1", "y1", "x2", "y2")
-    return P.pair_series(side(1), side(2), X.clips(spark, d), [1, 5, 6])
+    return P.pair_series(side(1), side(2), X.clips(spark, d))
 
 
 @query(
@@ -405,6 +405,13 @@ def greedy_matches(spark, d):
     return _matches(spark, d)
 
 
+@query("clip_id:l pred_id:l gt_id:l tiou:d negative:b agree:b", _MATCHED, "SELECT * FROM matches")
+def dominant_matches(spark, d):
+    """The greedy matches by rounds of first choices, as for clips whose overlaps no task could hold."""
+    pairs = M.overlap_pairs(X.pred(spark, d), X.gt(spark, d), ["clip_id"]).where("tiou >= 0.3").withColumn("negative", F.col("g_type") == "pass_by")
+    return M.dominant_matches(pairs, ["clip_id"])
+
+
 X.SQL["cand_same"] = "cand_same AS (SELECT * FROM cand WHERE tiou >= 0.3 AND (negative OR p_type = g_type))"
 X.SQL["matches_same"] = X.greedy_sql("matches_same", "cand_same", "clip_id")
 
@@ -666,33 +673,51 @@ def prompt_phrases(spark, d):
 
 @query(
     "severity:s rule:s key:s", "sig gt clips",
-    """SELECT * FROM (WITH g AS (SELECT clip_id, CASE WHEN gt_id = 7 THEN 6 ELSE gt_id END AS gt_id, frame_start, CASE WHEN gt_id % 50 = 3 THEN frame_start - 1 ELSE frame_end END AS frame_end, CASE WHEN gt_id % 3 = 0 THEN 'man, dark shirt, bag' ELSE 'man' END AS d FROM gt),
+    """SELECT * FROM (WITH g AS (SELECT clip_id, CASE WHEN gt_id = 7 THEN 6 ELSE gt_id END AS gt_id, frame_start, CASE WHEN gt_id % 50 = 3 THEN frame_start - 1 ELSE frame_end END AS frame_end, CASE gt_id % 5 WHEN 0 THEN 'man, dark shirt, bag' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'man' END AS d FROM gt),
        k AS (SELECT g.*, fps, n_frames, g.clip_id::VARCHAR || '/' || gt_id::VARCHAR AS key FROM g LEFT JOIN clips USING (clip_id)),
        r AS (SELECT *, max(frame_end) OVER (PARTITION BY clip_id, d ORDER BY frame_start, frame_end, gt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach, clip_id::VARCHAR || '/' || gt_id::VARCHAR AS key FROM g)
-       SELECT 'error' AS severity, 'duplicate_id' AS rule, key FROM r GROUP BY key HAVING count(*) > 1 UNION ALL SELECT 'error', 'unknown_clip', key FROM k WHERE fps IS NULL UNION ALL SELECT 'error', 'span_order', key FROM k WHERE frame_end < frame_start
-       UNION ALL SELECT 'error', 'span_range', key FROM k WHERE frame_start < 0 OR frame_end >= n_frames UNION ALL SELECT 'warning', 'short', key FROM k WHERE (frame_end - frame_start + 1) / fps < 0.5 UNION ALL SELECT 'warning', 'few_parts', key FROM k WHERE len(string_split(d, ',')) < 3
-       UNION ALL SELECT 'warning', 'overlap', key FROM r WHERE frame_start <= reach UNION ALL SELECT 'info', 'abuts', key FROM r WHERE frame_start = reach + 1 UNION ALL SELECT 'info', 'no_labels', clip_id::VARCHAR FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM g))""",
+       SELECT 'error' AS severity, 'duplicate_id' AS rule, key FROM r GROUP BY key HAVING count(*) > 1 UNION ALL SELECT 'error', 'unknown_clip', key FROM k WHERE fps IS NULL UNION ALL SELECT 'error', 'span_order', key FROM k WHERE frame_end < frame_start AND fps IS NOT NULL
+       UNION ALL SELECT 'error', 'span_range', key FROM k WHERE frame_start < 0 OR frame_end >= n_frames OR frame_start >= n_frames OR frame_end < 0 UNION ALL SELECT 'warning', 'short', key FROM k WHERE (frame_end - frame_start + 1) / fps < 0.5 UNION ALL SELECT 'warning', 'few_parts', key FROM k WHERE d <> '' AND len(string_split(d, ',')) < 3 AND fps IS NOT NULL
+       UNION ALL SELECT 'error', 'empty_desc', key FROM k WHERE coalesce(d, '') = '' AND fps IS NOT NULL UNION ALL SELECT 'warning', 'overlap', key FROM r WHERE frame_start <= reach UNION ALL SELECT 'warning', 'abuts', key FROM r WHERE frame_start = reach + 1 UNION ALL SELECT 'info', 'no_labels', clip_id::VARCHAR FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM g))""",
 )
 def audit_findings(spark, d):
     i = F.col("gt_id")
-    g = X.gt(spark, d).withColumns({"desc": F.when(i % 3 == 0, "man, dark shirt, bag").otherwise("man"), "frame_end": F.when(i % 50 == 3, F.col("frame_start") - 1).otherwise(F.col("frame_end"))})
+    desc = F.when(i % 5 == 0, "man, dark shirt, bag").when(i % 5 == 1, "").when(i % 5 == 2, None).otherwise("man")
+    g = X.gt(spark, d).withColumns({"desc": desc, "frame_end": F.when(i % 50 == 3, F.col("frame_start") - 1).otherwise(F.col("frame_end"))})
     return A.findings(g.withColumn("gt_id", F.when(i == 7, 6).otherwise(i)), X.clips(spark, d))
 
 
+_LABEL_RULES = [
+    ("error", "time_start_s", "abs(t0 - round(frame_start / fps, 3)) > 0.011"), ("error", "time_end_s", "abs(t1 - round(frame_end / fps, 3)) > 0.011"), ("warning", "short", "t1 - t0 < 0.5"), ("error", "span_range", "NOT (frame_start BETWEEN 0 AND n_frames - 1 AND frame_end BETWEEN 0 AND n_frames - 1)"),
+    ("error", "empty_vehicle_desc", "coalesce(v, '') = ''"), ("warning", "few_vehicle_parts", "v <> '' AND len(string_split(v, ',')) < 3"), ("warning", "no_person_anchor_frame", "pa IS NULL"), ("warning", "person_anchor_frame_outside", "pa NOT BETWEEN frame_start AND frame_end"),
+]
+
+
 @query(
-    "severity:s rule:s n:l", "sig gt clips",
-    """SELECT severity, rule, count(*) AS n FROM (WITH g AS (SELECT *, frame_start / fps + CASE WHEN gt_id % 11 = 0 THEN 0.02 ELSE 0.004 END AS t0, frame_end / fps AS t1, CASE WHEN gt_id % 6 = 1 THEN '' WHEN gt_id % 6 = 2 THEN NULL ELSE 'car, red, parked' END AS v, CASE WHEN gt_id % 8 > 0 THEN frame_start + gt_id % 8 - 2 END AS pa FROM gt LEFT JOIN clips USING (clip_id))
-       SELECT 'error' AS severity, 'time_start_s' AS rule FROM g WHERE abs(t0 - round(frame_start / fps, 3)) > 0.011 UNION ALL SELECT 'error', 'time_end_s' FROM g WHERE abs(t1 - round(frame_end / fps, 3)) > 0.011 UNION ALL SELECT 'error', 'empty_vehicle_desc' FROM g WHERE coalesce(v, '') = ''
-       UNION ALL SELECT 'warning', 'no_person_anchor_frame' FROM g WHERE pa IS NULL UNION ALL SELECT 'warning', 'person_anchor_frame_outside' FROM g WHERE pa < frame_start OR pa > frame_end UNION ALL SELECT 'error', 'unknown_clip' FROM g WHERE fps IS NULL) GROUP BY 1, 2""",
+    "severity:s rule:s key:s", "sig gt clips",
+    """SELECT severity, rule, key FROM (WITH g AS (SELECT *, clip_id::VARCHAR || '/' || gt_id::VARCHAR AS key, frame_start / fps + CASE WHEN gt_id % 11 = 0 THEN 0.02 ELSE 0.004 END AS t0, frame_end / fps AS t1, CASE gt_id % 6 WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN 'car, red' ELSE 'car, red, parked' END AS v, CASE WHEN gt_id % 8 > 0 THEN frame_start + gt_id % 8 - 2 END AS pa FROM gt LEFT JOIN clips USING (clip_id)),
+       r AS (SELECT *, max(frame_end) OVER (PARTITION BY clip_id ORDER BY frame_start, frame_end, gt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM g) """
+    + " UNION ALL ".join(f"SELECT '{severity}' AS severity, '{rule}' AS rule, key FROM g WHERE fps IS NOT NULL AND ({hit})" for severity, rule, hit in _LABEL_RULES)
+    + """ UNION ALL SELECT 'error', 'unknown_clip', key FROM g WHERE fps IS NULL UNION ALL SELECT 'warning', 'overlap', key FROM r WHERE frame_start <= reach UNION ALL SELECT 'warning', 'abuts', key FROM r WHERE frame_start = reach + 1
+       UNION ALL SELECT 'info', 'no_labels', clip_id::VARCHAR FROM clips WHERE clip_id NOT IN (SELECT clip_id FROM gt))""",
 )
 def audit_labels(spark, d):
     i, clips = F.col("gt_id"), X.clips(spark, d)
     g = X.gt(spark, d).join(clips.select("clip_id", "fps"), "clip_id", "left")
-    blank = F.when(i % 6 == 1, "").when(i % 6 == 2, None).otherwise("car, red, parked")
+    vehicle = F.when(i % 6 == 1, "").when(i % 6 == 2, None).when(i % 6 == 3, "car, red").otherwise("car, red, parked")
     more = {"desc": F.lit("man, dark shirt, bag"), "time_start_s": F.col("frame_start") / F.col("fps") + F.when(i % 11 == 0, 0.02).otherwise(0.004), "time_end_s": F.col("frame_end") / F.col("fps")}
-    g = g.withColumns(more | {"vehicle_desc": blank, "person_anchor_frame": F.when(i % 8 > 0, F.col("frame_start") + i % 8 - 2)}).drop("fps")
-    names = ["time_start_s", "time_end_s", "empty_vehicle_desc", "no_person_anchor_frame", "person_anchor_frame_outside", "unknown_clip"]
-    return A.findings(g, clips).where(F.col("rule").isin(names)).groupBy("severity", "rule").agg(F.count("*").alias("n"))
+    g = g.withColumns(more | {"vehicle_desc": vehicle, "person_anchor_frame": F.when(i % 8 > 0, F.col("frame_start") + i % 8 - 2)}).drop("fps")
+    return A.findings(g, clips)
+
+
+@query(
+    "events:l labelled_clips:l clips:l positives:l negatives:l ambiguous:l groups:l grouped_events:l", "sig gt clips",
+    """SELECT (SELECT count(*) FROM gt) AS events, (SELECT count(DISTINCT clip_id) FROM gt) AS labelled_clips, (SELECT count(*) FROM clips) AS clips, (SELECT count(*) FROM gt WHERE type <> 'pass_by') AS positives, (SELECT count(*) FROM gt WHERE type = 'pass_by') AS negatives,
+       (SELECT count(*) FROM gt WHERE ambiguous) AS ambiguous, count(*) AS groups, sum(n) AS grouped_events FROM (SELECT clip_id, gt_id // 4, count(*) AS n FROM gt GROUP BY 1, 2 HAVING count(*) > 1)""",
+)
+def label_summary(spark, d):
+    group = F.concat_ws("/", F.col("clip_id").cast("string"), F.floor(F.col("gt_id") / 4).cast("string"))
+    return A.label_summary(X.gt(spark, d).withColumn("event_group_id", group), X.clips(spark, d))
 
 
 @query(

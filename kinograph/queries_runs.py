@@ -12,6 +12,7 @@ from kinograph.registry import query
 from kinograph.session import shared_dir
 from kinograph.sources import documents as J
 from kinograph.sources import records as R
+from kinograph.streaming import pairs as V
 from kinograph.streaming import tracks as K
 
 # --- tracking: every pair of the signal is an object that moves at its own speed; a seventh of its boxes is missing ---
@@ -130,3 +131,35 @@ def stored_documents(spark, d):
     most = F.array_max(F.transform("d.interactions", lambda i: i["confidence"]))
     known = F.col("d").isNotNull()
     return files.select("name", "status", F.col("clip_id").alias("clip"), F.when(known, F.size("d.interactions")).alias("interactions"), F.when(known, length).alias("frames"), F.when(known, most).alias("confidence"))
+
+
+# --- streams: persons and vehicles arrive apart; the first batch job's rows are what the stream has to give ---
+
+_HALF = "CASE WHEN greatest(3, round_even(0.4::DOUBLE * fps, 0))::INT // 2 = {} THEN avg(d) OVER (PARTITION BY clip_id ORDER BY frame ROWS BETWEEN {} PRECEDING AND {} FOLLOWING) END"
+X.SQL["apart"] = f"""apart AS (SELECT a.clip_id, a.frame, coalesce({", ".join(_HALF.format(h, h, h) for h in (1, 5, 6))}) AS d_norm FROM (
+    SELECT a.clip_id, a.frame, a.fps, CASE WHEN p.frame IS NOT NULL AND v.frame IS NOT NULL THEN sqrt(greatest(v.x1 - p.x2, p.x1 - v.x2, 0) ** 2 + greatest(v.y1 - p.y2, p.y1 - v.y2, 0) ** 2) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) END AS d
+    FROM (SELECT clip_id, fps, unnest(range(n_frames)) AS frame FROM clips) a LEFT JOIN det p ON p.clip_id = a.clip_id AND p.frame = a.frame AND p.cls = 1 LEFT JOIN det v ON v.clip_id = a.clip_id AND v.frame = a.frame AND v.cls = 2) a)"""
+X.SQL["apart_spans"] = X.spans_sql("apart_spans", "2.0", "4.0", "apart", "clip_id")
+
+
+def _arriving(spark, rows, folder: str):
+    """A stream of rows that come in a few batches, and of two last ones long after them: the first moves the watermark past all
+    rows, and the batch of the second sees that."""
+    rows.repartitionByRange(3, "ts").write.parquet(folder)
+    for _ in range(2):
+        rows.limit(1).withColumns({"clip_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit(1_000_000))}).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("clip_id:l frame_start:l frame_end:l min_d:d", "det clips apart apart_spans", "SELECT clip_id, frame_start, frame_end, min_d FROM apart_spans")
+def streamed_pair_spans(spark, d):
+    """Contact spans of the first two classes of each clip, by a join of two streams; the result is read from the stream's files."""
+    clips = X.clips(spark, d).select("clip_id", "fps", "n_frames")
+    seen = X.det(spark, d).join(clips, "clip_id").withColumn("ts", F.timestamp_micros((1e9 + F.col("frame") * 1e6 / F.col("fps")).cast("long")))
+    side = lambda cls, more=(): seen.where(F.col("cls") == cls).select("clip_id", F.col("cls").alias("track_id"), F.col("frame").cast("int").alias("frame"), "x1", "y1", "x2", "y2", "ts", *more)
+    folder = shared_dir(spark)
+    persons, vehicles = _arriving(spark, side(1, ("fps", "n_frames")), f"{folder}/persons"), _arriving(spark, side(2), f"{folder}/vehicles")
+    spans = V.stream_pair_spans(persons, vehicles, 2.0, 4.0, delay="1 hour")
+    run = spans.writeStream.format("parquet").option("path", f"{folder}/spans").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(spans.schema).parquet(f"{folder}/spans").where("clip_id >= 0")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -69,3 +70,24 @@ def shared_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Steps:
+    """Parquet tables between the rounds of an iteration, in the shared folder: they cut lineage, outlive lost executors, and go
+    with the application, since a result may still be read from them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, shared_dir(spark), 0
+        atexit.register(self.drop)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        at = f"{self.path}/{self.n}"
+        df.write.parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self) -> None:
+        if self.spark.sparkContext._jsc is not None:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        atexit.unregister(self.drop)
