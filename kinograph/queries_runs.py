@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from kinograph import fixtures as X
 from kinograph.operators import series as O
+from kinograph.config import Config
 from kinograph.plans import evaluation as E
+from kinograph.plans import run as N
 from kinograph.plans import sweep as W
 from kinograph.registry import query
 from kinograph.session import shared_dir
@@ -163,3 +165,76 @@ def streamed_pair_spans(spark, d):
     run = spans.writeStream.format("parquet").option("path", f"{folder}/spans").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(spans.schema).parquet(f"{folder}/spans").where("clip_id >= 0")
+
+
+# --- a whole run: planted detections and doors to interactions with all their evidence ---
+
+RUN = Config().with_tunables(tau_near=0.40, tau_far=0.80, min_dwell_s=0.5)
+X.SQL["runclips"] = "runclips AS (SELECT clip_id, 1920 AS width, 1080 AS height, 25.0::DOUBLE AS fps, (max(frame) + 11)::INT AS n_frames FROM close GROUP BY 1)"
+# persons are moved next to the vehicle after them, so that they meet
+X.SQL["close"] = """close AS (SELECT clip_id, pair_id, frame, cls, x1 + CASE WHEN cls = 0 THEN 230 ELSE 0 END AS x1, y1, x2 + CASE WHEN cls = 0 THEN 230 ELSE 0 END AS x2, y2, conf FROM planted)"""
+X.SQL["truth_close"] = X.SQL["truth"].replace("FROM planted", "FROM close")
+_GAP = "greatest(v.x1 - p.x2, p.x1 - v.x2, 0) ** 2 + greatest(v.y1 - p.y2, p.y1 - v.y2, 0) ** 2"
+_MEET = "greatest(0, least(p.x2, v.x2) - greatest(p.x1, v.x1)) * greatest(0, least(p.y2, v.y2) - greatest(p.y1, v.y1))"
+_EDGE = lambda f: f"{f}(x1, frame) <= 21.6 OR {f}(y1, frame) <= 21.6 OR {f}(x2, frame) >= 1920 - 21.6 OR {f}(y2, frame) >= 1080 - 21.6"
+_SHARE = lambda who: ", ".join(f"printf('%.5f', {f}({c}) / {side}.0)::DOUBLE AS {who}{c}" for f, c, side in (("min", "x1", 1920), ("min", "y1", 1080), ("max", "x2", 1920), ("max", "y2", 1080)))
+X.SQL["run"] = (
+    f"""trk AS (SELECT f.clip_id, f.track_id, f.person, k.cls, frame, x1, y1, x2, y2 FROM followed f JOIN kinds k ON k.clip_id = f.clip_id AND k.track_id = f.track_id),
+  inv AS (SELECT clip_id, track_id, any_value(cls) AS cls, min(frame) AS birth, max(frame) AS death, CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(stddev_pop((x1 + x2) / 2) ** 2 + stddev_pop((y1 + y2) / 2) ** 2) / avg(sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2)) END < 0.05 AS static,
+    {_EDGE("arg_min")} AS born_edge, {_EDGE("arg_max")} AS died_edge FROM trk GROUP BY 1, 2),
+  met AS (SELECT p.clip_id, p.track_id AS p_id, v.track_id AS v_id, p.frame, sqrt({_GAP}) / sqrt((v.x2 - v.x1) ** 2 + (v.y2 - v.y1) ** 2) AS d, {_MEET} / ((p.x2 - p.x1) * (p.y2 - p.y1) + (v.x2 - v.x1) * (v.y2 - v.y1) - {_MEET}) AS iou FROM trk p JOIN trk v ON p.clip_id = v.clip_id AND p.frame = v.frame WHERE p.person AND NOT v.person),
+  axis AS (SELECT k.*, unnest(range(n_frames)) AS frame FROM (SELECT DISTINCT clip_id, p_id, v_id FROM met) k JOIN runclips USING (clip_id)),
+  pser AS (SELECT a.*, iou, avg(d) OVER (PARTITION BY a.clip_id, a.p_id, a.v_id ORDER BY a.frame ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS d_norm FROM axis a LEFT JOIN met m ON m.clip_id = a.clip_id AND m.p_id = a.p_id AND m.v_id = a.v_id AND m.frame = a.frame),"""
+    + X.spans_sql("rsp", "0.40", "0.80", "pser", "clip_id, p_id, v_id")
+    + """,
+  doors AS (SELECT c.clip_id, c.frame, x1 + 5 AS x1, y1 + 40 AS y1, x1 + 30 AS x2, y1 + 100 AS y2, (event_id % 100) / 100 AS conf FROM close c JOIN sig s ON s.pair_id = c.pair_id AND s.frame = c.frame WHERE cls <> 0 AND event_type = 'purchase'),
+  cue AS (SELECT v.clip_id, v.track_id, v.frame, max(o.conf) AS cue FROM trk v JOIN doors o ON v.clip_id = o.clip_id AND v.frame = o.frame WHERE NOT v.person AND greatest(0, least(v.x2, o.x2) - greatest(v.x1, o.x1)) * greatest(0, least(v.y2, o.y2) - greatest(v.y1, o.y1)) / ((o.x2 - o.x1) * (o.y2 - o.y1)) >= 0.5 GROUP BY ALL),
+  said AS (SELECT r.clip_id, r.p_id, r.v_id, r.sid, max(iou) AS mi, max(cue) AS door FROM rsp r JOIN pser s ON s.clip_id = r.clip_id AND s.p_id = r.p_id AND s.v_id = r.v_id AND s.frame BETWEEN r.frame_start AND r.frame_end LEFT JOIN cue c ON c.clip_id = r.clip_id AND c.track_id = r.v_id AND c.frame = s.frame GROUP BY 1, 2, 3, 4),
+  hit AS (SELECT r.*, mi, p.birth, p.death, p.born_edge, p.died_edge, v.static, v.cls, n_frames, list_filter([CASE WHEN (r.frame_end - r.frame_start + 1) / 25.0 >= 0.5 THEN 'R1_dwell' END, CASE WHEN abs(p.death - r.frame_end) <= 9 THEN 'R2_death_near' END, CASE WHEN abs(p.birth - r.frame_start) <= 9 THEN 'R3_birth_near' END, CASE WHEN door >= 0.3 THEN 'R4_door_change' END], lambda x: x IS NOT NULL) AS rules
+    FROM rsp r JOIN said s USING (clip_id, p_id, v_id, sid) JOIN inv p ON p.clip_id = r.clip_id AND p.track_id = r.p_id JOIN inv v ON v.clip_id = r.clip_id AND v.track_id = r.v_id JOIN runclips c ON c.clip_id = r.clip_id),
+  taken AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_start, frame_end, p_id, v_id) AS n FROM hit WHERE len(rules) > 0),"""
+    + f"""
+  pbox AS (SELECT t.clip_id, n, {_SHARE("p")} FROM taken t JOIN trk k ON k.clip_id = t.clip_id AND k.track_id = t.p_id AND k.frame BETWEEN t.frame_start AND t.frame_end GROUP BY 1, 2),
+  vbox AS (SELECT t.clip_id, n, {_SHARE("v")} FROM taken t JOIN trk k ON k.clip_id = t.clip_id AND k.track_id = t.v_id AND k.frame BETWEEN t.frame_start AND t.frame_end GROUP BY 1, 2)"""
+)
+_FIRST = "CASE WHEN list_contains(rules, 'R2_death_near') THEN 'R2_death_near' WHEN list_contains(rules, 'R3_birth_near') THEN 'R3_birth_near' WHEN list_contains(rules, 'R4_door_change') THEN 'R4_door_change' ELSE 'R1_dwell' END"
+
+
+def _run(spark, d):
+    dets = planted(spark, d)
+    moved = F.when(F.col("cls") == 0, 230).otherwise(0)
+    dets = dets.withColumns({"x1": F.col("x1") + moved, "x2": F.col("x2") + moved})
+    clips = dets.groupBy("clip_id").agg((F.max("frame") + 11).cast("int").alias("n_frames")).withColumns({"width": F.lit(1920), "height": F.lit(1080), "fps": F.lit(25.0)})
+    opened = dets.where("cls <> 0").join(X.sig(spark, d).where("event_type = 'purchase'").select("pair_id", "frame", "event_id"), ["pair_id", "frame"])
+    doors = opened.select("clip_id", "frame", (F.col("x1") + 5).alias("door_x1"), (F.col("y1") + 40).alias("door_y1"), (F.col("x1") + 30).alias("door_x2"), (F.col("y1") + 100).alias("door_y2"), ((F.col("event_id") % 100) / 100).alias("door_conf"))
+    return N.clip_run(dets.drop("pair_id"), clips, RUN, doors), clips
+
+
+@query(
+    "interaction_id:s event_group_id:s type:s rule:s rules:s frame_start:l frame_end:l time_start_s:d time_end_s:d p_id:l v_id:l vehicle_cls:l confidence:d min_d_norm:d dwell_s:d max_iou:d vehicle_is_static:b person_birth:l person_death:l birth_at_clip_start:b death_at_clip_end:b born_at_frame_edge:b died_at_frame_edge:b px1:d py1:d px2:d py2:d vx1:d vy1:d vx2:d vy2:d",
+    "sig planted close runclips truth_close run",
+    f"""SELECT printf('%d__i%03d', clip_id, n) AS interaction_id, printf('%d__g%03d', clip_id, n) AS event_group_id, CASE rule WHEN 'R1_dwell' THEN 'attend_vehicle' WHEN 'R2_death_near' THEN 'enter_vehicle' WHEN 'R3_birth_near' THEN 'exit_vehicle' ELSE 'open_close_door' END AS type, rule, list_aggregate(list_sort(rules), 'string_agg', ',') AS rules,
+       frame_start, frame_end, round(frame_start / 25.0, 3) AS time_start_s, round(frame_end / 25.0, 3) AS time_end_s, p_id, v_id, cls AS vehicle_cls, 0.5 AS confidence, printf('%.4f', min_d)::DOUBLE AS min_d_norm, round((frame_end - frame_start + 1) / 25.0, 3) AS dwell_s, printf('%.4f', mi)::DOUBLE AS max_iou, static AS vehicle_is_static,
+       birth AS person_birth, death AS person_death, birth <= 9 AS birth_at_clip_start, death >= n_frames - 1 - 9 AS death_at_clip_end, born_edge AS born_at_frame_edge, died_edge AS died_at_frame_edge, px1, py1, px2, py2, vx1, vy1, vx2, vy2
+       FROM (SELECT *, {_FIRST} AS rule FROM taken) JOIN pbox USING (clip_id, n) JOIN vbox USING (clip_id, n)""",
+)
+def clip_run(spark, d):
+    """Everything a run says of its interactions, from detections and doors."""
+    run, _ = _run(spark, d)
+    boxes = {f"{who}{c}": F.get(f"{who}_box_norm", F.lit(k)) for who in "pv" for k, c in enumerate(("x1", "y1", "x2", "y2"))}
+    return run.interactions.withColumns(boxes | {"rules": F.array_join("rules", ",")})
+
+
+@query(
+    "name:s n_tracks:l n_candidates:l n_interactions:l first:s", "sig planted close runclips truth_close run",
+    """SELECT clip_id::VARCHAR AS name, (SELECT count(*) FROM inv i WHERE i.clip_id = c.clip_id) AS n_tracks, count(t.n) AS n_candidates, count(t.n) AS n_interactions, CASE WHEN count(t.n) > 0 THEN printf('%d__i001', clip_id) END AS first FROM runclips c LEFT JOIN taken t USING (clip_id) GROUP BY clip_id""",
+)
+def run_documents(spark, d):
+    """A run's documents, written to a folder and read back: both of each clip."""
+    run, clips = _run(spark, d)
+    folder = shared_dir(spark)
+    J.write_documents(N.documents(run, clips, RUN), folder)
+    files = J.read_documents(spark, folder)
+    told = J.pooled_documents(J.with_missing(files, clips), R.DOCUMENT).select("name", F.size("document.interactions").alias("n_interactions"), F.get("document.interactions", F.lit(0))["interaction_id"].alias("first"))
+    debug = spark.read.text(f"{folder}/*.debug.json", wholetext=True).select(F.from_json("value", "clip_id string, n_candidates long, tracks array<struct<id: int>>, rejected array<struct<reason: string>>").alias("d"))
+    return told.join(debug.select(F.col("d.clip_id").alias("name"), F.size("d.tracks").alias("n_tracks"), "d.n_candidates"), "name")
