@@ -52,13 +52,26 @@ def test_rates_and_upserts(spark):
 
 def test_config():
     base = C.Config()
-    assert base.with_tunables(tau_near=0.06).hash != base.hash == C.load({}).hash
+    assert base.with_tunables(tau_near=0.06).hash != base.hash == C.load({}).hash == C.parse("").hash
     assert C.load({"tunable": {"tau_near": 0.06}}, {"tunable": {"tau_far": 0.3}}).tunable.tau_far == 0.3
-    for bad in ({"tau_near": 0.3}, {"tau_far": 0.9}, {"nothing": 1}):
+    assert base.with_tunables(context_pad_s=2).hash == base.with_tunables(context_pad_s=2.0).hash
+    for bad in ({"tau_near": 0.3}, {"tau_far": 0.9}, {"nothing": 1}, {"det_conf": "high"}, {"n_vlm_frames": True}):
         with pytest.raises(C.ConfigError):
             base.with_tunables(**bad)
+    for bad in ({"nothing": 1}, {"vlm": {"temperature": 0.5}}, {"vlm": {"batch_size": 2}}, {"tracker": {"det_floor": 0.7}}, {"tracker": {"gmc": 3}}):
+        with pytest.raises(C.ConfigError):
+            C.load(bad)
+    with pytest.raises(C.ConfigError, match="tau_far.*;.*below"):
+        C.load({"tunable": {"tau_near": 0.4, "tau_far": 0.05}})
     with pytest.raises(C.ConfigError):
-        C.load({"nothing": 1})
+        C.parse("[1, 2]")
+
+
+def test_configurations_as_text():
+    pytest.importorskip("yaml")
+    config = C.parse("tunable:\n  tau_near: 0.12\npaths:\n  outputs: there\n", {"tunable": {"n_vlm_frames": 8}})
+    assert (config.tunable.tau_near, config.tunable.n_vlm_frames, config.paths.outputs, config.tracker.det_floor) == (0.12, 8, "there", 0.1)
+    assert C.parse(C.dumped(config)).hash == config.hash
 
 
 def test_streamed_spans(spark, tmp_path):
