@@ -14,6 +14,7 @@ from kinograph.registry import query
 from kinograph.session import shared_dir
 from kinograph.sources import documents as J
 from kinograph.sources import records as R
+from kinograph.sources import responses as Y
 from kinograph.streaming import pairs as V
 from kinograph.streaming import tracks as K
 
@@ -238,3 +239,32 @@ def run_documents(spark, d):
     told = J.pooled_documents(J.with_missing(files, clips), R.DOCUMENT).select("name", F.size("document.interactions").alias("n_interactions"), F.get("document.interactions", F.lit(0))["interaction_id"].alias("first"))
     debug = spark.read.text(f"{folder}/*.debug.json", wholetext=True).select(F.from_json("value", "clip_id string, n_candidates long, tracks array<struct<id: int>>, rejected array<struct<reason: string>>").alias("d"))
     return told.join(debug.select(F.col("d.clip_id").alias("name"), F.size("d.tracks").alias("n_tracks"), "d.n_candidates"), "name")
+
+
+# --- responses: batches of a keyed store, some repeated, some older than what they meet ---
+
+
+@query(
+    "event_id:l raw:s batch:s rows_kept:l", "",
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'second ' ELSE 'first ' END || event_id AS raw, CASE WHEN event_id % 3 = 0 THEN 'second' ELSE 'first' END AS batch, (SELECT count(*) FROM events) AS rows_kept FROM events""",
+)
+def upserted_responses(spark, d):
+    """Each event's response from a store: a first batch, a later one of a third of the keys that is written twice, a compaction, and one
+    that is older than both."""
+    events = X.sig(spark, d).select("event_id")
+    store = Y.Responses(spark, shared_dir(spark))
+
+    def put(rows, batch: str, at: int):
+        text = F.concat(F.lit(f"{batch} "), F.col("event_id").cast("string"))
+        key = Y.salted(F.col("event_id").cast("string"), F.lit("model"), F.lit("1"), F.lit(512), F.lit(None))
+        columns = {"key": key, "at": F.timestamp_seconds(F.lit(at)), "model_id": F.lit("model"), "revision": F.lit("1"), "max_pixels_per_frame": F.lit(None).cast("int"), "frame_indices": F.array(F.lit(0)), "raw": text, "parsed": F.lit(batch)}
+        store.append(rows.withColumns(columns), batch)
+
+    put(events, "first", 100)
+    for _ in range(2):
+        put(events.where("event_id % 3 = 0"), "second", 200)
+    store.compact()
+    put(events.where("event_id % 5 = 0"), "older", 50)
+    kept = store.read()
+    n = kept.agg(F.count("*").alias("rows_kept"))
+    return kept.join(F.broadcast(n)).select(F.split_part("raw", F.lit(" "), F.lit(2)).cast("long").alias("event_id"), "raw", F.col("parsed").alias("batch"), "rows_kept")
