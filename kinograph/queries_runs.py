@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinograph import fixtures as X
+from kinograph.operators import camera as Z
 from kinograph.operators import series as O
 from kinograph.config import Config
 from kinograph.plans import evaluation as E
@@ -268,3 +269,43 @@ def upserted_responses(spark, d):
     kept = store.read()
     n = kept.agg(F.count("*").alias("rows_kept"))
     return kept.join(F.broadcast(n)).select(F.split_part("raw", F.lit(" "), F.lit(2)).cast("long").alias("event_id"), "raw", F.col("parsed").alias("batch"), "rows_kept")
+
+
+# --- camera motion: a grid of points of each planted homography; every fifth point of the second frame is somewhere else ---
+
+_GRID = 36
+X.SQL["shaken"] = "shaken AS (SELECT vec_id AS clip_id, [1 + 0.1 * embedding[1]::DOUBLE, 0.1 * embedding[2]::DOUBLE, 10 * embedding[3]::DOUBLE, 0.1 * embedding[4]::DOUBLE, 1 + 0.1 * embedding[5]::DOUBLE, 10 * embedding[6]::DOUBLE] AS h FROM embeddings)"
+
+
+def _shaken(spark, d):
+    """Points of two frames a second apart, of one clip for each planted homography."""
+    k = F.col("k")
+    rows = X.homographies(spark, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(_GRID - 1))))
+    rows = rows.select(F.col("vec_id").alias("clip_id"), "h", k.alias("point_id"), (100 * (k % 6)).cast("double").alias("x"), (80 * F.floor(k / 6)).cast("double").alias("y"))
+    at = lambda i: F.get("h", F.lit(i))
+    away = F.when(F.col("point_id") % 5 == 4, 40 + 7 * (F.col("point_id") % 11)).otherwise(0)
+    first = rows.select("clip_id", F.lit(0).alias("frame"), "point_id", "x", "y")
+    second = rows.select("clip_id", F.lit(25).alias("frame"), "point_id", (at(0) * F.col("x") + at(1) * F.col("y") + at(2) + away).alias("x"), (at(3) * F.col("x") + at(4) * F.col("y") + at(5) - 2 * away).alias("y"))
+    clips = rows.select("clip_id").distinct().withColumns({"fps": F.lit(25.0), "n_frames": F.lit(26), "width": F.lit(1280)})
+    return first.unionByName(second), clips
+
+
+@query(
+    "clip_id:l frame_a:l frame_b:l h00:d h01:d h02:d h10:d h11:d h12:d n_matches:l n_inliers:l ok:b", "shaken",
+    """SELECT clip_id, 0 AS frame_a, 25 AS frame_b, h[1] AS h00, h[2] AS h01, h[3] AS h02, h[4] AS h10, h[5] AS h11, h[6] AS h12, 36 AS n_matches, 29 AS n_inliers, true AS ok FROM shaken""",
+)
+def camera_motion(spark, d):
+    """The homography of each clip's sampled frames, found again from points of which a fifth is wrong."""
+    points, clips = _shaken(spark, d)
+    found = Z.homographies(Z.lagged_points(points, Z.sampled_pairs(clips)))
+    # + 0.0: no negative zeros
+    return found.withColumns({f"h{i}{j}": F.round(F.get("h", F.lit(3 * i + j)), 6) + 0.0 for i in (0, 1) for j in (0, 1, 2)})
+
+
+@query(
+    "clip_id:l pairs:l estimated:l median_shift:d static:b", "shaken",
+    "SELECT clip_id, 1 AS pairs, 1 AS estimated, sqrt(h[3] ** 2 + h[6] ** 2) AS median_shift, sqrt(h[3] ** 2 + h[6] ** 2) / 1280 < 0.004 AS static FROM shaken",
+)
+def motion_report(spark, d):
+    points, clips = _shaken(spark, d)
+    return Z.motion_report(Z.homographies(Z.lagged_points(points, Z.sampled_pairs(clips))), clips)
