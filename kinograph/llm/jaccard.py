@@ -41,6 +41,8 @@ FILTER_BITS = 1 << 24
 #: The share of tokens that stands for a set in the first matrix, in units of 1 - threshold (above 1); smaller sets, of up to
 #: WHOLE tokens, are stood for by all of theirs.
 SAMPLED, WHOLE = 1.75, 40
+#: Groups of so many members aren't bounded by their union in the second matrix.
+FEW = 3
 #: A task compares so many tokens among each other before it hands them on.
 HELD = 1_000_000
 
@@ -428,11 +430,16 @@ def pairs_left(keyed: DataFrame, opened: DataFrame, heads: DataFrame, sets: Data
     may_reach = (F.col("h") < F.col("g")) & enough(F.least("shared", "most_shared"), F.col("n"), F.col("least_n"))
     queries = left.join(by_group, "key").where(may_reach).groupBy("s1", "n", "shared", "h", "level", "least").agg(F.count("*").alias("keys"))
     queries = tables.keep(queries.where("keys >= least").select("s1", "n", "shared", "h").distinct())
+    # the union of a group of very few members bounds no better than they do: such groups are opened as they are
+    size = left.select("s1", F.col("g").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("size"))
+    sized = tables.keep(queries.join(size, "h"))
+    few = sized.where(F.col("size") <= FEW).select("s1", "n", "h", F.col("n").alias("c"))
     tokens = owned.join(left.select("s1").distinct(), "s1", "left_semi")
-    union = tokens.select(F.col("g").alias("h"), "token").distinct()
-    asked = tokens.select("s1", "token").join(queries, "s1")
+    union = tokens.join(size.where(F.col("size") > FEW).withColumnRenamed("h", "g"), "g", "left_semi").select(F.col("g").alias("h"), "token").distinct()
+    asked = tokens.select("s1", "token").join(sized.where(F.col("size") > FEW), "s1")
     overlap = asked.join(union, ["h", "token"]).groupBy("s1", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
-    reached = left.select("key", "level", "least", "s1", "shared").join(tables.keep(overlap, "opened_again"), "s1")
+    opened_again = tables.keep(overlap.unionByName(few), "opened_again")
+    reached = left.select("key", "level", "least", "s1", "shared").join(opened_again, "s1")
     members = left.select("key", F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"), F.col("label").alias("other_label"), F.col("least").alias("other_least"))
     met = reached.join(members, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
     met = met.groupBy("s1", "other", "other_label", "level", "least", "other_least").agg(F.count("*").alias("keys"))
