@@ -88,6 +88,83 @@ def localization(typed: DataFrame) -> DataFrame:
     return typed.agg(F.count("*").alias("n"), F.median(F.abs(s)).alias("abs_start"), F.median(F.abs(e)).alias("abs_end"), F.median(s).alias("signed_start"), F.median(e).alias("signed_end"))
 
 
+# Types with enough labels for rates, and those of which only counts are told
+RATED, COUNTED = ["enter_vehicle", "exit_vehicle"], ["attend_vehicle", "open_close_door", "load_unload"]
+POOLED = "POOLED"
+
+
+def full_report(preds: DataFrame, gts: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5)) -> DataFrame:
+    """One row for each clip and variant (threshold, with or without ambiguous labels), and one for all clips together (scope POOLED).
+
+    (scope, least_tiou, confident, n_clips, n_positives, n_predictions, detection, negatives, per_type, rare, confusion,
+    localization): detection and per_type have tp, fp, fn, precision, recall and f1; negatives how many there are, how many
+    were fired on, their rate and ids; rare only counts; confusion the matched pairs by labelled and predicted type;
+    localization the medians of boundary errors and overlap. Matching is within clips, whatever the scope. The rows of a scope
+    are sums, so that pooled ones need no second matching.
+    """
+    spark = preds.sparkSession
+    chosen = F.broadcast(spark.createDataFrame([(t, c) for t in thresholds for c in (False, True)], "least_tiou double, confident boolean"))
+    variant, keys = ["least_tiou", "confident"], ["clip_id", "least_tiou", "confident"]
+    clear = ~F.col("confident") | ~F.col("ambiguous")
+    pairs = M.overlap_pairs(preds, gts, ["clip_id"]).withColumn("negative", F.col("g_type") == "pass_by")
+    matches = M.greedy_matches(pairs.join(chosen, (F.col("tiou") >= F.col("least_tiou")) & clear), keys)
+    p, g = preds.select("clip_id", "pred_id", "type", "frame_start", "frame_end"), gts.select("clip_id", "gt_id", "type", "frame_start", "frame_end", "ambiguous")
+    met = matches.join(p.selectExpr("clip_id", "pred_id", "type as p_type", "frame_start as p0", "frame_end as p1"), ["clip_id", "pred_id"])
+    met = met.join(g.selectExpr("clip_id", "gt_id", "type as g_type", "frame_start as g0", "frame_end as g1"), ["clip_id", "gt_id"])
+
+    def scoped(rows: DataFrame, *more: str) -> tuple:
+        """The rows by clip and variant and by variant alone, and the scope's name."""
+        sets = [[*keys, *more], [*variant, *more]]
+        return rows.groupingSets(sets, *keys, *more), F.when(F.grouping("clip_id") == 1, POOLED).otherwise(F.col("clip_id").cast("string")).alias("scope")
+
+    of = lambda c, t: F.count_if(F.col(c) == t)
+    grouped, scope = scoped(p.join(chosen))
+    made = grouped.agg(scope, F.count("*").alias("n_predictions"), *[of("type", t).alias(f"p_{t}") for t in RATED]).drop("clip_id")
+    grouped, scope = scoped(g.join(chosen, clear))
+    asked = grouped.agg(scope, F.count_if(F.col("type") != "pass_by").alias("n_positives"), of("type", "pass_by").alias("n_negatives"), *[of("type", t).alias(f"g_{t}") for t in [*RATED, *COUNTED]]).drop("clip_id")
+    good = ~F.col("negative")
+    middle = lambda v: F.median(F.when(good, v))
+    start, end = F.col("p0") - F.col("g0"), F.col("p1") - F.col("g1")
+    # the clip again, under a name that grouping doesn't blank
+    grouped, scope = scoped(met.withColumn("of_clip", F.col("clip_id").cast("string")))
+    ids = F.array_sort(F.collect_list(F.when(F.col("negative"), F.struct("of_clip", "gt_id"))))
+    hit = grouped.agg(
+        scope, F.count_if(good).alias("tp"), F.count_if("negative").alias("n_fired"), ids.alias("fired_ids"), *[F.count_if(good & (F.col("g_type") == t) & (F.col("p_type") == t)).alias(f"tp_{t}") for t in RATED],
+        middle(F.abs(start)).alias("abs_start"), middle(F.abs(end)).alias("abs_end"), middle(start).alias("signed_start"), middle(end).alias("signed_end"), S.rounded(middle(F.col("tiou")), 4).alias("tiou"),
+    ).drop("clip_id")
+    grouped, scope = scoped(met.where(good), "g_type", "p_type")
+    cells = grouped.agg(scope, F.count("*").alias("n")).drop("clip_id")
+    confusion = cells.groupBy("scope", *variant).agg(F.array_sort(F.collect_list(F.struct("g_type", "p_type", "n"))).alias("confusion"))
+
+    by = ["scope", *variant]
+    every = made.join(asked, by, "full").join(hit, by, "left").join(confusion, by, "left")
+    every = every.fillna(0, [c for c, k in every.dtypes if k == "bigint"])
+    n_clips = preds.select("clip_id").union(gts.select("clip_id")).agg(F.countDistinct("clip_id").alias("_clips"))
+    every = every.join(F.broadcast(n_clips))
+
+    def prf(tp: Column, made: Column, asked: Column) -> Column:
+        fp, fn = made - tp, asked - tp
+        return F.struct(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+    c = F.col
+    return every.select(
+        *by, F.when(c("scope") == POOLED, c("_clips")).otherwise(1).alias("n_clips"), "n_positives", "n_predictions",
+        prf(c("tp"), c("n_predictions"), c("n_positives")).alias("detection"),
+        F.struct(c("n_negatives").alias("n"), c("n_fired").alias("fired"), rate(c("n_fired"), c("n_negatives")).alias("rate"), F.coalesce("fired_ids", F.array().cast("array<struct<of_clip: string, gt_id: bigint>>")).alias("ids")).alias("negatives"),
+        F.struct(*[prf(c(f"tp_{t}"), c(f"p_{t}"), c(f"g_{t}")).alias(t) for t in RATED]).alias("per_type"),
+        F.struct(*[c(f"g_{t}").alias(t) for t in COUNTED]).alias("rare"),
+        F.coalesce("confusion", F.array().cast("array<struct<g_type: string, p_type: string, n: bigint>>")).alias("confusion"),
+        F.struct(c("tp").alias("n"), "abs_start", "abs_end", "signed_start", "signed_end", "tiou").alias("localization"),
+    )
+
+
+def report_documents(report: DataFrame) -> DataFrame:
+    """(name, value): the reports of each scope as one JSON document, metrics/<scope>.json."""
+    fields = F.struct(*[c for c in report.columns if c != "scope"])
+    listed = report.groupBy("scope").agg(F.array_sort(F.collect_list(fields)).alias("variants"))
+    return listed.select(F.concat(F.lit("metrics/"), "scope", F.lit(".json")).alias("name"), F.to_json(F.struct("scope", "variants")).alias("value"))
+
+
 def leave_one_out(counts: DataFrame) -> DataFrame:
     """For each clip (fold) the setting with the best F1 over all other clips (ties: the first position), and its counts on
     that clip. counts: clip_id, pos, tp, fp, fn for every clip and setting.

@@ -15,6 +15,7 @@ from kinograph.operators import series as O
 from kinograph.plans import audit as A
 from kinograph.plans import evaluation as E
 from kinograph.plans import reports as R
+from kinograph.plans import sweep as W
 from kinograph.registry import ORACLES, QUERIES, query
 from kinograph.session import table
 
@@ -456,6 +457,30 @@ def prf_by_variant(spark, d):
     return E.variants(X.pred(spark, d), X.gt(spark, d))
 
 
+X.SQL["report"] = """rk AS (SELECT unnest([0.3, 0.5])::DOUBLE AS least_tiou, unnest([false, false]) AS confident UNION ALL SELECT unnest([0.3, 0.5])::DOUBLE, unnest([true, true])),
+  rp AS (SELECT coalesce(clip_id::VARCHAR, 'POOLED') AS scope, least_tiou, confident, count(*) AS n_pred, count(*) FILTER (WHERE type = 'enter_vehicle') AS p_enter FROM pred, rk GROUP BY GROUPING SETS ((clip_id, least_tiou, confident), (least_tiou, confident))),
+  rg AS (SELECT coalesce(clip_id::VARCHAR, 'POOLED') AS scope, least_tiou, confident, count(*) FILTER (WHERE type <> 'pass_by') AS n_pos, count(*) FILTER (WHERE type = 'pass_by') AS n_neg, count(*) FILTER (WHERE type = 'enter_vehicle') AS g_enter, count(*) FILTER (WHERE type = 'load_unload') AS n_load FROM gt, rk WHERE NOT confident OR NOT ambiguous GROUP BY GROUPING SETS ((clip_id, least_tiou, confident), (least_tiou, confident))),
+  rm AS (SELECT m.*, p.type AS p_type, g.type AS g_type, p.frame_start - g.frame_start AS s, p.frame_end - g.frame_end AS e FROM matches_v m JOIN pred p ON p.clip_id = m.clip_id AND p.pred_id = m.pred_id JOIN gt g ON g.clip_id = m.clip_id AND g.gt_id = m.gt_id),
+  rh AS (SELECT coalesce(clip_id::VARCHAR, 'POOLED') AS scope, least_tiou, confident, count(*) FILTER (WHERE NOT negative) AS tp, count(*) FILTER (WHERE negative) AS fired, count(*) FILTER (WHERE NOT negative AND p_type = g_type AND p_type = 'enter_vehicle') AS tp_enter, median(s) FILTER (WHERE NOT negative) AS signed_start, median(abs(e)) FILTER (WHERE NOT negative) AS abs_end, median(tiou) FILTER (WHERE NOT negative) AS mt,
+     sum(gt_id) FILTER (WHERE negative) AS fired_sum FROM rm GROUP BY GROUPING SETS ((clip_id, least_tiou, confident), (least_tiou, confident))),
+  rc AS (SELECT scope, least_tiou, confident, string_agg(g_type || '>' || p_type || ':' || n, ' ' ORDER BY g_type, p_type) AS confusion FROM (SELECT coalesce(clip_id::VARCHAR, 'POOLED') AS scope, least_tiou, confident, g_type, p_type, count(*) AS n FROM rm WHERE NOT negative GROUP BY GROUPING SETS ((clip_id, least_tiou, confident, g_type, p_type), (least_tiou, confident, g_type, p_type))) GROUP BY 1, 2, 3)"""
+
+
+@query(
+    "scope:s least_tiou:d confident:b n_clips:l n_positives:l n_predictions:l tp:l fp:l fn:l precision:d recall:d f1:d negatives:l fired:l fired_sum:l enter_tp:l enter_fp:l enter_fn:l load:l confusion:s signed_start:d abs_end:d tiou:d", "sig pred gt cand cand_v matches_v report",
+    f"""SELECT *, {_prf()} FROM (SELECT scope, least_tiou, confident, CASE WHEN scope = 'POOLED' THEN (SELECT count(*) FROM (SELECT clip_id FROM pred UNION SELECT clip_id FROM gt)) ELSE 1 END AS n_clips, coalesce(n_pos, 0) AS n_positives, coalesce(n_pred, 0) AS n_predictions, coalesce(tp, 0) AS tp, coalesce(n_pred, 0) - coalesce(tp, 0) AS fp, coalesce(n_pos, 0) - coalesce(tp, 0) AS fn,
+        coalesce(n_neg, 0) AS negatives, coalesce(fired, 0) AS fired, coalesce(fired_sum, 0) AS fired_sum, coalesce(tp_enter, 0) AS enter_tp, coalesce(p_enter, 0) - coalesce(tp_enter, 0) AS enter_fp, coalesce(g_enter, 0) - coalesce(tp_enter, 0) AS enter_fn, coalesce(n_load, 0) AS load, coalesce(confusion, '') AS confusion, signed_start, abs_end, printf('%.4f', mt)::DOUBLE AS tiou
+        FROM rp FULL JOIN rg USING (scope, least_tiou, confident) LEFT JOIN rh USING (scope, least_tiou, confident) LEFT JOIN rc USING (scope, least_tiou, confident))""",
+)
+def full_report(spark, d):
+    """The whole report of each clip and of all, in every variant."""
+    r = E.full_report(X.pred(spark, d), X.gt(spark, d))
+    cells = F.array_join(F.transform("confusion", lambda x: F.concat(x["g_type"], F.lit(">"), x["p_type"], F.lit(":"), x["n"].cast("string"))), " ")
+    fired = F.aggregate("negatives.ids", F.lit(0).cast("long"), lambda a, x: a + x["gt_id"])
+    enter = {f"enter_{c}": F.col(f"per_type.enter_vehicle.{c}") for c in ("tp", "fp", "fn")}
+    return r.select(*r.columns[:6], "detection.*", F.col("negatives.n").alias("negatives"), "negatives.fired", fired.alias("fired_sum"), *[v.alias(k) for k, v in enter.items()], F.col("rare.load_unload").alias("load"), cells.alias("confusion"), "localization.signed_start", "localization.abs_end", "localization.tiou")
+
+
 @query("n_negatives:l n_hit:l rate:d", _MATCHED, "SELECT n_negatives, n_hit, round_even(n_hit / n_negatives::DOUBLE, 4) AS rate FROM (SELECT (SELECT count(*) FROM gt WHERE type = 'pass_by') AS n_negatives, (SELECT count(*) FROM matches WHERE negative) AS n_hit)")
 def pass_by_report(spark, d):
     return E.pass_by_report(X.gt(spark, d), _matches(spark, d))
@@ -489,9 +514,12 @@ def localization_error(spark, d):
 X.SQL["grid"] = "grid AS (SELECT row_number() OVER (ORDER BY det_conf, tau_near, tau_far) - 1 AS pos, * FROM (SELECT unnest([0.35, 0.5, 0.65])::DOUBLE AS det_conf), (SELECT unnest([0.06, 0.1, 0.15, 0.22])::DOUBLE AS tau_near), (SELECT unnest([0.18, 0.25, 0.32, 0.45])::DOUBLE AS tau_far) WHERE tau_far > tau_near)"
 
 
-@query("pos:l det_conf:d tau_near:d tau_far:d", "grid", "SELECT * FROM grid")
+@query("det_conf:d tau_near:d tau_far:d setting:s clips:l", "sig grid", """SELECT det_conf, tau_near, tau_far, printf('{"det_conf": %s, "tau_far": %s, "tau_near": %s}', det_conf::VARCHAR, tau_far::VARCHAR, tau_near::VARCHAR) AS setting, (SELECT count(DISTINCT pair_id) FROM sig) AS clips FROM grid""")
 def grid_settings(spark, d):
-    return E.settings_grid(spark)
+    """The settings of a sweep over the signal's clips, with their keys and for how many clips each is asked."""
+    clips = X.sig(spark, d).select(F.col("pair_id").cast("string").alias("clip_id"))
+    asked = W.wanted(clips, E.settings_grid(spark), ["det_conf", "tau_near", "tau_far"], "geometric")
+    return asked.groupBy("det_conf", "tau_near", "tau_far", "setting").agg(F.count("*").alias("clips"))
 
 
 X.SQL["loco"] = (
@@ -796,7 +824,10 @@ def frame_summary(spark, d):
 
 @query("other_actor:l no_slots:l scored:l", _MATCHED, "SELECT count(*) FILTER (WHERE NOT agree) AS other_actor, count(*) FILTER (WHERE agree AND pred_id % 3 = 0) AS no_slots, count(*) FILTER (WHERE agree AND pred_id % 3 <> 0) AS scored FROM matches WHERE NOT negative")
 def description_report(spark, d):
-    return R.description_report(_matches(spark, d).where("not negative").withColumn("has_slots", F.col("pred_id") % 3 != 0))
+    # a third of the answers say nothing of person or vehicle
+    raw = F.when(F.col("pred_id") % 3 == 0, F.concat(F.lit("no idea of "), F.col("pred_id").cast("string"))).otherwise('```json\n{"person": {"sex": "male", "upper_color": "blue"}, "vehicle": {"color": "red"}}\n```')
+    slots = T.parse_description(raw)
+    return R.description_report(_matches(spark, d).where("not negative").withColumn("has_slots", slots.isNotNull()))
 
 
 @query(

@@ -1,5 +1,6 @@
 """Matching in rounds, touching labels by time, audit rules, smoothing of several widths and content keys, on small cases."""
 
+import json
 import random
 
 import pytest
@@ -10,6 +11,8 @@ from kinograph.operators import matching as M
 from kinograph.operators import proposal as P
 from kinograph.operators import series as O
 from kinograph.plans import audit as A
+from kinograph.plans import evaluation as E
+from kinograph.sources import documents as D
 
 CANDS = "clip_id string, pred_id int, gt_id int, tiou double, agree boolean, negative boolean"
 
@@ -94,3 +97,24 @@ def test_keys_of_different_parts_differ(spark):
     parts = [("a|b", ""), ("a", "b|"), ("a", "|b"), ("", None), (None, ""), (None, None), ("-", ""), ("1:a", "b"), ("1", "a1:b")]
     df = spark.createDataFrame(parts, "x string, y string").select(content_key(F.col("x"), F.col("y")).alias("k"))
     assert df.distinct().count() == len(parts)
+
+
+def test_the_whole_report_of_clips_and_of_all(spark, tmp_path):
+    span = "frame_start int, frame_end int, type string"
+    preds = spark.createDataFrame([("a", 1, 0, 9, "enter_vehicle", 0.0, 1.0), ("a", 2, 50, 59, "exit_vehicle", 0.0, 1.0), ("b", 1, 0, 9, "enter_vehicle", 0.0, 1.0), ("c", 1, 0, 5, "load_unload", 0.0, 1.0)], f"clip_id string, pred_id long, {span}, px1 double, px2 double")
+    gts = spark.createDataFrame([("a", 1, 0, 9, "exit_vehicle", None, False), ("a", 2, 50, 59, "pass_by", None, True), ("b", 1, 5, 14, "enter_vehicle", None, True), ("d", 1, 0, 5, "attend_vehicle", None, False)], f"clip_id string, gt_id long, {span}, ax double, ambiguous boolean")
+    report = E.full_report(preds, gts)
+    got = {(r.scope, r.least_tiou, r.confident): r for r in report.collect()}
+    # d has no predictions and c no labels: both count; b's only label is ambiguous
+    assert set(k[0] for k in got) == {"a", "b", "c", "d", "POOLED"} and len(got) == 20
+    whole = got["POOLED", 0.3, False]
+    assert (whole.n_clips, whole.n_positives, whole.n_predictions) == (4, 3, 4) and tuple(whole.detection)[:3] == (2, 2, 1)
+    assert tuple(whole.negatives)[:3] == (1, 1, 1.0) and [tuple(x) for x in whole.negatives.ids] == [("a", 2)]
+    assert [tuple(x) for x in whole.confusion] == [("enter_vehicle", "enter_vehicle", 1), ("exit_vehicle", "enter_vehicle", 1)]
+    assert tuple(whole.per_type.enter_vehicle)[:3] == (1, 1, 0) and whole.rare.attend_vehicle == 1 and whole.localization.tiou == round((1 + 1 / 3) / 2, 4)
+    clear = got["POOLED", 0.3, True]
+    assert tuple(clear.detection)[:3] == (1, 3, 1) and clear.negatives.n == 0 and got["POOLED", 0.5, False].detection.tp == 1
+    D.write_documents(E.report_documents(report), str(tmp_path))
+    told = json.loads((tmp_path / "metrics" / "POOLED.json").read_text())
+    assert [(v["least_tiou"], v["confident"], v["detection"]["tp"]) for v in told["variants"]] == [(0.3, False, 2), (0.3, True, 1), (0.5, False, 1), (0.5, True, 1)]
+    assert sorted(x.name for x in (tmp_path / "metrics").iterdir() if not x.name.startswith(".")) == ["POOLED.json", "a.json", "b.json", "c.json", "d.json"]
