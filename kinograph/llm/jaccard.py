@@ -433,7 +433,7 @@ def pairs_left(keyed: DataFrame, opened: DataFrame, heads: DataFrame, sets: Data
     # the union of a group of very few members bounds no better than they do: such groups are opened as they are
     size = left.select("s1", F.col("g").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("size"))
     sized = tables.keep(queries.join(size, "h"))
-    few = sized.where(F.col("size") <= FEW).select("s1", "n", "h", F.col("n").alias("c"))
+    few = sized.where(F.col("size").between(2, FEW)).select("s1", "n", "h", F.col("n").alias("c"))
     tokens = owned.join(left.select("s1").distinct(), "s1", "left_semi")
     union = tokens.join(size.where(F.col("size") > FEW).withColumnRenamed("h", "g"), "g", "left_semi").select(F.col("g").alias("h"), "token").distinct()
     asked = tokens.select("s1", "token").join(sized.where(F.col("size") > FEW), "s1")
@@ -443,7 +443,11 @@ def pairs_left(keyed: DataFrame, opened: DataFrame, heads: DataFrame, sets: Data
     members = left.select("key", F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"), F.col("label").alias("other_label"), F.col("least").alias("other_least"))
     met = reached.join(members, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
     met = met.groupBy("s1", "other", "other_label", "level", "least", "other_least").agg(F.count("*").alias("keys"))
-    met = met.where(F.col("keys") >= F.greatest("least", "other_least")).select("s1", "other", "other_label").distinct()
+    met = met.where(F.col("keys") >= F.greatest("least", "other_least")).select("s1", "other", "other_label")
+    # a group of one member is that member, and its shared keys have been counted
+    one = left.select(F.col("g").alias("h"), F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("label").alias("other_label")).distinct()
+    lone = sized.where(F.col("size") == 1).join(one, "h").where(enough(F.least("shared", "other_shared"), F.col("n"), F.col("other_n")))
+    met = met.unionByName(lone.select("s1", "other", "other_label")).distinct()
     # a link shows in both directions: only members of groups that the first matrix opened for the set
     return met.join(unfinished.select("s1", F.col("h").alias("other_label")), ["s1", "other_label"], "left_semi").select(F.col("s1").alias("a"), F.col("other").alias("b"))
 
