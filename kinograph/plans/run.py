@@ -84,7 +84,7 @@ def clip_run(
     """
     config, steps = config or Config(), steps or Steps(dets.sparkSession)
     # the tracker's rows are read by several joins
-    tracks = steps.keep(K.track(dets, clips, config.tunable.det_conf, camera))
+    tracks = steps.keep(K.track(dets, clips, config.tunable.det_conf, camera, steps=steps))
     known = steps.keep(inventory(tracks, clips))
     judged = judge(propose(tracks, known, clips, config, doors, steps))
     judged = steps.keep(judged if "accepted" in judged.columns else judged.withColumn("accepted", F.lit(True)))

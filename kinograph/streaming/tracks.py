@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinograph.functions.assignment import heaviest_pairs
-from kinograph.session import ship_package
+from kinograph.session import Steps, ship_package
 
 #: Vehicles' numbers begin here, so that they can't meet persons'.
 VEHICLES_FROM = 10_000
 BOX = ["x1", "y1", "x2", "y2"]
 #: Standard deviations as shares of a box's height: of a measured place, and of a frame's change of place and of velocity.
 PLACE, VELOCITY = 1 / 20, 1 / 160
+#: Up to so many pairs of boxes are compared one by one, and more by arrays.
+FEW = 64
 
 
 def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,82 +36,123 @@ def _iou(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inter / np.maximum(area(a)[:, None] + area(b)[None] - inter, 1e-12)
 
 
+def _area(box: list[float]) -> float:
+    w, h = box[2] - box[0], box[3] - box[1]
+    return (0.0 if w < 0 else w) * (0.0 if h < 0 else h)
+
+
+def _pairs(boxes: list, predicted: list, least: float) -> list[tuple[int, int]]:
+    """heaviest_pairs() of the boxes' overlaps, which are taken one by one where they are few. Where no two pairs of enough overlap
+    share a box, they are the choice themselves."""
+    if not boxes or not predicted:
+        return []
+    few = len(boxes) * len(predicted) <= FEW and least > 0
+    if few:
+        enough = []
+        areas = [_area(p) for p in predicted]
+        for i, box in enumerate(boxes):
+            own = _area(box)
+            for k, p in enumerate(predicted):
+                w, h = (box[2] if box[2] < p[2] else p[2]) - (box[0] if box[0] > p[0] else p[0]), (box[3] if box[3] < p[3] else p[3]) - (box[1] if box[1] > p[1] else p[1])
+                if w > 0 and h > 0 and w * h / max(own + areas[k] - w * h, 1e-12) >= least:
+                    enough.append((i, k))
+    else:
+        iou = _iou(np.array(boxes, float), np.array(predicted, float))
+        enough = list(zip(*(x.tolist() for x in np.nonzero(iou >= least))))
+    if len({i for i, _ in enough}) == len(enough) == len({k for _, k in enough}) and least > 0:
+        return enough
+    return heaviest_pairs(_iou(np.array(boxes, float), np.array(predicted, float)) if few else iou, least)
+
+
 class Tracker:
     """The live tracks of one clip and kind.
 
     Of each track: its number (-1 until it has been seen in `least_seen` frames after each other), last frame, frames seen after
     each other, filtered place and velocity of its box (centre and size), and their covariance (place, both, velocity) in squared
     box heights. A track ends when it hasn't been seen for more than `lost_after` frames, one without a number when it misses one.
+    Most frames have a few boxes, so that tracks are lists of numbers and not columns of arrays.
     """
 
     def __init__(self, lost_after: int, trusted: float, least_iou: tuple[float, float] = (0.2, 0.5), least_seen: int = 2):
         self.lost_after, self.trusted, self.least_iou, self.least_seen = lost_after, trusted, least_iou, least_seen
         self.following = 0
-        self.number, self.last, self.streak = (np.zeros(0, np.int64) for _ in range(3))
-        self.place, self.velocity, self.spread = np.zeros((0, 4)), np.zeros((0, 4)), np.zeros((0, 3))
-
-    def _keep(self, which) -> None:
-        for name in ("number", "last", "streak", "place", "velocity", "spread"):
-            setattr(self, name, getattr(self, name)[which])
+        #: number, last, streak, place (x, y, w, h), velocity (x, y, w, h), covariance (pp, pv, vv)
+        self.tracks: list[list] = []
 
-    def _predict(self, frame: int) -> tuple[np.ndarray, np.ndarray]:
-        dt = (frame - self.last).astype(float)
-        pp, pv, vv = self.spread.T
-        spread = np.stack([pp + 2 * dt * pv + dt * dt * vv + dt * PLACE**2, pv + dt * vv, vv + dt * VELOCITY**2], 1)
-        return self.place + dt[:, None] * self.velocity, spread
+    def _predict(self, frame: int) -> None:
+        for t in self.tracks:
+            dt = float(frame - t[1])
+            pp, pv, vv = t[11:]
+            for k in (3, 4, 5, 6):
+                t[k] += dt * t[k + 4]
+            t[11:] = pp + 2 * dt * pv + dt * dt * vv + dt * PLACE**2, pv + dt * vv, vv + dt * VELOCITY**2
 
     def warp(self, h: np.ndarray) -> None:
         """Moves all tracks as the picture moved (a 3 x 3 homography from the frame before)."""
-        if not len(self.place):
+        if not self.tracks:
             return
         h = np.asarray(h, float).reshape(3, 3)
-        ends = np.concatenate([self.place[:, :2], self.place[:, :2] + self.velocity[:, :2]])
+        place, velocity = np.array([t[3:5] for t in self.tracks], float), np.array([t[7:9] for t in self.tracks], float)
+        ends = np.concatenate([place, place + velocity])
         moved = np.concatenate([ends, np.ones((len(ends), 1))], 1) @ h.T
         moved = moved[:, :2] / np.where(np.abs(moved[:, 2:]) < 1e-12, 1e-12, moved[:, 2:])
-        n = len(self.place)
-        self.place[:, :2], self.velocity[:, :2] = moved[:n], moved[n:] - moved[:n]
+        n = len(self.tracks)
+        for t, at, by in zip(self.tracks, moved[:n].tolist(), (moved[n:] - moved[:n]).tolist()):
+            t[3:5], t[7:9] = at, by
 
     def step(self, frame: int, boxes: np.ndarray, conf: np.ndarray) -> np.ndarray:
         """Track numbers of a frame's boxes, -1 where there is none (yet). Frames have to ascend."""
-        age = frame - self.last
-        self._keep((age <= self.lost_after) & ((self.number >= 0) | (age <= 1)))
-        numbers = np.full(len(boxes), -1)
-        if not len(boxes):
-            return numbers
-        place, spread = self._predict(frame)
-        centre, half = place[:, :2], np.maximum(place[:, 2:], 0) / 2
-        predicted = np.concatenate([centre - half, centre + half], 1)
-        of_box = np.full(len(boxes), -1)
-        free = np.ones(len(place), bool)
-        sure = conf >= self.trusted
-        for chosen, least in ((np.flatnonzero(sure), self.least_iou[0]), (np.flatnonzero(~sure), self.least_iou[1])):
-            left = np.flatnonzero(free)
-            for r, c in heaviest_pairs(_iou(boxes[chosen], predicted[left]), least):
+        return np.array(self.follow(frame, np.asarray(boxes, float).tolist(), np.asarray(conf, float).tolist()), np.int64)
+
+    def follow(self, frame: int, boxes: list[list[float]], conf: list[float]) -> list[int]:
+        """step() of lists."""
+        self.tracks = [t for t in self.tracks if frame - t[1] <= self.lost_after and (t[0] >= 0 or frame - t[1] <= 1)]
+        if not boxes:
+            return []
+        # the time of prediction doesn't outlast the frame: what isn't seen keeps its state
+        before = [t.copy() for t in self.tracks]
+        self._predict(frame)
+        predicted = []
+        for t in self.tracks:
+            x, y, w, h = t[3:7]
+            w, h = (0.0 if w < 0 else w) / 2, (0.0 if h < 0 else h) / 2
+            predicted.append((x - w, y - h, x + w, y + h))
+        of_box, free = [-1] * len(boxes), [True] * len(predicted)
+        sure = [c >= self.trusted for c in conf]
+        for trusted, least in zip((True, False), self.least_iou):
+            chosen = [i for i, s in enumerate(sure) if s is trusted]
+            left = [k for k, f in enumerate(free) if f]
+            for r, c in _pairs([boxes[i] for i in chosen], [predicted[k] for k in left], least):
                 of_box[chosen[r]] = left[c]
                 free[left[c]] = False
-        measured = np.concatenate([(boxes[:, :2] + boxes[:, 2:]) / 2, boxes[:, 2:] - boxes[:, :2]], 1)
-        seen = np.flatnonzero(of_box >= 0)
-        at = of_box[seen]
-        pp, pv, vv = spread[at].T
-        total = pp + PLACE**2
-        off = measured[seen] - place[at]
-        self.place[at] = place[at] + (pp / total)[:, None] * off
-        self.velocity[at] += (pv / total)[:, None] * off
-        self.spread[at] = np.stack([pp * PLACE**2 / total, pv * PLACE**2 / total, vv - pv * pv / total], 1)
-        self.streak[at] = np.where(self.last[at] == frame - 1, self.streak[at] + 1, 1)
-        self.last[at] = frame
-        # tracks begin with trusted boxes alone
-        new = np.flatnonzero((of_box < 0) & sure)
-        of_box[new] = len(self.last) + np.arange(len(new))
-        n = len(new)
-        self.number, self.last, self.streak = np.append(self.number, np.full(n, -1)), np.append(self.last, np.full(n, frame)), np.append(self.streak, np.ones(n, np.int64))
-        self.place, self.velocity = np.concatenate([self.place, measured[new]]), np.concatenate([self.velocity, np.zeros((n, 4))])
-        self.spread = np.concatenate([self.spread, np.tile([(2 * PLACE) ** 2, 0.0, (10 * VELOCITY) ** 2], (n, 1))])
-        for i in np.flatnonzero(of_box >= 0):
-            k = of_box[i]
-            if self.number[k] < 0 and self.streak[k] >= self.least_seen:
-                self.number[k], self.following = self.following, self.following + 1
-            numbers[i] = self.number[k]
+        for k, unseen in enumerate(free):
+            if unseen:
+                self.tracks[k] = before[k]
+        for i, (x1, y1, x2, y2) in enumerate(boxes):
+            measured = ((x1 + x2) / 2, (y1 + y2) / 2, x2 - x1, y2 - y1)
+            if of_box[i] >= 0:
+                t = self.tracks[of_box[i]]
+                pp, pv, vv = t[11:]
+                total = pp + PLACE**2
+                gain, turn = pp / total, pv / total
+                for k in range(4):
+                    off = measured[k] - t[3 + k]
+                    t[3 + k] += gain * off
+                    t[7 + k] += turn * off
+                t[11:] = pp * PLACE**2 / total, pv * PLACE**2 / total, vv - pv * pv / total
+                t[2] = t[2] + 1 if t[1] == frame - 1 else 1
+                t[1] = frame
+            elif sure[i]:
+                # tracks begin with trusted boxes alone
+                of_box[i] = len(self.tracks)
+                self.tracks.append([-1, frame, 1, *measured, 0.0, 0.0, 0.0, 0.0, (2 * PLACE) ** 2, 0.0, (10 * VELOCITY) ** 2])
+        numbers = [-1] * len(boxes)
+        for i, k in enumerate(of_box):
+            if k >= 0:
+                t = self.tracks[k]
+                if t[0] < 0 and t[2] >= self.least_seen:
+                    t[0], self.following = self.following, self.following + 1
+                numbers[i] = t[0]
         return numbers
 
 
@@ -124,22 +167,24 @@ def _numbered(batches: Iterator[pa.RecordBatch], trusted: float, least_seen: int
 
     def followed(rows: pa.Table, of_frame: np.ndarray) -> pa.Table:
         nonlocal clip, tracker
-        numbers = np.full(len(rows), -1)
-        clips, persons, frames = rows.column("clip_id"), rows.column("person").to_numpy(), rows.column("frame").to_numpy()
-        fps, conf = rows.column("fps").to_numpy(), rows.column("conf").to_numpy()
-        boxes, warps = np.stack([rows.column(c).to_numpy() for c in BOX], 1), rows.column("h")
+        numbers = []
+        clips, persons, frames, fps, conf = (rows.column(c).to_pylist() for c in ("clip_id", "person", "frame", "fps", "conf"))
+        boxes, warps = list(zip(*(rows.column(c).to_pylist() for c in BOX))), rows.column("h")
         for a, b in zip(of_frame[:-1].tolist(), of_frame[1:].tolist()):
-            now = (clips[a].as_py(), bool(persons[a]))
+            now = (clips[a], persons[a])
             if now != clip:
                 clip, tracker = now, Tracker(lost_frames(fps[a]), trusted, least_seen=least_seen)
-            moved = np.flatnonzero(np.isnan(conf[a:b]))
-            for k in moved:
-                tracker.warp(warps[a + int(k)].as_py())
-            at = np.delete(np.arange(a, b), moved)
-            found = tracker.step(int(frames[a]), boxes[at], conf[at])
-            numbers[at] = np.where(found >= 0, found + (0 if now[1] else VEHICLES_FROM), -1)
-        kept = np.flatnonzero(numbers >= 0)
-        return rows.drop_columns(["person", "fps", "h"]).append_column("track_id", pa.array(numbers, pa.int32())).take(pa.array(kept))
+            # rows without a confidence are the camera's, and come last
+            end = b
+            while end > a and conf[end - 1] is None:
+                end -= 1
+            for k in range(end, b):
+                tracker.warp(warps[k].as_py())
+            found = tracker.follow(frames[a], boxes[a:end], conf[a:end])
+            first = 0 if now[1] else VEHICLES_FROM
+            numbers += [n + first if n >= 0 else None for n in found] + [None] * (b - end)
+        of_track = pa.array(numbers, pa.int32())
+        return rows.drop_columns(["person", "fps", "h"]).append_column("track_id", of_track).filter(pc.is_valid(of_track))
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -186,9 +231,12 @@ def with_majority_class(rows: DataFrame) -> DataFrame:
     return rows.drop("cls").join(of_track, ["clip_id", "track_id"])
 
 
-def track(dets: DataFrame, clips: DataFrame, trusted: float = 0.65, camera: DataFrame | None = None, least_seen: int = 2) -> DataFrame:
-    """Tracks (clip_id, track_id, cls, frame, x1..y2) of persons (class 0) and of vehicles, with one class each."""
-    found = with_majority_class(observed(dets, clips, trusted, camera, least_seen))
+def track(dets: DataFrame, clips: DataFrame, trusted: float = 0.65, camera: DataFrame | None = None, least_seen: int = 2, steps: Steps | None = None) -> DataFrame:
+    """Tracks (clip_id, track_id, cls, frame, x1..y2) of persons (class 0) and of vehicles, with one class each.
+
+    What the tracker finds is kept in the shared folder, since it is read twice: for the classes, and for the rows.
+    """
+    found = with_majority_class((steps or Steps(dets.sparkSession)).keep(observed(dets, clips, trusted, camera, least_seen)))
     return found.select("clip_id", "track_id", "cls", "frame", *BOX)
 
 

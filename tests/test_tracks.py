@@ -181,3 +181,28 @@ def test_a_stream_equals_the_batch_in_any_order_within_the_delay(spark, tmp_path
         time.sleep(0.1)
     spark.streams.removeListener(late_rows)
     assert late_rows.total(name) == 1 and [r.rows for r in late_rows.table(spark).collect()] == [1]
+
+
+def test_frames_of_a_few_boxes_cost_little():
+    tracker = K.Tracker(25, 0.6)
+    began = time.process_time()
+    for f in range(4000):
+        tracker.step(f, np.array([box(float(f)), box(9000.0), box(9500.0)]), np.array([0.9, 0.8, 0.3]))
+    assert time.process_time() - began < 1.5  # 3.5 s by arrays of each frame's boxes
+
+
+def test_many_boxes_and_few_are_compared_alike(monkeypatch):
+    rng = np.random.default_rng(5)
+    frames = [(f, np.concatenate([p := rng.random((12, 2)) * 150, p + 20 + rng.random((12, 2)) * 60], 1), rng.random(12)) for f in range(40)]
+    got = []
+    for few in (0, 10_000):
+        monkeypatch.setattr(K, "FEW", few)
+        tracker = K.Tracker(10, 0.6)
+        got.append([tracker.step(*x).tolist() for x in frames])
+    assert got[0] == got[1] and max(map(max, got[0])) > 5
+
+
+def test_the_tracker_runs_once(spark):
+    df = spark.createDataFrame([("a", f, 0, *box(1.0 * f), 0.9) for f in range(5)], DETS)
+    tracks = K.track(df, spark.createDataFrame([("a", 25.0)], "clip_id string, fps double"))
+    assert "MapInArrow" not in tracks._jdf.queryExecution().toString() and tracks.count() == 4
