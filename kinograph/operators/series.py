@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kinograph.session import ship_package
+
 
 def dense_axis(observed: DataFrame, keys: list[str], last_frame: Column | None = None) -> DataFrame:
     """A row for each frame from 0 to each key's last frame (its last observed one by default), NULL where nothing was observed."""
@@ -63,32 +70,112 @@ def contact_spans(series: DataFrame, keys: list[str], value: str, enter: float |
     )
 
 
+class _Grid:
+    """The states of all settings while rows come by key and frame; between batches it holds one open span a setting.
+
+    Of the rows of a batch, each setting's state is a row of a table (setting, row): 1 or 0 where the row decides, and else what
+    the row before has.
+    """
+
+    def __init__(self, settings: list[tuple[int, float, float, float]]):
+        self.pos, self.enter, self.leave, self.least = (np.array(x) for x in zip(*settings))
+        n = len(settings)
+        self.key: pa.Table | None = None
+        self.state, self.number, self.start, self.last = (np.zeros(n, np.int64) for _ in range(4))
+        self.low = np.full(n, np.inf)
+
+    def _spans(self, keys: pa.Table, of, s, number, start, end, low) -> pa.Table:
+        return pa.table([pa.array(self.pos[s], pa.int32()), *keys.take(pa.array(of, pa.int64())).columns, *map(pa.array, (number, start, end, low))], names=["pos", *keys.column_names, "sid", "frame_start", "frame_end", "min_d"])
+
+    def close(self) -> pa.Table:
+        """What is open at the key's end ends at its last measured frame."""
+        s = np.flatnonzero(self.state)
+        return self._spans(self.key, np.zeros(len(s), np.int64), s, self.number[s], self.start[s], self.last[s], self.low[s])
+
+    def add(self, keys: pa.Table, frame: np.ndarray, v: np.ndarray, conf: np.ndarray, given: np.ndarray) -> Iterator[pa.Table]:
+        """given: where both v and conf are. As Spark orders them, NaN is above every number."""
+        n, rows = len(frame), np.arange(len(frame))
+        begins = np.zeros(n, bool)
+        joined = keys if self.key is None else pa.concat_tables([self.key, keys])
+        begins[0] = self.key is None
+        differs = np.zeros(len(joined) - 1, bool)
+        for c in joined.columns:
+            x, y = (c.slice(1), c.slice(0, len(c) - 1))
+            differs |= pc.fill_null(pc.not_equal(x, y), False).to_numpy() | pc.not_equal(pc.is_null(x), pc.is_null(y)).to_numpy()
+        begins[n - len(differs) :] |= differs
+        if begins[0]:
+            if self.key is not None:
+                yield self.close()
+            for x in (self.state, self.number, self.last):
+                x[:] = 0
+        seen = given & ((conf >= self.least[:, None]) | np.isnan(conf))
+        with np.errstate(invalid="ignore"):
+            decides = np.where(seen & (v < self.enter[:, None]), 1, np.where(seen & ((v > self.leave[:, None]) | np.isnan(v)), 0, -1)).astype(np.int8)
+        decides[:, begins & (rows > 0)] = np.maximum(decides[:, begins & (rows > 0)], 0)
+        decides[:, 0] = np.where(decides[:, 0] < 0, self.state, decides[:, 0])
+        on = np.take_along_axis(decides, np.maximum.accumulate(np.where(decides >= 0, rows, 0), axis=1), 1) == 1
+        before = np.concatenate([self.state[:, None] == 1, on[:, :-1]], 1)
+        before[:, begins & (rows > 0)] = False
+        opened = on & ~before
+        # a span's number counts those that its key has opened
+        count = np.cumsum(opened, axis=1)
+        first = np.maximum.accumulate(np.where(begins, rows, 0))
+        base = np.where(first > 0, count[:, first - 1], -self.number[:, None])
+        measured = np.maximum.accumulate(np.where(seen, rows, -1), axis=1)
+        # a piece begins where a span or a key does, and with the batch; a span is in one piece, or goes on from the batch before
+        cut = opened | begins
+        cut[:, 0] = True
+        at = np.flatnonzero(cut)
+        s, r = at // n, at % n
+        low = np.minimum.reduceat(np.where(on & seen, v, np.inf).ravel(), at)
+        start, goes_on = frame[r], (r == 0) & before[s, r]
+        start[goes_on], low[goes_on] = self.start[s[goes_on]], np.minimum(low, self.low[s])[goes_on]
+        number = (count - base)[s, r]
+        ended = np.flatnonzero(before & ~on)
+        piece = np.searchsorted(at, ended, "right") - 1
+        end = np.full(len(at), -1)
+        end[piece] = frame[ended % n] - 1
+        live = on[s, r] | goes_on
+        closed = np.zeros(len(at), bool)
+        closed[piece] = True
+        final = np.append(at[1:], on.size) - 1
+        last = measured[s, final % n]
+        last = np.where(last >= first[final % n], frame[np.maximum(last, 0)], self.last[s])
+        open_end = live & ~closed
+        end[open_end] = last[open_end]
+        waits = open_end & (final % n == n - 1)
+        told = live & ~waits
+        yield self._spans(keys, r[told], s[told], number[told], start[told], end[told], low[told])
+        last = np.where(measured[:, -1] >= first[-1], frame[np.maximum(measured[:, -1], 0)], 0 if begins[1:].any() else self.last)
+        self.key, self.state, self.number, self.last = keys.slice(n - 1), on[:, -1].astype(np.int64), (count - base)[:, -1], last
+        self.start[s[waits]], self.low[s[waits]] = start[waits], low[waits]
+
+
 def contact_spans_grid(series: DataFrame, keys: list[str], value: str, settings: list[tuple[int, float, float, float]], conf: str) -> DataFrame:
     """contact_spans() for many settings (pos, enter, leave, least conf) in one pass: (pos, keys, sid, frame_start, frame_end,
     min_d). Under a setting, values whose column conf is below its least are missing.
 
-    The series is dealt and sorted once; each setting's state is a column of the same windows, and only rows within a span
-    (or one after) are multiplied by the settings.
+    The series is dealt and sorted once; its rows go by in Arrow batches, in which all settings' states follow together. No key is
+    held whole. Rows without a frame are left out.
     """
-    order = Window.partitionBy(*keys).orderBy("frame")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    v = F.col(value)
-    seen = {p: F.when(F.col(conf) >= c, v) for p, _, _, c in settings}
-    state = {f"_st{p}": F.coalesce(F.last(F.when(seen[p] < enter, 1).when(seen[p] > leave, 0), ignorenulls=True).over(upto), F.lit(0)) for p, enter, leave, _ in settings}
-    last = {c: F.max(F.when((F.col(conf) >= c) & v.isNotNull(), F.col("frame"))).over(Window.partitionBy(*keys)) for c in sorted({c for *_, c in settings})}
-    held = series.withColumns(state | {f"_last{k}": x for k, x in enumerate(last.values())})
-    edges = held.withColumns({f"_ps{p}": F.coalesce(F.lag(f"_st{p}").over(order), F.lit(0)) for p, *_ in settings})
-    opened = lambda p: F.when((F.col(f"_st{p}") == 1) & (F.col(f"_ps{p}") == 0), 1).otherwise(0)
-    numbered = edges.withColumns({f"_sid{p}": F.sum(opened(p)).over(upto) for p, *_ in settings})
-    number = {c: k for k, c in enumerate(last)}
-    each = [F.struct(F.lit(p).alias("pos"), F.col(f"_st{p}").alias("st"), F.col(f"_ps{p}").alias("ps"), F.col(f"_sid{p}").alias("sid"), F.col(f"_last{number[c]}").alias("last"), seen[p].alias("v")) for p, _, _, c in settings]
-    inside = numbered.select(*keys, "frame", F.explode(F.filter(F.array(*each), lambda x: (x["st"] == 1) | (x["ps"] == 1))).alias("x")).select(*keys, "frame", "x.*")
-    on = F.col("st") == 1
-    return inside.groupBy("pos", *keys, "sid").agg(
-        F.min(F.when(on, F.col("frame"))).alias("frame_start"),
-        F.coalesce(F.min(F.when(~on, F.col("frame"))) - 1, F.max("last")).alias("frame_end"),
-        F.min(F.when(on, F.col("v"))).alias("min_d"),
-    )
+    ship_package(series.sparkSession)
+    kinds = dict(series.dtypes)
+    rows = series.where(F.col("frame").isNotNull()).select(*keys, F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("_v"), F.col(conf).cast("double").alias("_c"))
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = _Grid(settings)
+        for batch in batches:
+            if len(batch):
+                v, c = batch.column("_v"), batch.column("_c")
+                given = pc.and_(pc.is_valid(v), pc.is_valid(c)).to_numpy(zero_copy_only=False)
+                for spans in grid.add(pa.Table.from_batches([batch.select(keys)]), batch.column("frame").to_numpy(), v.to_numpy(zero_copy_only=False), c.to_numpy(zero_copy_only=False), given):
+                    yield from spans.to_batches()
+        if grid.key is not None:
+            yield from grid.close().to_batches()
+
+    columns = ", ".join(["pos int", *(f"`{k}` {kinds[k]}" for k in keys), "sid long, frame_start long, frame_end long, min_d double"])
+    spans = rows.repartition(*keys).sortWithinPartitions(*keys, "frame").mapInArrow(follow, columns)
+    return spans.withColumns({c: F.col(c).cast(kinds["frame"]) for c in ("frame_start", "frame_end")})
 
 
 def merge_islands(spans: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:

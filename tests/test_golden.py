@@ -248,3 +248,30 @@ def test_many_settings_in_one_pass(spark):
         one = O.contact_spans(series.withColumn("d", F.when(F.col("conf") >= least, F.col("d"))), ["pair"], "d", near, far)
         want |= {(pos, *r) for r in one.collect()}
     assert got == want and len(got) > 12
+
+
+def test_many_settings_in_batches_of_any_size(spark):
+    """Keys and spans go on from batch to batch, of missing, NaN and few values, and of two key columns with NULL."""
+    kind = lambda k, f: None if (f * 11 + k) % 9 == 0 else float("nan") if (f * 13 + k) % 29 == 0 else ((f * 7 + k * 3) % 23) / 23
+    rows = [(k, None if k % 3 == 0 else f"x{k % 2}", f, kind(k, f), None if f % 17 == 3 else ((f * 5 + k) % 11) / 11) for k in range(9) for f in range(1 if k == 5 else 40 + k)]
+    series = spark.createDataFrame(rows, "pair long, side string, frame long, d double, conf double").repartition(1)
+    settings = [(3, 0.1, 0.3, 0.0), (1, 0.2, 0.6, 0.0), (2, 0.2, 0.6, 0.4), (7, 0.9, 0.95, 0.8), (8, 0.0, 0.5, 0.0)]
+    want = set()
+    for pos, near, far, least in settings:
+        want |= {(pos, *r) for r in O.contact_spans(series.withColumn("d", F.when(F.col("conf") >= least, F.col("d"))), ["pair", "side"], "d", near, far).collect()}
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 2, 7, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            found = O.contact_spans_grid(series, ["pair", "side"], "d", settings, "conf")
+            got = [tuple(r) for r in found.collect()]
+            assert len(got) == len(set(got)) > 30 and set(got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    # one pass over the rows in batches, without a window a setting
+    assert "MapInArrow" in found._jdf.queryExecution().toString() and "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_held_out_settings_hold_no_setting_whole(spark):
+    counts = spark.createDataFrame([("a", 0, 1, 0, 0)], "clip_id string, pos int, tp int, fp int, fn int")
+    assert "Window" not in E.leave_one_out(counts)._jdf.queryExecution().toString()
