@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinograph.session import Steps
+
 
 def setting_key(knobs: dict[str, float | Column]) -> Column:
     """A setting as JSON text, the knobs by name: the same whatever their order.
@@ -82,7 +84,8 @@ def sweep(store: Store, clips: DataFrame, settings: DataFrame, knobs: list[str],
     compute: of (clip_id, judge, digest, setting, knobs), the keys to compute, to rows with clip_id, judge, digest and the
     result's columns. It isn't called where nothing is missing.
     """
-    todo = missing(store, wanted(clips, settings, knobs, judge))
+    # kept, since it is read several times, and the store that it was compared with changes meanwhile
+    todo = Steps(store.spark).keep(missing(store, wanted(clips, settings, knobs, judge)))
     n = todo.count()
     if n:
         store.add(todo, compute(todo))

@@ -78,3 +78,14 @@ def test_setting_keys(spark):
     assert row.x == row.y == '{"a": 0.25, "b": 1.0}'
     named = spark.range(1).select(W.digest(F.lit("j1"), F.lit("x")).alias("x"), W.digest(F.lit("j"), F.lit("1x")).alias("y")).first()
     assert named.x != named.y and len(named.x) == 16
+
+
+def test_what_is_missing_is_found_once(spark, store):
+    plans = []
+
+    def compute(todo):
+        plans.append(todo._jdf.queryExecution().toString())
+        return todo.select("clip_id", "judge", "digest", (F.col("tau") * 10).alias("value"))
+
+    assert W.sweep(store, clips(spark, "a", "b"), grid(spark, (0.5, 0.1)), KNOBS, "geometric", compute) == 2
+    assert "Join" not in plans[0]  # each reader would join clips, settings and stored keys anew
