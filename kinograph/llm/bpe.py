@@ -1,6 +1,6 @@
 """Byte-level BPE: a backtracking encoder and a decoder over an offset table.
 
-The encoder looks up the longest vocabulary token at each byte with an Aho-Corasick automaton and walks the piece from
+The encoder looks up the longest vocabulary token where a token may begin, in a tree of all tokens, and walks the piece from
 left to right. A token may follow another only if merging from single bytes would keep the border between them, which
 a table of merges and of each token's two parts answers; where no token fits, the walk steps back. Each byte is given up
 at most once, so that the work is linear in the piece, and the tokens are those that merging pair by pair gives.
@@ -95,10 +95,12 @@ class Encoder:
             self.merged.setdefault(a << 32 | b, rank)
             if self.rank[whole] < 0:
                 self.left[whole], self.right[whole], self.rank[whole] = a, b, rank
-        self.automaton = ahocorasick.Automaton()
-        for b, i in ordinary.items():
-            self.automaton.add_word(b.decode("latin-1"), (len(b), i))
-        self.automaton.make_automaton()
+        self.words = {b.decode("latin-1"): i for b, i in ordinary.items()}
+        self.most = max(map(len, self.words))
+        # only its prefixes are asked for
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for word in self.words:
+            self.tree.add_word(word)
         # the next shorter token that begins like a token
         for b, i in ordinary.items():
             self.length[i] = len(b)
@@ -138,15 +140,23 @@ class Encoder:
         if whole is not None:
             return [whole]
         n = len(piece)
-        longest = [0] * n
-        found = [-1] * n
-        for end, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start], found[start] = size, token
+        text, words, prefix, most = piece.decode("latin-1"), self.words, self.tree.longest_prefix, self.most
+
+        def longest(at: int) -> int:
+            """The longest token that begins here."""
+            rest = text[at : at + most]
+            k = prefix(rest)
+            token = words.get(rest[:k])
+            while token is None:
+                k -= 1
+                if k <= 0:
+                    raise ValueError(f"no token of the vocabulary begins with {rest[:1]!r}")
+                token = words.get(rest[:k])
+            return token
+
         open_at = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token = 0, found[0]
+        at, token = 0, longest(0)
         length, shorter, compatible = self.length, self.shorter, self.compatible
         while at < n:
             end = at + length[token]
@@ -154,7 +164,7 @@ class Encoder:
                 out.append(token)
                 at = end
                 if at < n:
-                    token = found[at]
+                    token = longest(at)
                 continue
             following = shorter[token]
             if following >= 0:

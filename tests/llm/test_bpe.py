@@ -70,3 +70,18 @@ def test_one_pass_gives_what_two_give(spark):
     two = {r.k: r for r in bpe.decode(bpe.encode(df)).collect()}
     for r in bpe.round_trip(df).collect():
         assert (r.coded.ids, r.coded.decoded) == (two[r.k].ids, two[r.k].decoded)
+
+
+def test_a_byte_without_a_token_is_told(tmp_path):
+    import json
+
+    import pytest
+
+    from kinograph.llm.bpe import Encoder
+
+    spec = {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "model": {"type": "BPE", "vocab": {"a": 0, "b": 1, "ab": 2}, "merges": ["a b"]}}
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    encoder = Encoder(str(tmp_path / "v.json"))
+    assert encoder.encode_piece(b"abba") == [2, 1, 0]
+    with pytest.raises(ValueError, match="no token"):
+        encoder.encode_piece(b"abc")
