@@ -146,26 +146,72 @@ X.SQL["apart"] = f"""apart AS (SELECT a.clip_id, a.frame, coalesce({", ".join(_H
 X.SQL["apart_spans"] = X.spans_sql("apart_spans", "2.0", "4.0", "apart", "clip_id")
 
 
-def _arriving(spark, rows, folder: str):
-    """A stream of rows that come in a few batches, and of two last ones long after them: the first moves the watermark past all
-    rows, and the batch of the second sees that."""
-    rows.repartitionByRange(3, "ts").write.parquet(folder)
-    for _ in range(2):
-        rows.limit(1).withColumns({"clip_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit(1_000_000))}).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+#: The clips that begin at one time: so many bound what a stream's state holds, however many clips there are.
+TOGETHER = 20_000
+#: Seconds from one beginning to the next: more than the delay and the longest clip.
+APART_S = 7200
+
+
+def _arrivals(spark, rows, folder: str, sides: dict[str, int], starts: int):
+    """Streams of rows (cls tells the side, start the group of clips) by side, and a generator that lets one group after the other
+    arrive, then two late rows a side: the first moves the watermark past all rows, and the batch of the second sees that."""
+    ready = f"{folder}/ready"
+    rows.withColumn("track_id", F.col("cls")).write.partitionBy("start", "cls").parquet(ready)
+    kinds = rows.withColumn("track_id", F.col("cls")).drop("start", "cls").schema
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(ready).getFileSystem(spark._jsc.hadoopConfiguration())
+    for side, cls in sides.items():
+        files.mkdirs(path(f"{folder}/{side}"))
+        for k in (starts, starts + 1):
+            last = spark.read.schema(rows.withColumn("track_id", F.col("cls")).schema).parquet(ready).where(f"cls = {cls} and start < {starts}").limit(1).drop("start", "cls")
+            last.withColumns({"clip_id": F.lit(-1).cast("long"), "ts": F.timestamp_seconds(F.lit((starts + 10) * APART_S))}).coalesce(1).write.parquet(f"{ready}/start={k}/cls={cls}")
+
+    def arrive():
+        for k in range(starts + 2):
+            for side, cls in sides.items():
+                if files.exists(path(f"{ready}/start={k}/cls={cls}")):
+                    files.rename(path(f"{ready}/start={k}/cls={cls}"), path(f"{folder}/{side}/{k}"))
+            yield k
+
+    return {side: spark.readStream.schema(kinds).parquet(f"{folder}/{side}/*") for side in sides}, arrive()
+
+
+def _started(writer):
+    """The stream, started: what a batch ends goes with the next batch of rows, without one of no rows between them, and there is a
+    partition of state a core, as a group of clips is bounded. The session's own settings stay."""
+    spark = writer._spark
+    own = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism)}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        return writer.start()  # takes the settings with it
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @query("clip_id:l frame_start:l frame_end:l min_d:d", "det clips apart apart_spans", "SELECT clip_id, frame_start, frame_end, min_d FROM apart_spans")
 def streamed_pair_spans(spark, d):
     """Contact spans of the first two classes of each clip, by a join of two streams; the result is read from the stream's files."""
     clips = X.clips(spark, d).select("clip_id", "fps", "n_frames")
-    seen = X.det(spark, d).join(clips, "clip_id").withColumn("ts", F.timestamp_micros((1e9 + F.col("frame") * 1e6 / F.col("fps")).cast("long")))
-    side = lambda cls, more=(): seen.where(F.col("cls") == cls).select("clip_id", F.col("cls").alias("track_id"), F.col("frame").cast("int").alias("frame"), "x1", "y1", "x2", "y2", "ts", *more)
+    starts = max(2, -(-clips.count() // TOGETHER))
+    start = F.pmod(F.hash("clip_id"), F.lit(starts))
+    # frames beyond a clip's end have no part in its spans
+    seen = X.det(spark, d).where("cls in (1, 2)").join(clips, "clip_id").where("frame < n_frames").withColumn("start", start)
+    seen = seen.withColumn("ts", F.timestamp_micros((1e9 + F.col("start") * APART_S * 1e6 + F.col("frame") * 1e6 / F.col("fps")).cast("long")))
+    seen = seen.select("clip_id", "cls", F.col("frame").cast("int").alias("frame"), "x1", "y1", "x2", "y2", "ts", "fps", "n_frames", "start")
     folder = shared_dir(spark)
-    persons, vehicles = _arriving(spark, side(1, ("fps", "n_frames")), f"{folder}/persons"), _arriving(spark, side(2), f"{folder}/vehicles")
-    spans = V.stream_pair_spans(persons, vehicles, 2.0, 4.0, delay="1 hour")
-    run = spans.writeStream.format("parquet").option("path", f"{folder}/spans").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
+    streams, arrive = _arrivals(spark, seen, folder, {"persons": 1, "vehicles": 2}, starts)
+    spans = V.stream_pair_spans(streams["persons"], streams["vehicles"].drop("fps", "n_frames"), 2.0, 4.0, delay="1 hour")
+    run = None
+    try:
+        for _ in arrive:
+            run = run or _started(spans.writeStream.format("parquet").option("path", f"{folder}/spans").option("checkpointLocation", f"{folder}/checkpoint"))
+            run.processAllAvailable()
+    finally:
+        if run is not None:
+            run.stop()
     return spark.read.schema(spans.schema).parquet(f"{folder}/spans").where("clip_id >= 0")
 
 
