@@ -26,7 +26,7 @@ from kinograph.session import ship_package
 # The pattern that cuts text into pieces before the merges of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces, and compatible pairs, that a worker remembers; of pieces two generations of so many.
-REMEMBERED, PAIRS = 50_000, 1 << 16
+REMEMBERED, PAIRS = 100_000, 1 << 17
 
 
 def byte_symbols() -> dict[str, int]:
@@ -76,6 +76,24 @@ class Decoder:
         return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
+class Pieces(dict):
+    """Encoded pieces; one that isn't there is looked for in the generation before, or encoded."""
+
+    def __init__(self, encode, least: int):
+        self.encode, self.least, self.old = encode, least, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.old.get(piece)
+        if known is None:
+            known = self.encode(piece.encode())
+        if len(piece) <= 64:
+            if len(self) >= self.least:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = known
+        return known
+
+
 class Encoder:
     """The encoder of one vocabulary file (path)."""
 
@@ -112,8 +130,7 @@ class Encoder:
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.compatible = lru_cache(PAIRS)(self._compatible)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.pieces = Pieces(lambda piece: array("I", self.encode_piece(piece)).tobytes(), REMEMBERED)
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging keeps the border between these tokens.
@@ -141,50 +158,37 @@ class Encoder:
             return [whole]
         n = len(piece)
         text, words, prefix, most = piece.decode("latin-1"), self.words, self.tree.longest_prefix, self.most
-
-        def longest(at: int) -> int:
-            """The longest token that begins here."""
-            rest = text[at : at + most]
-            k = prefix(rest)
-            token = words.get(rest[:k])
-            while token is None:
-                k -= 1
-                if k <= 0:
-                    raise ValueError(f"no token of the vocabulary begins with {rest[:1]!r}")
-                token = words.get(rest[:k])
-            return token
-
-        open_at = bytearray(b"\x01") * (n + 1)
-        out: list[int] = []
-        at, token = 0, longest(0)
         length, shorter, compatible = self.length, self.shorter, self.compatible
+        # where a walk stepped back from; most pieces have no such place
+        shut: set[int] = set()
+        out: list[int] = []
+        at, last, token = 0, -1, -1
         while at < n:
+            if token < 0:
+                # the longest token that begins here
+                rest = text[at : at + most]
+                k = prefix(rest)
+                token = words.get(rest[:k], -1)
+                while token < 0:
+                    k -= 1
+                    if k <= 0:
+                        raise ValueError(f"no token of the vocabulary begins with {rest[:1]!r}")
+                    token = words.get(rest[:k], -1)
             end = at + length[token]
-            if open_at[end] and (not out or compatible(out[-1], token)):
+            if (last < 0 or compatible(last, token)) and end not in shut:
                 out.append(token)
-                at = end
-                if at < n:
-                    token = longest(at)
+                at, last, token = end, token, -1
                 continue
             following = shorter[token]
             if following >= 0:
                 token = following
             else:
-                open_at[at] = 0
+                shut.add(at)
                 token = out.pop()
                 at -= length[token]
+                last = out[-1] if out else -1
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        known = self.old.get(piece)
-        if known is None:
-            known = np.array(self.encode_piece(piece.encode()), np.uint32).tobytes()
-        if len(piece) <= 64:
-            if len(self.young) >= REMEMBERED:
-                self.old, self.young = self.young, {}
-            self.young[piece] = known
-        return known
-
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         out = []
@@ -192,13 +196,7 @@ class Encoder:
             if part in self.special:
                 out.append(np.uint32(self.special[part]).tobytes())
                 continue
-            young, slow = self.young, self._piece
-            for piece in self.find(part):
-                ids = young.get(piece)
-                if ids is None:
-                    ids = slow(piece)
-                    young = self.young
-                out.append(ids)
+            out += map(self.pieces.__getitem__, self.find(part))
         return b"".join(out)
 
 
@@ -220,7 +218,8 @@ def default_vocabulary() -> str:
 
 def _forget(c: Encoder) -> None:
     """Idle workers stay for later stages; they don't keep a task's pieces."""
-    c.young, c.old = {}, {}
+    c.pieces.clear()
+    c.pieces.old = {}
     c.compatible.cache_clear()
     pa.default_memory_pool().release_unused()
 

@@ -85,3 +85,11 @@ def test_a_byte_without_a_token_is_told(tmp_path):
     assert encoder.encode_piece(b"abba") == [2, 1, 0]
     with pytest.raises(ValueError, match="no token"):
         encoder.encode_piece(b"abc")
+
+
+def test_a_piece_of_the_generation_before_is_not_encoded_again():
+    asked = []
+    pieces = bpe.Pieces(lambda piece: asked.append(piece) or piece, 2)
+    assert [pieces[x] for x in "abcab"] == [b"a", b"b", b"c", b"a", b"b"]
+    assert asked == [b"a", b"b", b"c"] and len(pieces) <= 2
+    assert pieces["x" * 65] == b"x" * 65 and "x" * 65 not in pieces  # long ones aren't kept
