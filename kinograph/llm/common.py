@@ -136,6 +136,13 @@ def binary_array(values: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(places.tobytes()), pa.py_buffer(data.tobytes())])
 
 
+def parts_of(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """binary_array() taken apart: each row's values, as views of the column's bytes."""
+    off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    data = column.buffers()[2] if off[-1] > off[0] else b""
+    return [np.frombuffer(data, kind, (b - a) // np.dtype(kind).itemsize, a if b > a else 0) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
 class Tables:
     """Parquet tables of one operator call in the shared folder; they cut lineage and outlive lost executors."""
 

@@ -168,15 +168,16 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Languages:
     each = by_key.select("n", F.explode("by").alias("x")).groupBy("n", "x.lang").agg(F.sum("x.c").alias("s"), F.count("*").alias("d"))
     sums = {(r.n, r.lang): (r.s, r.d) for r in each.collect()}
     names = sorted({lang for n, lang in sums if n == 0})
-    number = {lang: k for k, lang in enumerate(names)}
     whole = np.array([[sums.get((n, x), (0, 0)) for x in names] for n in range(LONGEST + 1)], float).reshape(LONGEST + 1, len(names), 2)
     scale = whole[:, :, 0] + 0.5 * (whole[:, :, 1].max(1, initial=1)[:, None] + 1)
 
     def held(n: int, got: pa.Table) -> Held:
         c = np.zeros((len(got), len(names)))
-        for at, by in enumerate(got["by"].to_pylist()):
-            for x in by:
-                c[at, number[x["lang"]]] = x["c"]
+        # by Arrow's columns: as Python's objects, so many rows are some hundred MB of the driver
+        by = got["by"].combine_chunks()
+        each = by.flatten()
+        lang = pc.index_in(pc.struct_field(each, "lang"), pa.array(names, pa.string())).to_numpy(zero_copy_only=False)
+        c[np.repeat(np.arange(len(by)), pc.list_value_length(by).to_numpy(zero_copy_only=False)), lang] = pc.struct_field(each, "c").to_numpy(zero_copy_only=False)
         keys = got["key"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
         return Held(keys[order], np.log10((c[order] + 0.5) / scale[n]))
@@ -184,7 +185,10 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Languages:
     top = most_frequent(by_key.where("n = 0"), "total", words).select("key", "by").toArrow()
     longer = most_frequent(by_key.where("n > 0"), "total", grams).select("n", "key", "by").toArrow()
     of = longer["n"].to_numpy()
-    return Languages(names, held(0, top), [held(n, longer.filter(pa.array(of == n))) for n in range(1, LONGEST + 1)], scale, by_key.select("n", "key", "by"))
+    model = Languages(names, held(0, top), [held(n, longer.filter(pa.array(of == n))) for n in range(1, LONGEST + 1)], scale, by_key.select("n", "key", "by"))
+    del top, longer
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def _heads(docs: DataFrame, model: Languages) -> DataFrame:

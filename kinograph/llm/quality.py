@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinograph.llm.common import _SPACE, chunks, combine, rows_of, word_hashes
+from kinograph.llm.common import _SPACE, chunks, combine, parts_of, rows_of, word_hashes
 from kinograph.session import ship_package
 
 #: Hashed words share so many weights.
@@ -160,9 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
                 blob = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids[i:j], ys[i:j], blob(index), blob(value)], ["doc_id", "_y", "i", "v"])
 
-    got = rows.mapInArrow(sparse, "doc_id long, _y int, i binary, v binary").toArrow().sort_by([("doc_id", "ascending"), ("_y", "ascending")])
-    pairs = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for i, v in zip(got["i"].to_pylist(), got["v"].to_pylist())]
-    return fit(pairs, np.array(got["_y"].to_pylist(), float))
+    got = rows.mapInArrow(sparse, "doc_id long, _y int, i binary, v binary").toArrow()
+    order = pc.sort_indices(got, [("doc_id", "ascending"), ("_y", "ascending")]).to_numpy()
+    # views of what Arrow holds, so that the driver has the sample once
+    index, value = ([x for chunk in got[c].chunks for x in parts_of(chunk, kind)] for c, kind in (("i", np.int32), ("v", np.float32)))
+    machine = fit([(index[k], value[k]) for k in order], got["_y"].to_numpy()[order].astype(float))
+    del got, index, value
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "score") -> DataFrame:

@@ -51,3 +51,16 @@ def test_stars_need_no_round(spark):
     tables = Tables(spark)
     connected_components(spark.createDataFrame(SHAPES["stars"], "a long, b long"), tables)
     assert tables.n == 1
+
+
+def test_rows_of_a_binary_column_are_views_of_it():
+    import numpy as np
+    import pyarrow as pa
+
+    from kinograph.llm.common import parts_of
+
+    rows = [np.array(x, np.int32) for x in ([1, 2], [], [3], [4, 5, 6])]
+    column = pa.array([x.tobytes() for x in rows], pa.binary())
+    for at in (0, 1, 2):
+        assert [x.tolist() for x in parts_of(column.slice(at), np.int32)] == [x.tolist() for x in rows[at:]]
+    assert parts_of(pa.array([b"", b""], pa.binary()), np.float32)[1].size == 0
