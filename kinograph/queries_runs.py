@@ -12,7 +12,7 @@ from kinograph.plans import evaluation as E
 from kinograph.plans import run as N
 from kinograph.plans import sweep as W
 from kinograph.registry import query
-from kinograph.session import shared_dir
+from kinograph.session import Steps, shared_dir
 from kinograph.sources import documents as J
 from kinograph.sources import records as R
 from kinograph.sources import responses as Y
@@ -26,13 +26,13 @@ X.SQL["planted"] = """planted AS (SELECT pair_id // 6 AS clip_id, pair_id, frame
     0.3::DOUBLE + (event_id % 70) / 100 AS conf FROM sig WHERE event_id % 7 <> 0)"""
 
 
-def planted(spark, d):
-    """(clip_id, pair_id, frame, cls, x1..y2, conf): six objects a clip, far apart; pair_id is the truth."""
+def planted(spark, d, more=()):
+    """(clip_id, pair_id, frame, cls, x1..y2, conf): six objects a clip, far apart; pair_id is the truth. more: columns of the signal."""
     p, f = F.col("pair_id"), F.col("frame")
     x, y = (300 * (p % 6) + f * (p % 4 - 1.5)).cast("double"), (50 + f * (p % 3)).cast("double")
     cls = F.when(p % 3 == 0, 0).when(F.col("event_id") % 5 == 0, 7).otherwise(2)
     rows = X.sig(spark, d).where("event_id % 7 <> 0")
-    return rows.select(F.floor(p / 6).alias("clip_id"), "pair_id", "frame", cls.alias("cls"), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 120).alias("y2"), (0.3 + (F.col("event_id") % 70) / 100).alias("conf"))
+    return rows.select(F.floor(p / 6).alias("clip_id"), "pair_id", "frame", cls.alias("cls"), x.alias("x1"), y.alias("y1"), (x + 60).alias("x2"), (y + 120).alias("y2"), (0.3 + (F.col("event_id") % 70) / 100).alias("conf"), *more)
 
 
 # a track begins with a trusted box, gets its number in the next frame, and holds all that comes after
@@ -45,7 +45,8 @@ X.SQL["truth"] = """seen AS (SELECT *, cls = 0 AS person, lead(frame) OVER (PART
 
 @query("clip_id:l track_id:l cls:l frame:l x1:d y1:d x2:d y2:d", "sig planted truth", "SELECT f.clip_id, f.track_id, k.cls, f.frame, x1, y1, x2, y2 FROM followed f JOIN kinds k ON k.clip_id = f.clip_id AND k.track_id = f.track_id")
 def tracked_objects(spark, d):
-    dets = planted(spark, d)
+    # stored, so that the signal is numbered once and not for each reader
+    dets = Steps(spark).keep(planted(spark, d))
     return K.track(dets, dets.select("clip_id", F.lit(25.0).alias("fps")).distinct())
 
 
@@ -249,13 +250,15 @@ _FIRST = "CASE WHEN list_contains(rules, 'R2_death_near') THEN 'R2_death_near' W
 
 
 def _run(spark, d):
-    dets = planted(spark, d)
+    steps = Steps(spark)
     moved = F.when(F.col("cls") == 0, 230).otherwise(0)
-    dets = dets.withColumns({"x1": F.col("x1") + moved, "x2": F.col("x2") + moved})
+    # stored, both: a run reads them in many joins, and each would number all events again
+    dets = steps.keep(planted(spark, d, ["event_type", "event_id"]).withColumns({"x1": F.col("x1") + moved, "x2": F.col("x2") + moved}))
     clips = dets.groupBy("clip_id").agg((F.max("frame") + 11).cast("int").alias("n_frames")).withColumns({"width": F.lit(1920), "height": F.lit(1080), "fps": F.lit(25.0)})
-    opened = dets.where("cls <> 0").join(X.sig(spark, d).where("event_type = 'purchase'").select("pair_id", "frame", "event_id"), ["pair_id", "frame"])
+    clips = steps.keep(clips)
+    opened = dets.where("cls <> 0 and event_type = 'purchase'")
     doors = opened.select("clip_id", "frame", (F.col("x1") + 5).alias("door_x1"), (F.col("y1") + 40).alias("door_y1"), (F.col("x1") + 30).alias("door_x2"), (F.col("y1") + 100).alias("door_y2"), ((F.col("event_id") % 100) / 100).alias("door_conf"))
-    return N.clip_run(dets.drop("pair_id"), clips, RUN, doors), clips
+    return N.clip_run(dets.drop("pair_id", "event_type", "event_id"), clips, RUN, doors, steps=steps), clips
 
 
 @query(
