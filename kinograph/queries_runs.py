@@ -285,9 +285,10 @@ def run_documents(spark, d):
     run, clips = _run(spark, d)
     folder = shared_dir(spark)
     J.write_documents(N.documents(run, clips, RUN), folder)
-    files = J.read_documents(spark, folder)
+    # stored, so that each file is opened once
+    files = Steps(spark).keep(J.read_documents(spark, folder).select("name", "status", "clip_id", "value", "path"))
     told = J.pooled_documents(J.with_missing(files, clips), R.DOCUMENT).select("name", F.size("document.interactions").alias("n_interactions"), F.get("document.interactions", F.lit(0))["interaction_id"].alias("first"))
-    debug = spark.read.text(f"{folder}/*.debug.json", wholetext=True).select(F.from_json("value", "clip_id string, n_candidates long, tracks array<struct<id: int>>, rejected array<struct<reason: string>>").alias("d"))
+    debug = files.where("status = 'debug'").select(F.from_json("value", "clip_id string, n_candidates long, tracks array<struct<id: int>>, rejected array<struct<reason: string>>").alias("d"))
     return told.join(debug.select(F.col("d.clip_id").alias("name"), F.size("d.tracks").alias("n_tracks"), "d.n_candidates"), "name")
 
 

@@ -11,6 +11,7 @@ import json
 import posixpath
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyarrow import fs
@@ -25,6 +26,10 @@ SCHEMA = "path string, name string, status string, clip_id string, value string"
 MANIFEST = "_documents.json"
 #: Files are read together up to this many bytes; a larger one is a partition of its own.
 PARTITION_BYTES = 16 << 20
+#: And up to this many, since a small file takes as long to open as a larger one.
+PARTITION_FILES = 1000
+#: Files that a commit moves at a time, and tasks that write, for each core.
+MOVES, WRITERS = 16, 2
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -68,7 +73,7 @@ class DocumentReader(DataSourceReader):
                 found[stem] = info
         out, size = [Files([], [n for n in self.include or [] if n not in found])], 0
         for _, info in sorted(found.items()):
-            if size + info.size > self.most and out[-1].paths:
+            if out[-1].paths and (size + info.size > self.most or len(out[-1].paths) >= PARTITION_FILES):
                 out.append(Files([], []))
                 size = 0
             out[-1].paths.append(info.path)
@@ -84,7 +89,7 @@ class DocumentReader(DataSourceReader):
             with files.open_input_stream(path) as f:
                 text = f.read()
             status, clip_id = ("debug", None) if stem.endswith(".debug") else shape(text, stem)
-            yield path, stem, status, clip_id, (text.decode("utf-8") if status in ("document", "mismatch") else None)
+            yield path, stem, status, clip_id, (text.decode("utf-8", "replace") if status in ("document", "mismatch", "debug") else None)
 
 
 @dataclass
@@ -127,20 +132,24 @@ class DocumentWriter(DataSourceWriter):
         gone = sorted(set(before) - set(names)) if self.overwrite else []
         undo: list[tuple[str, str]] = []
 
-        def move(source: str, target: str) -> None:
-            files.create_dir(posixpath.dirname(target), recursive=True)
-            files.move(source, target)
-            undo.append((target, source))
+        def move(pair: tuple[str, str]) -> None:
+            files.move(*pair)
+            undo.append(pair[::-1])
+
+        def move_all(pool: ThreadPoolExecutor, pairs: list[tuple[str, str]]) -> None:
+            for at in {posixpath.dirname(target) for _, target in pairs}:
+                files.create_dir(at, recursive=True)
+            list(pool.map(move, pairs))
 
         try:
             manifest = f"{folder}/{self.staging}/{MANIFEST}"
             with files.open_output_stream(manifest) as f:
                 f.write(json.dumps(sorted(set(names) if self.overwrite else set(names) | set(before))).encode())
-            for name in [*gone, *names]:
-                if is_file(f"{folder}/{name}"):
-                    move(f"{folder}/{name}", f"{folder}/{self.staging}/before/{name}")
-            for source, name in staged:
-                move(source, f"{folder}/{name}")
+            # leaving the pool waits for all moves, so that undo has each one
+            with ThreadPoolExecutor(MOVES) as pool:
+                old = [n for n, there in zip([*gone, *names], pool.map(is_file, [f"{folder}/{n}" for n in [*gone, *names]])) if there]
+                move_all(pool, [(f"{folder}/{n}", f"{folder}/{self.staging}/before/{n}") for n in old])
+                move_all(pool, [(source, f"{folder}/{name}") for source, name in staged])
             files.move(manifest, f"{folder}/{MANIFEST}")
         except BaseException:
             for target, source in reversed(undo):
@@ -158,7 +167,8 @@ class DocumentWriter(DataSourceWriter):
 class Documents(DataSource):
     """Options: path; include, clip ids that are read and expected (comma-separated); partitionBytes.
 
-    Reading gives a row a file: document, mismatch, damaged, other or debug, and missing for ids without a file. Writing takes
+    Reading gives a row a file: document, mismatch, damaged, other or debug, and missing for ids without a file; damaged files and
+    others have no value. Writing takes
     name (with its ending, folders allowed) and value; overwrite removes what earlier writes listed and this one lacks.
     """
 
@@ -188,7 +198,9 @@ def write_documents(rows: DataFrame, path: str, overwrite: bool = False) -> None
     """rows (name, value) as files of a folder, all or none."""
     ship_package(rows.sparkSession)
     rows.sparkSession.dataSource.register(Documents)
-    rows.select("name", "value").write.format(FORMAT).mode("overwrite" if overwrite else "append").save(path)
+    # dealt by number: files are small, and Spark would put thousands of them into one task by their size
+    tasks = WRITERS * rows.sparkSession.sparkContext.defaultParallelism
+    rows.select("name", "value").repartition(tasks).write.format(FORMAT).mode("overwrite" if overwrite else "append").save(path)
 
 
 def with_missing(files: DataFrame, inventory: DataFrame) -> DataFrame:
