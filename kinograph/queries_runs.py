@@ -284,7 +284,8 @@ def run_documents(spark, d):
     """A run's documents, written to a folder and read back: both of each clip."""
     run, clips = _run(spark, d)
     folder = shared_dir(spark)
-    J.write_documents(N.documents(run, clips, RUN), folder)
+    # dealt by number: files are small, and Spark would put thousands of them into one task by their size
+    J.write_documents(N.documents(run, clips, RUN).repartition(2 * spark.sparkContext.defaultParallelism), folder)
     # stored, so that each file is opened once
     files = Steps(spark).keep(J.read_documents(spark, folder).select("name", "status", "clip_id", "value", "path"))
     told = J.pooled_documents(J.with_missing(files, clips), R.DOCUMENT).select("name", F.size("document.interactions").alias("n_interactions"), F.get("document.interactions", F.lit(0))["interaction_id"].alias("first"))

@@ -28,8 +28,8 @@ MANIFEST = "_documents.json"
 PARTITION_BYTES = 16 << 20
 #: And up to this many, since a small file takes as long to open as a larger one.
 PARTITION_FILES = 1000
-#: Files that a commit moves at a time, and tasks that write, for each core.
-MOVES, WRITERS = 16, 2
+#: Files that a commit moves at a time.
+MOVES = 16
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -198,9 +198,7 @@ def write_documents(rows: DataFrame, path: str, overwrite: bool = False) -> None
     """rows (name, value) as files of a folder, all or none."""
     ship_package(rows.sparkSession)
     rows.sparkSession.dataSource.register(Documents)
-    # dealt by number: files are small, and Spark would put thousands of them into one task by their size
-    tasks = WRITERS * rows.sparkSession.sparkContext.defaultParallelism
-    rows.select("name", "value").repartition(tasks).write.format(FORMAT).mode("overwrite" if overwrite else "append").save(path)
+    rows.select("name", "value").write.format(FORMAT).mode("overwrite" if overwrite else "append").save(path)
 
 
 def with_missing(files: DataFrame, inventory: DataFrame) -> DataFrame:
