@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinograph.llm.common import give_back
 from kinograph.session import ship_package
 
 # The pattern that cuts text into pieces before the merges of byte-level vocabularies.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Encoded pieces, and compatible pairs, that a worker remembers; of pieces two generations of so many.
-REMEMBERED, PAIRS = 100_000, 1 << 17
+#: Encoded pieces that a worker remembers, two generations of so many, and places for answers about pairs of tokens.
+REMEMBERED, PAIRS = 1 << 16, 1 << 18
 
 
 def byte_symbols() -> dict[str, int]:
@@ -57,13 +58,35 @@ def token_table(path: str) -> tuple[dict, list[bytes], dict[str, int]]:
     return spec["model"], table, special
 
 
+class Vocabulary:
+    """A vocabulary file in flat arrays, so that nothing stays between the many objects that reading it makes and drops."""
+
+    def __init__(self, path: str):
+        model, table, self.special = token_table(path)
+        vocab: dict[str, int] = model["vocab"]
+        self.offsets = np.cumsum([0, *map(len, table)])
+        self.data = b"".join(table)
+        self.ordinary = array("i", vocab.values())
+        # merges in order of rank: the pair, and the token that it makes
+        self.merges = tuple(array("i") for _ in range(3))
+        for merge in model["merges"]:
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            for ids, token in zip(self.merges, (left, right, left + right)):
+                ids.append(vocab[token])
+
+
+@lru_cache(2)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(path)
+
+
 class Decoder:
     """The bytes of all tokens one after another, and the offset of each."""
 
     def __init__(self, path: str):
-        table = token_table(path)[1]
-        self.offsets = np.cumsum([0, *map(len, table)])
-        self.data = np.frombuffer(b"".join(table), np.uint8)
+        v = vocabulary(path)
+        self.offsets = v.offsets
+        self.data = np.frombuffer(v.data, np.uint8)
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
         """Texts of rows of ids that begin at off; bytes that aren't UTF-8 become U+FFFD."""
@@ -100,38 +123,46 @@ class Encoder:
     def __init__(self, path: str):
         import ahocorasick
 
-        model, table, self.special = token_table(path)
-        vocab: dict[str, int] = model["vocab"]
-        ordinary = {table[i]: i for i in vocab.values()}
-        self.bytes_ids = {b: i for b, i in ordinary.items()}
-        # merges in order of rank: which pair makes which token, and at which rank; flat tables by id
+        v = vocabulary(path)
+        self.special = v.special
+        # flat tables by id
+        self.left, self.right, self.rank, self.shorter, self.length = (array("i", [-1]) * (len(v.offsets) - 1) for _ in range(5))
+        # which pair makes which token, and at which rank
         self.merged: dict[int, int] = {}
-        self.left, self.right, self.rank, self.shorter, self.length = (array("i", [-1]) * len(table) for _ in range(5))
-        for rank, merge in enumerate(model["merges"]):
-            left, right = merge if isinstance(merge, list) else merge.split(" ")
-            a, b, whole = vocab[left], vocab[right], vocab[left + right]
+        for rank, (a, b, whole) in enumerate(zip(*v.merges)):
             self.merged.setdefault(a << 32 | b, rank)
             if self.rank[whole] < 0:
                 self.left[whole], self.right[whole], self.rank[whole] = a, b, rank
-        self.words = {b.decode("latin-1"): i for b, i in ordinary.items()}
-        self.most = max(map(len, self.words))
+        self.words = words = {v.data[v.offsets[i] : v.offsets[i + 1]].decode("latin-1"): i for i in v.ordinary}
+        self.most = max(map(len, words))
         # only its prefixes are asked for
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for word in self.words:
-            self.tree.add_word(word)
         # the next shorter token that begins like a token
-        for b, i in ordinary.items():
-            self.length[i] = len(b)
-            k = len(b) - 1
-            while k and b[:k] not in ordinary:
+        for word, i in words.items():
+            self.tree.add_word(word)
+            self.length[i] = len(word)
+            k = len(word) - 1
+            while k and word[:k] not in words:
                 k -= 1
             if k:
-                self.shorter[i] = ordinary[b[:k]]
+                self.shorter[i] = words[word[:k]]
         self.find = regex.compile(PIECES).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.compatible = lru_cache(PAIRS)(self._compatible)
+        # a pair's answer has one place, which a later pair may take: (left, right, answer) in 64 bits, -1 at first
+        self.pairs = array("q", [-1]) * PAIRS
         self.pieces = Pieces(lambda piece: array("I", self.encode_piece(piece)).tobytes(), REMEMBERED)
 
+    def compatible(self, left: int, right: int) -> int:
+        """Whether merging keeps the border between these tokens (0 or 1)."""
+        pair = left << 31 | right
+        place = (left * 40503 ^ right * 30011) % PAIRS
+        known = self.pairs[place]
+        if known >> 1 == pair:
+            return known & 1
+        answer = int(self._compatible(left, right))
+        self.pairs[place] = pair << 1 | answer
+        return answer
+
     def _compatible(self, left: int, right: int) -> bool:
         """Whether merging keeps the border between these tokens.
 
@@ -153,11 +184,12 @@ class Encoder:
                 bound, right = b + 1, self.left[right]
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        whole = self.bytes_ids.get(piece)
+        text, words = piece.decode("latin-1"), self.words
+        whole = words.get(text)
         if whole is not None:
             return [whole]
         n = len(piece)
-        text, words, prefix, most = piece.decode("latin-1"), self.words, self.tree.longest_prefix, self.most
+        prefix, most = self.tree.longest_prefix, self.most
         length, shorter, compatible = self.length, self.shorter, self.compatible
         # where a walk stepped back from; most pieces have no such place
         shut: set[int] = set()
@@ -220,8 +252,7 @@ def _forget(c: Encoder) -> None:
     """Idle workers stay for later stages; they don't keep a task's pieces."""
     c.pieces.clear()
     c.pieces.old = {}
-    c.compatible.cache_clear()
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _encoded(c: Encoder, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinograph.llm.common import Tables, chunks, list_array, mix, signed, word_hashes
+from kinograph.llm.common import Tables, chunks, giving_back, list_array, mix, signed, word_hashes
 from kinograph.session import ship_package
 
 # The masks, 1 where the token counts. Found by a search over masks of six counted tokens: whatever substitutions
@@ -60,8 +60,8 @@ def test_hashes(items: DataFrame) -> tuple[DataFrame, DataFrame]:
                     keys = spaced_hashes(h, mask, number)
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(keys), b.column(0).type), pa.array(np.full(len(keys), number, np.int32)), pa.array(np.arange(len(keys), dtype=np.int32)), signed(keys)], ["item_id", "mask", "at", "key"])
 
-    tokens = items.where("item_id is not null").select("item_id", "text").mapInArrow(run, "item_id long, tokens array<long>").where(F.size("tokens") > 0)
-    return tokens, tokens.mapInArrow(keyed, "item_id long, mask int, at int, key long")
+    tokens = items.where("item_id is not null").select("item_id", "text").mapInArrow(giving_back(run), "item_id long, tokens array<long>").where(F.size("tokens") > 0)
+    return tokens, tokens.mapInArrow(giving_back(keyed), "item_id long, mask int, at int, key long")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, tables: Tables | None = None) -> DataFrame:
@@ -119,7 +119,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: flo
                 yield pa.RecordBatch.from_arrays([pa.array([int(x[0]) for x in out]), pa.array([int(x[1]) for x in out]), lists(2, pa.int64()), lists(3, pa.int64()), lists(4, pa.int64()), lists(5, pa.int64())], ["doc_id", "begin", "stretch", "ats", "masks", "keys"])
 
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    stretches = texts.mapInArrow(run, "doc_id long, begin long, stretch array<long>, ats array<long>, masks array<long>, keys array<long>")
+    stretches = texts.mapInArrow(giving_back(run), "doc_id long, begin long, stretch array<long>, ats array<long>, masks array<long>, keys array<long>")
     stretches = tables.keep(stretches.withColumn("s", F.monotonically_increasing_id()))
     hits = stretches.select("s", F.explode(F.arrays_zip("ats", "masks", "keys")).alias("h")).select("s", F.col("h.ats").alias("d"), F.col("h.masks").cast("int").alias("mask"), F.col("h.keys").alias("key"))
     diagonals = hits.join(keys, ["mask", "key"]).select("s", "item_id", (F.col("d") - F.col("at")).alias("shift")).distinct()
@@ -143,7 +143,7 @@ def overlaps(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: flo
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(5)], names)
 
     side = side.select("doc_id", "item_id", "shift", "begin", "stretch", "tokens")
-    found = side.mapInArrow(compare, "doc_id long, item_id long, begin long, end long, matched long")
+    found = side.mapInArrow(giving_back(compare), "doc_id long, item_id long, begin long, end long, matched long")
     best = F.min_by(F.struct("begin", "end", "matched"), F.struct((-F.col("matched")).alias("m"), "begin", "end"))
     return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kinograph.llm.common import Tables, binary_array, chunks, mix, rows_of, shingle_sets, signed, word_hashes
+from kinograph.llm.common import Tables, binary_array, chunks, giving_back, mix, rows_of, shingle_sets, signed, word_hashes
 from kinograph.llm.components import connected_components
 from kinograph.session import ship_package
 
@@ -143,7 +143,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             sums = [signed(_signature(values, off, seed)) for seed in (21, 22)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off)), *sums], ["doc_id", "n", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, n long, s1 long, s2 long")
 
 
 def _new(s1: np.ndarray, n: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -230,7 +230,7 @@ def linkable(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         yield from hand_on()
 
     # c: 0 for a token that counts for its set, -1 for one that doesn't; _OWN and more in a set's own row
-    found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "token long, s1 long, c int")
+    found = docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(giving_back(run), "token long, s1 long, c int")
     by_token = Window.partitionBy("token")
     shared = (F.min("s1").over(by_token) < F.max("s1").over(by_token)) | F.max(F.col("s1").isNull()).over(by_token)
     worth = F.when(F.col("c") > 0, F.col("c") - _OWN).when((F.col("c") == 0) & F.col("shared"), 1)
@@ -270,7 +270,7 @@ def token_sets(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int
             yield rows.filter(pa.array(fresh))
 
     rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("p"))
-    found = rows.mapInArrow(run, "s1 long, n long, need long, tokens binary").join(nodes.select("s1"), "s1", "left_semi")
+    found = rows.mapInArrow(giving_back(run), "s1 long, n long, need long, tokens binary").join(nodes.select("s1"), "s1", "left_semi")
     return found.dropDuplicates(["s1"])
 
 
@@ -291,7 +291,7 @@ def _each_set(sets: DataFrame, columns: list[str], schema: str, rows) -> DataFra
                     cut = slice(at, at + (1 << 16))
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[cut])), *[pa.array(x[cut].view(np.int64) if x.dtype == np.uint64 else x[cut]) for x in others]], columns)
 
-    return sets.select("s1", "tokens").mapInArrow(run, schema)
+    return sets.select("s1", "tokens").mapInArrow(giving_back(run), schema)
 
 
 def segments(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -335,7 +335,7 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     slim = sets.select("s1", "tokens")
     both = pairs.select("a", "b").join(slim.alias("x"), F.col("a") == F.col("x.s1")).select("a", "b", F.col("x.tokens").alias("ta"))
     both = both.join(slim.alias("y"), F.col("b") == F.col("y.s1")).select("a", "b", "ta", F.col("y.tokens").alias("tb"))
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(run), "a long, b long")
 
 
 def _sizes_fit(x: Column, y: Column, num: int, den: int) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinograph.llm.common import Tables, chunks, combine, list_array, mix, most_frequent, rows_of, signed, word_hashes
+from kinograph.llm.common import Tables, chunks, combine, giving_back, list_array, mix, most_frequent, rows_of, signed, word_hashes
 from kinograph.llm.quality import held_out
 from kinograph.session import ship_package
 
@@ -153,7 +153,7 @@ def count(docs: DataFrame) -> DataFrame:
 
     parts = docs.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     # dealt by key alone: a key's languages are needed together next, and a task has few rows of one key
-    return parts.mapInArrow(partial, "lang string, n int, key long, c long").repartition("n", "key").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
+    return parts.mapInArrow(giving_back(partial), "lang string, n int, key long, c long").repartition("n", "key").groupBy("lang", "n", "key").agg(F.sum("c").alias("c"))
 
 
 def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Languages:
@@ -220,7 +220,7 @@ def _heads(docs: DataFrame, model: Languages) -> DataFrame:
 
     longs = T.ArrayType(T.LongType())
     kinds = {"sums": T.ArrayType(T.DoubleType()), "lettered": T.BooleanType(), "key": longs, "t": longs, "word": T.ArrayType(T.StringType())}
-    return docs.mapInArrow(run, T.StructType([docs.schema["kept"], *[T.StructField(c, k) for c, k in kinds.items()]]))
+    return docs.mapInArrow(giving_back(run), T.StructType([docs.schema["kept"], *[T.StructField(c, k) for c, k in kinds.items()]]))
 
 
 def _by_grams(words: DataFrame, model: Languages, tables: Tables) -> DataFrame:
@@ -241,7 +241,7 @@ def _by_grams(words: DataFrame, model: Languages, tables: Tables) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n", "m", "v", "gram"])
 
-    split = tables.keep(words.mapInArrow(run, "key long, n int, m long, v array<double>, gram array<long>"))
+    split = tables.keep(words.mapInArrow(giving_back(run), "key long, n int, m long, v array<double>, gram array<long>"))
     others = split.select("key", "n", F.explode("gram").alias("gram"))
     # the frequent n-grams aren't here, so no n-gram is hot
     met = others.join(model.table.where("n > 0").withColumnRenamed("key", "gram"), ["n", "gram"])

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinograph.llm.common import _SPACE, chunks, combine, parts_of, rows_of, word_hashes
+from kinograph.llm.common import _SPACE, chunks, combine, giving_back, parts_of, rows_of, word_hashes
 from kinograph.session import ship_package
 
 #: Hashed words share so many weights.
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
                 blob = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids[i:j], ys[i:j], blob(index), blob(value)], ["doc_id", "_y", "i", "v"])
 
-    got = rows.mapInArrow(sparse, "doc_id long, _y int, i binary, v binary").toArrow()
+    got = rows.mapInArrow(giving_back(sparse), "doc_id long, _y int, i binary, v binary").toArrow()
     order = pc.sort_indices(got, [("doc_id", "ascending"), ("_y", "ascending")]).to_numpy()
     # views of what Arrow holds, so that the driver has the sample once
     index, value = ([x for chunk in got[c].chunks for x in parts_of(chunk, kind)] for c, kind in (("i", np.int32), ("v", np.float32)))
@@ -177,11 +177,12 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sco
     ship_package(spark)
     model = spark.sparkContext.broadcast(machine)  # fixed size: BUCKETS x (FACTORS + 1) numbers
 
-    @F.arrow_udf(T.DoubleType())
-    def scores(texts: pa.Array) -> pa.Array:
-        parts = [model.value.scores(*features(raw, off)) for _, _, raw, off in chunks(texts)]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            parts = [model.value.scores(*features(raw, off)) for _, _, raw, off in chunks(texts)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
+    scores = F.arrow_udf(giving_back(scored), T.DoubleType())
     return docs.withColumn(out, scores(F.col(text)))
 
 
