@@ -433,20 +433,34 @@ def pairs_left(keyed: DataFrame, opened: DataFrame, heads: DataFrame, sets: Data
     # the union of a group of very few members bounds no better than they do: such groups are opened as they are
     size = left.select("s1", F.col("g").alias("h")).distinct().groupBy("h").agg(F.count("*").alias("size"))
     sized = tables.keep(queries.join(size, "h"))
-    few = sized.where(F.col("size").between(2, FEW)).select("s1", "n", "h", F.col("n").alias("c"))
+    few = sized.where(F.col("size").between(2, FEW)).select("s1", "n", "shared", "h", F.col("n").alias("c"), F.col("n").alias("core"))
     tokens = owned.join(left.select("s1").distinct(), "s1", "left_semi")
-    union = tokens.join(size.where(F.col("size") > FEW).withColumnRenamed("h", "g"), "g", "left_semi").select(F.col("g").alias("h"), "token").distinct()
+    # in a larger group, most members share the tokens of its core; each of its other tokens, the rare ones, is in few of them
+    of_group = tokens.join(size.where(F.col("size") > FEW).withColumnRenamed("h", "g"), "g").select(F.col("g").alias("h"), "token", "s1", "size")
+    union = of_group.groupBy("h", "token", "size").agg(F.count("*").alias("members"))
+    union = tables.keep(union.select("h", "token", (F.col("members") * F.col("members") > F.col("size")).alias("common")))
     asked = tokens.select("s1", "token").join(sized.where(F.col("size") > FEW), "s1")
-    overlap = asked.join(union, ["h", "token"]).groupBy("s1", "n", "h").agg(F.count("*").alias("c")).where(F.col("c") * den >= F.col("n") * num)
-    opened_again = tables.keep(overlap.unionByName(few), "opened_again")
-    reached = left.select("key", "level", "least", "s1", "shared").join(opened_again, "s1")
-    members = left.select("key", F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"), F.col("label").alias("other_label"), F.col("least").alias("other_least"))
-    met = reached.join(members, ["key", "h"]).where(enough(F.least("c", "shared", "other_shared"), F.col("n"), F.col("other_n")))
+    overlap = asked.join(union, ["h", "token"]).groupBy("s1", "n", "shared", "h").agg(F.count("*").alias("c"), F.count_if("common").alias("core"))
+    opened_again = tables.keep(overlap.where(F.col("c") * den >= F.col("n") * num).unionByName(few), "opened_again")
+    rare = tables.keep(of_group.join(union.where("not common"), ["h", "token"]).select("h", "token", F.col("s1").alias("other")))
+    members = left.select(F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("g").alias("h"), F.col("label").alias("other_label")).distinct()
+    members = members.join(rare.groupBy("other").agg(F.count("*").alias("rare")), "other", "left")
+    members = tables.keep(members.withColumn("other_core", F.col("other_n") - F.coalesce("rare", F.lit(0))).drop("rare"))
+    # a linked member that has a rare token of the set ...
+    with_rare = tokens.select("s1", "token").join(opened_again.select("s1", "h"), "s1").join(rare, ["h", "token"]).groupBy("s1", "h", "other").agg(F.count("*").alias("both"))
+    with_rare = with_rare.join(opened_again, ["s1", "h"]).join(members, ["other", "h"])
+    with_rare = with_rare.where(enough(F.least(F.least("core", "other_core") + F.col("both"), "shared", "other_shared"), F.col("n"), F.col("other_n")))
+    # ... and one that has none, so that both have enough of the core; by size, since few sizes are within reach then
+    sizes = members.groupBy("h", "other_n").agg(F.max(F.least("other_core", "other_shared")).alias("most"))
+    reached = opened_again.join(sizes, "h").where(enough(F.least("core", "shared", "most"), F.col("n"), F.col("other_n"))).drop("c", "most")
+    reached = left.select("key", "level", "least", "s1").join(reached, "s1")
+    within = left.select("key", F.col("s1").alias("other"), F.col("least").alias("other_least")).join(members, "other")
+    met = reached.join(within, ["key", "h", "other_n"]).where(enough(F.least("core", "other_core", "shared", "other_shared"), F.col("n"), F.col("other_n")))
     met = met.groupBy("s1", "other", "other_label", "level", "least", "other_least").agg(F.count("*").alias("keys"))
     met = met.where(F.col("keys") >= F.greatest("least", "other_least")).select("s1", "other", "other_label")
+    met = met.unionByName(with_rare.select("s1", "other", "other_label"))
     # a group of one member is that member, and its shared keys have been counted
-    one = left.select(F.col("g").alias("h"), F.col("s1").alias("other"), F.col("n").alias("other_n"), F.col("shared").alias("other_shared"), F.col("label").alias("other_label")).distinct()
-    lone = sized.where(F.col("size") == 1).join(one, "h").where(enough(F.least("shared", "other_shared"), F.col("n"), F.col("other_n")))
+    lone = sized.where(F.col("size") == 1).join(members, "h").where(enough(F.least("shared", "other_shared"), F.col("n"), F.col("other_n")))
     met = met.unionByName(lone.select("s1", "other", "other_label")).distinct()
     # a link shows in both directions: only members of groups that the first matrix opened for the set
     return met.join(unfinished.select("s1", F.col("h").alias("other_label")), ["s1", "other_label"], "left_semi").select(F.col("s1").alias("a"), F.col("other").alias("b"))

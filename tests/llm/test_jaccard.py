@@ -116,3 +116,45 @@ def test_word_sets():
 def test_threshold_has_bounds(spark):
     with pytest.raises(ValueError):
         jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), 3, 0, 100)
+
+
+def family_below_threshold(members, others):
+    """A text, copies of it with two edits, and others with four, of which one is a copy's: most linked with no copy,
+    though the copies together have enough of their words. Three more are linked with a copy of one edit alone."""
+    base = [f"w{k}" for k in range(150)]
+
+    def edited(edits):
+        w = list(base)
+        for slot, word in edits:
+            w[5 * slot + 2] = word
+        return " ".join(w)
+
+    rng = random.Random(5)
+    texts, edits = {1: edited([])}, []
+    for k in range(members):
+        edits.append([(slot, f"m{k}x{slot}") for slot in rng.sample(range(30), 2)])
+        texts[len(texts) + 1] = edited(edits[-1])
+    for k in range(others + 3):
+        taken = edits[k][0] if k < others else (k % 30, f"one{k}")
+        if k >= others:
+            texts[len(texts) + 1] = edited([taken])
+        free = rng.sample([slot for slot in range(30) if slot != taken[0]], 3)
+        texts[len(texts) + 1] = edited([taken, *[(slot, f"o{k}x{slot}") for slot in free]])
+    return texts
+
+
+def test_a_family_is_not_compared_pair_by_pair(spark, monkeypatch):
+    texts = family_below_threshold(60, 25)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    compared, verify = [], jaccard.verify
+
+    def counting(pairs, *others):
+        compared.append(pairs.count())
+        return verify(pairs, *others)
+
+    monkeypatch.setattr(jaccard, "verify", counting)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute(texts, 5, 80, 100)
+    assert 67 <= sum(component == 1 for _, component in got.values()) < 80
+    # not 25 others with 60 copies each
+    assert compared[-1] < 400, compared
