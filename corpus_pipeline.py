@@ -48,7 +48,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     row = langid.fresh(docs, "row")
     # stored, so that a row's number stays; few rows are rejected, and texts needn't be shuffled
     numbered = tables.keep(docs.withColumn(row, F.monotonically_increasing_id()))
-    named = langid.scores(numbered, model, [row])
+    named = langid.scores(numbered, model, [row], learned=F.col("text").isNotNull() & F.col("lang").isNotNull())
     rejected = tables.keep(named.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE)).select(row))
     return numbered.join(rejected, row, "left_anti").select(*docs.columns)
 

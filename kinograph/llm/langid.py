@@ -192,13 +192,15 @@ def train(docs: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Languages:
 
 
 def _heads(docs: DataFrame, model: Languages) -> DataFrame:
-    """kept, sums (by language, of the words that every task holds), lettered, and the other words: hash, times, spelling."""
+    """kept, sums (by language, of the words that every task holds), lettered, and the other words: hash, times, and spelling,
+    which is null in rows that were learned from."""
     held = docs.sparkSession.sparkContext.broadcast(model.words)  # WORDS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
             lettered = pc.fill_null(pc.match_substring_regex(b.column("text"), r"\pL"), False)
+            learned = b.column("learned").to_numpy(zero_copy_only=False)
             for i, j, raw, off in chunks(b.column("text")):
                 cleaned, hashes, words, starts = letter_words(raw, off)
                 distinct, first, slot = np.unique(hashes, return_index=True, return_inverse=True)
@@ -207,10 +209,12 @@ def _heads(docs: DataFrame, model: Languages) -> DataFrame:
                 sums = np.stack([np.bincount(row, vectors[slot, k], n) for k in range(vectors.shape[1])], 1)
                 missed = ~hit[slot]
                 code, times = np.unique(row[missed] * (len(distinct) + 1) + slot[missed], return_counts=True)
-                which = code % (len(distinct) + 1)
-                at = np.searchsorted(code // (len(distinct) + 1), np.arange(n + 1))
-                number = np.cumsum(~hit) - 1
-                names = pa.array(spelled(cleaned, starts, first[~hit]), pa.string()).take(pa.array(number[which]))
+                of, which = np.divmod(code, len(distinct) + 1)
+                at = np.searchsorted(of, np.arange(n + 1))
+                silent = learned[i:j][of]
+                spelt = np.unique(which[~silent])
+                number = np.where(silent, 0, np.searchsorted(spelt, which))
+                names = pa.array(spelled(cleaned, starts, first[spelt]), pa.string()).take(pa.array(number, mask=silent))
                 columns = [
                     b.column("kept")[i:j], list_array(sums.ravel(), np.arange(n + 1) * sums.shape[1], pa.float64()), lettered[i:j],
                     list_array(distinct[which].view(np.int64), at, pa.int64()), list_array(times.astype(np.int64), at, pa.int64()),
@@ -252,19 +256,25 @@ def _by_grams(words: DataFrame, model: Languages, tables: Tables) -> DataFrame:
     return parts.repartition("key").groupBy("key", "n").agg(means.alias("v")).groupBy("key").agg(F.max_by("v", "n").alias("v"))
 
 
-def scores(docs: DataFrame, model: Languages, keep: list[str], text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, model: Languages, keep: list[str], text: str = "text", learned: Column | None = None) -> DataFrame:
     """The columns `keep` of every row of docs with lang_pred, a learned language, or `und` with score 0 where the text is null or
-    has no letter or nothing was learned; score: the likelihood's share among the languages."""
+    has no letter or nothing was learned; score: the likelihood's share among the languages.
+
+    learned may name rows whose texts the model was learned from: it knows all their words, so that their spelling needn't be
+    stored and shuffled. It has no part in the result.
+    """
     if not model.names:
         return docs.select(*keep).withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     ship_package(docs.sparkSession)
     tables = Tables(docs.sparkSession)
-    heads = _heads(docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text")), model)
+    known = F.lit(False) if learned is None else F.coalesce(learned, F.lit(False))
+    heads = _heads(docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("text"), known.alias("learned")), model)
     heads = tables.keep(heads.withColumn("row", F.monotonically_increasing_id()))
     tail = heads.select("row", F.explode(F.arrays_zip("key", "t", "word")).alias("x")).select("row", "x.*")
     # the frequent words aren't here, so no word of the table is hot
     met = tail.join(model.table.where("n = 0").select("key", "by"), "key", "left")
-    met = tables.keep(met.select("row", "key", "t", F.when(F.col("by").isNull(), F.col("word")).alias("word"), "by"))
+    # a known word needs neither hash nor spelling any more
+    met = tables.keep(met.select("row", "t", *[F.when(F.col("by").isNull(), F.col(c)).alias(c) for c in ("key", "word")], "by"))
     unknown = met.where("by is null")
     vectors = _by_grams(unknown.groupBy("key").agg(F.first("word").alias("word")), model, tables)
     parts = met.where("by is not null").select("row", "t", F.array(*model.logs(0)).alias("v")).unionByName(unknown.select("row", "key", "t").join(vectors, "key").select("row", "t", "v"))
@@ -293,5 +303,5 @@ def op10_langid(spark, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document; learns from the texts outside the held-out quarter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out(F.col("doc_id"), 4, 2)).select("text", "lang"))
-    out = scores(docs, model, ["doc_id"])
+    out = scores(docs, model, ["doc_id"], learned=~held_out(F.col("doc_id"), 4, 2) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")

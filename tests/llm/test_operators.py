@@ -301,6 +301,32 @@ def test_language_by_words_and_grams_that_tasks_do_not_hold(spark):
         assert got[0][0] == "y"
 
 
+def test_language_stores_no_spelling_of_learned_texts(spark, monkeypatch):
+    rng = random.Random(7)
+    texts = [(k, rng.choice("xy"), " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 6))) for _ in range(60))) for k in range(40)]
+    texts += [(40, "x", None), (41, None, "abc dcba"), (42, "y", "12")]
+    docs = spark.createDataFrame(texts, "k int, lang string, text string")
+    model = langid.train(docs.where("k < 30 or k >= 40"), 3, 5)
+    want = {r.k: (r.lang_pred, r.score) for r in langid.scores(docs, model, ["k"]).collect()}
+    stored = []
+
+    class Kept(langid.Tables):
+        def keep(self, df, name=None):
+            stored.append(super().keep(df, name))
+            return stored[-1]
+
+    monkeypatch.setattr(langid, "Tables", Kept)
+    out = langid.scores(docs, model, ["k"], learned=F.expr("(k < 30 or k >= 40) and lang is not null and text is not null"))
+    got = {r.k: (r.lang_pred, r.score) for r in out.collect()}
+    assert {k: (x, pytest.approx(y, rel=1e-9)) for k, (x, y) in want.items()} == got
+    heads, met = stored[:2]
+    spelt = {r.k for r in heads.where(F.exists("word", lambda w: w.isNotNull())).select("kept.k").collect()}
+    assert spelt == {*range(30, 40), 41}
+    known = met.where("by is not null")
+    assert known.count() > 500 and known.where("key is not null or word is not null").count() == 0
+    assert met.where("by is null and (key is null or word is null)").count() == 0 < met.where("by is null").count()
+
+
 def test_unseen_grams_back_off_however_many_are_known(spark):
     rng = random.Random(6)
     words = {"".join(rng.choice("abcdefghijklmnopqrstuv") for _ in range(6)) for _ in range(40_000)}
